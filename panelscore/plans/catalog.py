@@ -105,3 +105,90 @@ def q_evaluation_table(spark, sf):
 def q_model_summary(spark, sf):
     """AGG-18: per (prompt, target) three averages and the sorted judge list."""
     return scoring.model_summary(fx.responses(spark, sf), _parsed(spark, sf))
+
+
+# --------------------------------------------------------------------------- analysis (eval_facts)
+
+from ..operators import analysis  # noqa: E402
+
+
+def _facts(spark, sf):
+    return fx.eval_facts(spark, sf)
+
+
+@register("model_stats")
+def q_model_stats(spark, sf):
+    """AGG-1 + AGG-7: per target model mean/std of the core metrics and helpfulness count."""
+    return analysis.model_stats(_facts(spark, sf))
+
+
+@register("evaluator_stats")
+def q_evaluator_stats(spark, sf):
+    """AGG-2: judge bias statistics."""
+    return analysis.evaluator_stats(_facts(spark, sf))
+
+
+@register("cross_eval")
+def q_cross_eval(spark, sf):
+    """AGG-3: mean per (target, evaluator)."""
+    return analysis.cross_eval(_facts(spark, sf))
+
+
+@register("stats_grouping_sets")
+def q_stats_grouping_sets(spark, sf):
+    """AGG-21: the three statistics tables in one scan."""
+    return analysis.stats_grouping_sets(_facts(spark, sf))
+
+
+@register("simple_stats")
+def q_simple_stats(spark, sf):
+    """AGG-4 + PRJ-6: simple layout (``model`` column) statistics."""
+    simple = _facts(spark, sf).select(F.col("target_model").alias("model"), "helpfulness", "correctness", "coherence", "clarity")
+    return analysis.simple_stats(simple)
+
+
+@register("overall_scores")
+def q_overall_scores(spark, sf):
+    """AGG-8: macro-average score per target and per evaluator."""
+    return analysis.overall_scores(_facts(spark, sf))
+
+
+@register("best_model")
+def q_best_model(spark, sf):
+    """AGG-9 + TOP-1: best model overall."""
+    return analysis.best_model(_facts(spark, sf))
+
+
+@register("lenient_strict")
+def q_lenient_strict(spark, sf):
+    """AGG-10 + TOP-1: most lenient and most strict evaluator."""
+    return analysis.lenient_strict(_facts(spark, sf))
+
+
+@register("strengths")
+def q_strengths(spark, sf):
+    """AGG-11 + TOP-2: per metric best model."""
+    return analysis.metric_extremes(_facts(spark, sf), best=True)
+
+
+@register("weaknesses")
+def q_weaknesses(spark, sf):
+    """AGG-12 + TOP-2: per metric worst model."""
+    return analysis.metric_extremes(_facts(spark, sf), best=False)
+
+
+@register("report_long")
+def q_report_long(spark, sf):
+    """SNK-5 + PRJ-4 + STR-15: the whole report as a long table."""
+    return analysis.report_long(_facts(spark, sf))
+
+
+@register("flagship_model_stats")
+def q_flagship(spark, sf):
+    """Flagship: noisy judgments -> strict parse -> per-target averages -> model statistics.
+
+    The per-target averages (AGG-5) are the evaluation rows' avg columns; the
+    model statistics (AGG-1) run over the evaluation rows.
+    """
+    rows = scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
+    return analysis.model_stats(rows)

@@ -115,3 +115,99 @@ from responses r left join (
   from parsed where status = 'ok' group by prompt_id, target_model) a
   on a.prompt_id = r.prompt_id and a.target_model = r.model
 """, [("parsed", _PARSED)])
+
+
+# --------------------------------------------------------------------------- analysis (eval_facts)
+
+_C4 = ["helpfulness", "correctness", "coherence", "clarity"]
+
+
+def _stats(key_cols: str, where: str, std=True, count_of=None, source="eval_facts") -> str:
+    cols = []
+    for m in _C4:
+        cols.append(f"round_even(avg({m}), 3) as {m}_mean")
+        if std:
+            cols.append(f"round_even(stddev_samp({m}), 3) as {m}_std")
+        if count_of == m:
+            cols.append(f"count({m}) as {m}_count")
+    return f"select {key_cols}, {', '.join(cols)} from {source} where {where} group by {key_cols}"
+
+
+ORACLE["model_stats"] = with_fixtures(["eval_facts"], _stats("target_model", "target_model is not null", count_of="helpfulness"))
+ORACLE["evaluator_stats"] = with_fixtures(["eval_facts"], _stats("evaluator", "evaluator is not null"))
+ORACLE["cross_eval"] = with_fixtures(
+    ["eval_facts"], _stats("target_model, evaluator", "target_model is not null and evaluator is not null", std=False)
+)
+ORACLE["simple_stats"] = with_fixtures(
+    ["eval_facts"], _stats("model", "model is not null", source="(select target_model as model, * from eval_facts) s")
+)
+
+
+def _gs_part(name, keys, where):
+    tm = "target_model" if "target_model" in keys else "cast(null as varchar) as target_model"
+    ev = "evaluator" if "evaluator" in keys else "cast(null as varchar) as evaluator"
+    cols = []
+    for m in _C4:
+        cols += [f"round_even(avg({m}), 3) as {m}_mean", f"round_even(stddev_samp({m}), 3) as {m}_std"]
+    return f"select '{name}' as grouping, {tm}, {ev}, {', '.join(cols)} from eval_facts where {where} group by {', '.join(keys)}"
+
+
+ORACLE["stats_grouping_sets"] = with_fixtures(["eval_facts"], "\nunion all\n".join([
+    _gs_part("target_model", ["target_model"], "target_model is not null"),
+    _gs_part("evaluator", ["evaluator"], "evaluator is not null"),
+    _gs_part("target_model,evaluator", ["target_model", "evaluator"], "target_model is not null and evaluator is not null"),
+]))
+
+
+def _overall(key: str) -> str:
+    means = ", ".join(f"avg({m}) as {m}" for m in _C4)
+    nn = " + ".join(f"(case when {m} is not null then 1 else 0 end)" for m in _C4)
+    sm = " + ".join(f"coalesce({m}, 0)" for m in _C4)
+    return f"""select {key}, case when ({nn}) > 0 then ({sm}) / ({nn}) end as overall
+from (select {key}, {means} from eval_facts where {key} is not null group by {key}) t"""
+
+
+ORACLE["overall_scores"] = with_fixtures(["eval_facts"], f"""
+select 'target_model' as kind, target_model as name, round_even(overall, 6) as overall from ({_overall('target_model')}) a
+union all
+select 'evaluator' as kind, evaluator as name, round_even(overall, 6) as overall from ({_overall('evaluator')}) b
+""")
+
+ORACLE["best_model"] = with_fixtures(["eval_facts"], f"""
+select target_model as best_model, round_even(overall, 3) as score
+from ({_overall('target_model')}) o where overall is not null
+order by overall desc, target_model asc limit 1
+""")
+
+ORACLE["lenient_strict"] = with_fixtures(["eval_facts"], f"""
+select
+  (select evaluator from o order by overall desc, evaluator limit 1) as most_lenient,
+  (select round_even(max(overall), 3) from o) as lenient_score,
+  (select evaluator from o order by overall asc, evaluator limit 1) as most_strict,
+  (select round_even(min(overall), 3) from o) as strict_score
+""", [("o", f"select * from ({_overall('evaluator')}) x where overall is not null")])
+
+
+def _extremes(best: bool) -> str:
+    means = ", ".join(f"avg({m}) as {m}" for m in _C4)
+    order = "desc" if best else "asc"
+    return f"""
+select upper(substr(metric, 1, 1)) || substr(metric, 2) as metric, target_model, round_even(mean, 3) as score
+from (
+  select metric, target_model, mean,
+    row_number() over (partition by metric order by mean {order}, target_model) as rn
+  from (unpivot (select target_model, {means} from eval_facts where target_model is not null group by target_model)
+        on {", ".join(_C4)} into name metric value mean) u
+  where mean is not null) r
+where rn = 1
+"""
+
+
+ORACLE["strengths"] = with_fixtures(["eval_facts"], _extremes(True))
+ORACLE["weaknesses"] = with_fixtures(["eval_facts"], _extremes(False))
+
+ORACLE["flagship_model_stats"] = with_fixtures(["judgments_raw", "responses"], _stats(
+    "target_model", "target_model is not null", count_of="helpfulness",
+    source="(select j.* from parsed j join responses r on r.prompt_id = j.prompt_id and r.model = j.target_model "
+           "where j.status = 'ok') s",
+), [("parsed", _PARSED)])
