@@ -49,6 +49,23 @@ def parse_status(block: Column, obj: Column) -> Column:
     )
 
 
+def is_usable(raw: Column) -> Column:
+    """True when ``raw`` holds exactly one non-empty JSON object block.
+
+    One reference to the block and one parse: the wrapper array is folded with
+    ``aggregate`` (an element that is a non-empty object adds 1, anything else
+    adds 2, so the sum is 1 exactly for a single usable object). Filters built
+    on it stay cheap when the optimizer pushes them below other projections.
+    """
+    arr = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), json_block(raw), F.lit("]"))), "$", "array<variant>"
+    )
+    score = F.aggregate(
+        arr, F.lit(0), lambda acc, x: acc + F.when(F.schema_of_variant(x).rlike(r"^OBJECT<.+>$"), 1).otherwise(2)
+    )
+    return F.coalesce(score == 1, F.lit(False))
+
+
 def field(obj: Column, key: str) -> Column:
     return F.try_variant_get(obj, f"$.{key}", "variant")
 

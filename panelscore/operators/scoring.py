@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SCORE, METRICS
-from ..functions.judgment import parse_judgments
+from ..functions.judgment import is_usable, parse_judgments
 
 PAIR_KEYS = ["prompt_id", "target_model", "evaluator"]
 TARGET_KEYS = ["prompt_id", "target_model"]
@@ -22,6 +22,11 @@ def usable_judgments(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("status") == "ok")
 
 
+def usable_raw(raw: DataFrame, col: str = "raw_text") -> DataFrame:
+    """FLT-7 on raw judge text, before the full parse (single-parse predicate)."""
+    return raw.where(is_usable(F.col(col)))
+
+
 def _avg_exprs(metrics=METRICS):
     # Numeric scores only; none -> 0.5; three decimals, half-even.
     return [

@@ -192,3 +192,50 @@ def q_flagship(spark, sf):
     """
     rows = scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
     return analysis.model_stats(rows)
+
+
+# --------------------------------------------------------------------------- charts
+
+from ..operators import charts  # noqa: E402
+
+
+@register("cross_pivot")
+def q_cross_pivot(spark, sf):
+    """AGG-13: helpfulness pivot, target x evaluator."""
+    return charts.cross_pivot(_facts(spark, sf), DEFAULT_PANEL)
+
+
+@register("metric_corr")
+def q_metric_corr(spark, sf):
+    """AGG-14 + PRJ-5: correlation of all numeric columns, long form."""
+    return charts.correlation_long(_facts(spark, sf))
+
+
+@register("box_by_model")
+def q_box_by_model(spark, sf):
+    """AGG-15: box-plot statistics per target model and core metric."""
+    return charts.box_stats(_facts(spark, sf), "target_model")
+
+
+@register("box_by_evaluator")
+def q_box_by_evaluator(spark, sf):
+    """AGG-16: box-plot statistics per evaluator and core metric."""
+    return charts.box_stats(_facts(spark, sf), "evaluator")
+
+
+@register("heatmap")
+def q_heatmap(spark, sf):
+    """AGG-6 + RSH-2: per model mean of all eight metrics."""
+    return charts.heatmap(_facts(spark, sf))
+
+
+@register("radar")
+def q_radar(spark, sf):
+    """RSH-3: radar profile rows."""
+    return charts.radar(_facts(spark, sf))
+
+
+@register("bar_long")
+def q_bar_long(spark, sf):
+    """RSH-1: grouped-bar long table."""
+    return charts.bar_long(_facts(spark, sf))

@@ -83,14 +83,20 @@ def judgments_raw(spark: SparkSession, sf_dir: str, models=DEFAULT_PANEL) -> Dat
             text = F.when(F.col("f") == 5, F.lit('"clarity": true')).otherwise(text)
         parts.append(text)
     obj = F.concat(F.lit("{"), F.concat_ws(", ", *parts, F.lit('"reasoning": "ok"'), F.lit('"notes": ""')), F.lit("}"))
-    raw = (
-        F.when(F.col("f") == 0, F.lit("I cannot score this."))
-        .when(F.col("f") == 1, F.concat(F.lit("Scores: "), F.expr("substr(obj, 1, length(obj) - 2)"), F.lit("}")))
-        .when(F.col("f") == 6, F.lit("{}"))
-        .when(F.col("f") == 7, F.concat(F.col("obj"), F.lit(" or "), F.col("obj")))
-        .otherwise(F.concat(F.lit("Here is my evaluation: "), F.col("obj"), F.lit(" Thanks.")))
-    )
-    return pairs.withColumn("obj", obj).select("prompt_id", "target_model", "evaluator", "f", "b", raw.alias("raw_text"))
+    f = F.col("f")
+
+    def wrap(o):
+        # ``o`` is bound once (lambda variable), so the object text is built once per row.
+        return (
+            F.when(f == 0, F.lit("I cannot score this."))
+            .when(f == 1, F.concat(F.lit("Scores: "), o.substr(F.lit(1), F.length(o) - 2), F.lit("}")))
+            .when(f == 6, F.lit("{}"))
+            .when(f == 7, F.concat(o, F.lit(" or "), o))
+            .otherwise(F.concat(F.lit("Here is my evaluation: "), o, F.lit(" Thanks.")))
+        )
+
+    raw = F.element_at(F.transform(F.array(obj), wrap), 1)
+    return pairs.select("prompt_id", "target_model", "evaluator", "f", "b", raw.alias("raw_text"))
 
 
 def eval_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,71 @@ ORACLE["flagship_model_stats"] = with_fixtures(["judgments_raw", "responses"], _
     source="(select j.* from parsed j join responses r on r.prompt_id = j.prompt_id and r.model = j.target_model "
            "where j.status = 'ok') s",
 ), [("parsed", _PARSED)])
+
+
+# --------------------------------------------------------------------------- charts
+
+ORACLE["cross_pivot"] = with_fixtures(["eval_facts"], """
+select target_model,
+  round_even(avg(case when evaluator = 'model_a' then helpfulness end), 3) as model_a,
+  round_even(avg(case when evaluator = 'model_b' then helpfulness end), 3) as model_b,
+  round_even(avg(case when evaluator = 'model_c' then helpfulness end), 3) as model_c
+from eval_facts where target_model is not null and evaluator is not null
+group by target_model
+having count(case when evaluator in ('model_a', 'model_b', 'model_c') and helpfulness is not null then 1 end) > 0
+""")
+
+_NUM = ["prompt_id", "line_no"] + _M
+
+
+def _corr_sql() -> str:
+    parts = []
+    for a in _NUM:
+        for b in _NUM:
+            if a == b:
+                r = f"case when stddev_pop({a}) > 0 then 1.0 end"
+            else:
+                r = f"round_even(case when isnan(corr({a}, {b})) then null else corr({a}, {b}) end, 6)"
+            parts.append(f"select '{a}' as a, '{b}' as b, cast({r} as double) as r from eval_facts")
+    return "\nunion all\n".join(parts)
+
+
+ORACLE["metric_corr"] = with_fixtures(["eval_facts"], _corr_sql())
+
+
+def _box_sql(key: str) -> str:
+    return f"""
+select {key}, metric, n, round_even(q1, 6) as q1, round_even(median, 6) as median, round_even(q3, 6) as q3,
+  round_even(q3 - q1, 6) as iqr, round_even(whisker_lo, 6) as whisker_lo, round_even(whisker_hi, 6) as whisker_hi,
+  n_outliers
+from (
+  select l.{key}, l.metric, q.n, q.q1, q.median, q.q3,
+    min(case when value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then value end) as whisker_lo,
+    max(case when value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then value end) as whisker_hi,
+    cast(sum(case when value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then 0 else 1 end) as bigint) as n_outliers
+  from long l join (
+    select {key}, metric, count(*) as n,
+      quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.75) as q3
+    from long group by {key}, metric) q on q.{key} = l.{key} and q.metric = l.metric
+  group by l.{key}, l.metric, q.n, q.q1, q.median, q.q3) s
+"""
+
+
+def _box_long(key: str) -> str:
+    return "\nunion all\n".join(
+        f"select {key}, '{m}' as metric, cast({m} as double) as value from eval_facts where {key} is not null and {m} is not null"
+        for m in _C4
+    )
+
+
+ORACLE["box_by_model"] = with_fixtures(["eval_facts"], _box_sql("target_model"), [("long", _box_long("target_model"))])
+ORACLE["box_by_evaluator"] = with_fixtures(["eval_facts"], _box_sql("evaluator"), [("long", _box_long("evaluator"))])
+
+_MEANS = f"select target_model, {', '.join(f'round_even(avg({m}), 6) as {m}' for m in _M)} from eval_facts where target_model is not null group by target_model"
+ORACLE["heatmap"] = with_fixtures(["eval_facts"], _MEANS)
+ORACLE["radar"] = with_fixtures(["eval_facts"], "\nunion all\n".join(
+    f"select target_model, {i} as idx, '{m}' as theta, {m} as r from means" for i, m in enumerate(_M)
+), [("means", _MEANS)])
+ORACLE["bar_long"] = with_fixtures(["eval_facts"], "\nunion all\n".join(
+    f"select target_model, '{m}' as variable, {m} as value from means" for m in _M
+), [("means", _MEANS)])
