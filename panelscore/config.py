@@ -83,3 +83,13 @@ ATS_BAND_RED = "\U0001F534"
 # Run identifiers and report timestamps.
 RUN_TS_FORMAT = "yyyyMMdd_HHmmss"
 REPORT_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+# ATS feedback card (fixed text); {bullets} parts are filled per row.
+ATS_FEEDBACK_TEMPLATE = (
+    "\n### ATS Match Score: ~{score}% {color}\n\n"
+    "#### **Strengths / High Matches:**\n{strengths}\n\n"
+    "#### **Partial or Missing:**\n{gaps}\n\n"
+    "#### **How to Improve ATS Score:**\n{suggestions}\n"
+)
+SEARCH_HIT_TEMPLATE = "\n **{title}**\n{snippet}\n {link}"
+SEARCH_HITS = 3

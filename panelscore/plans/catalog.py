@@ -239,3 +239,74 @@ def q_radar(spark, sf):
 def q_bar_long(spark, sf):
     """RSH-1: grouped-bar long table."""
     return charts.bar_long(_facts(spark, sf))
+
+
+# --------------------------------------------------------------------------- responses
+
+from ..operators import responses as resp_ops  # noqa: E402
+
+
+@register("side_by_side")
+def q_side_by_side(spark, sf):
+    """RSH-4 + STR-11: response cards side by side, one column per model."""
+    return resp_ops.side_by_side(fx.responses(spark, sf), DEFAULT_PANEL)
+
+
+@register("response_previews")
+def q_response_previews(spark, sf):
+    """STR-10: previews of usable responses."""
+    return resp_ops.response_previews(fx.responses(spark, sf))
+
+
+@register("response_status")
+def q_response_status(spark, sf):
+    """FLT-4, FLT-5, AGG-17: response outcome counts per model."""
+    return resp_ops.response_status(fx.responses(spark, sf))
+
+
+@register("response_lengths")
+def q_response_lengths(spark, sf):
+    """STR-17: response length analysis per model."""
+    return resp_ops.response_lengths(fx.responses(spark, sf))
+
+
+# --------------------------------------------------------------------------- ATS output and search
+
+from ..operators import ats as ats_ops  # noqa: E402
+from ..operators import search as search_ops  # noqa: E402
+
+
+def _ats_parsed(spark, sf):
+    return ats_ops.parse_ats(fx.ats_raw(spark, sf))
+
+
+@register("ats_parse")
+def q_ats_parse(spark, sf):
+    """JSN-5 + STR-12: strict ATS parse and table rows."""
+    rows = ats_ops.summary_rows(_ats_parsed(spark, sf))
+    return rows.select(
+        "prompt_id", "model", "status", "ats_score",
+        F.array_join("strengths", ", ").alias("strengths"),
+        F.array_join("gaps", ", ").alias("gaps"),
+        F.array_join("suggestions", ", ").alias("suggestions"),
+        "row_md",
+    )
+
+
+@register("ats_feedback")
+def q_ats_feedback(spark, sf):
+    """STR-13: banded feedback cards."""
+    return ats_ops.feedback(_ats_parsed(spark, sf))
+
+
+@register("ats_batch")
+def q_ats_batch(spark, sf):
+    """JN-6 + AGG-19: ATS summary table joined back onto the batch prompts."""
+    rows = ats_ops.summary_rows(_ats_parsed(spark, sf))
+    return ats_ops.batch_summary(fx.prompts(spark, sf).select("prompt_id", "prompt"), rows, DEFAULT_PANEL)
+
+
+@register("search_context")
+def q_search_context(spark, sf):
+    """TOP-4, STR-6/7/8/18, JN-5: search text per prompt."""
+    return search_ops.search_context(fx.realtime_raw(spark, sf), fx.search_hits(spark, sf))

@@ -279,3 +279,117 @@ ORACLE["radar"] = with_fixtures(["eval_facts"], "\nunion all\n".join(
 ORACLE["bar_long"] = with_fixtures(["eval_facts"], "\nunion all\n".join(
     f"select target_model, '{m}' as variable, {m} as value from means" for m in _M
 ), [("means", _MEANS)])
+
+
+# --------------------------------------------------------------------------- responses
+
+_CARD = "concat('### Response\n\n', response, '\n\n---\n\n**Explainability:**\n', reasoning)"
+
+ORACLE["side_by_side"] = with_fixtures(["responses"], f"""
+select prompt_id,
+  max(case when model = 'model_a' then {_CARD} end) as model_a,
+  max(case when model = 'model_b' then {_CARD} end) as model_b,
+  max(case when model = 'model_c' then {_CARD} end) as model_c
+from responses group by prompt_id
+""")
+
+ORACLE["response_previews"] = with_fixtures(["responses"], """
+select prompt_id, model, concat(substr(response, 1, 100), '...') as preview
+from responses where coalesce(response, '') <> ''
+""")
+
+ORACLE["response_status"] = with_fixtures(["responses"], """
+select model, count(*) as n_responses,
+  count(case when coalesce(response, '') = '' then 1 end) as n_blank,
+  count(case when regexp_matches(response, '^\\[[^\\]]* Error\\] ') then 1 end) as n_error,
+  count(case when coalesce(response, '') <> '' then 1 end) as n_kept,
+  count(distinct case when coalesce(response, '') <> '' then prompt_id end) as n_prompts
+from responses group by model
+""")
+
+ORACLE["response_lengths"] = with_fixtures(["responses"], """
+select model, count(*) as n, round_even(avg(length(response)), 3) as avg_chars,
+  min(length(response)) as min_chars, max(length(response)) as max_chars,
+  round_even(quantile_cont(cast(length(response) as double), 0.5), 3) as median_chars,
+  round_even(avg(len(regexp_extract_all(response, '\\S+'))), 3) as avg_words
+from responses where coalesce(response, '') <> '' group by model
+""")
+
+
+# --------------------------------------------------------------------------- ATS output and search
+
+import string as _string  # noqa: E402
+
+from ..config import (  # noqa: E402
+    ATS_FEEDBACK_TEMPLATE,
+    ATS_TABLE_HEADER,
+    NO_SEARCH_RESULTS,
+    SEARCH_HIT_TEMPLATE,
+)
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _sql_fill(template: str, **exprs: str) -> str:
+    parts = []
+    for literal, name, _s, _c in _string.Formatter().parse(template):
+        if literal:
+            parts.append(_lit(literal))
+        if name is not None:
+            parts.append(exprs[name])
+    return "concat(" + ", ".join(parts) + ")"
+
+
+_ATS_CASES = """
+select prompt_id, model, f, score,
+  case when f in (0, 1) then 'fallback' when f in (2, 3) then 'na' else 'ok' end as status
+from ats_raw
+"""
+
+ORACLE["ats_parse"] = with_fixtures(["ats_raw"], """
+select prompt_id, model, status,
+  case when status = 'fallback' then 50.0 when status = 'ok' then cast(score as double) end as ats_score,
+  case when status = 'fallback' then '' when status = 'ok' then (case when f = 4 then '' else 'sql, spark' end) end as strengths,
+  case when status = 'fallback' then '' when status = 'ok' then 'scala' end as gaps,
+  case when status = 'fallback' then 'Check formatting.' when status = 'ok' then 'add dates, quantify' end as suggestions,
+  case when status = 'na' then concat('| ', model, ' | N/A | N/A | N/A |')
+       when status = 'fallback' then concat('| ', model, ' | 50 |  | Check formatting. |')
+       else concat('| ', model, ' | ', cast(score as varchar), ' | ', case when f = 4 then '' else 'sql, spark' end,
+                   ' | add dates, quantify |') end as row_md
+from c
+""", [("c", _ATS_CASES)])
+
+_FB_SCORE = "case when status = 'fallback' then 50 else score end"
+ORACLE["ats_feedback"] = with_fixtures(["ats_raw"], f"""
+select prompt_id, model,
+  case when {_FB_SCORE} >= 75 then 'green' when {_FB_SCORE} >= 50 then 'yellow' else 'red' end as band,
+  {_sql_fill(ATS_FEEDBACK_TEMPLATE,
+             score=f"cast({_FB_SCORE} as varchar)",
+             color=f"case when {_FB_SCORE} >= 75 then '\U0001F7E2' when {_FB_SCORE} >= 50 then '\U0001F7E1' else '\U0001F534' end",
+             strengths="case when status = 'fallback' or f = 4 then '* None found.' else concat('* sql', chr(10), '* spark') end",
+             gaps="case when status = 'fallback' then '* None mentioned.' else '* scala' end",
+             suggestions="case when status = 'fallback' then '1. Check formatting.' else concat('1. add dates', chr(10), '1. quantify') end")} as feedback_md
+from c where status <> 'na'
+""", [("c", _ATS_CASES)])
+
+ORACLE["ats_batch"] = with_fixtures(["ats_raw"], f"""
+select p.prompt_id, p.prompt, concat({_lit(ATS_TABLE_HEADER)}, t.rows_md) as ats_summary
+from prompts p left join (
+  select prompt_id, string_agg(row_md, chr(10) order by model) as rows_md from r group by prompt_id) t
+  on t.prompt_id = p.prompt_id
+""", [("r", "select prompt_id, model, case when f in (2, 3) then concat('| ', model, ' | N/A | N/A | N/A |') "
+       "when f in (0, 1) then concat('| ', model, ' | 50 |  | Check formatting. |') "
+       "else concat('| ', model, ' | ', cast(score as varchar), ' | ', case when f = 4 then '' else 'sql, spark' end, "
+       "' | add dates, quantify |') end as row_md from ats_raw")])
+
+ORACLE["search_context"] = with_fixtures(["search_hits", "realtime_raw"], f"""
+select g.prompt_id, g.realtime,
+  case when g.realtime then coalesce(t.snippets, {_lit(NO_SEARCH_RESULTS)}) end as search_results,
+  coalesce(nullif(case when g.realtime then coalesce(t.snippets, {_lit(NO_SEARCH_RESULTS)}) end, ''), 'N/A') as displayed
+from (select prompt_id, contains(lower(trim(raw_text)), 'true') as realtime from realtime_raw) g
+left join (
+  select prompt_id, string_agg({_sql_fill(SEARCH_HIT_TEMPLATE, title='title', snippet='snippet', link='link')}, chr(10) || chr(10) order by rk) as snippets
+  from search_hits where rk <= 3 group by prompt_id) t on t.prompt_id = g.prompt_id
+""")
