@@ -310,3 +310,27 @@ def q_ats_batch(spark, sf):
 def q_search_context(spark, sf):
     """TOP-4, STR-6/7/8/18, JN-5: search text per prompt."""
     return search_ops.search_context(fx.realtime_raw(spark, sf), fx.search_hits(spark, sf))
+
+
+# --------------------------------------------------------------------------- text matching and retrieval
+
+from ..operators import textmatch  # noqa: E402
+
+
+@register("keyword_match")
+def q_keyword_match(spark, sf):
+    """ATS-1 + JN-7: keyword coverage of each job by its applicant's résumé."""
+    return textmatch.keyword_match(fx.applications(spark, sf), fx.resumes(spark, sf), fx.jobs(spark, sf))
+
+
+@register("semantic_match")
+def q_semantic_match(spark, sf):
+    """ATS-2 + JN-7: tf-idf cosine of each job and its applicant's résumé."""
+    return textmatch.semantic_match(fx.applications(spark, sf), fx.resumes(spark, sf), fx.jobs(spark, sf))
+
+
+@register("retrieve_top3")
+def q_retrieve_top3(spark, sf):
+    """RET-1: top-3 context documents per prompt (exact idf overlap score)."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    return textmatch.retrieve(fx.prompts(spark, sf).select("prompt_id", "prompt"), docs)

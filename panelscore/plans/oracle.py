@@ -393,3 +393,72 @@ left join (
   select prompt_id, string_agg({_sql_fill(SEARCH_HIT_TEMPLATE, title='title', snippet='snippet', link='link')}, chr(10) || chr(10) order by rk) as snippets
   from search_hits where rk <= 3 group by prompt_id) t on t.prompt_id = g.prompt_id
 """)
+
+
+# --------------------------------------------------------------------------- text matching and retrieval
+
+
+def _tok(id_col: str, text_col: str, source: str, distinct: bool) -> str:
+    inner = f"select {id_col}, unnest(string_split_regex(lower({text_col}), '[^a-z0-9]+')) as token from {source}"
+    if distinct:
+        return f"select distinct {id_col}, token from ({inner}) x where length(token) >= 3"
+    return f"select {id_col}, token, count(*) as tf from ({inner}) x where length(token) >= 3 group by {id_col}, token"
+
+
+def _terms(name: str, matched: bool) -> str:
+    cond = "matched" if matched else "not matched"
+    return f"""select job_id, resume_id, string_agg(token, ', ' order by rn) as {name} from (
+  select job_id, resume_id, token, row_number() over (partition by job_id, resume_id order by tf desc, token) as rn
+  from m where {cond}) x where rn <= 5 group by job_id, resume_id"""
+
+
+ORACLE["keyword_match"] = with_fixtures(["applications"], """
+select a.job_id, a.resume_id, coalesce(s.job_tokens, 0) as job_tokens, coalesce(s.matched_tokens, 0) as matched_tokens,
+  round_even(cast(100 as double) * s.matched_tokens / s.job_tokens, 1) as score,
+  coalesce(st.strengths, '') as strengths, coalesce(g.gaps, '') as gaps
+from applications a
+left join s on s.job_id = a.job_id and s.resume_id = a.resume_id
+left join st on st.job_id = a.job_id and st.resume_id = a.resume_id
+left join g on g.job_id = a.job_id and g.resume_id = a.resume_id
+""", [
+    ("jt", _tok("job_id", "jd", "jobs", False)),
+    ("rt", _tok("resume_id", "resume", "resumes", True)),
+    ("m", """select a.job_id, a.resume_id, jt.token, jt.tf, rt.token is not null as matched
+from applications a join jt on jt.job_id = a.job_id
+left join rt on rt.resume_id = a.resume_id and rt.token = jt.token"""),
+    ("s", "select job_id, resume_id, count(*) as job_tokens, count(case when matched then 1 end) as matched_tokens from m group by job_id, resume_id"),
+    ("st", _terms("strengths", True)),
+    ("g", _terms("gaps", False)),
+])
+
+ORACLE["semantic_match"] = with_fixtures(["applications"], """
+select a.job_id, a.resume_id,
+  round_even(case when nj.norm * nr.norm > 0 then coalesce(d.dot, 0) / (nj.norm * nr.norm) end, 6) as cosine
+from applications a
+left join dots d on d.job_id = a.job_id and d.resume_id = a.resume_id
+left join norms nj on nj.doc = 'j' || a.job_id
+left join norms nr on nr.doc = 'r' || a.resume_id
+""", [
+    ("docs", "select 'r' || resume_id as doc, resume as text from resumes union all select 'j' || job_id as doc, jd as text from jobs"),
+    ("tf", _tok("doc", "text", "docs", False)),
+    ("dfs", "select token, count(*) as df from tf group by token"),
+    ("n", "select cast(count(*) as double) as n from docs"),
+    ("w", "select tf.doc, tf.token, tf.tf * ln(n.n / dfs.df) as w from tf join dfs on dfs.token = tf.token cross join n"),
+    ("norms", "select doc, sqrt(sum(w * w)) as norm from w group by doc"),
+    ("dots", """select a.job_id, a.resume_id, sum(wj.w * wr.w) as dot from applications a
+join w wj on wj.doc = 'j' || a.job_id join w wr on wr.doc = 'r' || a.resume_id and wr.token = wj.token
+group by a.job_id, a.resume_id"""),
+])
+
+ORACLE["retrieve_top3"] = with_fixtures(["prompts"], """
+select prompt_id, doc_id, cast(rn as integer) as rank, score from (
+  select *, row_number() over (partition by prompt_id order by score desc, doc_id) as rn from sc) x
+where rn <= 3
+""", [
+    ("dt", _tok("doc_id", "text", "documents", True)),
+    ("n", "select cast(count(*) as double) as n from documents"),
+    ("st", "select token, ln(max(n.n) / count(*)) as idf from dt cross join n group by token"),
+    ("qt", _tok("prompt_id", "prompt", "prompts", True)),
+    ("sc", """select qt.prompt_id, dt.doc_id, round_even(sum(st.idf), 6) as score
+from qt join dt on dt.token = qt.token join st on st.token = qt.token group by qt.prompt_id, dt.doc_id"""),
+])
