@@ -334,3 +334,52 @@ def q_retrieve_top3(spark, sf):
     """RET-1: top-3 context documents per prompt (exact idf overlap score)."""
     docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
     return textmatch.retrieve(fx.prompts(spark, sf).select("prompt_id", "prompt"), docs)
+
+
+# --------------------------------------------------------------------------- prompt construction
+
+from ..functions import text as txt  # noqa: E402
+
+
+@register("prompt_build")
+def q_prompt_build(spark, sf):
+    """STR-1, STR-5..8: answer prompt per chat prompt, with the search block when searched."""
+    ctx = search_ops.search_context(fx.realtime_raw(spark, sf), fx.search_hits(spark, sf))
+    p = fx.prompts(spark, sf).select("prompt_id", "prompt").join(ctx.select("prompt_id", "search_results"), "prompt_id", "left")
+    none = F.lit(None).cast("string")
+    return p.select(
+        "prompt_id",
+        txt.is_ats(none, none).alias("is_ats"),
+        txt.build_prompt(F.col("prompt"), none, none, F.col("search_results")).alias("built_prompt"),
+    )
+
+
+@register("ats_prompt_build")
+def q_ats_prompt_build(spark, sf):
+    """STR-1 (ATS branch) + STR-5: task prompt for each job and its applicant's résumé."""
+    a = fx.applications(spark, sf)
+    j = fx.jobs(spark, sf).select("job_id", "jd")
+    r = fx.resumes(spark, sf).select("resume_id", "resume")
+    x = a.join(j, "job_id").join(r, "resume_id")
+    return x.select(
+        "job_id", "resume_id",
+        txt.is_ats(F.col("resume"), F.col("jd")).alias("is_ats"),
+        txt.build_prompt(F.col("jd"), F.col("resume"), F.col("jd"), F.lit(None).cast("string")).alias("built_prompt"),
+    )
+
+
+@register("judge_prompts")
+def q_judge_prompts(spark, sf):
+    """STR-2 + JN-1: the judge request for every response x other panel member."""
+    pairs = pairing.judge_pairs(fx.responses(spark, sf), DEFAULT_PANEL)
+    return pairs.select(
+        "prompt_id", "target_model", "evaluator",
+        txt.judge_prompt(F.col("prompt"), F.col("target_model"), F.col("response")).alias("judge_prompt"),
+    )
+
+
+@register("reasoning_prompts")
+def q_reasoning_prompts(spark, sf):
+    """STR-4: the explain-your-answer follow-up for every response."""
+    r = fx.responses(spark, sf)
+    return r.select("prompt_id", "model", txt.reasoning_prompt(F.col("response"), F.col("prompt")).alias("reasoning_prompt"))

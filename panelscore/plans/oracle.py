@@ -384,7 +384,7 @@ from prompts p left join (
        "else concat('| ', model, ' | ', cast(score as varchar), ' | ', case when f = 4 then '' else 'sql, spark' end, "
        "' | add dates, quantify |') end as row_md from ats_raw")])
 
-ORACLE["search_context"] = with_fixtures(["search_hits", "realtime_raw"], f"""
+_SEARCH_CTX = f"""
 select g.prompt_id, g.realtime,
   case when g.realtime then coalesce(t.snippets, {_lit(NO_SEARCH_RESULTS)}) end as search_results,
   coalesce(nullif(case when g.realtime then coalesce(t.snippets, {_lit(NO_SEARCH_RESULTS)}) end, ''), 'N/A') as displayed
@@ -392,7 +392,10 @@ from (select prompt_id, contains(lower(trim(raw_text)), 'true') as realtime from
 left join (
   select prompt_id, string_agg({_sql_fill(SEARCH_HIT_TEMPLATE, title='title', snippet='snippet', link='link')}, chr(10) || chr(10) order by rk) as snippets
   from search_hits where rk <= 3 group by prompt_id) t on t.prompt_id = g.prompt_id
-""")
+"""
+
+ORACLE["search_context"] = with_fixtures(["search_hits", "realtime_raw"], _SEARCH_CTX)
+
 
 
 # --------------------------------------------------------------------------- text matching and retrieval
@@ -462,3 +465,34 @@ where rn <= 3
     ("sc", """select qt.prompt_id, dt.doc_id, round_even(sum(st.idf), 6) as score
 from qt join dt on dt.token = qt.token join st on st.token = qt.token group by qt.prompt_id, dt.doc_id"""),
 ])
+
+
+# --------------------------------------------------------------------------- prompt construction
+
+from ..config import ATS_TASK_TEMPLATE, JUDGE_TEMPLATE, REASONING_TEMPLATE, SEARCH_MARKER  # noqa: E402
+
+ORACLE["prompt_build"] = with_fixtures(["search_hits", "realtime_raw"], f"""
+select p.prompt_id, false as is_ats,
+  case when coalesce(c.search_results, '') <> '' then concat(p.prompt, {_lit(SEARCH_MARKER)}, c.search_results)
+       else p.prompt end as built_prompt
+from prompts p left join ctx c on c.prompt_id = p.prompt_id
+""", [("ctx", _SEARCH_CTX)])
+
+ORACLE["ats_prompt_build"] = with_fixtures(["applications"], f"""
+select a.job_id, a.resume_id, coalesce(r.resume, '') <> '' and coalesce(j.jd, '') <> '' as is_ats,
+  case when coalesce(r.resume, '') <> '' and coalesce(j.jd, '') <> ''
+       then {_sql_fill(ATS_TASK_TEMPLATE, resume="r.resume", jd="j.jd")} else j.jd end as built_prompt
+from applications a join jobs j on j.job_id = a.job_id join resumes r on r.resume_id = a.resume_id
+""")
+
+ORACLE["judge_prompts"] = with_fixtures(["responses"], f"""
+select r.prompt_id, r.model as target_model, e.model as evaluator,
+  {_sql_fill(JUDGE_TEMPLATE, prompt="coalesce(r.prompt, 'None')", target="r.model", response="coalesce(r.response, 'None')")} as judge_prompt
+from responses r join models e on e.model <> r.model
+""")
+
+ORACLE["reasoning_prompts"] = with_fixtures(["responses"], f"""
+select prompt_id, model,
+  {_sql_fill(REASONING_TEMPLATE, response="coalesce(response, 'None')", prompt="coalesce(prompt, 'None')")} as reasoning_prompt
+from responses
+""")
