@@ -383,3 +383,38 @@ def q_reasoning_prompts(spark, sf):
     """STR-4: the explain-your-answer follow-up for every response."""
     r = fx.responses(spark, sf)
     return r.select("prompt_id", "model", txt.reasoning_prompt(F.col("response"), F.col("prompt")).alias("reasoning_prompt"))
+
+
+# --------------------------------------------------------------------------- model calls (offline client)
+
+from ..operators import inference  # noqa: E402
+
+
+def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, panel="all") -> DataFrame:
+    """E1/E2 end to end: fan-out -> answers -> judge requests -> judgments -> evaluation rows.
+
+    Both paid steps are materialised before reuse, so every (prompt, model, role)
+    call happens once even when later stages are retried or re-planned.
+    """
+    targets = pairing.fan_out(prompts, models, selected)
+    answers = inference.complete(
+        targets.withColumn("request", F.col("prompt")), client_factory, "answer", out_col="response"
+    ).drop("request", "error")
+    answers = inference.materialize(answers.withColumn("reasoning", F.concat(F.lit("because "), F.col("model"))))
+    pairs = pairing.judge_pairs(answers, models, selected, panel)
+    requests = pairs.select(
+        "prompt_id", "target_model", F.col("evaluator").alias("model"),
+        txt.judge_prompt(F.col("prompt"), F.col("target_model"), F.col("response")).alias("request"),
+    )
+    judged = inference.materialize(inference.complete(requests, client_factory, "judge").drop("request", "error"))
+    parsed = scoring.parsed_judgments(judged.withColumnRenamed("model", "evaluator"))
+    return scoring.evaluation_rows(parsed, answers)
+
+
+@register("infer_pipeline")
+def q_infer_pipeline(spark, sf):
+    """INF-1, INF-3, STR-2, JN-1/2: full evaluation with the deterministic offline client."""
+    prompts = fx.prompts(spark, sf).select("prompt_id", "prompt")
+    rows = evaluate_panel(prompts, DEFAULT_PANEL, inference.echo_client_factory())
+    return rows.select("prompt_id", "target_model", "evaluator", "response", *METRICS,
+                       *[f"avg_{m}" for m in METRICS])

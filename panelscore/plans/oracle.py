@@ -496,3 +496,18 @@ select prompt_id, model,
   {_sql_fill(REASONING_TEMPLATE, response="coalesce(response, 'None')", prompt="coalesce(prompt, 'None')")} as reasoning_prompt
 from responses
 """)
+
+
+# --------------------------------------------------------------------------- model calls (offline client)
+
+_JUDGE_REQ = _sql_fill(JUDGE_TEMPLATE, prompt="prompt", target="target_model", response="response")
+
+ORACLE["infer_pipeline"] = with_fixtures(["prompts", "models"], f"""
+select prompt_id, target_model, evaluator, response,
+  {", ".join(f"((l + {13 * k}) % 101) / cast(100 as double) as {m}" for k, m in enumerate(_M))},
+  {", ".join(f"round_even(avg(((l + {13 * k}) % 101) / cast(100 as double)) over (partition by prompt_id, target_model), 3) as avg_{m}" for k, m in enumerate(_M))}
+from (select *, length({_JUDGE_REQ}) as l from (
+  select p.prompt_id, p.prompt, t.model as target_model, e.model as evaluator,
+    concat(upper(t.model), ': ', p.prompt) as response
+  from prompts p cross join models t join models e on e.i <> t.i) x) y
+""")
