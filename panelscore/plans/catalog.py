@@ -418,3 +418,41 @@ def q_infer_pipeline(spark, sf):
     rows = evaluate_panel(prompts, DEFAULT_PANEL, inference.echo_client_factory())
     return rows.select("prompt_id", "target_model", "evaluator", "response", *METRICS,
                        *[f"avg_{m}" for m in METRICS])
+
+
+# --------------------------------------------------------------------------- files (write, read back)
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as file_src  # noqa: E402
+from ..sources import sinks  # noqa: E402
+
+RUN_A = "20240101_000000"
+RUN_B = "20240102_000000"
+_RUN_COLS = ["run_id", "layout", "eval_ts", "prompt", "target_model", "evaluator", "response", "explainability",
+             *METRICS, "reasoning", "notes", *[f"avg_{m}" for m in METRICS]]
+
+
+def _write_two_runs(spark, sf):
+    evals = scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
+    out = scratch_path(spark, "results")
+    sinks.write_comprehensive(evals, out, RUN_A)
+    sinks.write_batch_evaluation(evals, out, RUN_B)
+    return out
+
+
+@register("runs_union")
+def q_runs_union(spark, sf):
+    """SNK-1, SNK-2, SRC-1, SET-2, DTE-1: both CSV layouts written, read back as one run table."""
+    out = _write_two_runs(spark, sf)
+    return file_src.read_runs(spark, out).select(*_RUN_COLS)
+
+
+@register("latest_run")
+def q_latest_run(spark, sf):
+    """SRC-2 + TOP-3: rows of the newest results/*.csv file (the second run written)."""
+    evals = scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
+    out = scratch_path(spark, "results")
+    sinks.write_comprehensive(evals, out, RUN_A)
+    sinks.write_comprehensive(evals.withColumn("notes", F.lit("rerun")), out, RUN_B)
+    df = file_src.latest_eval_csv(spark, out)
+    return df.select("timestamp", "prompt", "target_model", "evaluator", *METRICS, "notes")

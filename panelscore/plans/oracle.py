@@ -511,3 +511,31 @@ from (select *, length({_JUDGE_REQ}) as l from (
     concat(upper(t.model), ': ', p.prompt) as response
   from prompts p cross join models t join models e on e.i <> t.i) x) y
 """)
+
+
+# --------------------------------------------------------------------------- files (write, read back)
+
+_EVALS = f"""
+select j.prompt_id, r.prompt, j.target_model, j.evaluator, r.response, r.reasoning as explainability,
+  {", ".join("j." + m for m in _M)}, j.reasoning, j.notes, {", ".join(f"a.avg_{m}" for m in _M)}
+from parsed j
+join responses r on r.prompt_id = j.prompt_id and r.model = j.target_model
+join avgs a on a.prompt_id = j.prompt_id and a.target_model = j.target_model
+where j.status = 'ok'
+"""
+
+ORACLE["runs_union"] = with_fixtures(["judgments_raw", "responses"], f"""
+select '20240101_000000' as run_id, 'comprehensive' as layout, timestamp '2024-01-01 00:00:00' as eval_ts,
+  prompt, target_model, evaluator, response, cast(null as varchar) as explainability,
+  {", ".join(_M)}, reasoning, notes, {", ".join(f"avg_{m}" for m in _M)}
+from e
+union all
+select '20240102_000000' as run_id, 'batch' as layout, timestamp '2024-01-02 00:00:00' as eval_ts,
+  prompt, target_model, evaluator, response, explainability,
+  {", ".join(_M)}, cast(null as varchar) as reasoning, cast(null as varchar) as notes, {", ".join(f"avg_{m}" for m in _M)}
+from e
+""", [("parsed", _PARSED), ("avgs", _target_avgs()), ("e", _EVALS)])
+
+ORACLE["latest_run"] = with_fixtures(["judgments_raw", "responses"], f"""
+select '20240102_000000' as timestamp, prompt, target_model, evaluator, {", ".join(_M)}, 'rerun' as notes from e
+""", [("parsed", _PARSED), ("avgs", _target_avgs()), ("e", _EVALS)])
