@@ -539,3 +539,24 @@ from e
 ORACLE["latest_run"] = with_fixtures(["judgments_raw", "responses"], f"""
 select '20240102_000000' as timestamp, prompt, target_model, evaluator, {", ".join(_M)}, 'rerun' as notes from e
 """, [("parsed", _PARSED), ("avgs", _target_avgs()), ("e", _EVALS)])
+
+
+# --------------------------------------------------------------------------- streaming (batch result as oracle)
+
+ORACLE["stream_running"] = with_fixtures(["eval_facts"], """
+select target_model, count(*) as n,
+  round_even(avg(helpfulness), 3) as helpfulness_mean, round_even(avg(correctness), 3) as correctness_mean,
+  round_even(avg(coherence), 3) as coherence_mean, round_even(avg(clarity), 3) as clarity_mean
+from eval_facts where target_model is not null group by target_model
+""")
+
+ORACLE["stream_hourly"] = with_fixtures(["eval_facts"], """
+select date_trunc('hour', eval_ts) as window_start, target_model, evaluator, count(*) as n,
+  round_even(avg(helpfulness), 3) as helpfulness_mean
+from eval_facts where target_model is not null group by all
+""")
+
+ORACLE["stream_dedup"] = with_fixtures(["judgments_raw"], f"""
+select '20240101_000000' as run_id, prompt_id, target_model, evaluator, {", ".join(_M)}
+from parsed where status = 'ok'
+""", [("parsed", _PARSED)])
