@@ -560,3 +560,46 @@ ORACLE["stream_dedup"] = with_fixtures(["judgments_raw"], f"""
 select '20240101_000000' as run_id, prompt_id, target_model, evaluator, {", ".join(_M)}
 from parsed where status = 'ok'
 """, [("parsed", _PARSED)])
+
+
+# --------------------------------------------------------------------------- report (long form)
+
+_FACT_COLS = ["prompt_id", "line_no", "target_model", "evaluator", *_M, "eval_ts"]
+
+
+def _report_sql() -> str:
+    parts = [
+        "select 'overview' as section, 'dataset' as item, 'total_records' as metric, cast(count(*) as double) as value, "
+        "cast(null as varchar) as label from eval_facts",
+        f"select 'overview', 'dataset', 'n_columns', {float(len(_FACT_COLS))}, {_lit(', '.join(_FACT_COLS))}",
+    ]
+    for section, key, count_of in (("model_performance", "target_model", "helpfulness"), ("evaluator_analysis", "evaluator", None)):
+        for m in _C4:
+            stats = [("mean", f"round_even(avg({m}), 3)"), ("std", f"round_even(stddev_samp({m}), 3)")]
+            if m == count_of:
+                stats.append(("count", f"cast(count({m}) as double)"))
+            for name, expr in stats:
+                parts.append(
+                    f"select '{section}', {key}, '{m}_{name}', {expr}, cast(null as varchar) "
+                    f"from eval_facts where {key} is not null group by {key}"
+                )
+    parts.append("select 'model_performance', 'best_model', 'overall', score, best_model from best")
+    parts.append("select 'evaluator_analysis', 'most_lenient', 'overall', lenient_score, most_lenient from ls")
+    parts.append("select 'evaluator_analysis', 'most_strict', 'overall', strict_score, most_strict from ls")
+    parts.append("select 'insights', 'strength', metric, score, target_model from strong")
+    parts.append("select 'insights', 'weakness', metric, score, target_model from weak")
+    return "\nunion all\n".join(parts)
+
+
+def _body(sql: str) -> str:
+    """The final select of an oracle built by ``with_fixtures`` (drops its CTE prefix)."""
+    return sql[sql.rindex("\n)\n") + 3:]
+
+
+ORACLE["report_long"] = with_fixtures(["eval_facts"], _report_sql(), [
+    ("best", _body(ORACLE["best_model"])),
+    ("o", f"select * from ({_overall('evaluator')}) x where overall is not null"),
+    ("ls", _body(ORACLE["lenient_strict"])),
+    ("strong", _body(ORACLE["strengths"])),
+    ("weak", _body(ORACLE["weaknesses"])),
+])
