@@ -15,3 +15,14 @@ def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
     """
     n = small.limit(max_rows + 1).count()
     return F.broadcast(small) if n <= max_rows else small
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work when the input has fewer partitions than cores.
+
+    Large inputs (many files / row groups) already have more partitions than the
+    cluster has cores and are returned unchanged; a small input stored as one
+    row group would otherwise run its whole map stage in a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

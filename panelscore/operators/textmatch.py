@@ -14,10 +14,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import distinct_tokens, tokens
+from .joins import bounded_broadcast, spread
 
 TOP_TERMS = 5
 
 
+QUERY_BROADCAST_ROWS = 2_000_000  # query-token rows broadcast to the document side (checked)
+
+
+def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` once as parquet under ``spark.checkpoint.dir`` and read it back.
+
+    A written table cuts the lineage (executor loss re-reads the files rather
+    than recomputing) and columnar files are cheaper than an RDD checkpoint.
+    """
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, token, tf) for every token of every document."""
     t = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
@@ -47,8 +64,8 @@ def keyword_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame,
     the job first, ties by token.
     """
     keys = ["job_id", "resume_id"]
-    jt = token_counts(jobs, "job_id", "jd")
-    rt = token_sets(resumes, "resume_id", "resume").withColumn("_hit", F.lit(True))
+    jt = token_counts(spread(jobs), "job_id", "jd")
+    rt = token_sets(spread(resumes), "resume_id", "resume").withColumn("_hit", F.lit(True))
     pairs = applications.select(*keys).join(jt, "job_id")
     m = pairs.join(rt, ["resume_id", "token"], "left").select(
         *keys, "token", "tf", F.coalesce("_hit", F.lit(False)).alias("matched")
@@ -82,7 +99,7 @@ def semantic_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame,
     docs = resumes.select(F.concat(F.lit("r"), F.col("resume_id").cast("string")).alias("doc"), F.col("resume").alias("text")) \
         .unionByName(jobs.select(F.concat(F.lit("j"), F.col("job_id").cast("string")).alias("doc"), F.col("jd").alias("text")))
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    tf = token_counts(docs, "doc", "text")
+    tf = token_counts(spread(docs), "doc", "text")
     df_ = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     w = tf.join(df_, "token").select("doc", "token", (F.col("tf") * F.log(n_docs / F.col("df"))).alias("w"))
     norms = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -124,41 +141,55 @@ def retrieve(
     frequent tokens:
 
     1. *cold* tokens (df <= hot_fraction * N) generate candidate pairs through
-       the token join; each cold token reaches at most hot_fraction * N docs;
-    2. each candidate's *hot*-token part is added exactly;
-    3. a document outside the candidates can score at most U = the query's hot
-       idf mass, so a query whose k-th candidate beats U (or that has no hot
-       token) is final;
+       the token join (each cold token reaches at most hot_fraction * N docs);
+    2. ``t`` = the k-th best cold score of a query and ``u`` = its hot idf mass;
+       a candidate with ``s_cold + u < t`` cannot reach the top k (k candidates
+       already score at least ``t``), so only the rest get their exact hot part;
+    3. a document outside the candidates scores at most ``u``, so a query whose
+       k-th final score beats ``u`` (or that has no hot token) is final;
     4. the remaining queries are scored exactly over all shared tokens.
     """
+    margin = 10.0 ** (-digits)  # larger than any rounding shift of a score
+    # The token tables feed several passes; a reliable checkpoint (shared
+    # checkpoint folder) computes each once and survives executor loss.
+    dt = checkpointed(token_sets(spread(docs), did, dtext), "doc_tokens")
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    dt = token_sets(docs, did, dtext)
     stats = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = stats.select("token", F.log(n_docs / F.col("df")).alias("idf"), (F.col("df") > n_docs * hot_fraction).alias("hot"))
-    qt = token_sets(queries, qid, qtext).join(stats, "token")  # tokens absent from docs cannot match
-    dt_h = dt.join(stats.where("hot").select("token"), "token")
+    # tokens absent from every document cannot match
+    qt = checkpointed(token_sets(queries, qid, qtext).join(stats, "token"), "query_tokens")
+    # the query side is usually far smaller than the corpus: broadcast it when its
+    # size is within bound, so document tokens are never shuffled for the joins
+    qt_b = bounded_broadcast(qt, QUERY_BROADCAST_ROWS)
 
     # 1. cold candidates and their cold score
-    cold = qt.where(~F.col("hot")).join(dt, "token").groupBy(qid, did).agg(F.sum("idf").alias("s_cold"))
-    # 2. exact hot part of every candidate pair
+    cand = dt.join(qt_b.where(~F.col("hot")), "token").groupBy(qid, did).agg(F.sum("idf").alias("s_cold"))
+    # 2. per-query bounds and pruning (top-k per query is planned as a WindowGroupLimit)
+    wc = Window.partitionBy(qid).orderBy(F.desc("s_cold"), F.asc(did))
+    kth = cand.withColumn("_rn", F.row_number().over(wc)).where(F.col("_rn") == k).select(qid, F.col("s_cold").alias("t"))
+    bound = qt.groupBy(qid).agg(F.sum(F.when(F.col("hot"), F.col("idf")).otherwise(0.0)).alias("u"))
+    bounds = bound.join(kth, qid, "left")
+    live = cand.join(bounds, qid).where(F.col("t").isNull() | (F.col("s_cold") + F.col("u") >= F.col("t") - margin))
     qh = qt.where(F.col("hot")).select(qid, "token", "idf")
-    hot_part = cold.select(qid, did).join(qh, qid).join(dt_h, [did, "token"]).groupBy(qid, did).agg(
+    dt_h = dt.join(stats.where("hot").select("token"), "token")
+    hot_part = live.select(qid, did).join(qh, qid).join(dt_h, [did, "token"]).groupBy(qid, did).agg(
         F.sum("idf").alias("s_hot")
     )
-    cand = cold.join(hot_part, [qid, did], "left").select(
-        qid, did, F.bround(F.col("s_cold") + F.coalesce("s_hot", F.lit(0.0)), digits).alias("score")
+    scored = live.join(hot_part, [qid, did], "left").select(
+        qid, did, "u", F.bround(F.col("s_cold") + F.coalesce("s_hot", F.lit(0.0)), digits).alias("score")
     )
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(did))
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    # 3. certification
-    bound = qt.groupBy(qid).agg(F.bround(F.sum(F.when(F.col("hot"), F.col("idf")).otherwise(0.0)), digits).alias("u"))
-    kth = ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s_k"))
-    cert = bound.join(kth, qid, "left").select(
-        qid, ((F.col("u") == 0) | ((F.col("n") >= k) & (F.col("s_k") > F.col("u")))).alias("final")
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # 3. certification: the k-th final score must beat anything a non-candidate can reach
+    kth_final = ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s_k"))
+    cert = bound.join(kth_final, qid, "left").select(
+        qid, ((F.col("u") == 0) | ((F.col("n") >= k) & (F.col("s_k") > F.bround("u", digits)))).alias("final")
     )
     done = ranked.join(cert.where("final").select(qid), qid, "left_semi")
     # 4. exact scoring of the rest
     rest_q = qt.join(cert.where(~F.col("final")).select(qid), qid, "left_semi")
-    full = rest_q.join(dt, "token").groupBy(qid, did).agg(F.bround(F.sum("idf"), digits).alias("score"))
+    full = dt.join(bounded_broadcast(rest_q, QUERY_BROADCAST_ROWS), "token").groupBy(qid, did).agg(
+        F.bround(F.sum("idf"), digits).alias("score")
+    )
     rest = full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return done.unionByName(rest).select(qid, did, "rank", "score")
+    return done.select(qid, did, "rank", "score").unionByName(rest.select(qid, did, "rank", "score"))
