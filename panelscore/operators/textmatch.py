@@ -145,8 +145,9 @@ def retrieve(
     2. ``t`` = the k-th best cold score of a query and ``u`` = its hot idf mass;
        a candidate with ``s_cold + u < t`` cannot reach the top k (k candidates
        already score at least ``t``), so only the rest get their exact hot part;
-    3. a document outside the candidates scores at most ``u``, so a query whose
-       k-th final score beats ``u`` (or that has no hot token) is final;
+    3. a document outside the candidates scores at most ``u`` (and only if it
+       shares a hot token), so a query whose k-th final score beats ``u``, or
+       that has no hot token, is final;
     4. the remaining queries are scored exactly over all shared tokens.
     """
     margin = 10.0 ** (-digits)  # larger than any rounding shift of a score
@@ -167,7 +168,10 @@ def retrieve(
     # 2. per-query bounds and pruning (top-k per query is planned as a WindowGroupLimit)
     wc = Window.partitionBy(qid).orderBy(F.desc("s_cold"), F.asc(did))
     kth = cand.withColumn("_rn", F.row_number().over(wc)).where(F.col("_rn") == k).select(qid, F.col("s_cold").alias("t"))
-    bound = qt.groupBy(qid).agg(F.sum(F.when(F.col("hot"), F.col("idf")).otherwise(0.0)).alias("u"))
+    bound = qt.groupBy(qid).agg(
+        F.sum(F.when(F.col("hot"), F.col("idf")).otherwise(0.0)).alias("u"),
+        F.count(F.when(F.col("hot"), 1)).alias("n_hot"),
+    )
     bounds = bound.join(kth, qid, "left")
     live = cand.join(bounds, qid).where(F.col("t").isNull() | (F.col("s_cold") + F.col("u") >= F.col("t") - margin))
     qh = qt.where(F.col("hot")).select(qid, "token", "idf")
@@ -182,9 +186,9 @@ def retrieve(
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     # 3. certification: the k-th final score must beat anything a non-candidate can reach
     kth_final = ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s_k"))
-    cert = bound.join(kth_final, qid, "left").select(
-        qid, ((F.col("u") == 0) | ((F.col("n") >= k) & (F.col("s_k") > F.bround("u", digits)))).alias("final")
-    )
+    # a query without any candidate has null n / s_k: it must go to the exact path
+    ok = (F.col("n_hot") == 0) | ((F.col("n") >= k) & (F.col("s_k") > F.bround("u", digits)))
+    cert = bound.join(kth_final, qid, "left").select(qid, F.coalesce(ok, F.lit(False)).alias("final"))
     done = ranked.join(cert.where("final").select(qid), qid, "left_semi")
     # 4. exact scoring of the rest
     rest_q = qt.join(cert.where(~F.col("final")).select(qid), qid, "left_semi")
