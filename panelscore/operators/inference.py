@@ -120,10 +120,16 @@ class EchoPanelClient:
     METRICS = ("helpfulness", "correctness", "coherence", "tone_score",
                "accuracy", "relevance", "completeness", "clarity")
 
-    def __init__(self, fail_models=()):
+    def __init__(self, fail_models=(), log_path: str | None = None):
         self.fail_models = set(fail_models)
+        self.log_path = log_path
 
     def complete(self, model: str, prompt: str, spec: CallSpec) -> str:
+        if self.log_path:
+            import hashlib
+
+            with open(self.log_path, "a", encoding="utf-8") as f:
+                f.write(f"{spec.role}\t{model}\t{hashlib.sha1((prompt or '').encode()).hexdigest()}\n")
         if model in self.fail_models:
             raise RuntimeError("service unavailable")
         text = prompt or ""
@@ -140,8 +146,8 @@ class EchoPanelClient:
         return f'{{"ats_score": {n % 101}, "strengths": [], "gaps": [], "suggestions": []}}'
 
 
-def echo_client_factory(fail_models=()):
+def echo_client_factory(fail_models=(), log_path: str | None = None):
     def make():
-        return EchoPanelClient(fail_models)
+        return EchoPanelClient(fail_models, log_path)
 
     return make
