@@ -49,19 +49,18 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # --------------------------------------------------------------------------- ATS-1
 
 
-def _top_terms(df: DataFrame, keys, flag: str, value: bool, name: str, k: int = TOP_TERMS) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("tf"), F.asc("token"))
-    top = df.where(F.col(flag) == value).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    return top.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "token"))), lambda x: x["token"]), ", ").alias(name)
-    )
+def _ranked_terms(flag, k):
+    """', '-joined tokens with ``flag`` among the first ``k`` (rank column ``_rn``)."""
+    picked = F.collect_list(F.when(flag & (F.col("_rn") <= k), F.struct("_rn", "token")))
+    return F.array_join(F.transform(F.array_sort(picked), lambda x: x["token"]), ", ")
 
 
 def keyword_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame, k: int = TOP_TERMS) -> DataFrame:
     """ATS-1: share of the job's distinct tokens found in the résumé, 0..100 (1 decimal).
 
     strengths / gaps = up to ``k`` matched / missing job tokens, most frequent in
-    the job first, ties by token.
+    the job first, ties by token. One window (ranks within matched / missing)
+    and one aggregate per application, both on the same hash partitioning.
     """
     keys = ["job_id", "resume_id"]
     jt = token_counts(spread(jobs), "job_id", "jd")
@@ -70,17 +69,14 @@ def keyword_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame,
     m = pairs.join(rt, ["resume_id", "token"], "left").select(
         *keys, "token", "tf", F.coalesce("_hit", F.lit(False)).alias("matched")
     )
-    score = m.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("job_tokens"), F.count(F.when(F.col("matched"), 1)).alias("matched_tokens")
-    )
-    strengths = _top_terms(m, keys, "matched", True, "strengths", k)
-    gaps = _top_terms(m, keys, "matched", False, "gaps", k)
-    out = (
-        applications.select(*keys)
-        .join(score, keys, "left")
-        .join(strengths, keys, "left")
-        .join(gaps, keys, "left")
+    w = Window.partitionBy(*keys, "matched").orderBy(F.desc("tf"), F.asc("token"))
+    agg = m.withColumn("_rn", F.row_number().over(w)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("job_tokens"),
+        F.count(F.when(F.col("matched"), 1)).alias("matched_tokens"),
+        _ranked_terms(F.col("matched"), k).alias("strengths"),
+        _ranked_terms(~F.col("matched"), k).alias("gaps"),
     )
+    out = applications.select(*keys).join(agg, keys, "left")
     return out.select(
         *keys,
         F.coalesce("job_tokens", F.lit(0)).alias("job_tokens"),
