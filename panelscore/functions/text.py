@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import (
+    ATS_SCORE_TEMPLATE,
     ATS_TASK_TEMPLATE,
+    RUN_TS_FORMAT,
     JUDGE_TEMPLATE,
     REASONING_TEMPLATE,
     SEARCH_MARKER,
@@ -96,3 +98,18 @@ def judge_prompt(prompt: Column, target: Column, response: Column) -> Column:
 def reasoning_prompt(response: Column, prompt: Column) -> Column:
     """STR-4: follow-up asking a model to explain its answer."""
     return fill(REASONING_TEMPLATE, response=response, prompt=prompt)
+
+
+def ats_score_prompt(response: Column, resume: Column, jd: Column) -> Column:
+    """STR-3: the ATS scoring request for one response."""
+    return fill(ATS_SCORE_TEMPLATE, resume=resume, jd=jd, response=response)
+
+
+def run_id(ts: Column, suffix: Column | None = None) -> Column:
+    """DTE-1: run identifier ``yyyyMMdd_HHmmss`` (optional ``_prompt_<i>`` suffix).
+
+    The timestamp is passed in (never ``now()`` inside a plan), so re-running a
+    plan reproduces the same identifier.
+    """
+    base = F.date_format(ts, RUN_TS_FORMAT)
+    return base if suffix is None else F.concat(base, F.lit("_prompt_"), suffix.cast("string"))

@@ -226,3 +226,16 @@ def report_lines(report: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("("), F.col("label"), F.lit(")")), F.lit("")),
     )
     return report.select(F.rtrim(line).alias("value"))
+
+
+def evaluation_view(evals: DataFrame, enabled: bool = True) -> DataFrame:
+    """PRJ-3: the evaluation table shown to the user; empty (same schema) when disabled."""
+    from ..config import METRICS
+
+    view = evals.select("target_model", "evaluator", *METRICS)
+    return view if enabled else view.limit(0)
+
+
+def display_sorted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """SRT-1: grouped outputs in key order, for display only (a global sort)."""
+    return df.orderBy(*[F.asc_nulls_last(k) for k in keys])

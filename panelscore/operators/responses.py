@@ -60,3 +60,24 @@ def response_lengths(responses: DataFrame) -> DataFrame:
         F.bround(F.percentile(F.col("chars").cast("double"), 0.5), 3).alias("median_chars"),
         F.bround(F.avg("words"), 3).alias("avg_words"),
     )
+
+
+def display_view(responses: DataFrame, models: Sequence[str], batch_key: str = "run_id") -> DataFrame:
+    """SRT-3: what a batch shows at the end.
+
+    Per prompt the search text and ATS flag come from the first panel model
+    (``min_by`` over ``model_idx``); per batch every model tab shows the response
+    of the last prompt (``max_by`` over ``prompt_id``); the search tab shows
+    the last prompt's search text or 'N/A'. Both are algebraic aggregates, so a
+    huge batch is never gathered in one place.
+    """
+    per_prompt = responses.groupBy(batch_key, "prompt_id").agg(
+        F.min_by("search_results", "model_idx").alias("search_results"),
+        F.min_by("is_ats", "model_idx").alias("is_ats"),
+        *[F.max(F.when(F.col("model") == m, F.coalesce("card", "response"))).alias(m) for m in models],
+    )
+    return per_prompt.groupBy(batch_key).agg(
+        *[F.max_by(F.col(f"`{m}`"), "prompt_id").alias(m) for m in models],
+        F.coalesce(F.max_by(F.nullif("search_results", F.lit("")), "prompt_id"), F.lit("N/A")).alias("search_tab"),
+        F.max_by("is_ats", "prompt_id").alias("is_ats"),
+    )

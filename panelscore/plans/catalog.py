@@ -523,3 +523,31 @@ def q_stream_dedup(spark, sf):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
     _await(monitor.to_parquet_batches(monitor.dedup_judgments(stream), out, ck, "append"))
     return spark.read.parquet(out).drop("batch_id", "eval_ts")
+
+
+@register("prompts_csv_roundtrip")
+def q_prompts_csv_roundtrip(spark, sf):
+    """SRC-3 + FLT-1: batch prompts written as CSV (multi-line, quoted) and read back."""
+    path = scratch_path(spark, "prompts_csv") + "/prompts.csv"
+    fx.prompts(spark, sf).select("prompt_id", "prompt").write.options(**sinks._WRITE_CSV).csv(path)
+    back = file_src.read_prompts_csv(spark, path)
+    return back.select(F.col("prompt_id").cast("long").alias("prompt_id"), "prompt")
+
+
+@register("prompt_lines_roundtrip")
+def q_prompt_lines_roundtrip(spark, sf):
+    """SRC-4 + FLT-2 + STR-9 + SRT-2: prompts written one text line each, read back numbered."""
+    path = scratch_path(spark, "prompts_txt")
+    fx.prompts(spark, sf).select("prompt_id", "prompt").orderBy("prompt_id").select("prompt").write.text(path)
+    return file_src.read_prompts_text(spark, path)
+
+
+@register("search_json")
+def q_search_json(spark, sf):
+    """SRC-6: search responses as JSON item lists (empty titles omitted) parsed back to ranked rows."""
+    hits = fx.search_hits(spark, sf)
+    item = F.struct(F.when(F.col("title") != "", F.col("title")).alias("title"), "snippet", "link")
+    docs = hits.groupBy("prompt_id").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rk", item.alias("it")))), lambda x: x["it"])).alias("items_json")
+    )
+    return search_ops.hits_from_json(docs)

@@ -603,3 +603,17 @@ ORACLE["report_long"] = with_fixtures(["eval_facts"], _report_sql(), [
     ("strong", _body(ORACLE["strengths"])),
     ("weak", _body(ORACLE["weaknesses"])),
 ])
+
+
+ORACLE["prompts_csv_roundtrip"] = with_fixtures(["prompts"], "select prompt_id, prompt from prompts")
+
+ORACLE["prompt_lines_roundtrip"] = with_fixtures(["prompts"], """
+select line_no, trim(line) as prompt from (
+  select row_number() over (order by prompt_id, k) as line_no, line from (
+    select prompt_id, generate_subscripts(string_split(prompt, chr(10)), 1) as k,
+           unnest(string_split(prompt, chr(10))) as line
+    from prompts) x) y
+where trim(line) <> ''
+""")
+
+ORACLE["search_json"] = with_fixtures(["search_hits"], "select prompt_id, rk, title, snippet, link from search_hits")

@@ -92,3 +92,17 @@ def test_resume_files(spark, tmp_path):
                    "c.pdf": ("", True), "d.md": ("", False)}
     kinds = spark.createDataFrame([("x.csv",), ("x.CSV",), ("cv.PDF",), ("cv.docx",), ("a.md",)], "n string")
     assert [r[0] for r in kinds.select(files.input_kind(F.col("n"))).collect()] == ["batch", "none", "resume", "resume", "none"]
+
+
+def test_batch_output_bundle_and_report(spark, tmp_path):
+    prompts = spark.createDataFrame([(1, "p1", "| t |"), (2, "p2", None)], "prompt_id long, prompt string, ats_summary string")
+    path = sinks.write_batch_prompts(prompts, str(tmp_path / "run"))
+    back = spark.read.options(**files.CSV_OPTIONS).csv(path)
+    assert "ATS Summary" in back.columns and back.count() == 2
+    t = spark.createDataFrame([("m1", 0.5)], "target_model string, helpfulness double")
+    written = sinks.write_bundle({"evaluation": t, "heatmap": t}, str(tmp_path / "bundle"), "20240101_000000")
+    got = spark.read.parquet(written["heatmap"]).collect()
+    assert got[0]["run_id"] == "20240101_000000"
+    lines = spark.createDataFrame([("line a",), ("line b",)], "value string")
+    rp = sinks.write_report_text(lines, str(tmp_path / "report"))
+    assert sorted(r[0] for r in spark.read.text(rp).collect()) == ["line a", "line b"]

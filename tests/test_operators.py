@@ -134,3 +134,35 @@ def test_retrieval_exact_for_any_hot_threshold(spark, hot):
     dd = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r[0], r[1], r[2], r[3]) for r in textmatch.retrieve(qd, dd, k=3, hot_fraction=hot).collect()}
     assert got == _brute_force(queries, docs)
+
+
+def test_display_view_first_model_and_last_prompt(spark):
+    from panelscore.operators import responses
+
+    rows = [
+        ("r", 1, "m1", 0, "a1", "s1", False), ("r", 1, "m2", 1, "b1", "other", True),
+        ("r", 2, "m1", 0, "a2", "", False), ("r", 2, "m2", 1, "b2", "x", True),
+    ]
+    df = spark.createDataFrame(rows, "run_id string, prompt_id long, model string, model_idx int, response string, "
+                                     "search_results string, is_ats boolean").withColumn("card", F.lit(None).cast("string"))
+    v = responses.display_view(df, ["m1", "m2"]).collect()[0]
+    assert (v["m1"], v["m2"]) == ("a2", "b2")
+    assert v["search_tab"] == "N/A" and v["is_ats"] is False
+
+
+def test_evaluation_view_and_helpers(spark):
+    from panelscore.config import METRICS
+    from panelscore.functions import text
+
+    ev = spark.createDataFrame([("m1", "m2", *[0.5] * 8)], "target_model string, evaluator string, " + ", ".join(f"{m} double" for m in METRICS))
+    assert analysis.evaluation_view(ev).count() == 1
+    off = analysis.evaluation_view(ev, enabled=False)
+    assert off.count() == 0 and off.columns == ["target_model", "evaluator", *METRICS]
+    r = spark.createDataFrame([("2024-03-05 07:08:09",)], "s string").select(
+        text.run_id(F.to_timestamp("s")).alias("a"), text.run_id(F.to_timestamp("s"), F.lit(3)).alias("b"),
+        text.ats_score_prompt(F.lit("resp"), F.lit("cv"), F.lit("jd")).alias("c"),
+    ).collect()[0]
+    assert r["a"] == "20240305_070809" and r["b"] == "20240305_070809_prompt_3"
+    assert "Resume:\ncv\n\nJob Description:\njd\n\nResponse:\nresp" in r["c"]
+    sorted_rows = analysis.display_sorted(spark.createDataFrame([("b",), (None,), ("a",)], "k string"), ["k"]).collect()
+    assert [x[0] for x in sorted_rows] == ["a", "b", None]
