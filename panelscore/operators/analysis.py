@@ -185,35 +185,81 @@ def _long(df: DataFrame, section: str, key: str, value_cols: Sequence[str]) -> D
     )
 
 
-def report_long(df: DataFrame) -> DataFrame:
-    """SNK-5: the evaluation report as a long table (section, item, metric, value, label)."""
-    ov = overview(df)
-    parts = [
-        ov.select(F.lit("overview").alias("section"), F.lit("dataset").alias("item"), F.lit("total_records").alias("metric"),
-                  F.col("n_rows").cast("double").alias("value"), F.lit(None).cast("string").alias("label")),
-        ov.select(F.lit("overview"), F.lit("dataset"), F.lit("n_columns"), F.col("n_columns").cast("double"),
-                  F.lit(", ".join(df.columns))).toDF(*REPORT_COLUMNS),
+def _report_facts(df: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:
+    """One scan: statistics per target model, per evaluator, and the grand total.
+
+    Output rows (kind, item, <m>_mean_raw, <m>_mean, <m>_std, helpfulness_count, n_rows);
+    everything in the report is derived from this small table.
+    """
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count("helpfulness").alias("helpfulness_count")]
+    for m in metrics:
+        aggs += [F.avg(m).alias(f"{m}_mean_raw"), F.stddev_samp(m).alias(f"{m}_std_raw")]
+    g = df.groupingSets([["target_model"], ["evaluator"], []], "target_model", "evaluator").agg(
+        *aggs, F.grouping_id().alias("_gid")
+    )
+    kind = (F.when(F.col("_gid") == 1, F.lit("target_model"))
+            .when(F.col("_gid") == 2, F.lit("evaluator")).otherwise(F.lit("total")))
+    item = F.when(F.col("_gid") == 1, F.col("target_model")).when(F.col("_gid") == 2, F.col("evaluator"))
+    out = g.select(kind.alias("kind"), item.alias("item"), "n_rows", "helpfulness_count",
+                   *[F.col(f"{m}_mean_raw") for m in metrics], *[F.col(f"{m}_std_raw") for m in metrics])
+    # null keys are dropped per grouping set (the total keeps every row)
+    return out.where((F.col("kind") == "total") | F.col("item").isNotNull())
+
+
+def report_long(df: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:
+    """SNK-5: the evaluation report as a long table (section, item, metric, value, label).
+
+    The input is scanned once (grouping sets); the sections, best model,
+    lenient/strict judges and per-metric leaders are derived from that small
+    result, which holds one row per model, per judge and the total.
+    """
+    if eval_format(df) != "comprehensive":
+        ov = df.agg(F.count(F.lit(1)).cast("double").alias("value"))
+        return ov.select(F.lit("overview").alias("section"), F.lit("dataset").alias("item"),
+                         F.lit("total_records").alias("metric"), "value", F.lit(None).cast("string").alias("label"))
+    from ..session import materialize
+
+    # one scan of the input; the small result feeds every section
+    facts = materialize(_report_facts(df, metrics), "report_facts")
+    none = F.lit(None).cast("string")
+    total = facts.where(F.col("kind") == "total")
+    entries = [
+        total.select(F.lit("overview"), F.lit("dataset"), F.lit("total_records"), F.col("n_rows").cast("double"), none),
+        total.select(F.lit("overview"), F.lit("dataset"), F.lit("n_columns"), F.lit(float(len(df.columns))),
+                     F.lit(", ".join(df.columns))),
     ]
-    if eval_format(df) == "comprehensive":
-        ms = model_stats(df)
-        parts.append(_long(ms, "model_performance", "target_model", [c for c in ms.columns if c != "target_model"]))
-        bm = best_model(df)
-        parts.append(bm.select(F.lit("model_performance"), F.lit("best_model"), F.lit("overall"), F.col("score"),
-                               F.col("best_model")).toDF(*REPORT_COLUMNS))
-        es = evaluator_stats(df)
-        parts.append(_long(es, "evaluator_analysis", "evaluator", [c for c in es.columns if c != "evaluator"]))
-        ls = lenient_strict(df)
-        parts.append(ls.select(F.lit("evaluator_analysis"), F.lit("most_lenient"), F.lit("overall"),
-                               F.col("lenient_score"), F.col("most_lenient")).toDF(*REPORT_COLUMNS))
-        parts.append(ls.select(F.lit("evaluator_analysis"), F.lit("most_strict"), F.lit("overall"),
-                               F.col("strict_score"), F.col("most_strict")).toDF(*REPORT_COLUMNS))
-        for name, best in (("strength", True), ("weakness", False)):
-            ex = metric_extremes(df, best)
-            parts.append(ex.select(F.lit("insights"), F.lit(name), F.col("metric"), F.col("score"),
-                                   F.col("target_model")).toDF(*REPORT_COLUMNS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    for kind, section, with_count in (("target_model", "model_performance", True), ("evaluator", "evaluator_analysis", False)):
+        part = facts.where(F.col("kind") == kind)
+        stats = []
+        for m in metrics:
+            stats += [(f"{m}_mean", F.bround(f"{m}_mean_raw", 3)), (f"{m}_std", F.bround(f"{m}_std_raw", 3))]
+            if with_count and m == "helpfulness":
+                stats.append(("helpfulness_count", F.col("helpfulness_count").cast("double")))
+        arr = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in stats])
+        entries.append(part.select(F.lit(section), F.col("item"), F.inline(arr), none))
+    overall = facts.where(F.col("kind") != "total").select(
+        "kind", "item", *[F.col(f"{m}_mean_raw").alias(m) for m in metrics]
+    ).select("kind", "item", *metrics, _overall(list(metrics)).alias("overall"))
+    picks = overall.where(F.col("overall").isNotNull()).groupBy("kind").agg(
+        _arg("item", "overall", True).alias("top"), F.max("overall").alias("top_score"),
+        _arg("item", "overall", False).alias("bottom"), F.min("overall").alias("bottom_score"),
+    )
+    entries.append(picks.where(F.col("kind") == "target_model").select(
+        F.lit("model_performance"), F.lit("best_model"), F.lit("overall"), F.bround("top_score", 3), F.col("top")))
+    ev = picks.where(F.col("kind") == "evaluator")
+    entries.append(ev.select(F.lit("evaluator_analysis"), F.lit("most_lenient"), F.lit("overall"), F.bround("top_score", 3), F.col("top")))
+    entries.append(ev.select(F.lit("evaluator_analysis"), F.lit("most_strict"), F.lit("overall"), F.bround("bottom_score", 3), F.col("bottom")))
+    long = overall.where(F.col("kind") == "target_model").unpivot("item", list(metrics), "metric", "mean").where(F.col("mean").isNotNull())
+    leaders = long.groupBy("metric").agg(
+        _arg("item", "mean", True).alias("best"), F.max("mean").alias("best_score"),
+        _arg("item", "mean", False).alias("worst"), F.min("mean").alias("worst_score"),
+    )
+    entries.append(leaders.select(F.lit("insights"), F.lit("strength"), F.initcap("metric"), F.bround("best_score", 3), F.col("best")))
+    entries.append(leaders.select(F.lit("insights"), F.lit("weakness"), F.initcap("metric"), F.bround("worst_score", 3), F.col("worst")))
+    out = None
+    for e in entries:
+        e = e.toDF(*REPORT_COLUMNS)
+        out = e if out is None else out.unionByName(e)
     return out
 
 

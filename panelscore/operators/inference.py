@@ -99,12 +99,11 @@ def complete(
     return src.mapInPandas(run, schema)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage after paid calls: reliable checkpoint into ``spark.checkpoint.dir``."""
-    from ..session import ensure_checkpoint_dir
+def materialize(df: DataFrame, name: str = "model_calls") -> DataFrame:
+    """Persist paid call results before any reuse: written once under ``spark.checkpoint.dir``."""
+    from ..session import materialize as write_once
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_once(df, name)
 
 
 class EchoPanelClient:

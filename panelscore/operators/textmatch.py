@@ -23,16 +23,10 @@ QUERY_BROADCAST_ROWS = 2_000_000  # query-token rows broadcast to the document s
 
 
 def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Materialise ``df`` once as parquet under ``spark.checkpoint.dir`` and read it back.
+    """Materialise ``df`` once in the shared checkpoint folder (see ``session.materialize``)."""
+    from ..session import materialize
 
-    A written table cuts the lineage (executor loss re-reads the files rather
-    than recomputing) and columnar files are cheaper than an RDD checkpoint.
-    """
-    from ..session import scratch_path
-
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return materialize(df, name)
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
