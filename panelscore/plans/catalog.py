@@ -551,3 +551,37 @@ def q_search_json(spark, sf):
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rk", item.alias("it")))), lambda x: x["it"])).alias("items_json")
     )
     return search_ops.hits_from_json(docs)
+
+
+def answer_panel(prompts: DataFrame, models, client_factory, hits: DataFrame, selected=None,
+                 classifier_model: str | None = None) -> DataFrame:
+    """E1 answering: real-time check -> search context -> prompt -> answers -> explanations.
+
+    Every paid step (classifier, answers, reasoning) is materialised before reuse.
+    """
+    clf = classifier_model or models[0]
+    gate = inference.complete(
+        prompts.select("prompt_id", F.lit(clf).alias("model"), F.col("prompt").alias("request")),
+        client_factory, "realtime",
+    ).select("prompt_id", "raw_text")
+    ctx = search_ops.search_context(inference.materialize(gate, "realtime_calls"), hits)
+    built = prompts.join(ctx.select("prompt_id", "search_results"), "prompt_id", "left").withColumn(
+        "request", txt.build_prompt(F.col("prompt"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("search_results"))
+    )
+    targets = pairing.fan_out(built, models, selected)
+    answers = inference.materialize(
+        inference.complete(targets, client_factory, "answer", out_col="response").drop("error"), "answer_calls"
+    )
+    follow = answers.withColumn("request", txt.reasoning_prompt(F.col("response"), F.col("prompt")))
+    explained = inference.complete(follow, client_factory, "reasoning", out_col="reasoning").drop("error")
+    return inference.materialize(explained, "reasoning_calls").select(
+        "prompt_id", "model", "model_idx", "response", "reasoning", "search_results",
+        F.lit(False).alias("is_ats"),
+    )
+
+
+@register("infer_answers")
+def q_infer_answers(spark, sf):
+    """INF-1/4/5, STR-1/4/7, JN-5: answers with search context and explanations (offline client)."""
+    prompts = fx.prompts(spark, sf).select("prompt_id", "prompt")
+    return answer_panel(prompts, DEFAULT_PANEL, inference.echo_client_factory(), fx.search_hits(spark, sf))

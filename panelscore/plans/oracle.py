@@ -617,3 +617,23 @@ where trim(line) <> ''
 """)
 
 ORACLE["search_json"] = with_fixtures(["search_hits"], "select prompt_id, rk, title, snippet, link from search_hits")
+
+_SNIPPETS = f"""select prompt_id, string_agg({_sql_fill(SEARCH_HIT_TEMPLATE, title='title', snippet='snippet', link='link')},
+  chr(10) || chr(10) order by rk) as snippets from search_hits where rk <= 3 group by prompt_id"""
+
+ORACLE["infer_answers"] = with_fixtures(["search_hits", "models"], f"""
+select b.prompt_id, m.model, m.i as model_idx,
+  concat(upper(m.model), ': ', b.request) as response,
+  concat('because ', m.model) as reasoning,
+  b.search_results, false as is_ats
+from (
+  select p.prompt_id,
+    case when coalesce(s.search_results, '') <> '' then concat(p.prompt, {_lit(SEARCH_MARKER)}, s.search_results)
+         else p.prompt end as request,
+    s.search_results
+  from prompts p left join (
+    select p2.prompt_id,
+      case when length(p2.prompt) % 2 = 0 then coalesce(t.snippets, {_lit(NO_SEARCH_RESULTS)}) end as search_results
+    from prompts p2 left join snip t on t.prompt_id = p2.prompt_id) s on s.prompt_id = p.prompt_id) b
+cross join models m
+""", [("snip", _SNIPPETS)])
