@@ -585,3 +585,26 @@ def q_infer_answers(spark, sf):
     """INF-1/4/5, STR-1/4/7, JN-5: answers with search context and explanations (offline client)."""
     prompts = fx.prompts(spark, sf).select("prompt_id", "prompt")
     return answer_panel(prompts, DEFAULT_PANEL, inference.echo_client_factory(), fx.search_hits(spark, sf))
+
+
+@register("infer_ats")
+def q_infer_ats(spark, sf):
+    """INF-6, STR-1 (ATS), STR-3, JSN-5, STR-12: each application answered and ATS-scored by the panel."""
+    a = fx.applications(spark, sf)
+    docs = a.join(fx.jobs(spark, sf).select("job_id", "jd"), "job_id").join(
+        fx.resumes(spark, sf).select("resume_id", "resume"), "resume_id"
+    )
+    none = F.lit(None).cast("string")
+    req = docs.withColumn("request", txt.build_prompt(F.col("jd"), F.col("resume"), F.col("jd"), none))
+    factory = inference.echo_client_factory()
+    answers = inference.materialize(
+        inference.complete(pairing.fan_out(req, DEFAULT_PANEL), factory, "answer", out_col="response").drop("error"),
+        "ats_answers",
+    )
+    scoring_req = answers.withColumn("request", txt.ats_score_prompt(F.col("response"), F.col("resume"), F.col("jd")))
+    scored = inference.materialize(
+        inference.complete(scoring_req.select("job_id", "resume_id", "model", "request"), factory, "ats").drop("error"),
+        "ats_calls",
+    )
+    parsed = ats_ops.summary_rows(ats_ops.parse_ats(scored, keys=["job_id", "resume_id", "model"]))
+    return parsed.select("job_id", "resume_id", "model", "status", "ats_score", "row_md")

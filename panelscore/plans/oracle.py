@@ -637,3 +637,16 @@ from (
     from prompts p2 left join snip t on t.prompt_id = p2.prompt_id) s on s.prompt_id = p.prompt_id) b
 cross join models m
 """, [("snip", _SNIPPETS)])
+
+from ..config import ATS_SCORE_TEMPLATE  # noqa: E402
+
+ORACLE["infer_ats"] = with_fixtures(["applications", "models"], f"""
+select job_id, resume_id, model, 'ok' as status, cast(s as double) as ats_score,
+  concat('| ', model, ' | ', cast(s as varchar), ' |  |  |') as row_md
+from (
+  select a.job_id, a.resume_id, m.model,
+    length({_sql_fill(ATS_SCORE_TEMPLATE, resume="r.resume", jd="j.jd",
+                      response="concat(upper(m.model), ': ', " + _sql_fill(ATS_TASK_TEMPLATE, resume="r.resume", jd="j.jd") + ")")}) % 101 as s
+  from applications a join jobs j on j.job_id = a.job_id join resumes r on r.resume_id = a.resume_id
+  cross join models m) x
+""")
