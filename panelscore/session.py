@@ -20,6 +20,35 @@ QUERY_CONF = {
 def apply_query_conf(spark: SparkSession) -> None:
     for k, v in QUERY_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``panelscore`` importable in Python workers (once per application).
+
+    Python tasks (``mapInPandas``) unpickle references to this package, so the
+    executors need it on their path: the package is zipped on the driver and
+    registered with ``addPyFile`` (the same as ``--py-files`` at submit time).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="panelscore-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "panelscore") -> SparkSession:
