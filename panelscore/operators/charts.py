@@ -152,6 +152,31 @@ def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, digits
     return m.select("a", "b", r.alias("r")).select(F.inline(both))
 
 
+def box_stats_approx(df: DataFrame, key: str, metrics: Sequence[str] = CORE4, whisker: float = 1.5,
+                     accuracy: int = 10000) -> DataFrame:
+    """AGG-15/16 for continuous scores at scale: quartiles from ``percentile_approx``.
+
+    Quartile sketches are mergeable (partial aggregation); the whiskers and
+    outlier counts then take a second pass joined to the small per-group
+    quartile table (one row per key and metric).
+    """
+    long = df.where(F.col(key).isNotNull()).select(
+        key, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    ).where(F.col("value").isNotNull())
+    q = long.groupBy(key, "metric").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("_q"),
+    ).select(key, "metric", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    inside = (F.col("value") >= F.col("q1") - whisker * F.col("iqr")) & (F.col("value") <= F.col("q3") + whisker * F.col("iqr"))
+    out = long.join(q, [key, "metric"]).groupBy(key, "metric", "n", "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
+        F.count(F.when(~inside, 1)).alias("n_outliers"),
+    )
+    return out
+
+
 def box_stats(df: DataFrame, key: str, metrics: Sequence[str] = CORE4, whisker: float = 1.5) -> DataFrame:
     """AGG-15/16: box-plot numbers per (key, metric), exact.
 

@@ -20,6 +20,7 @@ TOP_TERMS = 5
 
 
 QUERY_BROADCAST_ROWS = 2_000_000  # query-token rows broadcast to the document side (checked)
+HOT_TOKENS_BROADCAST_ROWS = 1_000_000
 
 
 def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -139,6 +140,9 @@ def retrieve(
        shares a hot token), so a query whose k-th final score beats ``u``, or
        that has no hot token, is final;
     4. the remaining queries are scored exactly over all shared tokens.
+
+    ``hot_fraction`` trades candidate volume (cold join) against the number of
+    queries that need step 4; the result is exact for any value.
     """
     margin = 10.0 ** (-digits)  # larger than any rounding shift of a score
     # The token tables feed several passes; a reliable checkpoint (shared
@@ -165,7 +169,10 @@ def retrieve(
     bounds = bound.join(kth, qid, "left")
     live = cand.join(bounds, qid).where(F.col("t").isNull() | (F.col("s_cold") + F.col("u") >= F.col("t") - margin))
     qh = qt.where(F.col("hot")).select(qid, "token", "idf")
-    dt_h = dt.join(stats.where("hot").select("token"), "token")
+    # at most (avg distinct tokens per doc) / hot_fraction tokens are hot: a small,
+    # size-checked broadcast
+    hot_tokens = bounded_broadcast(stats.where("hot").select("token"), HOT_TOKENS_BROADCAST_ROWS)
+    dt_h = dt.join(hot_tokens, "token")
     hot_part = live.select(qid, did).join(qh, qid).join(dt_h, [did, "token"]).groupBy(qid, did).agg(
         F.sum("idf").alias("s_hot")
     )

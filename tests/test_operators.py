@@ -166,3 +166,12 @@ def test_evaluation_view_and_helpers(spark):
     assert "Resume:\ncv\n\nJob Description:\njd\n\nResponse:\nresp" in r["c"]
     sorted_rows = analysis.display_sorted(spark.createDataFrame([("b",), (None,), ("a",)], "k string"), ["k"]).collect()
     assert [x[0] for x in sorted_rows] == ["a", "b", None]
+
+
+def test_box_stats_approx_close_to_exact(spark):
+    rows = [("a", (i * 37 % 101) / 100.0) for i in range(500)] + [("a", -3.0)]
+    df = spark.createDataFrame(rows, "target_model string, helpfulness double")
+    exact = charts.box_stats(df, "target_model", ["helpfulness"]).collect()[0]
+    approx = charts.box_stats_approx(df, "target_model", ["helpfulness"]).collect()[0]
+    assert approx["n"] == exact["n"] and approx["n_outliers"] == exact["n_outliers"] == 1
+    assert abs(approx["median"] - exact["median"]) <= 0.02
