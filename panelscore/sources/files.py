@@ -99,8 +99,10 @@ def read_runs(spark: SparkSession, results_dir: str) -> DataFrame:
     b = read_eval_csv(spark, f"{base}/batch_*/evaluation.csv", BATCH_SCHEMA).withColumn("layout", F.lit("batch"))
     u = a.unionByName(b, allowMissingColumns=True)
     rid = run_id_from_path(F.col("file_path"))
+    # a run id is a wall-clock stamp without zone: TIMESTAMP_NTZ
     return u.withColumn("run_id", rid).withColumn(
-        "eval_ts", F.try_to_timestamp(F.substring(rid, 1, 15), F.lit(RUN_TS_FORMAT))
+        # parsed and converted back in the session zone, so the wall clock is kept
+        "eval_ts", F.try_to_timestamp(F.substring(rid, 1, 15), F.lit(RUN_TS_FORMAT)).cast("timestamp_ntz")
     )
 
 
