@@ -158,7 +158,9 @@ def retrieve(
     qt_b = bounded_broadcast(qt, QUERY_BROADCAST_ROWS)
 
     # 1. cold candidates and their cold score
-    cand = dt.join(qt_b.where(~F.col("hot")), "token").groupBy(qid, did).agg(F.sum("idf").alias("s_cold"))
+    cand = checkpointed(
+        dt.join(qt_b.where(~F.col("hot")), "token").groupBy(qid, did).agg(F.sum("idf").alias("s_cold")), "candidates"
+    )
     # 2. per-query bounds and pruning (top-k per query is planned as a WindowGroupLimit)
     wc = Window.partitionBy(qid).orderBy(F.desc("s_cold"), F.asc(did))
     kth = cand.withColumn("_rn", F.row_number().over(wc)).where(F.col("_rn") == k).select(qid, F.col("s_cold").alias("t"))
