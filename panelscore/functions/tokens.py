@@ -11,9 +11,19 @@ TOKEN_SPLIT = "[^a-z0-9]+"
 MIN_TOKEN_LEN = 3
 
 
+def token_array(text: Column) -> Column:
+    """All pieces of ``text`` in order (short pieces still included; see ``is_token``)."""
+    return F.split(F.lower(text), TOKEN_SPLIT)
+
+
+def is_token(piece: Column) -> Column:
+    """Row filter applied after ``explode`` (a plain, code-generated predicate)."""
+    return F.length(piece) >= MIN_TOKEN_LEN
+
+
 def tokens(text: Column) -> Column:
-    """All tokens of ``text`` in order (with repeats)."""
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: F.length(t) >= MIN_TOKEN_LEN)
+    """All tokens of ``text`` in order (with repeats), as an array."""
+    return F.filter(token_array(text), is_token)
 
 
 def distinct_tokens(text: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import distinct_tokens, tokens
+from ..functions.tokens import is_token, token_array
 from .joins import bounded_broadcast, spread
 
 TOP_TERMS = 5
@@ -31,14 +31,19 @@ def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, tf) for every token of every document."""
-    t = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
+    """(id, token, tf) for every token of every document (partial counts map-side)."""
+    t = docs.select(id_col, F.explode(token_array(F.col(text_col))).alias("token")).where(is_token(F.col("token")))
     return t.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token) distinct pairs; deduplicated inside each row, so no shuffle."""
-    return docs.select(id_col, F.explode(distinct_tokens(F.col(text_col))).alias("token"))
+    """(id, token) distinct pairs; deduplicated inside each row, so no shuffle.
+
+    The length rule is a row filter after ``explode`` (code-generated), not a
+    lambda over the array (higher-order functions are interpreted per element).
+    """
+    pieces = F.array_distinct(token_array(F.col(text_col)))
+    return docs.select(id_col, F.explode(pieces).alias("token")).where(is_token(F.col("token")))
 
 
 # --------------------------------------------------------------------------- ATS-1
