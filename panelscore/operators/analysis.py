@@ -146,18 +146,20 @@ def _arg(key: str, score: str, best: bool):
 def best_model(df: DataFrame) -> DataFrame:
     """AGG-9: best target model by overall score (one row)."""
     o = overall_by(df, "target_model").where(F.col("overall").isNotNull())
-    return o.agg(_arg("target_model", "overall", True).alias("best_model"), F.bround(F.max("overall"), 3).alias("score"))
+    best = o.agg(_arg("target_model", "overall", True).alias("best_model"), F.bround(F.max("overall"), 3).alias("score"))
+    return best.where(F.col("best_model").isNotNull())  # no data -> no row (FLT-9)
 
 
 def lenient_strict(df: DataFrame) -> DataFrame:
     """AGG-10: most lenient (highest overall) and most strict (lowest) evaluator."""
     o = overall_by(df, "evaluator").where(F.col("overall").isNotNull())
-    return o.agg(
+    picks = o.agg(
         _arg("evaluator", "overall", True).alias("most_lenient"),
         F.bround(F.max("overall"), 3).alias("lenient_score"),
         _arg("evaluator", "overall", False).alias("most_strict"),
         F.bround(F.min("overall"), 3).alias("strict_score"),
     )
+    return picks.where(F.col("most_lenient").isNotNull())  # no data -> no row (FLT-9)
 
 
 def metric_extremes(df: DataFrame, best: bool, metrics: Sequence[str] = CORE4) -> DataFrame:
@@ -214,7 +216,7 @@ def report_long(df: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:
     result, which holds one row per model, per judge and the total.
     """
     if eval_format(df) != "comprehensive":
-        ov = df.agg(F.count(F.lit(1)).cast("double").alias("value"))
+        ov = df.agg(F.count(F.lit(1)).cast("double").alias("value")).where(F.col("value") > 0)
         return ov.select(F.lit("overview").alias("section"), F.lit("dataset").alias("item"),
                          F.lit("total_records").alias("metric"), "value", F.lit(None).cast("string").alias("label"))
     from ..session import materialize
@@ -222,7 +224,7 @@ def report_long(df: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:
     # one scan of the input; the small result feeds every section
     facts = materialize(_report_facts(df, metrics), "report_facts")
     none = F.lit(None).cast("string")
-    total = facts.where(F.col("kind") == "total")
+    total = facts.where((F.col("kind") == "total") & (F.col("n_rows") > 0))  # empty input -> empty report
     entries = [
         total.select(F.lit("overview"), F.lit("dataset"), F.lit("total_records"), F.col("n_rows").cast("double"), none),
         total.select(F.lit("overview"), F.lit("dataset"), F.lit("n_columns"), F.lit(float(len(df.columns))),

@@ -175,3 +175,14 @@ def test_box_stats_approx_close_to_exact(spark):
     approx = charts.box_stats_approx(df, "target_model", ["helpfulness"]).collect()[0]
     assert approx["n"] == exact["n"] and approx["n_outliers"] == exact["n_outliers"] == 1
     assert abs(approx["median"] - exact["median"]) <= 0.02
+
+
+def test_empty_input_gives_empty_results(spark):
+    empty = _evals(spark, []).withColumn("tone_score", F.lit(None).cast("double"))
+    for fn in (analysis.model_stats, analysis.evaluator_stats, analysis.cross_eval, analysis.stats_grouping_sets,
+               analysis.best_model, analysis.lenient_strict, analysis.overall_scores, analysis.report_long,
+               lambda d: analysis.metric_extremes(d, True), lambda d: charts.box_stats(d, "target_model"),
+               lambda d: charts.correlation_long(d), lambda d: charts.cross_pivot(d, ["x", "y"])):
+        out = fn(empty)
+        assert out.count() == 0, fn
+        assert len(out.columns) > 0
