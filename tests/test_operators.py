@@ -186,3 +186,25 @@ def test_empty_input_gives_empty_results(spark):
         out = fn(empty)
         assert out.count() == 0, fn
         assert len(out.columns) > 0
+
+
+def test_grouping_sets_single_scan(spark):
+    from panelscore.plans import fixtures as fx
+
+    df = analysis.stats_grouping_sets(fx.eval_facts(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    assert "Expand" in plan
+
+
+def test_selection_applied_before_model_calls(spark, tmp_path):
+    from collections import Counter
+
+    from panelscore.operators import inference
+
+    log = str(tmp_path / "calls.log")
+    prompts = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "prompt_id long, prompt string")
+    targets = pairing.fan_out(prompts, ["m1", "m2", "m3"], ["m2"]).withColumn("request", F.col("prompt"))
+    out = inference.complete(targets, inference.echo_client_factory(log_path=log), "answer")
+    assert out.count() == 4
+    assert Counter(line.split("\t")[1] for line in open(log)) == {"m2": 4}
