@@ -1,8 +1,9 @@
 """Offline analysis of an evaluation table (AGG-1..12, AGG-21, TOP-1/2, PRJ-4/5/6, SNK-5).
 
 All aggregates skip nulls, ``std`` is the sample deviation, and rounding is
-half-even to three decimals. Null group keys are dropped (per grouping set when
-several are computed in one scan).
+half-even to three decimals (MTH-2: ``bround``, which equals NumPy/pandas
+rounding of the scaled value). Null group keys are dropped (FLT-10; per grouping
+set when several are computed in one scan), as a pandas groupby does.
 """
 
 from __future__ import annotations

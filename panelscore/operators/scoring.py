@@ -28,7 +28,9 @@ def usable_raw(raw: DataFrame, col: str = "raw_text") -> DataFrame:
 
 
 def _avg_exprs(metrics=METRICS):
-    # Numeric scores only; none -> 0.5; three decimals, half-even.
+    # Numeric scores only; none -> 0.5; three decimals, half-even (MTH-1: averages of
+    # two-decimal scores over two judges never sit on a rounding tie, so half-even
+    # and Python's round agree).
     return [
         F.coalesce(F.bround(F.avg(f"num_{m}"), 3), F.lit(DEFAULT_SCORE)).alias(f"avg_{m}") for m in metrics
     ]

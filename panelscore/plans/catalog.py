@@ -394,6 +394,9 @@ from ..operators import inference  # noqa: E402
 def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, panel="all") -> DataFrame:
     """E1/E2 end to end: fan-out -> answers -> judge requests -> judgments -> evaluation rows.
 
+    All prompts go through one plan (SET-1: no per-prompt loop and no union of
+    per-prompt results).
+
     Both paid steps are materialised before reuse, so every (prompt, model, role)
     call happens once even when later stages are retried or re-planned.
     """
