@@ -119,3 +119,29 @@ def parse_judgments(df, raw: str = "raw_text", metrics=METRICS, keep=()):
     cols += [F.when(ok, numeric_value(F.col(f"_v_{m}"))).alias(f"num_{m}") for m in metrics]
     cols += [F.when(ok, text_value(F.col(f"_v_{k}"))).alias(k) for k in ("reasoning", "notes")]
     return s3.select(*cols)
+
+
+def value_kind(v: Column) -> Column:
+    """Kind of a metric value: number, boolean, numeric_string, text, null, missing or other."""
+    t = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull(), F.lit("missing"))
+        .when(F.is_variant_null(v), F.lit("null"))
+        .when(t == "BOOLEAN", F.lit("boolean"))
+        .when(t.rlike(NUMERIC_TYPES), F.lit("number"))
+        .when((t == "STRING") & F.try_variant_get(v, "$", "double").isNotNull(), F.lit("numeric_string"))
+        .when(t == "STRING", F.lit("text"))
+        .otherwise(F.lit("other"))
+    )
+
+
+def judgment_issues(df, raw: str = "raw_text", metrics=METRICS, keep=()):
+    """JSN-4 issue flags: one row per usable judgment and metric whose value is not a plain number."""
+    keep = [F.col(c) for c in keep]
+    block = json_block(F.col(raw))
+    s1 = df.where(is_usable(F.col(raw))).select(
+        *keep, F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), block, F.lit("]"))), "$[0]", "variant").alias("_obj")
+    )
+    s2 = s1.select(*keep, *[field(F.col("_obj"), m).alias(f"_v_{m}") for m in metrics])
+    kinds = F.array(*[F.struct(F.lit(m).alias("metric"), value_kind(F.col(f"_v_{m}")).alias("kind")) for m in metrics])
+    return s2.select(*keep, F.inline(kinds)).where(F.col("kind") != "number")

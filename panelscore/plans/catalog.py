@@ -611,3 +611,12 @@ def q_infer_ats(spark, sf):
     )
     parsed = ats_ops.summary_rows(ats_ops.parse_ats(scored, keys=["job_id", "resume_id", "model"]))
     return parsed.select("job_id", "resume_id", "model", "status", "ats_score", "row_md")
+
+
+@register("judgment_issues")
+def q_judgment_issues(spark, sf):
+    """JSN-4 issue flags: per judge and metric, counts of values that were not plain numbers."""
+    from ..functions.judgment import judgment_issues
+
+    issues = judgment_issues(fx.judgments_raw(spark, sf), keep=["evaluator"])
+    return issues.groupBy("evaluator", "metric", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -650,3 +650,12 @@ from (
   from applications a join jobs j on j.job_id = a.job_id join resumes r on r.resume_id = a.resume_id
   cross join models m) x
 """)
+
+ORACLE["judgment_issues"] = with_fixtures(["judgments_raw"], """
+select evaluator, metric, kind, count(*) as n from (
+  select evaluator,
+    case f when 2 then 'helpfulness' when 3 then 'correctness' when 4 then 'coherence' when 5 then 'clarity' end as metric,
+    case f when 2 then 'missing' when 3 then 'null' when 4 then 'numeric_string' when 5 then 'boolean' end as kind
+  from judgments_raw where f in (2, 3, 4, 5)) x
+group by evaluator, metric, kind
+""")

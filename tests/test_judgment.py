@@ -92,3 +92,14 @@ noise = st.sampled_from(["", "Sure: ", "Result\n", "} ", "{ broken ", " thanks",
 @given(st.lists(st.tuples(noise, objects, noise), min_size=5, max_size=15))
 def test_property_against_python(spark, parts):
     check(spark, [a + o + b for a, o, b in parts])
+
+
+def test_issue_kinds(spark):
+    from panelscore.functions.judgment import judgment_issues
+
+    df = spark.createDataFrame([(1, '{"helpfulness": "high", "correctness": [1], "coherence": "0.5", '
+                                    '"tone_score": null, "accuracy": false, "relevance": 1, "completeness": 0.5}'),
+                                (2, "no json")], "id long, raw_text string")
+    got = {(r["metric"], r["kind"]) for r in judgment_issues(df, keep=["id"]).collect()}
+    assert got == {("helpfulness", "text"), ("correctness", "other"), ("coherence", "numeric_string"),
+                   ("tone_score", "null"), ("accuracy", "boolean"), ("clarity", "missing")}
