@@ -470,11 +470,15 @@ STREAM_FILES = 5
 STREAM_TIMEOUT_SEC = 1800
 
 
-def _stream_input(spark, df: DataFrame, copies: int = 1) -> str:
-    """Evaluation rows dropped into a folder as ``STREAM_FILES`` parquet files (per copy)."""
+def _stream_input(spark, df: DataFrame, key: str, copies: int = 1) -> str:
+    """Evaluation rows dropped into a folder as ``STREAM_FILES`` parquet files (per copy).
+
+    Files are cut by ranges of ``key`` (a high-cardinality column), so each file
+    holds a similar share of the rows.
+    """
     base = scratch_path(spark, "stream_in")
     for c in range(copies):
-        df.repartitionByRange(STREAM_FILES, *df.columns[:1]).write.parquet(f"{base}/copy={c}")
+        df.repartitionByRange(STREAM_FILES, key).write.parquet(f"{base}/copy={c}")
     return base
 
 
@@ -490,7 +494,7 @@ def _await(q):
 def q_stream_running(spark, sf):
     """STM-1: running per-model statistics over arriving evaluation files (complete mode)."""
     facts = _facts(spark, sf)
-    src = _stream_input(spark, facts)
+    src = _stream_input(spark, facts, "prompt_id")
     out, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
     stream = monitor.file_stream(spark, f"{src}/copy=0", facts.schema)
     _await(monitor.to_parquet_batches(monitor.running_model_stats(stream), out, ck, "complete"))
@@ -502,7 +506,7 @@ def q_stream_running(spark, sf):
 def q_stream_hourly(spark, sf):
     """STM-2: hourly mean helpfulness per (target, evaluator) with a watermark (update mode)."""
     facts = _facts(spark, sf)
-    src = _stream_input(spark, facts.select("eval_ts", "target_model", "evaluator", "helpfulness"))
+    src = _stream_input(spark, facts.select("eval_ts", "target_model", "evaluator", "helpfulness"), "eval_ts")
     out, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
     stream = monitor.file_stream(spark, f"{src}/copy=0", StructType(facts.select("eval_ts", "target_model", "evaluator", "helpfulness").schema.fields))
     # files are delivered in arbitrary order here, so the delay covers the whole replay
@@ -521,7 +525,7 @@ def q_stream_dedup(spark, sf):
         F.lit(RUN_A).alias("run_id"), "prompt_id", "target_model", "evaluator", *METRICS,
         F.to_timestamp(F.lit(RUN_A), "yyyyMMdd_HHmmss").alias("eval_ts"),
     )
-    src = _stream_input(spark, rows, copies=2)
+    src = _stream_input(spark, rows, "prompt_id", copies=2)
     out, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
     _await(monitor.to_parquet_batches(monitor.dedup_judgments(stream), out, ck, "append"))
