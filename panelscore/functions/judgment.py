@@ -35,11 +35,6 @@ def parse_single(text: Column) -> Column:
     return F.when(second.isNull(), first)
 
 
-def judgment_object(block: Column) -> Column:
-    """Parsed judgment object or null (no block, invalid JSON, extra data)."""
-    return F.when(block != "", parse_single(block))
-
-
 def parse_status(block: Column, obj: Column) -> Column:
     return (
         F.when(block == "", F.lit("no_json"))

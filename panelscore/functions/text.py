@@ -43,11 +43,6 @@ def response_card(response: Column, reasoning: Column) -> Column:
     )
 
 
-def error_text(source: Column, message: Column) -> Column:
-    """STR-16: error sentinel '[<source> Error] <message>'."""
-    return F.concat(F.lit("["), source, F.lit(" Error] "), message)
-
-
 def is_error(c: Column) -> Column:
     """FLT-5: text is an error sentinel '[... Error] ...'."""
     return F.coalesce(c.rlike(r"^\[[^\]]* Error\] "), F.lit(False))

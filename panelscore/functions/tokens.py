@@ -21,11 +21,3 @@ def is_token(piece: Column) -> Column:
     return F.length(piece) >= MIN_TOKEN_LEN
 
 
-def tokens(text: Column) -> Column:
-    """All tokens of ``text`` in order (with repeats), as an array."""
-    return F.filter(token_array(text), is_token)
-
-
-def distinct_tokens(text: Column) -> Column:
-    """Distinct tokens of one text (computed inside the row, no shuffle)."""
-    return F.array_distinct(tokens(text))

@@ -181,13 +181,6 @@ def metric_extremes(df: DataFrame, best: bool, metrics: Sequence[str] = CORE4) -
 REPORT_COLUMNS = ["section", "item", "metric", "value", "label"]
 
 
-def _long(df: DataFrame, section: str, key: str, value_cols: Sequence[str]) -> DataFrame:
-    return df.unpivot(key, list(value_cols), "metric", "value").select(
-        F.lit(section).alias("section"), F.col(key).alias("item"), "metric", F.col("value").cast("double").alias("value"),
-        F.lit(None).cast("string").alias("label"),
-    )
-
-
 def _report_facts(df: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:
     """One scan: statistics per target model, per evaluator, and the grand total.
 

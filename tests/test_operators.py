@@ -208,3 +208,19 @@ def test_selection_applied_before_model_calls(spark, tmp_path):
     out = inference.complete(targets, inference.echo_client_factory(log_path=log), "answer")
     assert out.count() == 4
     assert Counter(line.split("\t")[1] for line in open(log)) == {"m2": 4}
+
+
+def test_report_lines_and_usable_filter(spark, tmp_path):
+    from panelscore.operators import scoring
+    from panelscore.sources import sinks
+
+    df = _evals(spark, [("a", "x", 0.5, 0.25, 0.5, 0.5), ("b", "y", 0.1, 0.2, 0.3, 0.4)])
+    lines = [r[0] for r in analysis.report_lines(analysis.report_long(df)).collect()]
+    assert "OVERVIEW dataset: total_records 2" in lines
+    assert any(line.startswith("MODEL PERFORMANCE best_model: overall 0.438 (a)") for line in lines)
+    path = sinks.write_report_text(analysis.report_lines(analysis.report_long(df)), str(tmp_path / "report"))
+    assert spark.read.text(path).count() == len(lines)
+    raw = spark.createDataFrame([(1, "m1", "m2", '{"helpfulness": 1}'), (1, "m2", "m1", "nope")],
+                                "prompt_id long, target_model string, evaluator string, raw_text string")
+    usable = scoring.usable_judgments(scoring.parsed_judgments(raw))
+    assert [r["target_model"] for r in usable.collect()] == ["m1"]
