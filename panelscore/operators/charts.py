@@ -18,14 +18,15 @@ from .analysis import numeric_columns
 def cross_pivot(df: DataFrame, evaluators: Sequence[str], metric: str = "helpfulness") -> DataFrame:
     """AGG-13: mean ``metric`` with rows = target model, columns = evaluator.
 
-    Column values are passed in (no extra distinct job). Rows whose cells are
+    Column values are passed in (no extra distinct job), so the pivot is a
+    single grouped aggregation of conditional averages. Rows whose cells are
     all null are dropped; a target never judges itself, so its own cell is null.
     """
+    # conditional averages: one aggregation (``pivot`` would aggregate twice)
     p = (
         df.where(F.col("target_model").isNotNull() & F.col("evaluator").isNotNull())
         .groupBy("target_model")
-        .pivot("evaluator", list(evaluators))
-        .agg(F.bround(F.avg(metric), 3))
+        .agg(*[F.bround(F.avg(F.when(F.col("evaluator") == e, F.col(metric))), 3).alias(e) for e in evaluators])
     )
     any_value = None
     for e in evaluators:
