@@ -69,6 +69,9 @@ def keyword_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame,
     m = pairs.join(rt, ["resume_id", "token"], "left").select(
         *keys, "token", "tf", F.coalesce("_hit", F.lit(False)).alias("matched")
     )
+    # one hash partitioning by application serves both the rank window (its keys
+    # are a superset) and the aggregate, instead of a shuffle for each
+    m = m.repartition(*keys)
     w = Window.partitionBy(*keys, "matched").orderBy(F.desc("tf"), F.asc("token"))
     agg = m.withColumn("_rn", F.row_number().over(w)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("job_tokens"),
