@@ -224,3 +224,40 @@ def test_report_lines_and_usable_filter(spark, tmp_path):
                                 "prompt_id long, target_model string, evaluator string, raw_text string")
     usable = scoring.usable_judgments(scoring.parsed_judgments(raw))
     assert [r["target_model"] for r in usable.collect()] == ["m1"]
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_score = st.one_of(st.none(), st.integers(0, 100).map(lambda x: x / 100))
+_row = st.tuples(st.sampled_from(["a", "b", "c", None]), st.sampled_from(["x", "y"]), _score, _score, _score, _score)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_row, min_size=1, max_size=40))
+def test_stats_against_pandas(spark, rows):
+    import pandas as pd
+
+    cols = ["target_model", "evaluator", "helpfulness", "correctness", "coherence", "clarity"]
+    pdf = pd.DataFrame(rows, columns=cols)
+    df = _evals(spark, rows)
+    # AGG-1 + AGG-7
+    got = {r["target_model"]: r for r in analysis.model_stats(df).collect()}
+    exp = pdf.groupby("target_model").agg({"helpfulness": ["mean", "std", "count"], "clarity": ["mean"]})
+    assert set(got) == set(exp.index)
+    for k in exp.index:
+        for name, col in (("helpfulness_mean", ("helpfulness", "mean")), ("helpfulness_std", ("helpfulness", "std")),
+                          ("clarity_mean", ("clarity", "mean"))):
+            e = exp.loc[k, col]
+            g = got[k][name]
+            assert (g is None and pd.isna(e)) or (g is not None and abs(g - round(float(e), 3)) <= 0.0015), (k, name, g, e)
+        assert got[k]["helpfulness_count"] == exp.loc[k, ("helpfulness", "count")]
+    # AGG-8: macro average of the four metric means, nulls skipped
+    means = pdf.groupby("target_model")[cols[2:]].mean().mean(axis=1)
+    o = {r["name"]: r["overall"] for r in analysis.overall_scores(df).collect() if r["kind"] == "target_model"}
+    for k, v in means.items():
+        assert (o[k] is None and pd.isna(v)) or abs(o[k] - v) < 1e-6
+    # AGG-13 pivot vs pandas pivot_table (all-null rows dropped)
+    piv = {r["target_model"]: r for r in charts.cross_pivot(df, ["x", "y"]).collect()}
+    pt = pdf.pivot_table(values="helpfulness", index="target_model", columns="evaluator", aggfunc="mean")
+    assert set(piv) == set(pt.dropna(how="all").index)
