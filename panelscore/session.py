@@ -106,3 +106,24 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class conf_override:
+    """Temporarily set SQL confs (restored on exit), e.g. while a stream starts."""
+
+    def __init__(self, spark: SparkSession, values: dict):
+        self.spark, self.values, self.saved = spark, values, {}
+
+    def __enter__(self):
+        for k, v in self.values.items():
+            self.saved[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, str(v))
+        return self
+
+    def __exit__(self, *exc):
+        for k, v in self.saved.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+        return False

@@ -54,15 +54,24 @@ def dedup_judgments(
 
 
 def to_parquet_batches(result: DataFrame, out_path: str, checkpoint: str, mode: str,
-                       available_now: bool = True) -> StreamingQuery:
-    """Sink every micro-batch to ``out_path`` tagged with ``batch_id`` (idempotent per batch)."""
+                       available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
+    """Sink every micro-batch to ``out_path`` tagged with ``batch_id`` (idempotent per batch).
+
+    The number of state partitions of a stateful stream is fixed when it first
+    starts; it defaults to the cluster's core count (``defaultParallelism``)
+    rather than the session's batch shuffle setting.
+    """
+    from ..session import conf_override
 
     def write(batch: DataFrame, batch_id: int):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
+    spark = result.sparkSession
+    n = state_partitions or spark.sparkContext.defaultParallelism
     w = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+    with conf_override(spark, {"spark.sql.shuffle.partitions": n}):
+        return w.start()
 
 
 def read_latest(spark: SparkSession, out_path: str, keys: Sequence[str]) -> DataFrame:
