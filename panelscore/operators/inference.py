@@ -64,10 +64,13 @@ def complete(
     max_retries: int = 2,
     backoff_sec: float = 0.0,
     concurrency: int | None = None,
+    threads_per_task: int = 1,
 ) -> DataFrame:
     """Call ``client.complete(model, prompt, spec) -> str`` for every row.
 
     Adds ``out_col`` (text or null) and ``error`` (last error message or null).
+    ``threads_per_task`` > 1 overlaps the (I/O-bound) calls of one Arrow batch
+    on a thread pool; results keep the row order.
     """
     if role not in ROLE_SETTINGS:
         raise ValueError(f"unknown role {role!r}")
@@ -76,25 +79,35 @@ def complete(
     schema = StructType(df.schema.fields + [StructField(out_col, StringType()), StructField("error", StringType())])
     src = df.repartition(concurrency) if concurrency else df
 
+    def call(client, model, prompt):
+        err = None
+        for attempt in range(max_retries + 1):
+            try:
+                return client.complete(model, prompt, spec), None
+            except Exception as e:  # noqa: BLE001 - any client failure is data
+                err = e
+                if backoff_sec:
+                    time.sleep(backoff_sec * (2 ** attempt))
+        return error_output(role, model, err), str(err)
+
     def run(batches):
         client = client_factory()
-        for pdf in batches:
-            outs, errs = [], []
-            for model, prompt in zip(pdf[model_col].tolist(), pdf[prompt_col].tolist()):
-                out, err = None, None
-                for attempt in range(max_retries + 1):
-                    try:
-                        out, err = client.complete(model, prompt, spec), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - any client failure is data
-                        err = e
-                        if backoff_sec:
-                            time.sleep(backoff_sec * (2 ** attempt))
-                if err is not None:
-                    out = error_output(role, model, err)
-                outs.append(out)
-                errs.append(None if err is None else str(err))
-            yield pdf.assign(**{out_col: outs, "error": errs})
+        pool = None
+        if threads_per_task > 1:
+            from concurrent.futures import ThreadPoolExecutor
+
+            pool = ThreadPoolExecutor(max_workers=threads_per_task)
+        try:
+            for pdf in batches:
+                pairs = list(zip(pdf[model_col].tolist(), pdf[prompt_col].tolist()))
+                if pool is None:
+                    results = [call(client, m, p) for m, p in pairs]
+                else:
+                    results = list(pool.map(lambda mp: call(client, *mp), pairs))
+                yield pdf.assign(**{out_col: [r[0] for r in results], "error": [r[1] for r in results]})
+        finally:
+            if pool is not None:
+                pool.shutdown()
 
     return src.mapInPandas(run, schema)
 

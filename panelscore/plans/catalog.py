@@ -391,28 +391,32 @@ def q_reasoning_prompts(spark, sf):
 from ..operators import inference  # noqa: E402
 
 
+def judge_answers(answers: DataFrame, models, client_factory, selected=None, panel="all") -> DataFrame:
+    """Round-robin judging of materialised answers -> parsed judgments -> evaluation rows."""
+    pairs = pairing.judge_pairs(answers, models, selected, panel)
+    requests = pairs.select(
+        "prompt_id", "target_model", F.col("evaluator").alias("model"),
+        txt.judge_prompt(F.col("prompt"), F.col("target_model"), F.col("response")).alias("request"),
+    )
+    judged = inference.materialize(inference.complete(requests, client_factory, "judge").drop("request", "error"))
+    parsed = scoring.parsed_judgments(judged.withColumnRenamed("model", "evaluator"))
+    return scoring.evaluation_rows(parsed, answers)
+
+
 def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, panel="all") -> DataFrame:
-    """E1/E2 end to end: fan-out -> answers -> judge requests -> judgments -> evaluation rows.
+    """E2 end to end: fan-out -> answers -> judge requests -> judgments -> evaluation rows.
 
     All prompts go through one plan (SET-1: no per-prompt loop and no union of
-    per-prompt results).
-
-    Both paid steps are materialised before reuse, so every (prompt, model, role)
-    call happens once even when later stages are retried or re-planned.
+    per-prompt results). Both paid steps are materialised before reuse, so every
+    (prompt, model, role) call happens once even when later stages are retried
+    or re-planned.
     """
     targets = pairing.fan_out(prompts, models, selected)
     answers = inference.complete(
         targets.withColumn("request", F.col("prompt")), client_factory, "answer", out_col="response"
     ).drop("request", "error")
     answers = inference.materialize(answers.withColumn("reasoning", F.concat(F.lit("because "), F.col("model"))))
-    pairs = pairing.judge_pairs(answers, models, selected, panel)
-    requests = pairs.select(
-        "prompt_id", "target_model", F.col("evaluator").alias("model"),
-        txt.judge_prompt(F.col("prompt"), F.col("target_model"), F.col("response")).alias("request"),
-    )
-    judged = inference.materialize(inference.complete(requests, client_factory, "judge").drop("request", "error"))
-    parsed = scoring.parsed_judgments(judged.withColumnRenamed("model", "evaluator"))
-    return scoring.evaluation_rows(parsed, answers)
+    return judge_answers(answers, models, client_factory, selected, panel)
 
 
 @register("infer_pipeline")
@@ -587,6 +591,13 @@ def answer_panel(prompts: DataFrame, models, client_factory, hits: DataFrame, se
     )
 
 
+def run_evaluation(prompts: DataFrame, models, client_factory, hits: DataFrame, selected=None, panel="all") -> DataFrame:
+    """E1 end to end: classifier, search context, answers, explanations, then round-robin judging."""
+    answers = answer_panel(prompts.select("prompt_id", "prompt"), models, client_factory, hits, selected)
+    answers = answers.join(prompts.select("prompt_id", "prompt"), "prompt_id")
+    return judge_answers(answers, models, client_factory, selected, panel)
+
+
 @register("infer_answers")
 def q_infer_answers(spark, sf):
     """INF-1/4/5, STR-1/4/7, JN-5: answers with search context and explanations (offline client)."""

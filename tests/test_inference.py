@@ -48,3 +48,38 @@ def test_concurrency_cap_repartitions(spark):
     out = inference.complete(df, inference.echo_client_factory(), "answer", concurrency=3)
     assert out.rdd.getNumPartitions() == 3
     assert out.count() == 20
+
+
+def _hits(spark):
+    return spark.createDataFrame([], "prompt_id long, rk int, title string, snippet string, link string")
+
+
+def test_calls_per_prompt_full_flow(spark, tmp_path):
+    """13 calls per prompt with three models (1 classifier + 3 answers + 3 explanations + 6 judgments)."""
+    from panelscore.plans.catalog import run_evaluation
+
+    log = str(tmp_path / "calls.log")
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(5)], "prompt_id long, prompt string")
+    rows = run_evaluation(prompts, PANEL, inference.echo_client_factory(log_path=log), _hits(spark))
+    assert rows.count() == 5 * 6
+    calls = Counter(line.split("\t")[0] for line in open(log))
+    assert calls == {"realtime": 5, "answer": 15, "reasoning": 15, "judge": 30}
+    assert sum(calls.values()) == 13 * 5
+
+
+def test_selection_saves_calls(spark, tmp_path):
+    """One selected model: 1 + 1 + 1 + 2 calls per prompt (selection happens before any call)."""
+    from panelscore.plans.catalog import run_evaluation
+
+    log = str(tmp_path / "calls.log")
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(4)], "prompt_id long, prompt string")
+    rows = run_evaluation(prompts, PANEL, inference.echo_client_factory(log_path=log), _hits(spark), selected=["m2"])
+    assert {r["target_model"] for r in rows.collect()} == {"m2"}
+    calls = Counter(line.split("\t")[0] for line in open(log))
+    assert calls == {"realtime": 4, "answer": 4, "reasoning": 4, "judge": 8}
+
+
+def test_threaded_calls_keep_order(spark):
+    df = spark.range(50).select(F.lit("m1").alias("model"), F.col("id").cast("string").alias("request"))
+    out = inference.complete(df, inference.echo_client_factory(), "answer", threads_per_task=8)
+    assert all(r["raw_text"] == f"M1: {r['request']}" for r in out.collect())
