@@ -403,9 +403,13 @@ def judge_answers(answers: DataFrame, models, client_factory, selected=None, pan
     return scoring.evaluation_rows(parsed, answers)
 
 
-def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, panel="all") -> DataFrame:
+def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, panel="all",
+                   answer_role: str = "answer", drop_failed: bool = False) -> DataFrame:
     """E2 end to end: fan-out -> answers -> judge requests -> judgments -> evaluation rows.
 
+    ``answer_role='answer_logger', drop_failed=True`` is the command-line flow
+    (null on failure, failed answers not judged, judges still the whole panel).
+
     All prompts go through one plan (SET-1: no per-prompt loop and no union of
     per-prompt results). Both paid steps are materialised before reuse, so every
     (prompt, model, role) call happens once even when later stages are retried
@@ -413,9 +417,12 @@ def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, pa
     """
     targets = pairing.fan_out(prompts, models, selected)
     answers = inference.complete(
-        targets.withColumn("request", F.col("prompt")), client_factory, "answer", out_col="response"
+        targets.withColumn("request", F.col("prompt")), client_factory, answer_role, out_col="response"
     ).drop("request", "error")
     answers = inference.materialize(answers.withColumn("reasoning", F.concat(F.lit("because "), F.col("model"))))
+    if drop_failed:
+        # FLT-4 (command-line flow): a failed (null) or empty answer is not judged
+        answers = answers.where(F.col("response").isNotNull() & (F.col("response") != ""))
     return judge_answers(answers, models, client_factory, selected, panel)
 
 

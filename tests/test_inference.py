@@ -83,3 +83,15 @@ def test_threaded_calls_keep_order(spark):
     df = spark.range(50).select(F.lit("m1").alias("model"), F.col("id").cast("string").alias("request"))
     out = inference.complete(df, inference.echo_client_factory(), "answer", threads_per_task=8)
     assert all(r["raw_text"] == f"M1: {r['request']}" for r in out.collect())
+
+
+def test_command_line_flow_drops_failed_answers(spark, tmp_path):
+    log = str(tmp_path / "calls.log")
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(3)], "prompt_id long, prompt string")
+    rows = evaluate_panel(prompts, PANEL, inference.echo_client_factory(fail_models=["m1"], log_path=log),
+                          answer_role="answer_logger", drop_failed=True).collect()
+    # m1 never answers (not a target) and its judgments fail (dropped): one judge left per target
+    assert sorted({(r["target_model"], r["evaluator"]) for r in rows}) == [("m2", "m3"), ("m3", "m2")]
+    calls = Counter(line.split("\t")[0] for line in open(log))
+    # every failing call is attempted 1 + max_retries (= 3) times
+    assert calls == {"answer_logger": 3 * (2 + 3), "judge": 3 * 2 * (1 + 3)}
