@@ -162,3 +162,23 @@ def input_kind(name_col) -> F.Column:
         .when(lower.endswith(".pdf") | lower.endswith(".docx") | lower.endswith(".txt"), F.lit("resume"))
         .otherwise(F.lit("none"))
     )
+
+
+SIMPLE_COLUMNS = ["model", "helpfulness", "correctness", "coherence", "clarity"]
+
+
+def read_eval_any(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1 + PRJ-6 for any layout: the header line decides the schema (no data inference).
+
+    Known metric / average columns are typed DOUBLE, everything else STRING.
+    """
+    try:
+        first = spark.read.text(path).limit(1).collect()
+    except AnalysisException:
+        return _empty(spark, COMPREHENSIVE_SCHEMA)
+    if not first:
+        return _empty(spark, COMPREHENSIVE_SCHEMA)
+    import csv
+
+    header = next(csv.reader([first[0][0]]))
+    return read_eval_csv(spark, path, layout_schema(header))
