@@ -190,7 +190,9 @@ def retrieve(
         qid, did, "u", F.bround(F.col("s_cold") + F.coalesce("s_hot", F.lit(0.0)), digits).alias("score")
     )
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(did))
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # at most k rows per query; written once so that certification, the size check
+    # of the fallback queries and the final union all read it
+    ranked = checkpointed(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "ranked")
     # 3. certification: the k-th final score must beat anything a non-candidate can reach
     kth_final = ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s_k"))
     # a query without any candidate has null n / s_k: it must go to the exact path
