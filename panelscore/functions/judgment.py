@@ -23,8 +23,18 @@ NUMERIC_TYPES = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
 
 
 def json_block(text: Column) -> Column:
-    """First ``{`` to last ``}`` (greedy, dot matches newline); '' when absent."""
-    return F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    """First ``{`` to last ``}`` (what a greedy, dot-all ``{.*}`` search finds); '' when absent.
+
+    A match exists exactly when the last ``}`` comes after the first ``{``, so
+    the block is cut with ``instr``/``reverse``/``substring`` in linear time
+    (the regular expression backtracks quadratically on text with many ``{``
+    and no ``}`` after them).
+    """
+    start = F.instr(text, "{")
+    from_end = F.instr(F.reverse(text), "}")
+    end = F.length(text) - from_end + 1
+    ok = (start > 0) & (from_end > 0) & (end > start)
+    return F.when(ok, text.substr(start, end - start + 1)).otherwise(F.lit(""))
 
 
 def parse_single(text: Column) -> Column:

@@ -103,3 +103,12 @@ def test_issue_kinds(spark):
     got = {(r["metric"], r["kind"]) for r in judgment_issues(df, keep=["id"]).collect()}
     assert got == {("helpfulness", "text"), ("correctness", "other"), ("coherence", "numeric_string"),
                    ("tone_score", "null"), ("accuracy", "boolean"), ("clarity", "missing")}
+
+
+def test_block_extraction_is_linear_and_exact(spark):
+    import time
+
+    texts = ["{" * 100_000 + " no close", "} before {", "x {a} y } z", "{}}", "{" * 50_000 + "}"]
+    t = time.time()
+    check(spark, texts)
+    assert time.time() - t < 60
