@@ -107,8 +107,9 @@ def semantic_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame,
         F.concat(F.lit("j"), F.col("job_id").cast("string")).alias("jdoc"),
         F.concat(F.lit("r"), F.col("resume_id").cast("string")).alias("rdoc"),
     )
-    wj = w.select(F.col("doc").alias("jdoc"), "token", F.col("w").alias("wj"))
-    wr = w.select(F.col("doc").alias("rdoc"), "token", F.col("w").alias("wr"))
+    # each side only needs its own kind of document (halves the shuffled weights)
+    wj = w.where(F.col("doc").startswith("j")).select(F.col("doc").alias("jdoc"), "token", F.col("w").alias("wj"))
+    wr = w.where(F.col("doc").startswith("r")).select(F.col("doc").alias("rdoc"), "token", F.col("w").alias("wr"))
     dots = app.join(wj, "jdoc").join(wr, ["rdoc", "token"]).groupBy("jdoc", "rdoc").agg(
         F.sum(F.col("wj") * F.col("wr")).alias("dot")
     )
