@@ -642,3 +642,21 @@ def q_judgment_issues(spark, sf):
 
     issues = judgment_issues(fx.judgments_raw(spark, sf), keep=["evaluator"])
     return issues.groupBy("evaluator", "metric", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("run_counts")
+def q_run_counts(spark, sf):
+    """AGG-17: prompts found, responses collected, targets evaluated, evaluations (one row)."""
+    from ..functions.text import blank
+
+    prompts = fx.prompts(spark, sf).agg(F.count(F.lit(1)).alias("n_prompts"))
+    resp = fx.responses(spark, sf).agg(F.count(F.when(~blank(F.col("response")), 1)).alias("n_responses"))
+    usable = scoring.target_averages(_parsed(spark, sf)).agg(
+        F.count(F.lit(1)).alias("n_targets_evaluated"), F.sum("n_evaluators").alias("n_evaluations")
+    )
+    return prompts.select(
+        "n_prompts",
+        resp.select("n_responses").scalar().alias("n_responses"),
+        usable.select("n_targets_evaluated").scalar().alias("n_targets_evaluated"),
+        usable.select("n_evaluations").scalar().alias("n_evaluations"),
+    )

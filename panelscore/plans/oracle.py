@@ -659,3 +659,11 @@ select evaluator, metric, kind, count(*) as n from (
   from judgments_raw where f in (2, 3, 4, 5)) x
 group by evaluator, metric, kind
 """)
+
+ORACLE["run_counts"] = with_fixtures(["responses", "judgments_raw"], """
+select (select count(*) from prompts) as n_prompts,
+  (select count(*) from responses where coalesce(response, '') <> '') as n_responses,
+  (select count(distinct prompt_id * 10 + case target_model when 'model_a' then 0 when 'model_b' then 1 else 2 end)
+     from judgments_raw where f not in (0, 1, 6, 7)) as n_targets_evaluated,
+  (select count(*) from judgments_raw where f not in (0, 1, 6, 7)) as n_evaluations
+""")
