@@ -261,3 +261,16 @@ def test_stats_against_pandas(spark, rows):
     piv = {r["target_model"]: r for r in charts.cross_pivot(df, ["x", "y"]).collect()}
     pt = pdf.pivot_table(values="helpfulness", index="target_model", columns="evaluator", aggfunc="mean")
     assert set(piv) == set(pt.dropna(how="all").index)
+
+
+def test_unpivot_pivot_round_trip(spark):
+    from panelscore.config import METRICS
+    from panelscore.plans import fixtures as fx
+
+    facts = fx.eval_facts(spark, "/root/testdata/sf0.001")
+    wide = {r["target_model"]: r.asDict() for r in charts.heatmap(facts).collect()}
+    long = charts.bar_long(facts)
+    back = long.groupBy("target_model").pivot("variable", METRICS).agg(F.first("value"))
+    for r in back.collect():
+        assert {m: r[m] for m in METRICS} == {m: wide[r["target_model"]][m] for m in METRICS}
+    assert long.count() == len(wide) * len(METRICS)
