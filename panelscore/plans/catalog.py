@@ -484,12 +484,14 @@ STREAM_TIMEOUT_SEC = 1800
 def _stream_input(spark, df: DataFrame, key: str, copies: int = 1) -> str:
     """Evaluation rows dropped into a folder as ``STREAM_FILES`` parquet files (per copy).
 
-    Files are cut by ranges of ``key`` (a high-cardinality column), so each file
-    holds a similar share of the rows.
+    Files are cut by a hash of ``key`` (a high-cardinality column), so each file
+    holds a similar share of the rows (no sampling pass, unlike range cuts).
     """
     base = scratch_path(spark, "stream_in")
-    for c in range(copies):
-        df.repartitionByRange(STREAM_FILES, key).write.parquet(f"{base}/copy={c}")
+    df.repartition(STREAM_FILES, key).write.parquet(f"{base}/copy=0")
+    for c in range(1, copies):
+        # re-deliveries are copies of the written files (the input is computed once)
+        spark.read.parquet(f"{base}/copy=0").write.parquet(f"{base}/copy={c}")
     return base
 
 
@@ -538,7 +540,9 @@ def q_stream_dedup(spark, sf):
     )
     src = _stream_input(spark, rows, "prompt_id", copies=2)
     out, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    # each copy arrives as one micro-batch; the second copy re-delivers every row
+    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STREAM_FILES)
+              .option("recursiveFileLookup", "true").parquet(src))
     _await(monitor.to_parquet_batches(monitor.dedup_judgments(stream), out, ck, "append"))
     return spark.read.parquet(out).drop("batch_id", "eval_ts")
 
