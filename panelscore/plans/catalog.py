@@ -447,8 +447,15 @@ _RUN_COLS = ["run_id", "layout", "eval_ts", "prompt", "target_model", "evaluator
              *METRICS, "reasoning", "notes", *[f"avg_{m}" for m in METRICS]]
 
 
+def _evaluations_once(spark, sf):
+    """Evaluation rows written once (shared folder), so several sinks do not recompute them."""
+    from ..session import materialize
+
+    return materialize(scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf)), "evaluations")
+
+
 def _write_two_runs(spark, sf):
-    evals = scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
+    evals = _evaluations_once(spark, sf)
     out = scratch_path(spark, "results")
     sinks.write_comprehensive(evals, out, RUN_A)
     sinks.write_batch_evaluation(evals, out, RUN_B)
@@ -465,7 +472,7 @@ def q_runs_union(spark, sf):
 @register("latest_run")
 def q_latest_run(spark, sf):
     """SRC-2 + TOP-3: rows of the newest results/*.csv file (the second run written)."""
-    evals = scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
+    evals = _evaluations_once(spark, sf)
     out = scratch_path(spark, "results")
     sinks.write_comprehensive(evals, out, RUN_A)
     sinks.write_comprehensive(evals.withColumn("notes", F.lit("rerun")), out, RUN_B)
