@@ -18,7 +18,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 # Per-role generation settings and error behaviour of the protocol.

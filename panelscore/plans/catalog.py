@@ -9,12 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT_PANEL, METRICS
-from ..operators import pairing, scoring
-from ..session import apply_query_conf
+from ..functions import text as txt
+from ..operators import analysis, charts, inference, pairing, scoring, textmatch
+from ..operators import ats as ats_ops
+from ..operators import responses as resp_ops
+from ..operators import search as search_ops
+from ..session import apply_query_conf, scratch_path
+from ..sources import files as file_src
+from ..sources import sinks
+from ..streaming import monitor
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,8 +117,6 @@ def q_model_summary(spark, sf):
 
 # --------------------------------------------------------------------------- analysis (eval_facts)
 
-from ..operators import analysis  # noqa: E402
-
 
 def _facts(spark, sf):
     return fx.eval_facts(spark, sf)
@@ -197,8 +202,6 @@ def q_flagship(spark, sf):
 
 # --------------------------------------------------------------------------- charts
 
-from ..operators import charts  # noqa: E402
-
 
 @register("cross_pivot")
 def q_cross_pivot(spark, sf):
@@ -244,8 +247,6 @@ def q_bar_long(spark, sf):
 
 # --------------------------------------------------------------------------- responses
 
-from ..operators import responses as resp_ops  # noqa: E402
-
 
 @register("side_by_side")
 def q_side_by_side(spark, sf):
@@ -273,9 +274,6 @@ def q_response_lengths(spark, sf):
 
 # --------------------------------------------------------------------------- ATS output and search
 
-from ..operators import ats as ats_ops  # noqa: E402
-from ..operators import search as search_ops  # noqa: E402
-
 
 def _ats_parsed(spark, sf):
     return ats_ops.parse_ats(fx.ats_raw(spark, sf))
@@ -315,8 +313,6 @@ def q_search_context(spark, sf):
 
 # --------------------------------------------------------------------------- text matching and retrieval
 
-from ..operators import textmatch  # noqa: E402
-
 
 @register("keyword_match")
 def q_keyword_match(spark, sf):
@@ -339,8 +335,6 @@ def q_retrieve_top3(spark, sf):
 
 # --------------------------------------------------------------------------- prompt construction
 
-from ..functions import text as txt  # noqa: E402
-
 
 @register("prompt_build")
 def q_prompt_build(spark, sf):
@@ -388,8 +382,6 @@ def q_reasoning_prompts(spark, sf):
 
 # --------------------------------------------------------------------------- model calls (offline client)
 
-from ..operators import inference  # noqa: E402
-
 
 def judge_answers(answers: DataFrame, models, client_factory, selected=None, panel="all") -> DataFrame:
     """Round-robin judging of materialised answers -> parsed judgments -> evaluation rows."""
@@ -437,9 +429,6 @@ def q_infer_pipeline(spark, sf):
 
 # --------------------------------------------------------------------------- files (write, read back)
 
-from ..session import scratch_path  # noqa: E402
-from ..sources import files as file_src  # noqa: E402
-from ..sources import sinks  # noqa: E402
 
 RUN_A = "20240101_000000"
 RUN_B = "20240102_000000"
@@ -482,7 +471,6 @@ def q_latest_run(spark, sf):
 
 # --------------------------------------------------------------------------- streaming (availableNow, read back)
 
-from ..streaming import monitor  # noqa: E402
 
 STREAM_FILES = 5
 STREAM_TIMEOUT_SEC = 1800
@@ -558,7 +546,7 @@ def q_stream_dedup(spark, sf):
 def q_prompts_csv_roundtrip(spark, sf):
     """SRC-3 + FLT-1: batch prompts written as CSV (multi-line, quoted) and read back."""
     path = scratch_path(spark, "prompts_csv") + "/prompts.csv"
-    fx.prompts(spark, sf).select("prompt_id", "prompt").write.options(**sinks._WRITE_CSV).csv(path)
+    fx.prompts(spark, sf).select("prompt_id", "prompt").write.options(**sinks.WRITE_CSV_OPTIONS).csv(path)
     back = file_src.read_prompts_csv(spark, path)
     return back.select(F.col("prompt_id").cast("long").alias("prompt_id"), "prompt")
 

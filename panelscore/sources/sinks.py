@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .files import BATCH_COLUMNS, COMPREHENSIVE_COLUMNS, CSV_OPTIONS
 
-_WRITE_CSV = {
+WRITE_CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
     "escape": '"',
@@ -25,7 +25,7 @@ _WRITE_CSV = {
 def _csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str | None:
     if df.isEmpty():
         return None
-    df.write.mode(mode).options(**_WRITE_CSV).csv(path)
+    df.write.mode(mode).options(**WRITE_CSV_OPTIONS).csv(path)
     return path
 
 
@@ -69,6 +69,7 @@ def write_report_text(lines: DataFrame, path: str) -> str:
 
 __all__ = [
     "CSV_OPTIONS",
+    "WRITE_CSV_OPTIONS",
     "comprehensive_rows",
     "write_comprehensive",
     "write_batch_evaluation",
