@@ -29,12 +29,15 @@ def _factory(spec: str | None):
     return getattr(importlib.import_module(mod), name)()
 
 
-def run_evaluate(spark, prompts_path: str, out_dir: str, models, selected=None, client=None,
-                 run_ts: str | None = None) -> str | None:
+def run_evaluate(spark, prompts_path: str | None, out_dir: str, models, selected=None, client=None,
+                 run_ts: str | None = None, prompt: str | None = None) -> str | None:
+    from .operators.scoring import summary_from_rows
     from .plans.catalog import evaluate_panel
 
     apply_query_conf(spark)
-    if prompts_path.endswith(".csv"):
+    if prompt is not None:
+        p = spark.createDataFrame([(1, prompt.strip())], "prompt_id long, prompt string").where(F.length("prompt") > 0)
+    elif prompts_path.endswith(".csv"):
         p = files.read_prompts_csv(spark, prompts_path)
         p = files.number_rows(p, "prompt_id")
     else:
@@ -45,6 +48,8 @@ def run_evaluate(spark, prompts_path: str, out_dir: str, models, selected=None,
     out = sinks.write_comprehensive(rows, out_dir, run_ts)
     if out:
         rows.withColumn("run_id", F.lit(run_ts)).write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/parquet")
+        summary = summary_from_rows(spark.read.parquet(f"{out_dir}/parquet/run_id={run_ts}"))
+        summary.write.mode("overwrite").options(header="true").csv(f"{out_dir}/summary_{run_ts}")
     return out
 
 
@@ -78,7 +83,8 @@ def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="panelscore")
     sub = ap.add_subparsers(dest="cmd", required=True)
     ev = sub.add_parser("evaluate", help="answer and judge a prompt file with the model panel")
-    ev.add_argument("prompts")
+    ev.add_argument("prompts", nargs="?", default=None, help="prompt CSV or text file")
+    ev.add_argument("--prompt", default=None, help="a single prompt instead of a file")
     ev.add_argument("--out", default="results")
     ev.add_argument("--models", default=",".join(DEFAULT_PANEL))
     ev.add_argument("--select", default="")
@@ -91,7 +97,10 @@ def main(argv=None) -> int:
     spark = build_session()
     if args.cmd == "evaluate":
         sel = [m for m in args.select.split(",") if m]
-        out = run_evaluate(spark, args.prompts, args.out, args.models.split(","), sel or None, args.client)
+        if not args.prompts and args.prompt is None:
+            ap.error("give a prompt file or --prompt")
+        out = run_evaluate(spark, args.prompts, args.out, args.models.split(","), sel or None, args.client,
+                           prompt=args.prompt)
         print(out or "no results")
     else:
         for name, path in run_analyze(spark, args.results, args.out, args.file).items():

@@ -111,3 +111,11 @@ def model_summary(responses: DataFrame, parsed: DataFrame) -> DataFrame:
     return targets.join(scored, TARGET_KEYS, "left").select(
         *TARGET_KEYS, "helpfulness", "correctness", "coherence", F.coalesce("evaluators", F.lit("")).alias("evaluators")
     )
+
+
+def summary_from_rows(rows: DataFrame) -> DataFrame:
+    """AGG-18 from evaluation rows: per (prompt, target) three averages and the sorted judges."""
+    return rows.groupBy(*TARGET_KEYS).agg(
+        *[F.max(f"avg_{m}").alias(m) for m in ("helpfulness", "correctness", "coherence")],
+        F.array_join(F.array_sort(F.collect_set("evaluator")), ", ").alias("evaluators"),
+    )

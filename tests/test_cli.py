@@ -29,3 +29,13 @@ def test_analyze_simple_layout(spark, tmp_path):
     written = cli.run_analyze(spark, None, str(tmp_path / "out"), csv_file=str(f))
     stats = {r["model"]: r for r in spark.read.options(header="true").csv(written["model_stats"]).collect()}
     assert float(stats["a"]["helpfulness_mean"]) == 0.6 and stats["a"]["coherence_std"] is None
+
+
+def test_single_prompt_summary(spark, tmp_path):
+    results = str(tmp_path / "results")
+    out = cli.run_evaluate(spark, None, results, ["m1", "m2", "m3"], run_ts="20240102_000000",
+                           prompt="  How do joins shuffle?  ")
+    assert out
+    summary = {r["target_model"]: r for r in spark.read.options(header="true").csv(f"{results}/summary_20240102_000000").collect()}
+    assert set(summary) == {"m1", "m2", "m3"}
+    assert summary["m1"]["evaluators"] == "m2, m3"
