@@ -34,3 +34,20 @@ def test_query_matches_oracle(spark, duck_small, name):
     cols = sorted(pdf.columns)
     assert len(pdf) == len(odf)
     assert _rows(pdf, cols, 9) == _rows(odf, cols, 9)
+
+
+@pytest.mark.parametrize("hot", [0.01, 0.5])
+def test_retrieval_exact_on_real_documents(spark, duck_small, hot):
+    """The certified retrieval equals the brute force for any hot-token threshold."""
+    from panelscore.operators import textmatch
+    from panelscore.plans import fixtures as fx
+
+    got = textmatch.retrieve(
+        fx.prompts(spark, SF_SMALL).select("prompt_id", "prompt"),
+        fx.read_table(spark, SF_SMALL, "documents").select("doc_id", "text"),
+        hot_fraction=hot,
+    ).toPandas()
+    exp = duck_small.execute(oracle_sql()["retrieve_top3"]).df()
+    cols = sorted(got.columns)
+    assert sorted(exp.columns) == cols
+    assert _rows(got, cols, 9) == _rows(exp, cols, 9)
