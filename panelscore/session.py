@@ -77,7 +77,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage (HDFS/S3); it is read,
-    never overridden. Only local runs without the setting (tests) get a /tmp folder.
+    never overridden, and a cluster session without it is an error. Only local-mode
+    runs without the setting (tests, the local bench) get a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -85,6 +86,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        # executors on other machines could not read a driver-local folder
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS, S3, ...)")
     local = tempfile.mkdtemp(prefix="panelscore-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
