@@ -47,7 +47,7 @@ def run_evaluate(spark, prompts_path: str | None, out_dir: str, models, selected
     run_ts = run_ts or dt.datetime.now().strftime("%Y%m%d_%H%M%S")
     out = sinks.write_comprehensive(rows, out_dir, run_ts)
     if out:
-        rows.withColumn("run_id", F.lit(run_ts)).write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/parquet")
+        sinks.write_run_partition(rows.withColumn("run_id", F.lit(run_ts)), f"{out_dir}/parquet")
         summary = summary_from_rows(spark.read.parquet(f"{out_dir}/parquet/run_id={run_ts}"))
         summary.write.mode("overwrite").options(header="true").csv(f"{out_dir}/summary_{run_ts}")
     return out

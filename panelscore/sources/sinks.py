@@ -52,15 +52,25 @@ def write_batch_prompts(prompts_with_summary: DataFrame, out_dir: str, mode: str
 
 
 def write_bundle(tables: dict[str, DataFrame], out_dir: str, run_id: str) -> dict[str, str]:
-    """SNK-4: every table of one run as parquet under ``<out>/<name>/run_id=<id>``."""
+    """SNK-4: every table of one run as parquet under ``<out>/<name>/run_id=<id>``.
+
+    Dynamic partition overwrite replaces exactly this run's partition, so writing
+    the same run again (a retried or repeated job) never duplicates rows.
+    """
     written = {}
     for name, df in tables.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+        write_run_partition(df.withColumn("run_id", F.lit(run_id)), path)
         written[name] = path
     return written
 
 
+def write_run_partition(df: DataFrame, path: str) -> str:
+    """Parquet partitioned by ``run_id``; only the runs present in ``df`` are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return path
+
+
 def write_report_text(lines: DataFrame, path: str) -> str:
     """SNK-5: the formatted report as one text file."""
     lines.coalesce(1).write.mode("overwrite").text(path)
@@ -75,5 +85,6 @@ __all__ = [
     "write_batch_evaluation",
     "write_batch_prompts",
     "write_bundle",
+    "write_run_partition",
     "write_report_text",
 ]

@@ -106,3 +106,14 @@ def test_batch_output_bundle_and_report(spark, tmp_path):
     lines = spark.createDataFrame([("line a",), ("line b",)], "value string")
     rp = sinks.write_report_text(lines, str(tmp_path / "report"))
     assert sorted(r[0] for r in spark.read.text(rp).collect()) == ["line a", "line b"]
+
+
+def test_bundle_rewrite_is_idempotent(spark, tmp_path):
+    t = spark.createDataFrame([("m1", 0.5), ("m2", 0.7)], "target_model string, helpfulness double")
+    out = str(tmp_path / "bundle")
+    sinks.write_bundle({"heatmap": t}, out, "r1")
+    sinks.write_bundle({"heatmap": t}, out, "r2")
+    sinks.write_bundle({"heatmap": t}, out, "r1")  # same run again: replaced, not appended
+    back = spark.read.parquet(out + "/heatmap")
+    assert back.count() == 4
+    assert {r["run_id"] for r in back.collect()} == {"r1", "r2"}
