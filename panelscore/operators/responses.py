@@ -50,7 +50,7 @@ def response_status(responses: DataFrame, errors: str = "keep") -> DataFrame:
 def response_lengths(responses: DataFrame) -> DataFrame:
     """STR-17: per model length statistics of usable responses (characters and words)."""
     r = responses.where(~blank(F.col("response"))).select(
-        "model", F.length("response").alias("chars"), word_count(F.col("response")).alias("words")
+        "model", F.length("response").cast("long").alias("chars"), word_count(F.col("response")).alias("words")
     )
     return r.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"),

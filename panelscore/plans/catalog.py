@@ -455,7 +455,10 @@ def _write_two_runs(spark, sf):
 def q_runs_union(spark, sf):
     """SNK-1, SNK-2, SRC-1, SET-2, DTE-1: both CSV layouts written, read back as one run table."""
     out = _write_two_runs(spark, sf)
-    return file_src.read_runs(spark, out).select(*_RUN_COLS)
+    runs = file_src.read_runs(spark, out)
+    # DTE-1 report format, so the timestamp compares as text in any engine
+    runs = runs.withColumn("eval_ts", F.date_format("eval_ts", "yyyy-MM-dd HH:mm:ss"))
+    return runs.select(*_RUN_COLS)
 
 
 @register("latest_run")
@@ -521,8 +524,8 @@ def q_stream_hourly(spark, sf):
     agg = monitor.windowed_cross_means(stream, delay="36500 days")
     _await(monitor.to_parquet_batches(agg, out, ck, "update"))
     res = monitor.read_latest(spark, out, ["window_start", "target_model", "evaluator"])
-    return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "target_model", "evaluator",
-                      "n", F.bround("helpfulness_mean", 3).alias("helpfulness_mean"))
+    return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "target_model",
+                      "evaluator", "n", F.bround("helpfulness_mean", 3).alias("helpfulness_mean"))
 
 
 @register("stream_dedup")

@@ -525,12 +525,12 @@ where j.status = 'ok'
 """
 
 ORACLE["runs_union"] = with_fixtures(["judgments_raw", "responses"], f"""
-select '20240101_000000' as run_id, 'comprehensive' as layout, timestamp '2024-01-01 00:00:00' as eval_ts,
+select '20240101_000000' as run_id, 'comprehensive' as layout, '2024-01-01 00:00:00' as eval_ts,
   prompt, target_model, evaluator, response, cast(null as varchar) as explainability,
   {", ".join(_M)}, reasoning, notes, {", ".join(f"avg_{m}" for m in _M)}
 from e
 union all
-select '20240102_000000' as run_id, 'batch' as layout, timestamp '2024-01-02 00:00:00' as eval_ts,
+select '20240102_000000' as run_id, 'batch' as layout, '2024-01-02 00:00:00' as eval_ts,
   prompt, target_model, evaluator, response, explainability,
   {", ".join(_M)}, cast(null as varchar) as reasoning, cast(null as varchar) as notes, {", ".join(f"avg_{m}" for m in _M)}
 from e
@@ -551,7 +551,7 @@ from eval_facts where target_model is not null group by target_model
 """)
 
 ORACLE["stream_hourly"] = with_fixtures(["eval_facts"], """
-select date_trunc('hour', eval_ts) as window_start, target_model, evaluator, count(*) as n,
+select strftime(date_trunc('hour', eval_ts), '%Y-%m-%d %H:%M:%S') as window_start, target_model, evaluator, count(*) as n,
   round_even(avg(helpfulness), 3) as helpfulness_mean
 from eval_facts where target_model is not null group by all
 """)
