@@ -124,6 +124,9 @@ def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, digits
     cols = list(columns) if columns is not None else numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     parts = x.mapInPandas(_partition_moments(cols), _MOMENT_SCHEMA)
     w = Window.partitionBy("a", "b")

@@ -73,6 +73,9 @@ def complete(
     """
     if role not in ROLE_SETTINGS:
         raise ValueError(f"unknown role {role!r}")
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)  # the task code below refers to this package
     s = ROLE_SETTINGS[role]
     spec = CallSpec(role, s["temperature"], s["max_tokens"])
     schema = StructType(df.schema.fields + [StructField(out_col, StringType()), StructField("error", StringType())])

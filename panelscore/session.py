@@ -70,6 +70,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
