@@ -383,8 +383,17 @@ def q_reasoning_prompts(spark, sf):
 # --------------------------------------------------------------------------- model calls (offline client)
 
 
-def judge_answers(answers: DataFrame, models, client_factory, selected=None, panel="all") -> DataFrame:
-    """Round-robin judging of materialised answers -> parsed judgments -> evaluation rows."""
+def judge_answers(answers: DataFrame, models, client_factory, selected=None, panel="all",
+                  errors: str = "keep") -> DataFrame:
+    """Round-robin judging of materialised answers -> parsed judgments -> evaluation rows.
+
+    FLT-5: ``errors='keep'`` judges error-sentinel answers like any other (the
+    protocol's behaviour); ``'drop'`` leaves them out before any judge is paid.
+    """
+    if errors not in ("keep", "drop"):
+        raise ValueError("errors must be 'keep' or 'drop'")
+    if errors == "drop":
+        answers = answers.where(~txt.is_error(F.col("response")))
     pairs = pairing.judge_pairs(answers, models, selected, panel)
     requests = pairs.select(
         "prompt_id", "target_model", F.col("evaluator").alias("model"),
@@ -396,7 +405,7 @@ def judge_answers(answers: DataFrame, models, client_factory, selected=None, pan
 
 
 def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, panel="all",
-                   answer_role: str = "answer", drop_failed: bool = False) -> DataFrame:
+                   answer_role: str = "answer", drop_failed: bool = False, errors: str = "keep") -> DataFrame:
     """E2 end to end: fan-out -> answers -> judge requests -> judgments -> evaluation rows.
 
     ``answer_role='answer_logger', drop_failed=True`` is the command-line flow
@@ -415,7 +424,7 @@ def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, pa
     if drop_failed:
         # FLT-4 (command-line flow): a failed (null) or empty answer is not judged
         answers = answers.where(F.col("response").isNotNull() & (F.col("response") != ""))
-    return judge_answers(answers, models, client_factory, selected, panel)
+    return judge_answers(answers, models, client_factory, selected, panel, errors)
 
 
 @register("infer_pipeline")
@@ -600,11 +609,12 @@ def answer_panel(prompts: DataFrame, models, client_factory, hits: DataFrame, se
     )
 
 
-def run_evaluation(prompts: DataFrame, models, client_factory, hits: DataFrame, selected=None, panel="all") -> DataFrame:
+def run_evaluation(prompts: DataFrame, models, client_factory, hits: DataFrame, selected=None, panel="all",
+                   errors: str = "keep") -> DataFrame:
     """E1 end to end: classifier, search context, answers, explanations, then round-robin judging."""
     answers = answer_panel(prompts.select("prompt_id", "prompt"), models, client_factory, hits, selected)
     answers = answers.join(prompts.select("prompt_id", "prompt"), "prompt_id")
-    return judge_answers(answers, models, client_factory, selected, panel)
+    return judge_answers(answers, models, client_factory, selected, panel, errors)
 
 
 @register("infer_answers")

@@ -95,3 +95,13 @@ def test_command_line_flow_drops_failed_answers(spark, tmp_path):
     calls = Counter(line.split("\t")[0] for line in open(log))
     # every failing call is attempted 1 + max_retries (= 3) times
     assert calls == {"answer_logger": 3 * (2 + 3), "judge": 3 * 2 * (1 + 3)}
+
+
+def test_error_sentinels_keep_or_drop(spark):
+    prompts = spark.createDataFrame([(1, "p")], "prompt_id long, prompt string")
+    f = inference.echo_client_factory(fail_models=["m1"])
+    kept = evaluate_panel(prompts, PANEL, f, errors="keep").collect()
+    # m1's answer is the sentinel text and is judged by m2 and m3 (m1's own judgments fail)
+    assert any(r["target_model"] == "m1" and r["response"].startswith("[m1 Error]") for r in kept)
+    dropped = evaluate_panel(prompts, PANEL, f, errors="drop").collect()
+    assert {r["target_model"] for r in dropped} == {"m2", "m3"}
