@@ -502,6 +502,20 @@ def _stream_input(spark, df: DataFrame, key: str, copies: int = 1) -> str:
     return base
 
 
+def _time_ranges(df: DataFrame, ts_col: str, n: int):
+    """``n`` event-time ranges cut at approximate quantiles (a handful of numbers)."""
+    secs = F.col(ts_col).cast("timestamp").cast("long")
+    cuts = df.select(F.percentile_approx(secs, [i / n for i in range(1, n)], 10000).alias("c")).first()["c"] or []
+    edges = [None] + sorted(set(cuts)) + [None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (secs >= lo)
+        if hi is not None:
+            cond = cond & (secs < hi)
+        yield cond
+
+
 def _await(q):
     if not q.awaitTermination(STREAM_TIMEOUT_SEC):
         q.stop()
@@ -525,13 +539,20 @@ def q_stream_running(spark, sf):
 @register("stream_hourly")
 def q_stream_hourly(spark, sf):
     """STM-2: hourly mean helpfulness per (target, evaluator) with a watermark (update mode)."""
-    facts = _facts(spark, sf)
-    src = _stream_input(spark, facts.select("eval_ts", "target_model", "evaluator", "helpfulness"), "eval_ts")
-    out, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
-    stream = monitor.file_stream(spark, f"{src}/copy=0", StructType(facts.select("eval_ts", "target_model", "evaluator", "helpfulness").schema.fields))
-    # files are delivered in arbitrary order here, so the delay covers the whole replay
-    agg = monitor.windowed_cross_means(stream, delay="36500 days")
-    _await(monitor.to_parquet_batches(agg, out, ck, "update"))
+    cols = ["eval_ts", "target_model", "evaluator", "helpfulness"]
+    facts = _facts(spark, sf).select(*cols)
+    src, out, ck = scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
+    agg = None
+    # data arrives in event-time order, one time range at a time (written in parallel);
+    # each arrival is processed by an availableNow run that resumes from the checkpoint,
+    # so the watermark advances between arrivals and expired window state is dropped
+    for i, cond in enumerate(_time_ranges(facts, "eval_ts", STREAM_FILES)):
+        facts.where(cond).write.parquet(f"{src}/arrival={i:03d}")
+        if agg is None:  # the source folder exists once the first arrival is written
+            stream = (spark.readStream.schema(StructType(facts.schema.fields)).option("recursiveFileLookup", "true")
+                      .parquet(src)).select(*cols)
+            agg = monitor.windowed_cross_means(stream, delay="1 day")
+        _await(monitor.to_parquet_batches(agg, out, ck, "update"))
     res = monitor.read_latest(spark, out, ["window_start", "target_model", "evaluator"])
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "target_model",
                       "evaluator", "n", F.bround("helpfulness_mean", 3).alias("helpfulness_mean"))
