@@ -427,8 +427,8 @@ def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, pa
     return judge_answers(answers, models, client_factory, selected, panel, errors)
 
 
-@register("infer_pipeline")
-def q_infer_pipeline(spark, sf):
+@register("infer_evaluations")
+def q_infer_evaluations(spark, sf):
     """INF-1, INF-3, STR-2, JN-1/2: full evaluation with the deterministic offline client."""
     prompts = fx.prompts(spark, sf).select("prompt_id", "prompt")
     rows = evaluate_panel(prompts, DEFAULT_PANEL, inference.echo_client_factory())

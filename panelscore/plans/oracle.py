@@ -502,7 +502,7 @@ from responses
 
 _JUDGE_REQ = _sql_fill(JUDGE_TEMPLATE, prompt="prompt", target="target_model", response="response")
 
-ORACLE["infer_pipeline"] = with_fixtures(["prompts", "models"], f"""
+ORACLE["infer_evaluations"] = with_fixtures(["prompts", "models"], f"""
 select prompt_id, target_model, evaluator, response,
   {", ".join(f"((l + {13 * k}) % 101) / cast(100 as double) as {m}" for k, m in enumerate(_M))},
   {", ".join(f"round_even(avg(((l + {13 * k}) % 101) / cast(100 as double)) over (partition by prompt_id, target_model), 3) as avg_{m}" for k, m in enumerate(_M))}
