@@ -117,3 +117,12 @@ def test_bundle_rewrite_is_idempotent(spark, tmp_path):
     back = spark.read.parquet(out + "/heatmap")
     assert back.count() == 4
     assert {r["run_id"] for r in back.collect()} == {"r1", "r2"}
+
+
+def test_line_numbers_continue_across_files(spark, tmp_path):
+    d = tmp_path / "prompts"
+    d.mkdir()
+    (d / "a.txt").write_text("one\ntwo\n\nthree\n", encoding="utf-8")
+    (d / "b.txt").write_text("four\nfive\n", encoding="utf-8")
+    rows = files.read_prompts_text(spark, str(d)).orderBy("line_no").collect()
+    assert [(r["line_no"], r["prompt"]) for r in rows] == [(1, "one"), (2, "two"), (4, "three"), (5, "four"), (6, "five")]
