@@ -693,3 +693,23 @@ def q_run_counts(spark, sf):
         usable.select("n_targets_evaluated").scalar().alias("n_targets_evaluated"),
         usable.select("n_evaluations").scalar().alias("n_evaluations"),
     )
+
+
+@register("batch_output_roundtrip")
+def q_batch_output_roundtrip(spark, sf):
+    """SNK-3 + JN-6: batch prompts with their ATS summary written as CSV and read back."""
+    rows = ats_ops.summary_rows(_ats_parsed(spark, sf))
+    table = ats_ops.batch_summary(fx.prompts(spark, sf).select("prompt_id", "prompt"), rows, DEFAULT_PANEL)
+    out = sinks.write_batch_prompts(table, scratch_path(spark, "batch_out"))
+    back = spark.read.options(**file_src.CSV_OPTIONS).csv(out)
+    return back.select(F.col("prompt_id").cast("long").alias("prompt_id"), "prompt",
+                       F.col("`ATS Summary`").alias("ats_summary"))
+
+
+@register("bundle_roundtrip")
+def q_bundle_roundtrip(spark, sf):
+    """SNK-4 + AGG-6: the chart tables of one run written as a bundle; the heat-map table read back."""
+    facts = _facts(spark, sf)
+    base = scratch_path(spark, "bundle")
+    written = sinks.write_bundle({"heatmap": charts.heatmap(facts), "bar": charts.bar_long(facts)}, base, RUN_A)
+    return spark.read.parquet(written["heatmap"]).where(F.col("run_id") == RUN_A)

@@ -667,3 +667,9 @@ select (select count(*) from prompts) as n_prompts,
      from judgments_raw where f not in (0, 1, 6, 7)) as n_targets_evaluated,
   (select count(*) from judgments_raw where f not in (0, 1, 6, 7)) as n_evaluations
 """)
+
+ORACLE["batch_output_roundtrip"] = ORACLE["ats_batch"]
+
+ORACLE["bundle_roundtrip"] = with_fixtures(["eval_facts"], f"""
+select m.*, '20240101_000000' as run_id from ({_MEANS}) m
+""")
