@@ -9,14 +9,17 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from oracle_check import _rows  # noqa: E402
+from panelscore.plans.catalog import QUERIES  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-NAMES = sorted(queries())
+# the training-data operators have their own tests (tests/llm)
+NAMES = sorted(QUERIES)
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(QUERIES) <= set(oracle_sql())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry_smoke(spark):
