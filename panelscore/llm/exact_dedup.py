@@ -170,8 +170,8 @@ def build_index(
     reps = rows.where(F.col("text").isNotNull()).select("key", "rep", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     depth, directory = _directory(reps.select("key").distinct(), bucket_keys, max_depth, 4 * parts)
-    # the directory has a few entries per owner task; Spark broadcasts it only below its own size limit
-    table = spark.createDataFrame(directory, "prefix long, bucket long")
+    # at most 2 ** max_depth entries of two numbers: a bounded broadcast, so texts move once
+    table = F.broadcast(spark.createDataFrame(directory, "prefix long, bucket long"))
     owned = reps.withColumn("prefix", _prefix(depth)).join(table, "prefix").select("bucket", "key", "rep", "text")
     owned = owned.repartition(parts, "bucket").sortWithinPartitions("bucket", "key")
     chains = common.written(owned.mapInArrow(_owner_rows, _CHAIN_SCHEMA), "dedup-index")
