@@ -28,8 +28,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at tempered weights: every document is used at least once, no source more than four times."""
-    return mixing.mixed_documents(docs)
+    """Sources at tempered weights: every document is used at least once, no source more than twice."""
+    return mixing.mixed_documents(docs, max_epochs=2.0)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

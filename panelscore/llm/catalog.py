@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, quality
+from . import bpe, exact_dedup, langid, mixing, ngram_join, quality, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,12 +20,30 @@ def register(name: str):
     return deco
 
 
+@register("op2_bpe")
+def op2_bpe(spark, sf):
+    """Ids of every whole text, and the text decoded from them."""
+    return bpe.encode_digests(read_table(spark, sf, "documents"))
+
+
+@register("op3_warc")
+def op3_warc(spark, sf):
+    """Pages written as WARC records and read back through the verified record chain."""
+    return warc.round_trip(read_table(spark, sf, "pages"))
+
+
 @register("op6_mixing")
 def op6_mixing(spark, sf):
     """Uses of documents in a mixture in which every source is used once or more, at most four times."""
     return mixing.mix(read_table(spark, sf, "documents")).drop("rid")
 
 
+@register("op7_language_id")
+def op7_language_id(spark, sf):
+    """Language of every text, learnt from the labelled documents outside the held-out fold."""
+    return langid.language_id(read_table(spark, sf, "documents"))
+
+
 @register("op8_exact_dedup")
 def op8_exact_dedup(spark, sf):
     """Groups of equal texts (white-space runs count as one space)."""
@@ -53,6 +71,17 @@ def pipeline(spark, sf):
 
 
 ORACLE: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                 max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+          FROM pages
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM p
+    """,
     "op8_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
