@@ -148,7 +148,8 @@ def quality(
     rows = rows.withColumn("ordered", F.when(again, F.sort_array(pairs)).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")))
     rows = rows.withColumn("at", repeated_positions("ordered"))
     numbers = ["doc_id", *base, "n_repeat_words"]
-    rows = rows.select("rid", "doc_id", *base, covered("at", 3).alias("n_repeat_words"), F.explode_outer("c").alias("cell"))
+    rows = rows.select("rid", "doc_id", *base, covered("at", 3).alias("n_repeat_words"), "c")
+    rows = rows.select("rid", *numbers, F.explode_outer("c").alias("cell"))
     # a text's n-grams are summed in the task that split it: one row per document is shuffled
     rows = rows.join(F.broadcast(weights), "cell", "left").groupBy("rid").agg(*[F.max(n).alias(n) for n in numbers], F.avg("w").alias("score"))
     rows = rows.select(*numbers, F.round("score", 6).alias("score"))
