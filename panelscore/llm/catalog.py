@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, ngram_join, quality, warc
+from . import bpe, exact_dedup, langid, mixing, ngram_join, quality, substring_dedup, suffix_dedup, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def register(name: str):
     return deco
 
 
+@register("op1_substring_dedup")
+def op1_substring_dedup(spark, sf):
+    """Texts without the sentences of repeated spans (three sentences or more, twenty words or more)."""
+    return substring_dedup.remove_repeats(read_table(spark, sf, "documents"))
+
+
 @register("op2_bpe")
 def op2_bpe(spark, sf):
     """Ids of every whole text, and the text decoded from them."""
@@ -32,6 +38,12 @@ def op3_warc(spark, sf):
     return warc.round_trip(read_table(spark, sf, "pages"))
 
 
+@register("op5_suffix_array_dedup")
+def op5_suffix_array_dedup(spark, sf):
+    """Bytes left when every byte covered by a repeated 400-byte string is dropped."""
+    return suffix_dedup.remove_repeated_bytes(read_table(spark, sf, "documents"), length=400)
+
+
 @register("op6_mixing")
 def op6_mixing(spark, sf):
     """Uses of documents in a mixture in which every source is used once or more, at most four times."""

@@ -1,25 +1,32 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line
-breaks). From every sentence on, the shortest run of at least ``min_sentences`` sentences that
-has at least ``min_words`` words is a span; it is named by two hashes (96 bits) of its words.
-Spans are joined over the whole corpus: all occurrences of a span but the first (smallest
-doc_id, then place in the text) are repeats, and every sentence that a repeated occurrence
-covers is removed. What a passage's spans are depends on the passage alone, so a shared passage is
+A text is cut into sentences (behind ``.``, ``!`` or ``?`` before white space, and at line
+breaks). From every sentence on, the shortest run of at least ``min_sentences`` sentences
+that has at least ``min_words`` words is a span, named by a 128-bit hash of its words. Spans
+are joined over the whole corpus: every occurrence of a span but the first (smallest doc_id,
+then place in the text) is a repeat, and every sentence covered by a repeat is
+removed. What a passage's spans are depends on the passage alone, so a shared passage is
 found wherever it stands.
 
-Scale: first occurrences and counts are aggregated before the shuffle; the spans that occur
-once are dropped there, and the occurrences are joined with the rest on the hashes (a plain
-equi-join, which Spark splits at hot spans). Texts move once, to meet their own cuts.
+Scale: first occurrences and counts are aggregated before the shuffle, and spans that occur
+once are dropped there; the occurrences are joined with the rest on the hashes, a plain
+equi-join that Spark splits at hot spans. Texts move once, to meet their own cuts.
 
-Defined results: null text is empty text; texts with fewer sentences or words than a span are
-left as they are; repeated rows are repeats of the first one; a null doc_id comes after all
-others; white space between kept sentences is kept; extra columns are ignored.
+Defined results: null text is empty text; texts with fewer sentences or words than a span
+are left as they are; rows with equal doc_id count as one document (none is a repeat of
+another); a null doc_id comes after all others; kept sentences keep the white space behind
+them; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,33 +34,87 @@ from . import common
 MIN_SENTENCES = 3
 MIN_WORDS = 20
 
-#: A sentence with the white space behind it: up to an end mark before white space, or to the end of the line.
-_SENTENCE = r"(?s)[^\n]*?(?:[.!?]+(?=\s)|\n|$)\s*"
+_END = re.compile(r"[.!?]+\s+|\n\s*")
+_SPAN_SCHEMA = "h1 long, h2 long, doc_id long, tid long, at int, upto int, again boolean"
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a text in order, each with the white space behind it: joined they give the text."""
+    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def spans(text: str, min_sentences: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first sentence, last sentence, hash) of the span that starts at each sentence, where there is one."""
+    words = [s.encode("utf-8", "surrogatepass").split() for s in sentences(text)]
+    sums = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    n = len(words)
+    if n < min_sentences or sums[-1] < min_words:
+        return
+    joined = [b" ".join(w) for w in words]
+    # least end (exclusive) with enough words and sentences
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), np.arange(n) + min_sentences).tolist()
+    for at, end in enumerate(ends):
+        if end > n:
+            break
+        if words[at]:
+            yield at, end - 1, xxhash.xxh3_128_digest(b"\x00".join(joined[at:end]))
+
 
+def _span_rows(min_sentences: int, min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, doc, tid, at, upto, again = [], [], [], [], [], []
+            for doc_id, text_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                seen = set()
+                for a, b, h in spans(text or "", min_sentences, min_words):
+                    hashes.append(h)
+                    at.append(a)
+                    upto.append(b)
+                    again.append(h in seen)
+                    seen.add(h)
+                n = len(hashes) - len(doc)
+                doc += [doc_id] * n
+                tid += [text_id] * n
+            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(doc, pa.int64()), pa.array(tid, pa.int64()),
+                 pa.array(at, pa.int32()), pa.array(upto, pa.int32()), pa.array(again, pa.bool_())],
+                names=["h1", "h2", "doc_id", "tid", "at", "upto", "again"],
+            )
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text in order, white space included: joined they give the text."""
-    # a mark is put behind each end and the text is split there; the mark itself is no legal XML character and rare in texts
-    ends = F.regexp_replace(common.text_or_empty(text), "\x1e", " ")
-    cut = F.regexp_replace(ends, r"([.!?]+[ \t\x0B\f\r]*\n\s*|[.!?]+[ \t\x0B\f\r]+|\n\s*)", "$1\x1e")
-    return F.array_remove(F.split(cut, "\x1e"), "")
+    return run
 
 
-def with_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """rid, doc_id, at (first sentence), upto (last one), h1, h2 of every span."""
-    rows = docs.select("rid", "doc_id", sentences(F.col("text")).alias("s"))
-    words = F.transform("s", lambda s: common.words_of(s))
-    rows = rows.select("rid", "doc_id", words.alias("w"))
-    rows = rows.select("rid", "doc_id", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("a"), F.transform("w", lambda w: F.hash(w)).alias("b"))
-    # words up to and with each sentence
-    total = F.aggregate(
-        "w",
-        F.array(F.lit(0)),
-        lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(w))),
-    )
-    rows = rows.withColumn("sums", total).drop("w")
-    return rows
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, gone, texts = [], [], []
+        for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            parts = sentences(text or "")
+            covered = np.zeros(len(parts) + 1, np.int64)
+            for cut in cuts or ():
+                covered[cut["at"]] += 1
+                covered[cut["upto"] + 1] -= 1
+            keep = np.cumsum(covered[:-1]) == 0
+            n.append(len(parts))
+            gone.append(int((~keep).sum()))
+            texts.append("".join(p for p, k in zip(parts, keep.tolist()) if k))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())],
+            names=["doc_id", "n_sentences", "n_removed", "text"],
+        )
 
 
 def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    raise NotImplementedError
+    """One row per document: doc_id, n_sentences, n_removed, text (without repeated spans)."""
+    common.prepare(docs.sparkSession)
+    last = F.lit((1 << 63) - 1)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("tid", F.xxhash64("text"))
+    found = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "tid", "text").mapInArrow(_span_rows(min_sentences, min_words), _SPAN_SCHEMA)
+    repeated = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    cuts = found.join(repeated, ["h1", "h2"]).where("again or doc_id > first").select("doc_id", "tid", "at", "upto").distinct()
+    cuts = cuts.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("at", "upto")).alias("cuts"))
+    cuts = common.written(cuts, "span-cuts")
+    met = docs.join(cuts, (F.coalesce("doc_id", last) == F.col("d")) & (F.col("tid") == F.col("t")), "left")
+    return met.select("doc_id", "text", "cuts").mapInArrow(_cut_rows, "doc_id long, n_sentences long, n_removed long, text string")
