@@ -22,7 +22,7 @@ def register(name: str):
 
 @register("op1_substring_dedup")
 def op1_substring_dedup(spark, sf):
-    """Texts without the sentences of repeated spans (three sentences or more, twenty words or more)."""
+    """Texts without the sentences of repeated spans (two sentences or more, twenty words or more)."""
     return substring_dedup.remove_repeats(read_table(spark, sf, "documents"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_SENTENCES = 3
+MIN_SENTENCES = 2
 MIN_WORDS = 20
 
 _END = re.compile(r"[.!?]+\s+|\n\s*")
