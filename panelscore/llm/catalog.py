@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, ngram_join, quality, substring_dedup, suffix_dedup, warc
+from . import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, substring_dedup, suffix_dedup, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op3_warc(spark, sf):
     return warc.round_trip(read_table(spark, sf, "pages"))
 
 
+@register("op4_html_extraction")
+def op4_html_extraction(spark, sf):
+    """Main text of every page, by the template of its host."""
+    return html_extract.extract(read_table(spark, sf, "pages"))
+
+
 @register("op5_suffix_array_dedup")
 def op5_suffix_array_dedup(spark, sf):
     """Bytes left when every byte covered by a repeated 400-byte string is dropped."""

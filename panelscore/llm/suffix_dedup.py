@@ -42,7 +42,7 @@ from .ngram_join import mix
 LENGTH = 400
 GRAM = 48
 #: Bytes of segments that are sorted together.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 #: Segments of one anchor in a shard; further ones go to further shards.
 ANCHOR_SEGMENTS = 4000
 
@@ -149,31 +149,35 @@ def _cut_out(length: int):
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of small integers.
+    """Suffix array of a byte string.
 
-    Larsson-Sadakane: positions are sorted by their first symbol; while groups of equal
+    Larsson-Sadakane: positions are sorted by their first eight bytes; while groups of equal
     rank remain, the members of each are sorted by the rank h places further on, and h doubles.
     Positions whose group has one member are settled and never sorted again.
     """
     n = len(data)
-    sa = np.argsort(data, kind="stable").astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for i in range(8):
+        key = (key << _U(8)) | padded[i : n + i].astype(np.uint64)
+    sa = np.argsort(key)
+    key = key[sa]
+    new = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, np.int64)
-    key = data[sa]
-    group = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    rank[sa] = np.repeat(group, np.diff(np.r_[group, n]))
-    sizes = np.diff(np.r_[group, n])
+    sizes = np.diff(np.r_[np.flatnonzero(new), n])
+    rank[sa] = np.repeat(np.flatnonzero(new), sizes)
     open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    h = 1
+    h = 8
     while len(open_):
-        # members of open groups, in suffix array order
+        # members of open groups, in suffix array order; a suffix that ends sorts first
         pos = sa[open_]
         ahead = pos + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        own = rank[pos]
-        order = np.argsort(own * (n + 1) + second + 1, kind="stable")
-        pos, own, second = pos[order], own[order], second[order]
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - pos - n)
+        key = rank[pos] * (2 * n + 2) + second + n + 1
+        order = np.argsort(key)
+        pos, key = pos[order], key[order]
         sa[open_] = pos
-        new = np.r_[True, (own[1:] != own[:-1]) | (second[1:] != second[:-1])]
+        new = np.r_[True, key[1:] != key[:-1]]
         sizes = np.diff(np.r_[np.flatnonzero(new), len(pos)])
         rank[pos] = np.repeat(open_[new], sizes)
         open_ = open_[np.repeat(sizes > 1, sizes)]
@@ -215,16 +219,15 @@ def kasai(data: np.ndarray, sa: np.ndarray, seg_start: np.ndarray, seg_len: np.n
 def repeats_in(parts: list[bytes], starts: list[int], length: int) -> list[np.ndarray]:
     """For every segment: which of its starts have a window that starts again in this shard."""
     sizes = np.array([len(p) for p in parts], np.int64)
-    # a segment ends with a symbol of its own, so that no common prefix crosses it
+    # segments are ended by byte 0 and texts shifted by one (UTF-8 has no byte 255); a window that counts holds no end
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
-    data = np.empty(at[-1], np.int32)
+    data = np.zeros(at[-1], np.uint8)
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
-    data[at[1:] - 1] = 256 + np.arange(len(parts))
     inside = np.ones(len(data), bool)
     inside[at[1:] - 1] = False
-    data[inside] = np.frombuffer(b"".join(parts), np.uint8)
+    data[inside] = np.frombuffer(b"".join(parts), np.uint8) + np.uint8(1)
     sa = suffix_array(data)
-    lcp = kasai(data, sa, at[:-1], sizes, length)
+    lcp = kasai(data, sa, at[:-1], sizes + 1, length)
     # only starts that belong to their segment count; the others are windows of a neighbouring segment
     counts = (np.arange(len(data)) - at[owner]) < np.array(starts, np.int64)[owner]
     run = np.cumsum(lcp[sa] < length)
