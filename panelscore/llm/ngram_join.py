@@ -304,7 +304,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, tile_rows: in
     members = common.written(classes.join(clusters, "cls"), "join-members")
     wanted = members.select("doc_id", "cls")
     # the ids wanted are the smaller side; Spark broadcasts them only below its own size limit
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "cls")
+    # the same plan at every size: texts move once, the ids are the hashed side
+    found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "cls")
     # an id may stand on several rows: only the text that gives the class's set counts
     sets = with_shingles(found, k, ["cls"]).mapInArrow(_own_sets, "cls long, set array<long>")
     dealt = _deal(members, pct, tile_rows)
