@@ -11,7 +11,7 @@ every candidate, the offset of its successor, which follows from its Content-Len
 Pointer jumping from the start of each file (the known set doubles its reach in every
 round) retains the reachable candidates; what lies inside a payload is never reached.
 
-Scale: pages are moved only where a revisit is known for them; chains are (file, offset,
+Scale: pages are moved only where a revisit may be known for them; chains are (file, offset,
 successor) rows, joined on both, without payloads. An archive is read in one task, so
 the writer bounds its size (``archive_bytes``).
 
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import scratch_path
 from . import common
@@ -37,6 +38,8 @@ from . import common
 VERSION = "WARC/1.1"
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
+#: 64-bit words of the bitmap of repeated payloads (2 MB as a broadcast table).
+BITMAP_WORDS = 1 << 17
 #: Date of the synthetic captures (the pages carry none).
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
 
@@ -94,22 +97,38 @@ def record_text(row_type, refers_to) -> F.Column:
     return F.concat(F.concat_ws("\r\n", *head), F.lit(_END), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
 
 
+def _flag(digest) -> tuple[F.Column, F.Column]:
+    """(word, bit) of a digest in the bitmap of repeated payloads."""
+    h = F.xxhash64(digest)
+    return F.pmod(h, F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int"))
+
+
 def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write a record per page under ``path``."""
+    """Write a record per page under ``path``.
+
+    A bitmap of the digests that have revisits (bounded by BITMAP_WORDS) tells most pages
+    that they have none: they are written where they were read. The others meet their
+    revisit by a join.
+    """
     rows = page_rows(pages)
-    again = revisits(rows, min_revisit).select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to", "n_revisits", "has_response")
-    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))
-    rows = rows.join(again, same, "left")
-    # of rows repeated with the responding id one responds: the one with the smallest row number
-    twice = again.where("has_response").limit(1).count()
+    again = common.written(revisits(rows, min_revisit), "warc-revisits")
+    word, bit = _flag(F.col("payload_digest"))
+    bits = again.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+    flagged = rows.withColumn("word", word).join(F.broadcast(bits), "word", "left")
+    flagged = flagged.withColumn("maybe", F.coalesce(F.col("mask").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "mask")
+
+    again = again.select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to", "has_response")
+    met = flagged.where("maybe").join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
     kind = F.when(F.col("d").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
-    if twice:
-        first = rows.where("has_response").groupBy("page_id", "payload_digest").agg(F.min("rid").alias("rid")).select(F.col("rid").alias("first_rid"))
-        rows = rows.join(first, F.col("rid") == F.col("first_rid"), "left")
-        kind = F.when(F.col("first_rid").isNotNull(), F.lit("response")).otherwise(kind)
-    out = rows.select(record_text(kind, F.col("refers_to")).alias("value"))
-    per_file = max(1, archive_bytes // (64 << 10))
-    out.write.option("lineSep", _END).option("maxRecordsPerFile", per_file * 16).text(path)
+    if not again.where("has_response").isEmpty():
+        # of rows repeated with the responding id, one responds
+        turn = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("rid"))
+        met = met.withColumn("turn", turn)
+        kind = F.when(F.col("has_response") & (F.col("turn") == 1), F.lit("response")).otherwise(kind)
+    alone = flagged.where("not maybe").select(record_text(F.lit("response"), F.lit(None)).alias("value"))
+    out = alone.union(met.select(record_text(kind, F.col("refers_to")).alias("value")))
+    per_file = max(1, archive_bytes // (4 << 10))
+    out.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
