@@ -42,7 +42,7 @@ from .ngram_join import mix
 LENGTH = 400
 GRAM = 48
 #: Bytes of segments that are sorted together.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 2 << 20
 #: Segments of one anchor in a shard; further ones go to further shards.
 ANCHOR_SEGMENTS = 4000
 
@@ -148,6 +148,15 @@ def _cut_out(length: int):
     return run
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros behind the end), in the bytes' order."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        key = (key << _U(8)) | padded[i : len(data) + i].astype(np.uint64)
+    return key
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffix array of a byte string.
 
@@ -156,11 +165,8 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     Positions whose group has one member are settled and never sorted again.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << _U(8)) | padded[i : n + i].astype(np.uint64)
-    sa = np.argsort(key)
+    key = eight_bytes(data)
+    sa = np.argsort(key, kind="stable")
     key = key[sa]
     new = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, np.int64)
@@ -174,7 +180,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         ahead = pos + h
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - pos - n)
         key = rank[pos] * (2 * n + 2) + second + n + 1
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")
         pos, key = pos[order], key[order]
         sa[open_] = pos
         new = np.r_[True, key[1:] != key[:-1]]
@@ -192,27 +198,36 @@ def kasai(data: np.ndarray, sa: np.ndarray, seg_start: np.ndarray, seg_len: np.n
     segments in step: step t handles place t of every segment that is long enough.
     """
     n = len(data)
+    eight = eight_bytes(data)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     lcp = np.zeros(n, np.int32)
     carry = np.zeros(len(seg_start), np.int64)
-    alive = np.arange(len(seg_start))
-    for t in range(int(seg_len.max(initial=0))):
-        alive = alive[seg_len[alive] > t]
-        pos = seg_start[alive] + t
+    # longest segments first: those that are long enough for a step are a prefix
+    by_size = np.argsort(-seg_len, kind="stable")
+    seg_start, sizes = seg_start[by_size], seg_len[by_size]
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        m = int(np.searchsorted(-sizes, -t, side="left"))
+        pos = seg_start[:m] + t
         prev = before[pos]
-        h = np.maximum(carry[alive] - 1, 0)
+        h = np.maximum(carry[:m] - 1, 0)
         h[prev < 0] = 0
         go = np.flatnonzero((prev >= 0) & (h < length))
         while len(go):
             a, b = pos[go] + h[go], prev[go] + h[go]
             inside = (a < n) & (b < n)
-            go, a, b = go[inside], a[inside], b[inside]
-            go = go[data[a] == data[b]]
-            h[go] += 1
+            if not inside.all():
+                go, a, b = go[inside], a[inside], b[inside]
+            differ = eight[a] ^ eight[b]
+            same = differ == 0
+            # bytes in common before the first that differs; places behind the end hold zeros but stop at the end
+            first = np.where(same, 8, (differ.byteswap().view(np.uint8).reshape(-1, 8) != 0).argmax(1))
+            h[go] += np.minimum(first, n - np.maximum(a, b))
+            go = go[same]
             go = go[h[go] < length]
+        np.minimum(h, length, out=h)
         lcp[pos] = h
-        carry[alive] = h
+        carry[:m] = h
     return lcp
 
 
