@@ -9,9 +9,8 @@
    is encoded once per task that meets it.
 4. Decoding joins ids to the pieces of the vocabulary (bounded by it) in order.
 
-The tail is not joined through a shuffle: measured on the test tables this would move
-each task's distinct words twice and every text once, above the disk allowed for the
-operator (see README).
+The tail is not joined through a shuffle: this would move each task's distinct words twice
+and every text once, more than the disk allowed for the operator (see README).
 
 Defined results: null text is empty text and gives no ids, the digest of the empty string and
 ``decoded`` empty; special tokens' strings inside a text are those tokens, as in the
@@ -22,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +36,7 @@ from . import common
 
 TABLE_WORDS = 200_000
 #: Distinct words that a task holds at a time before it hands its counts on.
-TASK_WORDS = 400_000
+TASK_WORDS = 150_000
 
 
 def default_model() -> str:
@@ -45,11 +46,22 @@ def default_model() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters on which Python, its regex engines and the library agree about case, letters, numbers and white space.
+PLAIN = "\t\n\r -~\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u20ac"
+
+
+def _ranges(category: str) -> str:
+    """The plain characters of a Unicode category, as text for a character class."""
+    plain = [c for c in map(chr, range(0x2100)) if re.match(f"[{PLAIN}]", c)]
+    return "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == category)
+
+
 class Words:
     """Splits texts into words and encodes single words, by the rules in a tokenizer file's text."""
 
     def __init__(self, spec: str):
-        import regex
+        # a task has one core: the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         conf = json.loads(spec)
@@ -59,18 +71,15 @@ class Words:
         self.normalizer = self.tokenizer.normalizer
         self.pre = self.tokenizer.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in conf["added_tokens"]}
-        steps = conf["pre_tokenizer"]["pretokenizers"]
-        pattern = steps[0]["pattern"]["Regex"]
-        self.find = regex.compile(pattern).findall
-        # characters on which both regex engines agree about letters, numbers and white space
-        self.plain = regex.compile("[\t\n\r -~¡-ɏ‐-‧€]*").fullmatch
+        # the file's own pattern with its two classes spelt out for plain characters
+        pattern = conf["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        pattern = pattern.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}").replace("[^\\s\\p{L}\\p{N}]", f"[^\\s{_ranges('L')}{_ranges('N')}]")
+        self.find = re.compile(pattern.replace("\\p{L}", f"[{_ranges('L')}]").replace("\\p{N}", f"[{_ranges('N')}]")).findall
+        self.odd = re.compile(f"[^{PLAIN}]").search
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         # the same merges without normaliser and splitting: one word in, its ids out
-        bare = Tokenizer.from_str(json.dumps({**conf, "normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bare = bare
-        back = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet = {back.pre_tokenize_str(chr(b))[0][0]: b for b in range(128)}
+        self.bare = Tokenizer.from_str(json.dumps({**conf, "normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def split(self, text: str) -> list[str]:
         """Words of a text in order; a special token's string is an element of its own."""
@@ -86,16 +95,17 @@ class Words:
     def _split(self, text: str) -> list[str]:
         if not text:
             return []
-        norm = self.normalizer.normalize_str(text)
-        if self.plain(norm):
-            return self.find(norm)
+        if not self.odd(text) and unicodedata.is_normalized("NFC", text):
+            # white space is in no word, so it need not be normalised
+            return self.find(text.lower())
         # the library's own splitting gives character offsets into the normalised text
+        norm = self.normalizer.normalize_str(text)
         return [norm[a:b] for _, (a, b) in self.pre.pre_tokenize_str(norm)]
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
         todo = [w for w in words if w not in self.special]
-        ids = {w: e.ids for w, e in zip(todo, self.bare.encode_batch(todo, add_special_tokens=False))}
+        ids = {w: e.ids for w, e in zip(todo, self.bare.encode_batch_fast(todo, add_special_tokens=False))}
         return [ids[w] if w in ids else [self.special[w]] for w in words]
 
     def pieces(self) -> list[str]:
@@ -120,11 +130,11 @@ def _count_rows(spec):
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words.split(text or ""))
-            if len(counts) > TASK_WORDS:
-                yield from out()
-                counts.clear()
+            for text in batch.column(0):
+                counts.update(words.split(text.as_py() or ""))
+                if len(counts) > TASK_WORDS:
+                    yield from out()
+                    counts.clear()
         yield from out()
 
     return run
@@ -157,54 +167,58 @@ def word_table(docs: DataFrame, spec, table_words: int = TABLE_WORDS) -> DataFra
 
 
 def _text_rows(spec, table, pieces):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded if asked for) of each text."""
+    """(doc_id, number of ids, ids as text, decoded text) of each text; words are joined with their ids in order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = _words(spec.value), dict(table.value)
-        shown = pieces.value
-        for batch in batches:
-            out = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
-            split = [words.split(t or "") for t in batch.column(1).to_pylist()]
-            rest = list({w for s in split for w in s if w not in known})
+    def run(batch: pa.RecordBatch, known: dict) -> Iterator[tuple]:
+        words, shown = _words(spec.value), pieces.value
+
+        def entry(ids):
+            return len(ids), " ".join(map(str, ids)), " ".join([shown[i] for i in ids])
+
+        if not known:
+            known.update((w, entry(ids)) for w, ids in table.value.items())
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            split = words.split(text.as_py() or "")
+            rest = list({w for w in split if w not in known})
             if rest:
                 if len(known) > len(table.value) + TASK_WORDS:
-                    known = dict(table.value)
-                    rest = list({w for s in split for w in s if w not in known})
-                known.update(zip(rest, words.encode(rest)))
-            for doc_id, ws in zip(batch.column(0).to_pylist(), split):
-                ids = [i for w in ws for i in known[w]]
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(len(ids))
-                out["ids"].append(ids)
-                out["decoded"].append(" ".join([shown[i] for i in ids]))
-            yield out, batch
+                    # the tail is held in bounded number; the table stays
+                    for w in list(known)[len(table.value) :]:
+                        del known[w]
+                    rest = list({w for w in split if w not in known})
+                known.update(zip(rest, map(entry, words.encode(rest))))
+            found = [known[w] for w in split]
+            # a word may have no ids (a byte without a piece): it leaves no gap
+            yield doc_id.as_py(), sum([f[0] for f in found]), " ".join([f[1] for f in found if f[0]]), " ".join([f[2] for f in found if f[0]])
 
     return run
 
 
 def _digest_rows(rows):
     def run(batches):
-        for out, _ in rows(batches):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["doc_id"], pa.int64()),
-                    pa.array(out["n_tokens"], pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in out["ids"]], pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in out["decoded"]], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        known: dict = {}
+        for batch in batches:
+            out = [[], [], [], []]
+            for doc_id, n, ids, decoded in rows(batch, known):
+                out[0].append(doc_id)
+                out[1].append(n)
+                out[2].append(hashlib.sha256(ids.encode()).hexdigest())
+                out[3].append(hashlib.sha256(decoded.encode()).hexdigest())
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def _full_rows(rows):
     def run(batches):
-        for out, _ in rows(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+        known: dict = {}
+        for batch in batches:
+            for doc_id, _, ids, decoded in rows(batch, known):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_id], pa.int64()), pa.array([[int(i) for i in ids.split()]], pa.list_(pa.int32())), pa.array([decoded], pa.string())],
+                    names=["doc_id", "ids", "decoded"],
+                )
 
     return run
 
