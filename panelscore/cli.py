@@ -22,15 +22,16 @@ from .sources import files, sinks
 
 
 def _factory(spec: str | None):
-    """``module:callable`` returning a client factory; default: the offline echo client."""
+    """``module:callable`` returning a client factory."""
     if not spec:
-        return inference.echo_client_factory()
+        raise ValueError("name a model client: --client module:callable")
     mod, _, name = spec.partition(":")
     return getattr(importlib.import_module(mod), name)()
 
 
 def run_evaluate(spark, prompts_path: str | None, out_dir: str, models, selected=None, client=None,
-                 run_ts: str | None = None, prompt: str | None = None) -> str | None:
+                 run_ts: str | None = None, prompt: str | None = None, concurrency: int | None = None,
+                 threads_per_task: int = 1) -> str | None:
     from .operators.scoring import summary_from_rows
     from .plans.catalog import evaluate_panel
 
@@ -43,7 +44,9 @@ def run_evaluate(spark, prompts_path: str | None, out_dir: str, models, selected
     else:
         p = files.read_prompts_text(spark, prompts_path).withColumnRenamed("line_no", "prompt_id")
     p = p.select(F.col("prompt_id").cast("long").alias("prompt_id"), "prompt")
-    rows = evaluate_panel(p, models, _factory(client), selected, answer_role="answer_logger", drop_failed=True)
+    rows = evaluate_panel(p, models, _factory(client), selected, answer_role="answer_logger", drop_failed=True,
+                          concurrency=concurrency, threads_per_task=threads_per_task)
+    rows = inference.materialize(rows, "evaluations")  # read by the CSV, the parquet table and the summary
     run_ts = run_ts or dt.datetime.now().strftime("%Y%m%d_%H%M%S")
     out = sinks.write_comprehensive(rows, out_dir, run_ts)
     if out:
@@ -67,6 +70,10 @@ def run_analyze(spark, results_dir: str | None, out_dir: str, csv_file: str | No
             box_by_model=charts.box_stats(df, "target_model"),
             box_by_evaluator=charts.box_stats(df, "evaluator"),
             correlation=charts.correlation_long(df),
+            cross_pivot=charts.cross_pivot(df),
+            heatmap=charts.heatmap(df),
+            radar=charts.radar(df),
+            bar=charts.bar_long(df),
         )
     elif fmt == "simple":
         tables["model_stats"] = analysis.display_sorted(analysis.simple_stats(df), ["model"])
@@ -88,7 +95,9 @@ def main(argv=None) -> int:
     ev.add_argument("--out", default="results")
     ev.add_argument("--models", default=",".join(DEFAULT_PANEL))
     ev.add_argument("--select", default="")
-    ev.add_argument("--client", default=None, help="module:callable returning a client factory")
+    ev.add_argument("--client", required=True, help="module:callable returning a client factory")
+    ev.add_argument("--concurrency", type=int, default=None, help="tasks that call models at a time (default: the cluster's cores)")
+    ev.add_argument("--threads-per-task", type=int, default=1, help="calls that a task overlaps")
     an = sub.add_parser("analyze", help="statistics, chart tables and report of evaluation results")
     an.add_argument("--results", default="results")
     an.add_argument("--file", default=None)
@@ -100,7 +109,7 @@ def main(argv=None) -> int:
         if not args.prompts and args.prompt is None:
             ap.error("give a prompt file or --prompt")
         out = run_evaluate(spark, args.prompts, args.out, args.models.split(","), sel or None, args.client,
-                           prompt=args.prompt)
+                           prompt=args.prompt, concurrency=args.concurrency, threads_per_task=args.threads_per_task)
         print(out or "no results")
     else:
         for name, path in run_analyze(spark, args.results, args.out, args.file).items():

@@ -12,15 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_PANEL = 64  # size bound for literal panels (a panel is a handful of models)
 
-
-def check_panel(models: Sequence[str]) -> list[str]:
+def check_panel(models: Sequence[str], max_panel: int | None = None) -> list[str]:
+    """Distinct, non-empty panel; ``max_panel`` is an optional guard of the caller."""
     models = list(models)
     if not models:
         raise ValueError("empty model panel")
-    if len(models) > MAX_PANEL or len(set(models)) != len(models):
-        raise ValueError("panel must be at most %d distinct names" % MAX_PANEL)
+    if len(set(models)) != len(models):
+        raise ValueError("panel names must be distinct")
+    if max_panel is not None and len(models) > max_panel:
+        raise ValueError(f"panel must be at most {max_panel} names")
     return models
 
 

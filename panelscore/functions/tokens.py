@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token rule of the keyword matcher (lower-case ASCII letters and
-# digits, runs of anything else separate tokens, tokens shorter than 3 dropped).
-TOKEN_SPLIT = "[^a-z0-9]+"
+# Token rule of the keyword matcher: letters and digits of any script, lower-cased; runs
+# of anything else separate tokens, tokens shorter than 3 are dropped.
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 MIN_TOKEN_LEN = 3
 
 

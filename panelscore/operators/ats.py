@@ -26,10 +26,24 @@ _LIST_OK = r"^ARRAY<(STRING|VOID)>$"
 
 
 def _list(v):
-    """(valid, array<string>) of a list field; a missing key is an empty list."""
-    valid = v.isNull() | F.schema_of_variant(v).rlike(_LIST_OK)
-    arr = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array().cast("array<string>"))
-    return valid, arr
+    """(valid, array<string>) of a list field; a missing key is an empty list, a string the list of its characters."""
+    kind = F.schema_of_variant(v)
+    valid = v.isNull() | kind.rlike(_LIST_OK) | (kind == "STRING")
+    chars = F.filter(F.split(F.try_variant_get(v, "$", "string"), ""), lambda c: c != "")
+    arr = F.when(kind == "STRING", chars).otherwise(F.try_variant_get(v, "$", "array<string>"))
+    return valid, F.coalesce(arr, F.array().cast("array<string>"))
+
+
+def _score_text(v):
+    """The score as it is shown: integers as they are, other numbers with their fraction (85.0), True/False, None."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    return (
+        F.when(kind == "VOID", F.lit("None"))
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double").cast("string"))
+        .otherwise(F.coalesce(text, F.lit("None")))
+    )
 
 
 def parse_ats(raw: DataFrame, keys: Sequence[str] = ("prompt_id", "model")) -> DataFrame:
@@ -62,7 +76,7 @@ def parse_ats(raw: DataFrame, keys: Sequence[str] = ("prompt_id", "model")) -> D
     staged = p.select(
         *keys, status.alias("status"),
         F.try_variant_get("_score", "$", "double").alias("_score_d"),
-        F.try_variant_get("_score", "$", "string").alias("_score_s"),
+        _score_text(F.col("_score")).alias("_score_s"),
         str_arr.alias("_s"), F.when(gap_ok, gap_arr).alias("_g"), sug_arr.alias("_u"),
     )
     empty = F.array().cast("array<string>")
@@ -96,8 +110,8 @@ def _bullets(arr, prefix, none_text):
 
 
 def feedback(parsed: DataFrame) -> DataFrame:
-    """STR-13: colour band and feedback card for every scored row (ok or fallback)."""
-    scored = parsed.where(F.col("status") != "na")
+    """STR-13: colour band and feedback card for every scored row (ok or fallback); a null score has no band and no card."""
+    scored = parsed.where((F.col("status") != "na") & F.col("ats_score").isNotNull())
     band = (
         F.when(F.col("ats_score") >= 75, F.lit("green"))
         .when(F.col("ats_score") >= 50, F.lit("yellow"))

@@ -15,13 +15,19 @@ from ..config import CORE4, METRICS
 from .analysis import numeric_columns
 
 
-def cross_pivot(df: DataFrame, evaluators: Sequence[str], metric: str = "helpfulness") -> DataFrame:
+def cross_pivot(df: DataFrame, evaluators: Sequence[str] | None = None, metric: str = "helpfulness") -> DataFrame:
     """AGG-13: mean ``metric`` with rows = target model, columns = evaluator.
 
-    Column values are passed in (no extra distinct job), so the pivot is a
-    single grouped aggregation of conditional averages. Rows whose cells are
-    all null are dropped; a target never judges itself, so its own cell is null.
+    Without ``evaluators`` the columns are all judges with a value (one small
+    distinct job; judges are a panel). The pivot is a single grouped aggregation of
+    conditional averages. Rows whose cells are all null are dropped; a target
+    never judges itself, so its own cell is null.
     """
+    if evaluators is None:
+        found = df.where(F.col("evaluator").isNotNull() & F.col("target_model").isNotNull() & F.col(metric).isNotNull())
+        evaluators = sorted(r[0] for r in found.select("evaluator").distinct().collect())
+    if not evaluators:
+        return df.select("target_model").limit(0)
     # conditional averages: one aggregation (``pivot`` would aggregate twice)
     p = (
         df.where(F.col("target_model").isNotNull() & F.col("evaluator").isNotNull())
@@ -35,125 +41,38 @@ def cross_pivot(df: DataFrame, evaluators: Sequence[str], metric: str = "helpful
     return p.where(any_value)
 
 
-_MOMENT_SCHEMA = (
-    "a string, b string, n long, ma double, mb double, m2a double, m2b double, c double, "
-    "mina double, maxa double, minb double, maxb double"
-)
-
-
-def _partition_moments(cols: list[str]):
-    """Per-partition co-moments of every column pair over rows where both are present.
-
-    Returns a function for ``mapInPandas``: each Arrow batch becomes k x k
-    matrices via matrix products (centred on the batch means, so the moments
-    are well conditioned), batches are merged with the parallel update
-    formulas, and one row per pair (upper triangle + diagonal) is emitted.
-    """
-    import numpy as np
-    import pandas as pd
-
-    k = len(cols)
-
-    def merge(acc, new):
-        if acc is None:
-            return new
-        n1, ma1, m21, c1, mn1, mx1 = acc
-        n2, ma2, m22, c2, mn2, mx2 = new
-        n = n1 + n2
-        with np.errstate(invalid="ignore", divide="ignore"):
-            f = np.where(n > 0, n1 * n2 / np.where(n > 0, n, 1), 0.0)
-            da = ma2 - ma1
-            db = da.T
-            ma = np.where(n > 0, (n1 * ma1 + n2 * ma2) / np.where(n > 0, n, 1), 0.0)
-        return (n, ma, m21 + m22 + da * da * f, c1 + c2 + da * db * f, np.fmin(mn1, mn2), np.fmax(mx1, mx2))
-
-    def batch_moments(x):
-        m = ~np.isnan(x)
-        mf = m.astype(np.float64)
-        n = mf.T @ mf
-        cnt = mf.sum(axis=0)
-        mu = np.where(cnt > 0, np.nansum(x, axis=0) / np.where(cnt > 0, cnt, 1), 0.0)
-        xc = np.where(m, x - mu, 0.0)
-        s = xc.T @ mf  # s[a, b] = sum of centred a over rows with a and b
-        q = (xc * xc).T @ mf
-        p = xc.T @ xc
-        with np.errstate(invalid="ignore", divide="ignore"):
-            safe = np.where(n > 0, n, 1)
-            ma = np.where(n > 0, mu[:, None] + s / safe, 0.0)
-            m2 = np.where(n > 0, q - s * s / safe, 0.0)
-            c = np.where(n > 0, p - s * s.T / safe, 0.0)
-        mn = np.full((k, k), np.inf)
-        mx = np.full((k, k), -np.inf)
-        for i in range(k):
-            for j in range(k):
-                sel = m[:, i] & m[:, j]
-                if sel.any():
-                    v = x[sel, i]
-                    mn[i, j], mx[i, j] = v.min(), v.max()
-        return n, ma, m2, c, mn, mx
-
-    def run(batches):
-        acc = None
-        for pdf in batches:
-            if len(pdf):
-                acc = merge(acc, batch_moments(pdf[cols].to_numpy(dtype=np.float64, na_value=np.nan)))
-        if acc is None:
-            return
-        n, ma, m2, c, mn, mx = acc
-        rows = []
-        for i in range(k):
-            for j in range(i, k):
-                if n[i, j] > 0:
-                    rows.append((cols[i], cols[j], int(n[i, j]), ma[i, j], ma[j, i], m2[i, j], m2[j, i], c[i, j],
-                                 mn[i, j], mx[i, j], mn[j, i], mx[j, i]))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in _MOMENT_SCHEMA.split(", ")])
-
-    return run
+#: Column pairs that one aggregation holds (more would outgrow generated code).
+CORR_PAIRS = 15
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """AGG-14: Pearson correlation of every pair of numeric columns, pairwise complete.
 
-    Wide built-in aggregates grow as k^2 expressions (plan analysis and code
-    generation dominate), so the co-moments are computed per partition with
-    vectorised matrix products (``mapInPandas``), emitted as one small row
-    per (partition, pair), and merged in Spark with the parallel formulas.
+    Built-in aggregates only: ``corr`` skips rows where either side is null. Pairs are
+    aggregated in chunks, each one scan with map-side partial sums and one row out.
     A pair whose complete rows are constant in either column, or a single
     row, gives null. Output: (a, b, r) for all ordered pairs, diagonal included.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    from ..session import ship_package
-
-    ship_package(df.sparkSession)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    parts = x.mapInPandas(_partition_moments(cols), _MOMENT_SCHEMA)
-    w = Window.partitionBy("a", "b")
-    tot = F.sum("n").over(w).cast("double")
-    g = parts.select(
-        "*",
-        (F.sum(F.col("n") * F.col("ma")).over(w) / tot).alias("gma"),
-        (F.sum(F.col("n") * F.col("mb")).over(w) / tot).alias("gmb"),
-    )
-    da, db = F.col("ma") - F.col("gma"), F.col("mb") - F.col("gmb")
-    m = g.groupBy("a", "b").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("m2a") + F.col("n") * da * da).alias("m2a"),
-        F.sum(F.col("m2b") + F.col("n") * db * db).alias("m2b"),
-        F.sum(F.col("c") + F.col("n") * da * db).alias("c"),
-        F.min("mina").alias("mina"), F.max("maxa").alias("maxa"),
-        F.min("minb").alias("minb"), F.max("maxb").alias("maxb"),
-    )
-    varying = (F.col("mina") < F.col("maxa")) & (F.col("minb") < F.col("maxb")) & (F.col("n") > 1)
-    r = F.when(F.col("a") == F.col("b"), F.when(varying, F.lit(1.0))).otherwise(
-        F.when(varying & (F.col("m2a") > 0) & (F.col("m2b") > 0),
-               F.bround(F.col("c") / F.sqrt(F.col("m2a") * F.col("m2b")), digits))
-    )
-    fwd = F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("r").alias("r"))
-    rev = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("r").alias("r"))
-    both = F.when(F.col("a") == F.col("b"), F.array(fwd)).otherwise(F.array(fwd, rev))
-    return m.select("a", "b", r.alias("r")).select(F.inline(both))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    out = None
+    for at in range(0, len(pairs), CORR_PAIRS):
+        chunk = pairs[at : at + CORR_PAIRS]
+        aggs = []
+        for k, (a, b) in enumerate(chunk):
+            va, vb = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+            varying = (F.min(va) < F.max(va)) & (F.min(vb) < F.max(vb))
+            r = F.lit(1.0) if a == b else F.bround(F.corr(a, b), digits)
+            aggs.append(F.when(varying, r).alias(f"r{k}"))
+        row = x.agg(*aggs)
+        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(chunk)]
+        cells += [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(chunk) if a != b]
+        part = row.select(F.inline(F.array(*cells)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def box_stats_approx(df: DataFrame, key: str, metrics: Sequence[str] = CORE4, whisker: float = 1.5,

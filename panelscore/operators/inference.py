@@ -6,7 +6,7 @@ place that uses Python per row, through ``mapInPandas`` (Arrow batches):
 * the client is created once per task from an injected, picklable factory;
 * calls are retried a bounded number of times, then the role's error policy
   decides the output (sentinel text, null, False, fallback JSON);
-* ``concurrency`` caps simultaneous calls by repartitioning to that many tasks;
+* ``concurrency`` sets the number of simultaneous calls by repartitioning to that many tasks;
 * the result must be materialised before it is used twice (``materialize``),
   so a retried or re-planned stage never pays for a call again.
 """
@@ -67,6 +67,9 @@ def complete(
 ) -> DataFrame:
     """Call ``client.complete(model, prompt, spec) -> str`` for every row.
 
+    The rows are dealt to ``concurrency`` tasks, by default as many as the cluster has cores:
+    a small prompt list in one partition would otherwise be called one by one.
+
     Adds ``out_col`` (text or null) and ``error`` (last error message or null).
     ``threads_per_task`` > 1 overlaps the (I/O-bound) calls of one Arrow batch
     on a thread pool; results keep the row order.
@@ -79,7 +82,7 @@ def complete(
     s = ROLE_SETTINGS[role]
     spec = CallSpec(role, s["temperature"], s["max_tokens"])
     schema = StructType(df.schema.fields + [StructField(out_col, StringType()), StructField("error", StringType())])
-    src = df.repartition(concurrency) if concurrency else df
+    src = df.repartition(concurrency or df.sparkSession.sparkContext.defaultParallelism)
 
     def call(client, model, prompt):
         err = None
@@ -119,49 +122,3 @@ def materialize(df: DataFrame, name: str = "model_calls") -> DataFrame:
     from ..session import materialize as write_once
 
     return write_once(df, name)
-
-
-class EchoPanelClient:
-    """Deterministic offline client (tests, demos): no network.
-
-    answer/answer_logger: ``<MODEL>: <prompt>``; judge: a JSON object whose
-    eight scores derive from the request length ``L`` (metric k ->
-    ((L + 13k) mod 101) / 100); reasoning: ``because <model>``; realtime:
-    'True' when the prompt length is even; ats: a score from the length.
-    ``fail_models`` always raise, to exercise the error policies.
-    """
-
-    METRICS = ("helpfulness", "correctness", "coherence", "tone_score",
-               "accuracy", "relevance", "completeness", "clarity")
-
-    def __init__(self, fail_models=(), log_path: str | None = None):
-        self.fail_models = set(fail_models)
-        self.log_path = log_path
-
-    def complete(self, model: str, prompt: str, spec: CallSpec) -> str:
-        if self.log_path:
-            import hashlib
-
-            with open(self.log_path, "a", encoding="utf-8") as f:
-                f.write(f"{spec.role}\t{model}\t{hashlib.sha1((prompt or '').encode()).hexdigest()}\n")
-        if model in self.fail_models:
-            raise RuntimeError("service unavailable")
-        text = prompt or ""
-        n = len(text)
-        if spec.role in ("answer", "answer_logger"):
-            return f"{model.upper()}: {text}"
-        if spec.role == "judge":
-            scores = ", ".join(f'"{m}": {((n + 13 * k) % 101) / 100}' for k, m in enumerate(self.METRICS))
-            return f'Evaluation: {{{scores}, "reasoning": "len {n}", "notes": ""}}'
-        if spec.role == "reasoning":
-            return f"because {model}"
-        if spec.role == "realtime":
-            return "True" if n % 2 == 0 else "False"
-        return f'{{"ats_score": {n % 101}, "strengths": [], "gaps": [], "suggestions": []}}'
-
-
-def echo_client_factory(fail_models=(), log_path: str | None = None):
-    def make():
-        return EchoPanelClient(fail_models, log_path)
-
-    return make

@@ -22,12 +22,45 @@ def usable_judgments(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("status") == "ok")
 
 
+def with_run(df: DataFrame, keys) -> list[str]:
+    """``keys`` with ``run_id`` in front where the rows carry one (runs are never mixed)."""
+    keys = list(keys)
+    return ["run_id", *keys] if "run_id" in df.columns and "run_id" not in keys else keys
+
+
+def mean_of(col, over=None):
+    """Mean as a double: the exact decimal sum of the values (whatever their order) over their count."""
+    total, n = F.sum(col.cast("decimal(38,18)")), F.count(col)
+    if over is not None:
+        total, n = total.over(over), n.over(over)
+    return F.try_divide(total.cast("double"), n.cast("double"))
+
+
+def py_round(x, digits: int = 3):
+    """``round(x, digits)`` of Python: the double's exact binary value, rounded half-even (MTH-1).
+
+    The value is scaled by a power of two to an exact integer; the division by that power is
+    integer arithmetic with its remainder, so nothing is rounded twice. Values beyond 2**20 in
+    size have no such scale here and are rounded as decimals.
+    """
+    ten = 10**digits
+
+    def exact(bits):
+        m = (F.abs(x) * F.lit(float(1 << bits))).cast("bigint").cast("decimal(20,0)") * F.lit(ten).cast("decimal(5,0)")
+        one = F.lit(1 << bits).cast("decimal(20,0)")
+        half = F.lit(1 << (bits - 1)).cast("decimal(20,0)")
+        rest = m % one
+        whole = ((m - rest) / one).cast("bigint")
+        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+        return F.signum(x) * (whole + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(ten))
+
+    return F.when(F.abs(x) < 1.9, exact(62)).when(F.abs(x) < float(1 << 20), exact(42)).otherwise(F.bround(x, digits))
+
+
 def _avg_exprs(metrics=METRICS):
-    # Numeric scores only; none -> 0.5; three decimals, half-even (MTH-1: averages of
-    # two-decimal scores over two judges never sit on a rounding tie, so half-even
-    # and Python's round agree).
+    # Numeric scores only; none -> 0.5; three decimals.
     return [
-        F.coalesce(F.bround(F.avg(f"num_{m}"), 3), F.lit(DEFAULT_SCORE)).alias(f"avg_{m}") for m in metrics
+        F.coalesce(py_round(F.col(f"_mean_{m}")), F.lit(DEFAULT_SCORE)).alias(f"avg_{m}") for m in metrics
     ]
 
 
@@ -42,8 +75,11 @@ def target_averages(parsed: DataFrame, keys=TARGET_KEYS) -> DataFrame:
     the usable-count filter runs after the aggregate (nothing is pushed below the
     JSON parse, which is therefore evaluated once per row).
     """
-    agg = parsed.groupBy(*keys).agg(*_avg_exprs(), F.count(_ok(F.lit(1))).alias("n_evaluators"))
-    return agg.where(F.col("n_evaluators") > 0)
+    keys = with_run(parsed, keys)
+    agg = parsed.groupBy(*keys).agg(
+        *[mean_of(F.col(f"num_{m}")).alias(f"_mean_{m}") for m in METRICS], F.count(_ok(F.lit(1))).alias("n_evaluators")
+    )
+    return agg.where(F.col("n_evaluators") > 0).select(*keys, *_avg_exprs(), "n_evaluators")
 
 
 def evaluation_rows(parsed: DataFrame, responses: DataFrame) -> DataFrame:
@@ -54,23 +90,24 @@ def evaluation_rows(parsed: DataFrame, responses: DataFrame) -> DataFrame:
     reuses the join's hash partitioning (one exchange per input). Failed
     judgments (null scores) are dropped after the window.
     """
+    targets = [k for k in with_run(responses, TARGET_KEYS) if k in parsed.columns]
     resp = responses.select(
-        "prompt_id",
+        *[k for k in targets if k != "target_model"],
         F.col("model").alias("target_model"),
         "prompt",
         "response",
         F.col("reasoning").alias("explainability"),
     )
-    j = parsed.join(resp, TARGET_KEYS)
-    w = Window.partitionBy(*TARGET_KEYS)
-    avgs = [
-        F.coalesce(F.bround(F.avg(f"num_{m}").over(w), 3), F.lit(DEFAULT_SCORE)).alias(f"avg_{m}") for m in METRICS
-    ]
-    rows = j.select(
-        "prompt_id", "prompt", "target_model", "evaluator", "response", "explainability",
-        *METRICS, "reasoning", "notes", *avgs, "status",
+    j = parsed.join(resp, targets)
+    # a run in the judgments alone still keeps its averages apart
+    run = [k for k in with_run(parsed, []) if k not in targets]
+    w = Window.partitionBy(*run, *targets)
+    j = j.select("*", *[mean_of(F.col(f"num_{m}"), w).alias(f"_mean_{m}") for m in METRICS])
+    rows = j.where(F.col("status") == "ok")
+    return rows.select(
+        *with_run(parsed, []), "prompt_id", "prompt", "target_model", "evaluator", "response", "explainability",
+        *METRICS, "reasoning", "notes", *_avg_exprs(),
     )
-    return rows.where(F.col("status") == "ok").drop("status")
 
 
 def judgment_failures(parsed: DataFrame) -> DataFrame:
@@ -95,7 +132,7 @@ def model_summary(responses: DataFrame, parsed: DataFrame) -> DataFrame:
     Every target is listed, also one without any usable judgment (left join).
     """
     per_target = parsed.groupBy(*TARGET_KEYS).agg(
-        *[F.bround(F.avg(f"num_{m}"), 3).alias(m) for m in ("helpfulness", "correctness", "coherence")],
+        *[py_round(mean_of(F.col(f"num_{m}"))).alias(m) for m in ("helpfulness", "correctness", "coherence")],
         F.array_join(F.array_sort(F.collect_set(_ok(F.col("evaluator")))), ", ").alias("evaluators"),
         F.count(_ok(F.lit(1))).alias("n_evaluators"),
     )
@@ -115,7 +152,7 @@ def model_summary(responses: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def summary_from_rows(rows: DataFrame) -> DataFrame:
     """AGG-18 from evaluation rows: per (prompt, target) three averages and the sorted judges."""
-    return rows.groupBy(*TARGET_KEYS).agg(
+    return rows.groupBy(*with_run(rows, TARGET_KEYS)).agg(
         *[F.max(f"avg_{m}").alias(m) for m in ("helpfulness", "correctness", "coherence")],
         F.array_join(F.array_sort(F.collect_set("evaluator")), ", ").alias("evaluators"),
     )

@@ -96,6 +96,13 @@ def q_target_averages(spark, sf):
     return scoring.target_averages(_parsed(spark, sf))
 
 
+@register("target_averages_five")
+def q_target_averages_five(spark, sf):
+    """AGG-5 / MTH-1 with a panel of five: four judges a target, averages that fall on rounding ties."""
+    panel = [f"model_{c}" for c in "abcde"]
+    return scoring.target_averages(scoring.parsed_judgments(fx.judgments_raw(spark, sf, panel)))
+
+
 @register("evaluations_full")
 def q_evaluations_full(spark, sf):
     """JN-3, JN-4, WIN-1, PRJ-1/2: evaluation rows with response text and target averages."""
@@ -193,11 +200,16 @@ def q_report_long(spark, sf):
 def q_flagship(spark, sf):
     """Flagship: noisy judgments -> strict parse -> per-target averages -> model statistics.
 
-    The per-target averages (AGG-5) are the evaluation rows' avg columns; the
-    model statistics (AGG-1) run over the evaluation rows.
+    The model statistics (AGG-1) run over the evaluation rows; next to them stands the mean of
+    the per-target averages (AGG-5) of each core metric.
     """
-    rows = scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
-    return analysis.model_stats(rows)
+    parsed = _parsed(spark, sf)
+    rows = scoring.evaluation_rows(parsed, fx.responses(spark, sf))
+    core = ("helpfulness", "correctness", "coherence", "clarity")
+    means = scoring.target_averages(parsed).groupBy("target_model").agg(
+        F.count(F.lit(1)).alias("n_targets"), *[F.bround(F.avg(f"avg_{m}"), 6).alias(f"{m}_target_mean") for m in core]
+    )
+    return analysis.model_stats(rows).join(means, "target_model")
 
 
 # --------------------------------------------------------------------------- charts
@@ -206,7 +218,7 @@ def q_flagship(spark, sf):
 @register("cross_pivot")
 def q_cross_pivot(spark, sf):
     """AGG-13: helpfulness pivot, target x evaluator."""
-    return charts.cross_pivot(_facts(spark, sf), DEFAULT_PANEL)
+    return charts.cross_pivot(_facts(spark, sf))
 
 
 @register("metric_corr")
@@ -380,11 +392,11 @@ def q_reasoning_prompts(spark, sf):
     return r.select("prompt_id", "model", txt.reasoning_prompt(F.col("response"), F.col("prompt")).alias("reasoning_prompt"))
 
 
-# --------------------------------------------------------------------------- model calls (offline client)
+# --------------------------------------------------------------------------- model calls (library flows, paid clients)
 
 
 def judge_answers(answers: DataFrame, models, client_factory, selected=None, panel="all",
-                  errors: str = "keep") -> DataFrame:
+                  errors: str = "keep", **calls) -> DataFrame:
     """Round-robin judging of materialised answers -> parsed judgments -> evaluation rows.
 
     FLT-5: ``errors='keep'`` judges error-sentinel answers like any other (the
@@ -399,13 +411,13 @@ def judge_answers(answers: DataFrame, models, client_factory, selected=None, pan
         "prompt_id", "target_model", F.col("evaluator").alias("model"),
         txt.judge_prompt(F.col("prompt"), F.col("target_model"), F.col("response")).alias("request"),
     )
-    judged = inference.materialize(inference.complete(requests, client_factory, "judge").drop("request", "error"))
+    judged = inference.materialize(inference.complete(requests, client_factory, "judge", **calls).drop("request", "error"))
     parsed = scoring.parsed_judgments(judged.withColumnRenamed("model", "evaluator"))
     return scoring.evaluation_rows(parsed, answers)
 
 
 def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, panel="all",
-                   answer_role: str = "answer", drop_failed: bool = False, errors: str = "keep") -> DataFrame:
+                   answer_role: str = "answer", drop_failed: bool = False, errors: str = "keep", **calls) -> DataFrame:
     """E2 end to end: fan-out -> answers -> judge requests -> judgments -> evaluation rows.
 
     ``answer_role='answer_logger', drop_failed=True`` is the command-line flow
@@ -418,22 +430,14 @@ def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, pa
     """
     targets = pairing.fan_out(prompts, models, selected)
     answers = inference.complete(
-        targets.withColumn("request", F.col("prompt")), client_factory, answer_role, out_col="response"
+        targets.withColumn("request", F.col("prompt")), client_factory, answer_role, out_col="response", **calls
     ).drop("request", "error")
-    answers = inference.materialize(answers.withColumn("reasoning", F.concat(F.lit("because "), F.col("model"))))
+    # this flow asks for no explanation
+    answers = inference.materialize(answers.withColumn("reasoning", F.lit(None).cast("string")))
     if drop_failed:
         # FLT-4 (command-line flow): a failed (null) or empty answer is not judged
         answers = answers.where(F.col("response").isNotNull() & (F.col("response") != ""))
-    return judge_answers(answers, models, client_factory, selected, panel, errors)
-
-
-@register("infer_evaluations")
-def q_infer_evaluations(spark, sf):
-    """INF-1, INF-3, STR-2, JN-1/2: full evaluation with the deterministic offline client."""
-    prompts = fx.prompts(spark, sf).select("prompt_id", "prompt")
-    rows = evaluate_panel(prompts, DEFAULT_PANEL, inference.echo_client_factory())
-    return rows.select("prompt_id", "target_model", "evaluator", "response", *METRICS,
-                       *[f"avg_{m}" for m in METRICS])
+    return judge_answers(answers, models, client_factory, selected, panel, errors, **calls)
 
 
 # --------------------------------------------------------------------------- files (write, read back)
@@ -473,7 +477,8 @@ def q_runs_union(spark, sf):
 @register("latest_run")
 def q_latest_run(spark, sf):
     """SRC-2 + TOP-3: rows of the newest results/*.csv file (the second run written)."""
-    evals = _evaluations_once(spark, sf)
+    # runs of several part files each, as any larger run has
+    evals = _evaluations_once(spark, sf).repartition(4, "prompt_id")
     out = scratch_path(spark, "results")
     sinks.write_comprehensive(evals, out, RUN_A)
     sinks.write_comprehensive(evals.withColumn("notes", F.lit("rerun")), out, RUN_B)
@@ -484,42 +489,34 @@ def q_latest_run(spark, sf):
 # --------------------------------------------------------------------------- streaming (availableNow, read back)
 
 
-STREAM_FILES = 5
-STREAM_TIMEOUT_SEC = 1800
+ARRIVALS = 5  # event-time ranges that the hourly monitor receives one after the other
+BYTES_PER_TRIGGER = 128 << 20
 
 
-def _stream_input(spark, df: DataFrame, key: str, copies: int = 1) -> str:
-    """Evaluation rows dropped into a folder as ``STREAM_FILES`` parquet files (per copy).
-
-    Files are cut by a hash of ``key`` (a high-cardinality column), so each file
-    holds a similar share of the rows (no sampling pass, unlike range cuts).
-    """
+def _stream_input(df: DataFrame, copies: int = 1) -> str:
+    """Evaluation rows dropped into a folder as parquet, in the partitions that the data has (per copy)."""
+    spark = df.sparkSession
     base = scratch_path(spark, "stream_in")
-    df.repartition(STREAM_FILES, key).write.parquet(f"{base}/copy=0")
+    df.write.parquet(f"{base}/copy=0")
     for c in range(1, copies):
         # re-deliveries are copies of the written files (the input is computed once)
         spark.read.parquet(f"{base}/copy=0").write.parquet(f"{base}/copy={c}")
     return base
 
 
-def _time_ranges(df: DataFrame, ts_col: str, n: int):
-    """``n`` event-time ranges cut at approximate quantiles (a handful of numbers)."""
+def _arrival(df: DataFrame, ts_col: str, n: int):
+    """Number of the event-time range of a row; the cuts are approximate quantiles (a handful of numbers)."""
     secs = F.col(ts_col).cast("timestamp").cast("long")
     cuts = df.select(F.percentile_approx(secs, [i / n for i in range(1, n)], 10000).alias("c")).first()["c"] or []
-    edges = [None] + sorted(set(cuts)) + [None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (secs >= lo)
-        if hi is not None:
-            cond = cond & (secs < hi)
-        yield cond
+    number = F.lit(0)
+    for c in sorted(set(cuts)):
+        number = number + F.when(secs >= c, 1).otherwise(0)
+    return number, len(set(cuts)) + 1
 
 
 def _await(q):
-    if not q.awaitTermination(STREAM_TIMEOUT_SEC):
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    """Until all that is available has been processed, however long it takes."""
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
 
@@ -528,9 +525,9 @@ def _await(q):
 def q_stream_running(spark, sf):
     """STM-1: running per-model statistics over arriving evaluation files (complete mode)."""
     facts = _facts(spark, sf)
-    src = _stream_input(spark, facts, "prompt_id")
+    src = _stream_input(facts)
     out, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
-    stream = monitor.file_stream(spark, f"{src}/copy=0", facts.schema)
+    stream = monitor.file_stream(spark, f"{src}/copy=0", facts.schema, bytes_per_trigger=BYTES_PER_TRIGGER)
     _await(monitor.to_parquet_batches(monitor.running_model_stats(stream), out, ck, "complete"))
     res = monitor.read_last_batch(spark, out)
     return res.select("target_model", "n", *[F.bround(f"{m}_mean", 3).alias(f"{m}_mean") for m in ("helpfulness", "correctness", "coherence", "clarity")])
@@ -543,11 +540,15 @@ def q_stream_hourly(spark, sf):
     facts = _facts(spark, sf).select(*cols)
     src, out, ck = scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
     agg = None
-    # data arrives in event-time order, one time range at a time (written in parallel);
-    # each arrival is processed by an availableNow run that resumes from the checkpoint,
-    # so the watermark advances between arrivals and expired window state is dropped
-    for i, cond in enumerate(_time_ranges(facts, "eval_ts", STREAM_FILES)):
-        facts.where(cond).write.parquet(f"{src}/arrival={i:03d}")
+    # data arrives in event-time order, one time range at a time, from one write of the whole
+    # table cut by range; each arrival is processed by an availableNow run that resumes from the
+    # checkpoint, so the watermark advances between arrivals and expired window state is dropped
+    number, n = _arrival(facts, "eval_ts", ARRIVALS)
+    staged = scratch_path(spark, "stream_staged")
+    facts.withColumn("arrival", number).write.partitionBy("arrival").parquet(staged)
+    ranges = spark.read.parquet(staged)
+    for i in range(n):
+        ranges.where(F.col("arrival") == i).select(*cols).write.parquet(f"{src}/arrival={i:03d}")
         if agg is None:  # the source folder exists once the first arrival is written
             stream = (spark.readStream.schema(StructType(facts.schema.fields)).option("recursiveFileLookup", "true")
                       .parquet(src)).select(*cols)
@@ -564,14 +565,15 @@ def q_stream_dedup(spark, sf):
     parsed = _parsed(spark, sf).where(F.col("status") == "ok")
     rows = parsed.select(
         F.lit(RUN_A).alias("run_id"), "prompt_id", "target_model", "evaluator", *METRICS,
-        F.to_timestamp(F.lit(RUN_A), "yyyyMMdd_HHmmss").alias("eval_ts"),
+        # prompts are judged one after the other over a day of the run
+        (F.to_timestamp(F.lit(RUN_A), "yyyyMMdd_HHmmss").cast("long") + F.pmod(F.xxhash64("prompt_id"), F.lit(86400))).cast("timestamp").alias("eval_ts"),
     )
-    src = _stream_input(spark, rows, "prompt_id", copies=2)
+    src = _stream_input(rows, copies=2)
     out, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
-    # each copy arrives as one micro-batch; the second copy re-delivers every row
-    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STREAM_FILES)
+    # the second copy re-delivers every row; a key is kept for two days of event time, longer than a run
+    stream = (spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
               .option("recursiveFileLookup", "true").parquet(src))
-    _await(monitor.to_parquet_batches(monitor.dedup_judgments(stream), out, ck, "append"))
+    _await(monitor.to_parquet_batches(monitor.dedup_judgments(stream, delay="2 days"), out, ck, "append"))
     return spark.read.parquet(out).drop("batch_id", "eval_ts")
 
 
@@ -638,36 +640,6 @@ def run_evaluation(prompts: DataFrame, models, client_factory, hits: DataFrame,
     return judge_answers(answers, models, client_factory, selected, panel, errors)
 
 
-@register("infer_answers")
-def q_infer_answers(spark, sf):
-    """INF-1/4/5, STR-1/4/7, JN-5: answers with search context and explanations (offline client)."""
-    prompts = fx.prompts(spark, sf).select("prompt_id", "prompt")
-    return answer_panel(prompts, DEFAULT_PANEL, inference.echo_client_factory(), fx.search_hits(spark, sf))
-
-
-@register("infer_ats")
-def q_infer_ats(spark, sf):
-    """INF-6, STR-1 (ATS), STR-3, JSN-5, STR-12: each application answered and ATS-scored by the panel."""
-    a = fx.applications(spark, sf)
-    docs = a.join(fx.jobs(spark, sf).select("job_id", "jd"), "job_id").join(
-        fx.resumes(spark, sf).select("resume_id", "resume"), "resume_id"
-    )
-    none = F.lit(None).cast("string")
-    req = docs.withColumn("request", txt.build_prompt(F.col("jd"), F.col("resume"), F.col("jd"), none))
-    factory = inference.echo_client_factory()
-    answers = inference.materialize(
-        inference.complete(pairing.fan_out(req, DEFAULT_PANEL), factory, "answer", out_col="response").drop("error"),
-        "ats_answers",
-    )
-    scoring_req = answers.withColumn("request", txt.ats_score_prompt(F.col("response"), F.col("resume"), F.col("jd")))
-    scored = inference.materialize(
-        inference.complete(scoring_req.select("job_id", "resume_id", "model", "request"), factory, "ats").drop("error"),
-        "ats_calls",
-    )
-    parsed = ats_ops.summary_rows(ats_ops.parse_ats(scored, keys=["job_id", "resume_id", "model"]))
-    return parsed.select("job_id", "resume_id", "model", "status", "ats_score", "row_md")
-
-
 @register("judgment_issues")
 def q_judgment_issues(spark, sf):
     """JSN-4 issue flags: per judge and metric, counts of values that were not plain numbers."""

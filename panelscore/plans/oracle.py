@@ -76,17 +76,34 @@ select prompt_id, target_model, evaluator from judgments_raw where f in (0, 1, 6
 """)
 
 
-def _target_avgs() -> str:
-    cols = ",\n  ".join(f"coalesce(round_even(avg(num_{m}), 3), 0.5) as avg_{m}" for m in _M)
+def _py_round(x: str) -> str:
+    """Python's round(x, 3) for 0 <= x < 2: the double's exact value (an integer over 2**62), half to even."""
+    m = f"(cast({x} * 4611686018427387904.0 as hugeint) * 1000)"
+    q, r = f"({m} // 4611686018427387904)", f"({m} % 4611686018427387904)"
+    up = f"case when {r} > 2305843009213693952 or ({r} = 2305843009213693952 and {q} % 2 = 1) then 1 else 0 end"
+    return f"(cast({q} + {up} as double) / cast(1000 as double))"
+
+
+def _mean(col: str) -> str:
+    return f"(cast(sum(cast({col} as decimal(18,6))) as double) / count({col}))"
+
+
+def _target_avgs(parsed: str = "parsed") -> str:
+    means = ", ".join(f"{_mean(f'num_{m}')} as mean_{m}" for m in _M)
+    cols = ",\n  ".join(f"coalesce({_py_round(f'mean_{m}')}, 0.5) as avg_{m}" for m in _M)
     return f"""
 select prompt_id, target_model,
   {cols},
-  count(*) as n_evaluators
-from parsed where status = 'ok' group by prompt_id, target_model
+  n_evaluators
+from (select prompt_id, target_model, {means}, count(*) as n_evaluators
+      from {parsed} where status = 'ok' group by prompt_id, target_model) g
 """
 
 
 ORACLE["target_averages"] = with_fixtures(["judgments_raw"], _target_avgs(), [("parsed", _PARSED)])
+ORACLE["target_averages_five"] = with_fixtures(
+    ["judgments_raw5"], _target_avgs("parsed5"), [("parsed5", _PARSED.replace("from judgments_raw", "from judgments_raw5"))]
+)
 
 ORACLE["evaluations_full"] = with_fixtures(["judgments_raw", "responses"], f"""
 select j.prompt_id, r.prompt, j.target_model, j.evaluator, r.response, r.reasoning as explainability,
@@ -109,8 +126,8 @@ select r.prompt_id, r.model as target_model,
   case when a.n > 0 then coalesce(a.o, 0.5) end as coherence,
   coalesce(a.evaluators, '') as evaluators
 from responses r left join (
-  select prompt_id, target_model, round_even(avg(num_helpfulness), 3) as h,
-    round_even(avg(num_correctness), 3) as c, round_even(avg(num_coherence), 3) as o,
+  select prompt_id, target_model, """ + ", ".join(f"{_py_round(_mean('num_' + m))} as {k}" for m, k in
+    (("helpfulness", "h"), ("correctness", "c"), ("coherence", "o"))) + """,
     string_agg(evaluator, ', ' order by evaluator) as evaluators, count(*) as n
   from parsed where status = 'ok' group by prompt_id, target_model) a
   on a.prompt_id = r.prompt_id and a.target_model = r.model
@@ -206,11 +223,15 @@ where rn = 1
 ORACLE["strengths"] = with_fixtures(["eval_facts"], _extremes(True))
 ORACLE["weaknesses"] = with_fixtures(["eval_facts"], _extremes(False))
 
-ORACLE["flagship_model_stats"] = with_fixtures(["judgments_raw", "responses"], _stats(
-    "target_model", "target_model is not null", count_of="helpfulness",
+ORACLE["flagship_model_stats"] = with_fixtures(["judgments_raw", "responses"], f"""
+select s.*, t.n_targets, {", ".join(f"t.{m}_target_mean" for m in _C4)}
+from ({_stats("target_model", "target_model is not null", count_of="helpfulness",
     source="(select j.* from parsed j join responses r on r.prompt_id = j.prompt_id and r.model = j.target_model "
-           "where j.status = 'ok') s",
-), [("parsed", _PARSED)])
+           "where j.status = 'ok') s")}) s
+join (select target_model, count(*) as n_targets,
+        {", ".join(f"round_even(avg(avg_{m}), 6) as {m}_target_mean" for m in _C4)}
+      from avgs group by target_model) t on t.target_model = s.target_model
+""", [("parsed", _PARSED), ("avgs", _target_avgs())])
 
 
 # --------------------------------------------------------------------------- charts
@@ -344,34 +365,37 @@ def _sql_fill(template: str, **exprs: str) -> str:
 
 _ATS_CASES = """
 select prompt_id, model, f, score,
+  case f when 5 then null when 6 then score + 0.5 when 7 then 1.0 else cast(score as double) end as shown,
+  case f when 5 then 'None' when 6 then concat(cast(score as varchar), '.5') when 7 then 'True' else cast(score as varchar) end as score_text,
+  case f when 4 then '' when 8 then 's, q, l' else 'sql, spark' end as strong,
   case when f in (0, 1) then 'fallback' when f in (2, 3) then 'na' else 'ok' end as status
 from ats_raw
 """
 
 ORACLE["ats_parse"] = with_fixtures(["ats_raw"], """
 select prompt_id, model, status,
-  case when status = 'fallback' then 50.0 when status = 'ok' then cast(score as double) end as ats_score,
-  case when status = 'fallback' then '' when status = 'ok' then (case when f = 4 then '' else 'sql, spark' end) end as strengths,
+  case when status = 'fallback' then 50.0 when status = 'ok' then shown end as ats_score,
+  case when status = 'fallback' then '' when status = 'ok' then strong end as strengths,
   case when status = 'fallback' then '' when status = 'ok' then 'scala' end as gaps,
   case when status = 'fallback' then 'Check formatting.' when status = 'ok' then 'add dates, quantify' end as suggestions,
   case when status = 'na' then concat('| ', model, ' | N/A | N/A | N/A |')
        when status = 'fallback' then concat('| ', model, ' | 50 |  | Check formatting. |')
-       else concat('| ', model, ' | ', cast(score as varchar), ' | ', case when f = 4 then '' else 'sql, spark' end,
-                   ' | add dates, quantify |') end as row_md
+       else concat('| ', model, ' | ', score_text, ' | ', strong, ' | add dates, quantify |') end as row_md
 from c
 """, [("c", _ATS_CASES)])
 
-_FB_SCORE = "case when status = 'fallback' then 50 else score end"
+_FB_SCORE = "case when status = 'fallback' then 50 else shown end"
 ORACLE["ats_feedback"] = with_fixtures(["ats_raw"], f"""
 select prompt_id, model,
   case when {_FB_SCORE} >= 75 then 'green' when {_FB_SCORE} >= 50 then 'yellow' else 'red' end as band,
   {_sql_fill(ATS_FEEDBACK_TEMPLATE,
-             score=f"cast({_FB_SCORE} as varchar)",
+             score="case when status = 'fallback' then '50' else score_text end",
              color=f"case when {_FB_SCORE} >= 75 then '\U0001F7E2' when {_FB_SCORE} >= 50 then '\U0001F7E1' else '\U0001F534' end",
-             strengths="case when status = 'fallback' or f = 4 then '* None found.' else concat('* sql', chr(10), '* spark') end",
+             strengths="case when status = 'fallback' or f = 4 then '* None found.' when f = 8 then concat('* s', chr(10), '* q', chr(10), '* l') "
+                       "else concat('* sql', chr(10), '* spark') end",
              gaps="case when status = 'fallback' then '* None mentioned.' else '* scala' end",
              suggestions="case when status = 'fallback' then '1. Check formatting.' else concat('1. add dates', chr(10), '1. quantify') end")} as feedback_md
-from c where status <> 'na'
+from c where status <> 'na' and (status = 'fallback' or shown is not null)
 """, [("c", _ATS_CASES)])
 
 ORACLE["ats_batch"] = with_fixtures(["ats_raw"], f"""
@@ -381,8 +405,8 @@ from prompts p left join (
   on t.prompt_id = p.prompt_id
 """, [("r", "select prompt_id, model, case when f in (2, 3) then concat('| ', model, ' | N/A | N/A | N/A |') "
        "when f in (0, 1) then concat('| ', model, ' | 50 |  | Check formatting. |') "
-       "else concat('| ', model, ' | ', cast(score as varchar), ' | ', case when f = 4 then '' else 'sql, spark' end, "
-       "' | add dates, quantify |') end as row_md from ats_raw")])
+       "else concat('| ', model, ' | ', score_text, ' | ', strong, ' | add dates, quantify |') end as row_md "
+       f"from ({_ATS_CASES}) c")])
 
 _SEARCH_CTX = f"""
 select g.prompt_id, g.realtime,
@@ -402,7 +426,7 @@ ORACLE["search_context"] = with_fixtures(["search_hits", "realtime_raw"], _SEARC
 
 
 def _tok(id_col: str, text_col: str, source: str, distinct: bool) -> str:
-    inner = f"select {id_col}, unnest(string_split_regex(lower({text_col}), '[^a-z0-9]+')) as token from {source}"
+    inner = f"select {id_col}, unnest(string_split_regex(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+')) as token from {source}"
     if distinct:
         return f"select distinct {id_col}, token from ({inner}) x where length(token) >= 3"
     return f"select {id_col}, token, count(*) as tf from ({inner}) x where length(token) >= 3 group by {id_col}, token"
@@ -498,20 +522,6 @@ from responses
 """)
 
 
-# --------------------------------------------------------------------------- model calls (offline client)
-
-_JUDGE_REQ = _sql_fill(JUDGE_TEMPLATE, prompt="prompt", target="target_model", response="response")
-
-ORACLE["infer_evaluations"] = with_fixtures(["prompts", "models"], f"""
-select prompt_id, target_model, evaluator, response,
-  {", ".join(f"((l + {13 * k}) % 101) / cast(100 as double) as {m}" for k, m in enumerate(_M))},
-  {", ".join(f"round_even(avg(((l + {13 * k}) % 101) / cast(100 as double)) over (partition by prompt_id, target_model), 3) as avg_{m}" for k, m in enumerate(_M))}
-from (select *, length({_JUDGE_REQ}) as l from (
-  select p.prompt_id, p.prompt, t.model as target_model, e.model as evaluator,
-    concat(upper(t.model), ': ', p.prompt) as response
-  from prompts p cross join models t join models e on e.i <> t.i) x) y
-""")
-
 
 # --------------------------------------------------------------------------- files (write, read back)
 
@@ -618,39 +628,6 @@ where trim(line) <> ''
 
 ORACLE["search_json"] = with_fixtures(["search_hits"], "select prompt_id, rk, title, snippet, link from search_hits")
 
-_SNIPPETS = f"""select prompt_id, string_agg({_sql_fill(SEARCH_HIT_TEMPLATE, title='title', snippet='snippet', link='link')},
-  chr(10) || chr(10) order by rk) as snippets from search_hits where rk <= 3 group by prompt_id"""
-
-ORACLE["infer_answers"] = with_fixtures(["search_hits", "models"], f"""
-select b.prompt_id, m.model, m.i as model_idx,
-  concat(upper(m.model), ': ', b.request) as response,
-  concat('because ', m.model) as reasoning,
-  b.search_results, false as is_ats
-from (
-  select p.prompt_id,
-    case when coalesce(s.search_results, '') <> '' then concat(p.prompt, {_lit(SEARCH_MARKER)}, s.search_results)
-         else p.prompt end as request,
-    s.search_results
-  from prompts p left join (
-    select p2.prompt_id,
-      case when length(p2.prompt) % 2 = 0 then coalesce(t.snippets, {_lit(NO_SEARCH_RESULTS)}) end as search_results
-    from prompts p2 left join snip t on t.prompt_id = p2.prompt_id) s on s.prompt_id = p.prompt_id) b
-cross join models m
-""", [("snip", _SNIPPETS)])
-
-from ..config import ATS_SCORE_TEMPLATE  # noqa: E402
-
-ORACLE["infer_ats"] = with_fixtures(["applications", "models"], f"""
-select job_id, resume_id, model, 'ok' as status, cast(s as double) as ats_score,
-  concat('| ', model, ' | ', cast(s as varchar), ' |  |  |') as row_md
-from (
-  select a.job_id, a.resume_id, m.model,
-    length({_sql_fill(ATS_SCORE_TEMPLATE, resume="r.resume", jd="j.jd",
-                      response="concat(upper(m.model), ': ', " + _sql_fill(ATS_TASK_TEMPLATE, resume="r.resume", jd="j.jd") + ")")}) % 101 as s
-  from applications a join jobs j on j.job_id = a.job_id join resumes r on r.resume_id = a.resume_id
-  cross join models m) x
-""")
-
 ORACLE["judgment_issues"] = with_fixtures(["judgments_raw"], """
 select evaluator, metric, kind, count(*) as n from (
   select evaluator,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 FIXTURE_SQL = {
     "prompts": """
-select u.conv_id * 100 + u.turn as prompt_id, u.text as prompt, a.text as answer
+select u.conv_id * 1000000 + u.turn as prompt_id, u.text as prompt, a.text as answer
 from conversations u join conversations a
   on a.conv_id = u.conv_id and a.turn = u.turn + 1
 where u.role = 'user' and a.role = 'assistant'
@@ -20,7 +20,7 @@ select * from (values (0, 'model_a'), (1, 'model_b'), (2, 'model_c')) as x(i, mo
 select p.prompt_id, p.prompt, m.model, m.i as model_idx,
   case when (p.prompt_id * 3 + m.i) % 29 = 0 then ''
        when (p.prompt_id * 3 + m.i) % 29 = 1 then concat('[', m.model, ' Error] timeout')
-       else substr(p.answer, 1, cast(floor(length(p.answer) * (m.i + 1) / 3.0) as int)) end as response,
+       else concat(p.answer, repeat(concat(' ', m.model), m.i + 1)) end as response,
   concat('because ', m.model) as reasoning
 from prompts p cross join models m
 """,
@@ -55,8 +55,9 @@ with a as (
   select p.prompt_id, m.model, (p.prompt_id * 5 + m.i) % 11 as f, (p.prompt_id * 37 + m.i * 11) % 101 as score
   from prompts p cross join models m),
 o as (
-  select *, concat('{', case when f = 2 then '' else concat('"ats_score": ', cast(score as string), ', ') end,
-    case when f = 3 then '"strengths": null, ' when f = 4 then '' else '"strengths": ["sql", "spark"], ' end,
+  select *, concat('{', case f when 2 then '' when 5 then '"ats_score": null, ' when 6 then concat('"ats_score": ', cast(score as string), '.5, ')
+      when 7 then '"ats_score": true, ' else concat('"ats_score": ', cast(score as string), ', ') end,
+    case f when 3 then '"strengths": null, ' when 4 then '' when 8 then '"strengths": "sql", ' else '"strengths": ["sql", "spark"], ' end,
     '"gaps": ["scala"], "suggestions": ["add dates", "quantify"]}') as obj
   from a)
 select prompt_id, model, f, score,
@@ -68,7 +69,7 @@ select p.prompt_id, r.rk, regexp_extract(g.html, '<title>([^<]*)</title>', 1) as
   concat('about page ', cast(g.page_id as string)) as snippet, g.url as link
 from prompts p
 join (select * from (values (1), (2), (3), (4), (5)) as v(rk)) r on r.rk <= p.prompt_id % 6
-join pages g on g.page_id = (p.prompt_id * 13 + r.rk * 7) % 50
+join pages g on g.page_id = (p.prompt_id * 13 + r.rk * 7) % (select count(*) from pages)
 """,
     "realtime_raw": """
 select prompt_id, case prompt_id % 3 when 0 then ' TRUE ' when 1 then 'False.' else 'That is untrue' end as raw_text
@@ -76,15 +77,15 @@ from prompts
 """,
     "resumes": """
 select doc_id as resume_id, source, text as resume from documents
-where lang = 'en' and cast(floor(doc_id / 20.0) as int) % 2 = 0
+where cast(floor(doc_id / 20.0) as int) % 2 = 0
 """,
     "jobs": """
 select doc_id as job_id, source, text as jd from documents
-where lang = 'en' and cast(floor(doc_id / 20.0) as int) % 2 = 1
+where cast(floor(doc_id / 20.0) as int) % 2 = 1
 """,
     "applications": """
 select j.job_id, r.resume_id, j.source from jobs j join resumes r
-  on r.resume_id = j.job_id - 20 and r.source = j.source
+  on r.resume_id = j.job_id - 20
 """,
     "eval_facts": None,  # generated below from a per-metric rule
 }
@@ -118,12 +119,19 @@ select prompt_id, line_no,
 
 FIXTURE_SQL["eval_facts"] = _eval_facts_sql()
 
+FIXTURE_SQL["models5"] = """
+select * from (values (0, 'model_a'), (1, 'model_b'), (2, 'model_c'), (3, 'model_d'), (4, 'model_e')) as x(i, model)
+"""
+FIXTURE_SQL["judgments_raw5"] = FIXTURE_SQL["judgments_raw"].replace("join models ", "join models5 ")
+
 # Which fixtures each fixture needs (CTE order matters).
 DEPENDS = {
     "prompts": [],
     "models": [],
     "responses": ["prompts", "models"],
     "judgments_raw": ["prompts", "models"],
+    "models5": [],
+    "judgments_raw5": ["prompts", "models5"],
     "ats_raw": ["prompts", "models"],
     "search_hits": ["prompts"],
     "realtime_raw": ["prompts"],

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.errors import AnalysisException
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampType
 
 from ..config import METRICS, RUN_TS_FORMAT
 from ..functions.text import strip
@@ -53,38 +52,55 @@ def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or glob) names anything, asked of its own file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_eval_csv(spark: SparkSession, path: str, schema: StructType = COMPREHENSIVE_SCHEMA) -> DataFrame:
     """SRC-1: one evaluation CSV (or glob) with the given layout; missing -> empty.
 
-    Metric text that is not a number ('nan', 'NA', junk) becomes null.
+    Columns are taken by the header's names, whatever their order; a column that the
+    header lacks is null. Metric text that is not a number ('nan', 'NA', junk) becomes null.
     """
-    text_schema = StructType([StructField(f.name, StringType()) for f in schema.fields])
-    try:
-        raw = spark.read.options(**CSV_OPTIONS).schema(text_schema).csv(path)
-    except AnalysisException:
-        return _empty(spark, schema)
+    file_columns = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("file_mtime")]
+    if not path_exists(spark, path):
+        return _empty(spark, StructType(schema.fields + [StructField("file_path", StringType()), StructField("file_mtime", TimestampType())]))
+    # all columns as text, named by the header of the files
+    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(path)
     cols = []
     for f in schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None).cast("string")
         if isinstance(f.dataType, DoubleType):
-            c = F.nanvl(F.expr(f"try_cast(`{f.name}` as double)"), F.lit(None).cast("double"))
+            c = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
         cols.append(c.alias(f.name))
-    return raw.select(*cols, F.col("_metadata.file_path").alias("file_path"),
-                      F.col("_metadata.file_modification_time").alias("file_mtime"))
+    return raw.select(*cols, *file_columns)
 
 
-def latest_eval_csv(spark: SparkSession, results_dir: str, schema: StructType = COMPREHENSIVE_SCHEMA) -> DataFrame:
-    """SRC-2 + TOP-3: rows of the newest ``results_dir/*.csv`` (non-recursive).
+def newest_csv(spark: SparkSession, results_dir: str) -> str | None:
+    """Path of the newest ``results_dir/*.csv``: a file, or a run's folder of part files.
 
-    The newest file is picked with a scalar subquery over the file metadata
-    (ties -> larger path), so nothing is listed or collected on the driver.
+    Only file metadata is read; a run's age is that of its latest part (ties: larger path).
     """
-    df = read_eval_csv(spark, f"{results_dir.rstrip('/')}/*.csv", schema)
-    if "file_mtime" not in df.columns:
-        return df
-    key = F.struct(F.col("file_mtime"), F.col("file_path"))
-    newest = df.select(F.max(key).alias("k")).scalar()
-    return df.where(key == newest)
+    pattern = f"{results_dir.rstrip('/')}/*.csv"
+    if not path_exists(spark, pattern):
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path", "modificationTime")
+    run = F.regexp_extract("path", r"^(.*?/[^/]*\.csv)(?:/[^/]*)?$", 1)
+    runs = files.where(~F.col("path").rlike(r"/[._][^/]*$")).groupBy(run.alias("run")).agg(F.max("modificationTime").alias("at"))
+    row = runs.agg(F.max_by("run", F.struct("at", "run")).alias("run")).first()
+    return row["run"]
+
+
+def latest_eval_csv(spark: SparkSession, results_dir: str, schema: StructType = COMPREHENSIVE_SCHEMA) -> DataFrame:
+    """SRC-2 + TOP-3: all rows of the newest run under ``results_dir``; only that run is read."""
+    path = newest_csv(spark, results_dir)
+    if path is None:
+        return read_eval_csv(spark, f"{results_dir.rstrip('/')}/*.csv", schema)
+    return read_eval_csv(spark, path, schema)
 
 
 def run_id_from_path(path_col) -> F.Column:
@@ -108,10 +124,9 @@ def read_runs(spark: SparkSession, results_dir: str) -> DataFrame:
 
 def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-3 + FLT-1: batch prompts from the ``prompt`` column (all columns kept as text)."""
-    try:
-        df = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         return _empty(spark, StructType([StructField("prompt", StringType())]))
+    df = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(path)
     if "prompt" not in df.columns:
         raise ValueError("batch file needs a 'prompt' column")
     return df.where(F.col("prompt").isNotNull())
@@ -172,10 +187,9 @@ def read_eval_any(spark: SparkSession, path: str) -> DataFrame:
 
     Known metric / average columns are typed DOUBLE, everything else STRING.
     """
-    try:
-        first = spark.read.text(path).limit(1).collect()
-    except AnalysisException:
+    if not path_exists(spark, path):
         return _empty(spark, COMPREHENSIVE_SCHEMA)
+    first = spark.read.text(path).limit(1).collect()
     if not first:
         return _empty(spark, COMPREHENSIVE_SCHEMA)
     import csv

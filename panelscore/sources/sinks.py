@@ -23,6 +23,9 @@ WRITE_CSV_OPTIONS = {
 
 
 def _csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str | None:
+    from ..session import materialize
+
+    df = materialize(df, "sink")  # computed once for the emptiness test and the file
     if df.isEmpty():
         return None
     df.write.mode(mode).options(**WRITE_CSV_OPTIONS).csv(path)

@@ -19,9 +19,16 @@ from pyspark.sql.types import StructType
 from ..config import CORE4
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream (explicit schema, bounded batch size)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def file_stream(
+    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None, bytes_per_trigger: int | None = None
+) -> DataFrame:
+    """Parquet files of a folder as a stream (explicit schema, micro-batches bounded by files or bytes)."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    return reader.parquet(path)
 
 
 def running_model_stats(stream: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:

@@ -10,7 +10,8 @@ def test_evaluate_then_analyze(spark, tmp_path):
     prompts = tmp_path / "prompts.txt"
     prompts.write_text("What is Spark?\n\n  Explain shuffles \nWhy parquet?\n", encoding="utf-8")
     results = str(tmp_path / "results")
-    out = cli.run_evaluate(spark, str(prompts), results, ["m1", "m2", "m3"], run_ts="20240101_000000")
+    out = cli.run_evaluate(spark, str(prompts), results, ["m1", "m2", "m3"], run_ts="20240101_000000",
+                           client="echo_client:echo_client_factory")
     assert out and os.path.isdir(out)
     rows = files.read_eval_csv(spark, out).collect()
     assert len(rows) == 3 * 3 * 2
@@ -34,7 +35,7 @@ def test_analyze_simple_layout(spark, tmp_path):
 def test_single_prompt_summary(spark, tmp_path):
     results = str(tmp_path / "results")
     out = cli.run_evaluate(spark, None, results, ["m1", "m2", "m3"], run_ts="20240102_000000",
-                           prompt="  How do joins shuffle?  ")
+                           prompt="  How do joins shuffle?  ", client="echo_client:echo_client_factory", concurrency=2)
     assert out
     summary = {r["target_model"]: r for r in spark.read.options(header="true").csv(f"{results}/summary_20240102_000000").collect()}
     assert set(summary) == {"m1", "m2", "m3"}

@@ -4,6 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from echo_client import echo_client_factory
+
 from panelscore.config import METRICS
 from panelscore.operators import inference
 from panelscore.plans.catalog import evaluate_panel
@@ -14,7 +16,7 @@ PANEL = ["m1", "m2", "m3"]
 def test_each_call_happens_once(spark, tmp_path):
     log = str(tmp_path / "calls.log")
     prompts = spark.createDataFrame([(i, f"question number {i}") for i in range(7)], "prompt_id long, prompt string")
-    rows = evaluate_panel(prompts, PANEL, inference.echo_client_factory(log_path=log))
+    rows = evaluate_panel(prompts, PANEL, echo_client_factory(log_path=log))
     out = rows.collect()
     rows.count()  # a second action must not call the models again
     assert len(out) == 7 * 3 * 2
@@ -29,7 +31,7 @@ def test_each_call_happens_once(spark, tmp_path):
 
 def test_error_policies(spark):
     df = spark.createDataFrame([("m1", "p"), ("bad", "p")], "model string, request string")
-    f = inference.echo_client_factory(fail_models=["bad"])
+    f = echo_client_factory(fail_models=["bad"])
     ans = {r["model"]: (r["raw_text"], r["error"]) for r in inference.complete(df, f, "answer", max_retries=1).collect()}
     assert ans["m1"] == ("M1: p", None)
     assert ans["bad"][0] == "[bad Error] service unavailable" and ans["bad"][1] == "service unavailable"
@@ -45,7 +47,7 @@ def test_error_policies(spark):
 
 def test_concurrency_cap_repartitions(spark):
     df = spark.range(20).select(F.lit("m1").alias("model"), F.col("id").cast("string").alias("request"))
-    out = inference.complete(df, inference.echo_client_factory(), "answer", concurrency=3)
+    out = inference.complete(df, echo_client_factory(), "answer", concurrency=3)
     assert out.rdd.getNumPartitions() == 3
     assert out.count() == 20
 
@@ -60,7 +62,7 @@ def test_calls_per_prompt_full_flow(spark, tmp_path):
 
     log = str(tmp_path / "calls.log")
     prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(5)], "prompt_id long, prompt string")
-    rows = run_evaluation(prompts, PANEL, inference.echo_client_factory(log_path=log), _hits(spark))
+    rows = run_evaluation(prompts, PANEL, echo_client_factory(log_path=log), _hits(spark))
     assert rows.count() == 5 * 6
     calls = Counter(line.split("\t")[0] for line in open(log))
     assert calls == {"realtime": 5, "answer": 15, "reasoning": 15, "judge": 30}
@@ -73,7 +75,7 @@ def test_selection_saves_calls(spark, tmp_path):
 
     log = str(tmp_path / "calls.log")
     prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(4)], "prompt_id long, prompt string")
-    rows = run_evaluation(prompts, PANEL, inference.echo_client_factory(log_path=log), _hits(spark), selected=["m2"])
+    rows = run_evaluation(prompts, PANEL, echo_client_factory(log_path=log), _hits(spark), selected=["m2"])
     assert {r["target_model"] for r in rows.collect()} == {"m2"}
     calls = Counter(line.split("\t")[0] for line in open(log))
     assert calls == {"realtime": 4, "answer": 4, "reasoning": 4, "judge": 8}
@@ -81,14 +83,14 @@ def test_selection_saves_calls(spark, tmp_path):
 
 def test_threaded_calls_keep_order(spark):
     df = spark.range(50).select(F.lit("m1").alias("model"), F.col("id").cast("string").alias("request"))
-    out = inference.complete(df, inference.echo_client_factory(), "answer", threads_per_task=8)
+    out = inference.complete(df, echo_client_factory(), "answer", threads_per_task=8)
     assert all(r["raw_text"] == f"M1: {r['request']}" for r in out.collect())
 
 
 def test_command_line_flow_drops_failed_answers(spark, tmp_path):
     log = str(tmp_path / "calls.log")
     prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(3)], "prompt_id long, prompt string")
-    rows = evaluate_panel(prompts, PANEL, inference.echo_client_factory(fail_models=["m1"], log_path=log),
+    rows = evaluate_panel(prompts, PANEL, echo_client_factory(fail_models=["m1"], log_path=log),
                           answer_role="answer_logger", drop_failed=True).collect()
     # m1 never answers (not a target) and its judgments fail (dropped): one judge left per target
     assert sorted({(r["target_model"], r["evaluator"]) for r in rows}) == [("m2", "m3"), ("m3", "m2")]
@@ -99,7 +101,7 @@ def test_command_line_flow_drops_failed_answers(spark, tmp_path):
 
 def test_error_sentinels_keep_or_drop(spark):
     prompts = spark.createDataFrame([(1, "p")], "prompt_id long, prompt string")
-    f = inference.echo_client_factory(fail_models=["m1"])
+    f = echo_client_factory(fail_models=["m1"])
     kept = evaluate_panel(prompts, PANEL, f, errors="keep").collect()
     # m1's answer is the sentinel text and is judged by m2 and m3 (m1's own judgments fail)
     assert any(r["target_model"] == "m1" and r["response"].startswith("[m1 Error]") for r in kept)

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from echo_client import echo_client_factory
+
 from panelscore.operators import analysis, charts, pairing, textmatch
 
 
@@ -205,7 +207,7 @@ def test_selection_applied_before_model_calls(spark, tmp_path):
     log = str(tmp_path / "calls.log")
     prompts = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "prompt_id long, prompt string")
     targets = pairing.fan_out(prompts, ["m1", "m2", "m3"], ["m2"]).withColumn("request", F.col("prompt"))
-    out = inference.complete(targets, inference.echo_client_factory(log_path=log), "answer")
+    out = inference.complete(targets, echo_client_factory(log_path=log), "answer")
     assert out.count() == 4
     assert Counter(line.split("\t")[1] for line in open(log)) == {"m2": 4}
 
