@@ -48,7 +48,7 @@ CORR_PAIRS = 15
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """AGG-14: Pearson correlation of every pair of numeric columns, pairwise complete.
 
-    Built-in aggregates only: ``corr`` skips rows where either side is null. Pairs are
+    Built-in aggregates only, over inputs nulled where the other side is null. Pairs are
     aggregated in chunks, each one scan with map-side partial sums and one row out.
     A pair whose complete rows are constant in either column, or a single
     row, gives null. Output: (a, b, r) for all ordered pairs, diagonal included.
@@ -65,12 +65,13 @@ def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, digits
         for k, (a, b) in enumerate(chunk):
             va, vb = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
             varying = (F.min(va) < F.max(va)) & (F.min(vb) < F.max(vb))
-            r = F.lit(1.0) if a == b else F.bround(F.corr(a, b), digits)
-            aggs.append(F.when(varying, r).alias(f"r{k}"))
+            spread = F.stddev_pop(va) * F.stddev_pop(vb)
+            r = F.lit(1.0) if a == b else F.bround(F.try_divide(F.covar_pop(va, vb), spread), digits)
+            aggs += [F.when(varying, r).alias(f"r{k}"), F.count(va).alias(f"n{k}")]
         row = x.agg(*aggs)
-        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(chunk)]
-        cells += [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(chunk) if a != b]
-        part = row.select(F.inline(F.array(*cells)))
+        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(chunk)]
+        cells += [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(chunk) if a != b]
+        part = row.select(F.inline(F.array(*cells))).where("n > 0").drop("n")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,24 +39,18 @@ def mean_of(col, over=None):
 
 
 def py_round(x, digits: int = 3):
-    """``round(x, digits)`` of Python: the double's exact binary value, rounded half-even (MTH-1).
+    """``round(x, digits)`` of Python: by the double's exact binary value, ties to even (MTH-1).
 
-    The value is scaled by a power of two to an exact integer; the division by that power is
-    integer arithmetic with its remainder, so nothing is rounded twice. Values beyond 2**20 in
-    size have no such scale here and are rounded as decimals.
+    A double below 2 times 2**62 is an exact integer, so the value is compared with the middle
+    between two results without rounding. Larger values (no score is) are rounded as decimals.
     """
     ten = 10**digits
-
-    def exact(bits):
-        m = (F.abs(x) * F.lit(float(1 << bits))).cast("bigint").cast("decimal(20,0)") * F.lit(ten).cast("decimal(5,0)")
-        one = F.lit(1 << bits).cast("decimal(20,0)")
-        half = F.lit(1 << (bits - 1)).cast("decimal(20,0)")
-        rest = m % one
-        whole = ((m - rest) / one).cast("bigint")
-        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-        return F.signum(x) * (whole + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(ten))
-
-    return F.when(F.abs(x) < 1.9, exact(62)).when(F.abs(x) < float(1 << 20), exact(42)).otherwise(F.bround(x, digits))
+    size = F.abs(x)
+    low = F.floor(size * ten)
+    exact = (size * float(1 << 62)).cast("bigint").cast("decimal(19,0)") * F.lit(Decimal(2 * ten))
+    beyond = exact - (2 * low + 1).cast("decimal(10,0)") * F.lit(Decimal(1 << 62))
+    up = F.when((beyond > 0) | ((beyond == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.when(size < 1.9, F.signum(x) * (low + up) / float(ten)).otherwise(F.bround(x, digits))
 
 
 def _avg_exprs(metrics=METRICS):

@@ -16,6 +16,7 @@ def spark():
     from panelscore.session import build_session
 
     s = build_session(master="local[8]", shuffle_partitions=8)
+    s.sparkContext.addPyFile(os.path.join(ROOT, "tests", "echo_client.py"))  # workers unpickle the offline client
     yield s
     s.stop()
 

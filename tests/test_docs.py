@@ -3,7 +3,7 @@
 import os
 import re
 
-from __spark_entry__ import queries
+from panelscore.plans.catalog import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -14,9 +14,9 @@ def _table_keys(name):
 
 
 def test_readme_and_plans_list_every_query():
-    keys = set(queries())
-    assert _table_keys("README.md") == keys
-    assert _table_keys("PLANS.md") == keys
+    # the training-data queries have a table of their own
+    assert {k for k in _table_keys("README.md") if not re.match(r"op\d+_|pipeline$", k)} == set(QUERIES)
+    assert _table_keys("PLANS.md") == set(QUERIES)
 
 
 def test_coverage_has_no_gaps():

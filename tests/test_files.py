@@ -126,3 +126,26 @@ def test_line_numbers_continue_across_files(spark, tmp_path):
     (d / "b.txt").write_text("four\nfive\n", encoding="utf-8")
     rows = files.read_prompts_text(spark, str(d)).orderBy("line_no").collect()
     assert [(r["line_no"], r["prompt"]) for r in rows] == [(1, "one"), (2, "two"), (4, "three"), (5, "four"), (6, "five")]
+
+
+def test_newest_run_is_complete_and_read_alone(spark, tmp_path):
+    """A run is a folder of part files; all of them belong to it."""
+    schema = files.COMPREHENSIVE_SCHEMA
+    cols = [f.name for f in schema.fields]
+    base = str(tmp_path / "results")
+    for run, n in (("20240101_000000", 40), ("20240102_000000", 60)):
+        df = spark.range(n).select(*[F.col("id").cast("string").alias(c) for c in cols]).withColumn("timestamp", F.lit(run))
+        df.repartition(5).write.option("header", "true").csv(f"{base}/comprehensive_eval_{run}.csv")
+    got = files.latest_eval_csv(spark, base)
+    assert got.count() == 60 and {r[0] for r in got.select("timestamp").distinct().collect()} == {"20240102_000000"}
+
+
+def test_empty_folder_and_swapped_header(spark, tmp_path):
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert files.latest_eval_csv(spark, str(empty)).count() == 0
+    assert files.read_runs(spark, str(empty)).count() == 0
+    f = tmp_path / "swapped.csv"
+    f.write_text("clarity,helpfulness,prompt\n0.1,0.9,p\n")
+    row = files.read_eval_csv(spark, str(f)).first()
+    assert (row["helpfulness"], row["clarity"], row["prompt"], row["evaluator"]) == (0.9, 0.1, "p", None)
