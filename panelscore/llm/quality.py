@@ -122,7 +122,16 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha
     return counts.select("cell", (p("target", target_total) - p("raw", raw_total)).alias("w"))
 
 
-def quality(
+def quality(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
+
+    ``score`` is rounded to 6 places before it is compared, so the verdict does not
+    depend on the order in which a sum was taken. Parameters as in :func:`judged`.
+    """
+    return judged(docs, labels, **params).drop("tid")
+
+
+def judged(
     docs: DataFrame,
     labels: DataFrame,
     threshold: float = THRESHOLD,
@@ -130,25 +139,21 @@ def quality(
     max_target: int = MAX_TARGET,
     alpha: float = ALPHA,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
-
-    ``score`` is rounded to 6 places before it is compared, so the verdict does not
-    depend on the order in which a sum was taken.
-    """
+    """The rows of :func:`quality` with ``tid``, a hash of the text (it tells rows with one doc_id apart)."""
     common.prepare(docs.sparkSession)
     weights = fit_ratio(docs, trusted_ids(labels, max_target), buckets, alpha)
     weights = common.written(weights, "quality-weights")
     base = base_columns()
     rows = with_words(docs).select(
-        "rid", "doc_id", *[c.alias(n) for n, c in base.items()], window_hashes(F.col("w"), 3).alias("h"), ngram_cells(F.col("w"), buckets).alias("c")
+        "rid", "doc_id", F.xxhash64("text").alias("tid"), *[c.alias(n) for n, c in base.items()], window_hashes(F.col("w"), 3).alias("h"), ngram_cells(F.col("w"), buckets).alias("c")
     )
     # each step has its own projection: an array that a lambda reads must be a column, not an expression
     pairs = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     again = F.size(F.array_distinct("h")) < F.size("h")
     rows = rows.withColumn("ordered", F.when(again, F.sort_array(pairs)).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")))
     rows = rows.withColumn("at", repeated_positions("ordered"))
-    numbers = ["doc_id", *base, "n_repeat_words"]
-    rows = rows.select("rid", "doc_id", *base, covered("at", 3).alias("n_repeat_words"), "c")
+    numbers = ["doc_id", "tid", *base, "n_repeat_words"]
+    rows = rows.select("rid", "doc_id", "tid", *base, covered("at", 3).alias("n_repeat_words"), "c")
     rows = rows.select("rid", *numbers, F.explode_outer("c").alias("cell"))
     # a text's n-grams are summed in the task that split it: one row per document is shuffled
     rows = rows.join(F.broadcast(weights), "cell", "left").groupBy("rid").agg(*[F.max(n).alias(n) for n in numbers], F.avg("w").alias("score"))
@@ -161,5 +166,6 @@ def quality(
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that pass; all columns are kept."""
-    verdict = quality(docs, labels, **params).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(verdict, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
+    good = judged(docs, labels, **params).where("kept").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).distinct()
+    tid = F.xxhash64(common.text_or_empty(F.col("text")))
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (tid == F.col("__tid")), "left_semi")
