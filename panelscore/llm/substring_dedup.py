@@ -113,6 +113,8 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
     docs = docs.withColumn("tid", F.xxhash64("text"))
     found = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "tid", "text").mapInArrow(_span_rows(min_sentences, min_words), _SPAN_SCHEMA)
     repeated = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join has shuffles of its own on both sides, which Spark can split at a hot span
+    repeated = common.written(repeated, "span-repeated")
     cuts = found.join(repeated, ["h1", "h2"]).where("again or doc_id > first").select("doc_id", "tid", "at", "upto").distinct()
     cuts = cuts.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("at", "upto")).alias("cuts"))
     cuts = common.written(cuts, "span-cuts")
