@@ -14,7 +14,7 @@ from panelscore.llm import bpe, common, exact_dedup, mixing, ngram_join, quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the log-likelihood ratio."""
-    return quality.keep_good(docs, common.read_table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, common.read_table(spark, sf_dir, "labels"), threshold=None)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

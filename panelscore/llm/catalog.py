@@ -76,8 +76,8 @@ def op9_ngram_join(spark, sf):
 
 @register("op10_quality_rules")
 def op10_quality_rules(spark, sf):
-    """Base rules and the n-gram log-likelihood ratio of every document."""
-    return quality.quality(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+    """Base rules and the n-gram log-likelihood ratio of every document, against a calibrated threshold."""
+    return quality.quality(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"), threshold=None)
 
 
 @register("pipeline")

@@ -5,7 +5,12 @@ multinomials over the cells are estimated, one from the trusted target (document
 labelled good) and one from the raw corpus (every document), both with add-``alpha``
 smoothing. A document's score is the mean over its n-grams of
 ``ln p_target - ln p_raw``, i.e. the log-likelihood ratio normalised by length.
-Every document with ``score >= threshold`` passes; there is no draw.
+Every document with ``score >= threshold`` passes; there is no draw. With
+``threshold=None`` the threshold is calibrated: one in ``CALIBRATION_FOLDS`` good documents
+(by id hash) is left out of the target, and the threshold is the cut that best separates
+their scores from those of the documents labelled bad, in the middle of the gap between
+the two sides of the cut. It follows the corpus, as scores of unseen documents
+fall when there is little text to learn from.
 
 Scale: counts of a cell are aggregated before the shuffle (at most ``buckets`` rows
 per task); the two broadcast tables are bounded by parameters, ``buckets`` cells and
@@ -14,7 +19,9 @@ used, the documented bound of the fitting sample; the raw counts always cover al
 
 Defined results: null or blank text has no words, fails the base rules and has a null
 score; a label table without good documents gives every score 0; a null doc_id is
-never a trusted document; extra columns are ignored.
+never a trusted document; extra columns are ignored. Calibration reads a histogram of the
+scores (at most ``2 * SCORE_LIMIT / STEP`` bins); without a document on both of its sides the
+threshold is ``THRESHOLD``, and of equally good cuts the lowest is taken.
 """
 
 from __future__ import annotations
@@ -26,8 +33,11 @@ from . import common
 
 BUCKETS = 1 << 15
 MAX_TARGET = 50_000
-#: Half-way between the labelled good and bad documents of the test data (see README).
+#: Threshold where none is calibrated.
 THRESHOLD = -0.2
+CALIBRATION_FOLDS = 5
+#: Width of a bin and outer edge of the bins in which scores are counted for calibration.
+STEP, SCORE_LIMIT = 0.005, 10.0
 ALPHA = 1.0
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -104,6 +114,37 @@ def trusted_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
     return cut.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").limit(max_target)
 
 
+def left_out(doc_id: str = "doc_id") -> Column:
+    """Whether a good document is kept out of the target, to calibrate the threshold."""
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit("calibration")), F.lit(CALIBRATION_FOLDS)) == 0
+
+
+def best_cut(bins: list[tuple[int, int, int]]) -> float:
+    """Threshold from (bin, good, bad) counts: the largest kept share of the good plus rejected share of the bad."""
+    bins = sorted(bins)
+    good, bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    if not good or not bad:
+        return THRESHOLD
+    best, at, worth, below = 1.0, bins[0][0] * STEP, 1.0, bins[0][0]
+    for b, g, n in bins:
+        # the cut below this bin: all lower bins are rejected
+        if worth > best + 1e-12:
+            best, at = worth, (below + 1 + b) / 2 * STEP
+        worth += n / bad - g / good
+        below = b
+    return round(at, 6)
+
+
+def calibrated(scored: DataFrame, labels: DataFrame) -> float:
+    """The threshold that best separates left-out good documents from bad ones (see the module's text)."""
+    flags = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__l"), F.col("quality").cast("int").alias("q"))
+    flags = flags.where((F.col("q") == 0) | ((F.col("q") == 1) & left_out("__l"))).distinct()
+    met = scored.where("not base_failed and score is not null").join(flags, F.col("doc_id") == F.col("__l"))
+    held = F.greatest(F.least("score", F.lit(SCORE_LIMIT)), F.lit(-SCORE_LIMIT))
+    bins = met.groupBy(F.floor(held / STEP).alias("bin")).agg(F.sum("q").alias("good"), F.sum(1 - F.col("q")).alias("bad"))
+    return best_cut([(r["bin"], r["good"], r["bad"]) for r in bins.collect()])
+
+
 def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
     """``cell, w``: ln p_target - ln p_raw of every cell seen in the corpus.
 
@@ -134,14 +175,15 @@ def quality(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def judged(
     docs: DataFrame,
     labels: DataFrame,
-    threshold: float = THRESHOLD,
+    threshold: float | None = THRESHOLD,
     buckets: int = BUCKETS,
     max_target: int = MAX_TARGET,
     alpha: float = ALPHA,
 ) -> DataFrame:
     """The rows of :func:`quality` with ``tid``, a hash of the text (it tells rows with one doc_id apart)."""
     common.prepare(docs.sparkSession)
-    weights = fit_ratio(docs, trusted_ids(labels, max_target), buckets, alpha)
+    taught = labels if threshold is not None else labels.where(~left_out())
+    weights = fit_ratio(docs, trusted_ids(taught, max_target), buckets, alpha)
     weights = common.written(weights, "quality-weights")
     base = base_columns()
     rows = with_words(docs).select(
@@ -159,7 +201,11 @@ def judged(
     rows = rows.join(F.broadcast(weights), "cell", "left").groupBy("rid").agg(*[F.max(n).alias(n) for n in numbers], F.avg("w").alias("score"))
     rows = rows.select(*numbers, F.round("score", 6).alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn(
+    rows = rows.withColumn("base_failed", failed)
+    if threshold is None:
+        rows = common.written(rows, "quality-scores")
+        threshold = calibrated(rows, labels)
+    return rows.withColumn(
         "kept", F.coalesce(~F.col("base_failed") & (F.col("score") >= F.lit(threshold)), F.lit(False))
     )
 

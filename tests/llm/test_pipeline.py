@@ -38,7 +38,7 @@ def test_columns_and_shrinking(stages):
 
 
 def test_quality_stage_is_the_verdict(spark, stages):
-    verdict = quality.quality(stages["documents"], common.read_table(spark, SF, "labels"))
+    verdict = quality.quality(stages["documents"], common.read_table(spark, SF, "labels"), threshold=None)
     assert {r["doc_id"] for r in rows(stages["quality_rules"])} == {r["doc_id"] for r in rows(verdict.where("kept"))}
 
 

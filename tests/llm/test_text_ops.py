@@ -180,6 +180,39 @@ def test_labelled_documents_are_told_apart(spark):
     assert wrong / got.count() < 0.01
 
 
+def test_best_cut():
+    step = quality.STEP
+    assert quality.best_cut([]) == quality.best_cut([(1, 4, 0)]) == quality.best_cut([(1, 0, 4)]) == quality.THRESHOLD
+    # bad up to bin -40, good from bin -10 on: the middle of the gap
+    assert quality.best_cut([(-10, 3, 0), (-60, 0, 2), (5, 9, 0), (-40, 0, 1)]) == round((-39 - 10) / 2 * step, 6)
+    # nothing is told apart: all are kept
+    assert quality.best_cut([(3, 5, 5)]) == round(3 * step, 6)
+    # one good document among many bad ones is worth less than they are
+    bins = [(-50, 1, 0), (-40, 0, 20), (0, 99, 0)]
+    assert -39 * step <= quality.best_cut(bins) <= 0
+
+
+def test_calibrated_threshold_keeps_unseen_good_documents(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    # half of the labels are not shown: they test what was learnt from the others
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(2)) == 0
+    got = quality.quality(spark.read.parquet(f"{d}/documents.parquet"), labels.where(~hidden), threshold=None)
+    got = got.join(labels.where(hidden), "doc_id").where("not base_failed")
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows(got.groupBy("quality", "kept").count())}
+    assert n.get((1, False), 0) <= 0.005 * n[1, True] and n.get((0, True), 0) <= 0.03 * n[0, False], n
+
+
+def test_calibration_edges(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (3, "")], "doc_id long, text string")
+    labels = "doc_id long, quality int, toxic int, score string"
+    for rows_ in ([], [(None, 1, 0, "x")], [(1, None, None, None)], [(i, i % 2, 0, "x") for i in range(20)] * 2):
+        got = rows(quality.quality(df, spark.createDataFrame(rows_, labels), threshold=None))
+        assert len(got) == 5 and not any(r["kept"] for r in got if r["n_words"] == 0)
+    assert quality.quality(df.limit(0), spark.createDataFrame([], labels), threshold=None).count() == 0
+
+
 def test_quality_edges(spark):
     schema = "doc_id long, text string, w int, h int, cell int, good int"
     text = " ".join(f"w{i}" for i in range(60))
