@@ -39,6 +39,12 @@ REASONING_TEMPLATE = (
     "You answered: \n\n{response}\n\nNow explain why you gave this answer to the prompt: "
     "\"{prompt}\".\nRespond in 2-3 bullet points."
 )
+# System messages of the two roles that have one; answers' and judges' are left to the client.
+REALTIME_SYSTEM = (
+    "Respond only with 'True' or 'False'. Does the following prompt require real-time or "
+    "up-to-date information to answer accurately?"
+)
+REASONING_SYSTEM = "You're an AI that explains why a given answer was provided."
 JUDGE_TEMPLATE = (
     "You are an AI tasked with evaluating another model's response.\n"
     "Here is the original prompt: \"{prompt}\"\n"

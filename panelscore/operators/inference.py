@@ -20,13 +20,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..config import REALTIME_SYSTEM, REASONING_SYSTEM
+
 # Per-role generation settings and error behaviour of the protocol.
 ROLE_SETTINGS = {
     "answer": {"temperature": 0.3, "max_tokens": 1000, "on_error": "sentinel"},
     "answer_logger": {"temperature": 0.7, "max_tokens": 1000, "on_error": "null"},
     "judge": {"temperature": 0.3, "max_tokens": 1000, "on_error": "null"},
-    "reasoning": {"temperature": 0.0, "max_tokens": 500, "on_error": "reasoning"},
-    "realtime": {"temperature": 0.0, "max_tokens": None, "on_error": "false"},
+    "reasoning": {"temperature": 0.0, "max_tokens": 500, "on_error": "reasoning", "system": REASONING_SYSTEM},
+    "realtime": {"temperature": 0.0, "max_tokens": None, "on_error": "false", "system": REALTIME_SYSTEM},
     "ats": {"temperature": 0.0, "max_tokens": None, "on_error": "ats_fallback"},
 }
 ATS_FALLBACK_JSON = '{"ats_score": 50, "strengths": [], "gaps": [], "suggestions": ["Check formatting."]}'
@@ -37,6 +39,7 @@ class CallSpec:
     role: str
     temperature: float
     max_tokens: int | None
+    system: str | None = None  # system message to send with the prompt
 
 
 def error_output(role: str, model: str, exc: BaseException) -> str | None:
@@ -80,7 +83,7 @@ def complete(
 
     ship_package(df.sparkSession)  # the task code below refers to this package
     s = ROLE_SETTINGS[role]
-    spec = CallSpec(role, s["temperature"], s["max_tokens"])
+    spec = CallSpec(role, s["temperature"], s["max_tokens"], s.get("system"))
     schema = StructType(df.schema.fields + [StructField(out_col, StringType()), StructField("error", StringType())])
     src = df.repartition(concurrency or df.sparkSession.sparkContext.defaultParallelism)
 

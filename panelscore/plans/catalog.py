@@ -606,7 +606,7 @@ def q_search_json(spark, sf):
 
 
 def answer_panel(prompts: DataFrame, models, client_factory, hits: DataFrame, selected=None,
-                 classifier_model: str | None = None) -> DataFrame:
+                 classifier_model: str | None = None, **calls) -> DataFrame:
     """E1 answering: real-time check -> search context -> prompt -> answers -> explanations.
 
     Every paid step (classifier, answers, reasoning) is materialised before reuse.
@@ -614,7 +614,7 @@ def answer_panel(prompts: DataFrame, models, client_factory, hits: DataFrame, se
     clf = classifier_model or models[0]
     gate = inference.complete(
         prompts.select("prompt_id", F.lit(clf).alias("model"), F.col("prompt").alias("request")),
-        client_factory, "realtime",
+        client_factory, "realtime", **calls,
     ).select("prompt_id", "raw_text")
     ctx = search_ops.search_context(inference.materialize(gate, "realtime_calls"), hits)
     built = prompts.join(ctx.select("prompt_id", "search_results"), "prompt_id", "left").withColumn(
@@ -622,10 +622,10 @@ def answer_panel(prompts: DataFrame, models, client_factory, hits: DataFrame, se
     )
     targets = pairing.fan_out(built, models, selected)
     answers = inference.materialize(
-        inference.complete(targets, client_factory, "answer", out_col="response").drop("error"), "answer_calls"
+        inference.complete(targets, client_factory, "answer", out_col="response", **calls).drop("error"), "answer_calls"
     )
     follow = answers.withColumn("request", txt.reasoning_prompt(F.col("response"), F.col("prompt")))
-    explained = inference.complete(follow, client_factory, "reasoning", out_col="reasoning").drop("error")
+    explained = inference.complete(follow, client_factory, "reasoning", out_col="reasoning", **calls).drop("error")
     return inference.materialize(explained, "reasoning_calls").select(
         "prompt_id", "model", "model_idx", "response", "reasoning", "search_results",
         F.lit(False).alias("is_ats"),
@@ -633,11 +633,11 @@ def answer_panel(prompts: DataFrame, models, client_factory, hits: DataFrame, se
 
 
 def run_evaluation(prompts: DataFrame, models, client_factory, hits: DataFrame, selected=None, panel="all",
-                   errors: str = "keep") -> DataFrame:
+                   errors: str = "keep", **calls) -> DataFrame:
     """E1 end to end: classifier, search context, answers, explanations, then round-robin judging."""
-    answers = answer_panel(prompts.select("prompt_id", "prompt"), models, client_factory, hits, selected)
+    answers = answer_panel(prompts.select("prompt_id", "prompt"), models, client_factory, hits, selected, **calls)
     answers = answers.join(prompts.select("prompt_id", "prompt"), "prompt_id")
-    return judge_answers(answers, models, client_factory, selected, panel, errors)
+    return judge_answers(answers, models, client_factory, selected, panel, errors, **calls)
 
 
 @register("judgment_issues")

@@ -24,6 +24,25 @@ def test_evaluate_then_analyze(spark, tmp_path):
     assert any(line.startswith("OVERVIEW dataset: total_records 18") for line in report)
 
 
+def test_full_run_searches_and_explains(spark, tmp_path):
+    prompts = tmp_path / "prompts.txt"
+    prompts.write_text("even\nodd\n", encoding="utf-8")  # the offline classifier says real-time for even lengths
+    hits = tmp_path / "hits.jsonl"
+    hits.write_text('{"prompt": "even", "items": [{"title": "T", "snippet": "S", "link": "L"}]}\n'
+                    '{"prompt": "odd", "items": [{"title": "X"}]}\n')
+    results = str(tmp_path / "results")
+    out = cli.run_full(spark, str(prompts), results, ["m1", "m2", "m3"], run_ts="20240103_000000",
+                       client="echo_client:echo_client_factory", hits_path=str(hits), concurrency=2)
+    assert out == f"{results}/batch_20240103_000000/evaluation.csv"
+    rows = spark.read.parquet(f"{results}/bundle/evaluation").collect()
+    assert len(rows) == 2 * 3 * 2
+    for r in rows:
+        assert r["explainability"] == f"because {r['target_model']}"
+        assert ("**T**\nS\n L" in r["response"]) == (r["prompt"] == "even") and "X" not in r["response"]
+    for name in ("heatmap", "radar", "bar"):
+        assert spark.read.parquet(f"{results}/bundle/{name}").count() > 0
+
+
 def test_analyze_simple_layout(spark, tmp_path):
     f = tmp_path / "simple.csv"
     f.write_text("model,helpfulness,correctness,coherence,clarity\na,0.5,0.5,0.5,0.5\na,0.7,0.1,NA,0.2\nb,1,1,1,1\n")

@@ -45,6 +45,22 @@ def test_error_policies(spark):
     assert rs["bad"].startswith("[Reasoning Error] ")
 
 
+def test_system_messages_are_handed_to_the_client(spark):
+    class ShowSystem:
+        def complete(self, model, prompt, spec):
+            return f"{spec.system}|{spec.temperature}"
+
+    df = spark.createDataFrame([("m1", "p")], "model string, request string")
+    got = {role: inference.complete(df, ShowSystem, role).first()["raw_text"] for role in ("realtime", "reasoning", "judge")}
+    # fixed texts of the protocol
+    assert got["realtime"] == (
+        "Respond only with 'True' or 'False'. Does the following prompt require real-time or "
+        "up-to-date information to answer accurately?|0.0"
+    )
+    assert got["reasoning"] == "You're an AI that explains why a given answer was provided.|0.0"
+    assert got["judge"] == "None|0.3"
+
+
 def test_concurrency_cap_repartitions(spark):
     df = spark.range(20).select(F.lit("m1").alias("model"), F.col("id").cast("string").alias("request"))
     out = inference.complete(df, echo_client_factory(), "answer", concurrency=3)
