@@ -22,8 +22,8 @@ def register(name: str):
 
 @register("op1_substring_dedup")
 def op1_substring_dedup(spark, sf):
-    """Texts without the sentences of repeated spans (two sentences or more, twenty words or more)."""
-    return substring_dedup.remove_repeats(read_table(spark, sf, "documents"))
+    """Texts without the sentences of repeated runs (two sentences or more, twenty words or more)."""
+    return substring_dedup.remove_repeats(read_table(spark, sf, "documents"), whole=True)
 
 
 @register("op2_bpe")

@@ -8,12 +8,18 @@ then place in the text) is a repeat, and every sentence covered by a repeat is
 removed. What a passage's spans are depends on the passage alone, so a shared passage is
 found wherever it stands.
 
+With ``whole`` (as the query runs) the shortest run back from every sentence is a span too, and
+a text without such a run is one span as a whole. A sentence of a repeated run either starts
+a span inside the run or lies in the span that ends with the run, so what goes is all that
+repeated runs of so many sentences and words, of any length, cover. Without it the
+last sentences of a run stay where no span that starts there fits into it.
+
 Scale: first occurrences and counts are aggregated before the shuffle, and spans that occur
 once are dropped there; the occurrences are joined with the rest on the hashes, a plain
 equi-join that Spark splits at hot spans. Texts move once, to meet their own cuts.
 
 Defined results: null text is empty text; texts with fewer sentences or words than a span
-are left as they are; rows with equal doc_id count as one document (none is a repeat of
+are left as they are, with ``whole`` only where no other text is equal; rows with equal doc_id count as one document (none is a repeat of
 another); a null doc_id comes after all others; kept sentences keep the white space behind
 them; other columns are ignored.
 """
@@ -44,30 +50,38 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def spans(text: str, min_sentences: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, hash) of the span that starts at each sentence, where there is one."""
+def spans(text: str, min_sentences: int, min_words: int, whole: bool) -> Iterator[tuple[int, int, bytes]]:
+    """(first sentence, last sentence, hash) of the spans that start (``whole``: or end) at each sentence, by their starts."""
     words = [s.encode("utf-8", "surrogatepass").split() for s in sentences(text)]
     sums = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
     n = len(words)
-    if n < min_sentences or sums[-1] < min_words:
+    if not sums[-1]:
         return
     joined = [b" ".join(w) for w in words]
-    # least end (exclusive) with enough words and sentences
-    ends = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), np.arange(n) + min_sentences).tolist()
-    for at, end in enumerate(ends):
-        if end > n:
-            break
-        if words[at]:
-            yield at, end - 1, xxhash.xxh3_128_digest(b"\x00".join(joined[at:end]))
-
-
-def _span_rows(min_sentences: int, min_words: int):
+    # only the first sentence of a text can be blank; no span starts there
+    start = 0 if words[0] else 1
+    if n - start < min_sentences or sums[-1] < min_words:
+        if whole:
+            yield start, n - 1, xxhash.xxh3_128_digest(b"\x00".join(joined[start:]))
+        return
+    at = np.arange(n)
+    # least end (exclusive) from each start, and greatest start for each end, with enough words and sentences
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), at + min_sentences)
+    runs = {(a, e) for a, e in zip(at.tolist(), ends.tolist()) if a >= start and e <= n}
+    if whole:
+        starts = np.minimum(np.searchsorted(sums, sums[1:] - min_words, side="right") - 1, at + 1 - min_sentences)
+        runs |= {(a, e) for a, e in zip(starts.tolist(), (at + 1).tolist()) if a >= start}
+    for a, e in sorted(runs):
+        yield a, e - 1, xxhash.xxh3_128_digest(b"\x00".join(joined[a:e]))
+
+
+def _span_rows(min_sentences: int, min_words: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, doc, tid, at, upto, again = [], [], [], [], [], []
             for doc_id, text_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 seen = set()
-                for a, b, h in spans(text or "", min_sentences, min_words):
+                for a, b, h in spans(text or "", min_sentences, min_words, whole):
                     hashes.append(h)
                     at.append(a)
                     upto.append(b)
@@ -105,13 +119,13 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed, text (without repeated spans)."""
     common.prepare(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("tid", F.xxhash64("text"))
-    found = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "tid", "text").mapInArrow(_span_rows(min_sentences, min_words), _SPAN_SCHEMA)
+    found = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "tid", "text").mapInArrow(_span_rows(min_sentences, min_words, whole), _SPAN_SCHEMA)
     repeated = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # written, so that the join has shuffles of its own on both sides, which Spark can split at a hot span
     repeated = common.written(repeated, "span-repeated")

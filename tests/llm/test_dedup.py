@@ -214,6 +214,37 @@ def test_spans_null_id_comes_last_and_repeated_rows_stay(docs):
     assert substring_dedup.remove_repeats(docs([])).count() == 0
 
 
+def runs_brute(pairs, k, least):
+    """Sentences kept when every sentence of any repeated run (k sentences and ``least`` words or more, any length) goes."""
+    seen, out = set(), {}
+    for i, t in sorted(pairs):
+        words = [tuple(p.split()) for p in substring_dedup.sentences(t)]
+        gone = set()
+        for a, b in itertools.combinations(range(len(words) + 1), 2):
+            run = tuple(words[a:b])
+            if (b - a >= k and sum(map(len, run)) >= least) or (b - a == len(words) and run):
+                gone |= set(range(a, b)) if run in seen else set()
+                seen.add(run)
+        out[i] = [j for j in range(len(words)) if j not in gone]
+    return out
+
+
+def test_tails_of_repeated_runs_and_copies_of_short_texts_go(docs):
+    rng = random.Random(7)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "."
+    shared = [[sentence(n) for n in lengths] for lengths in ((25, 30, 3, 10), (3, 4, 30), (9, 9, 9, 1, 1), (2, 30), (21, 1))]
+    pairs = [(i, " ".join(p)) for i, p in enumerate(shared)]
+    pairs += [(10 + i, " ".join([sentence(25), *p, sentence(25)])) for i, p in enumerate(shared)]
+    pairs += [(20 + i, " ".join(p)) for i, p in enumerate(shared)]
+    pairs += [(30, "Short text. Two."), (31, "Short text. Two."), (32, "one"), (33, "one"), (34, "Two.")]
+    got = {r["doc_id"]: r for r in rows(substring_dedup.remove_repeats(docs(pairs), 2, 20, whole=True))}
+    texts = dict(pairs)
+    for i, kept in runs_brute(pairs, 2, 20).items():
+        parts = substring_dedup.sentences(texts[i])
+        assert got[i]["text"] == "".join(parts[j] for j in kept), i
+    assert [got[i]["text"] for i in (20, 31, 33, 34)] == ["", "", "", "Two."]
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 
