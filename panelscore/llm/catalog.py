@@ -70,7 +70,7 @@ def op8_exact_dedup(spark, sf):
 
 @register("op9_ngram_join")
 def op9_ngram_join(spark, sf):
-    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    """Class, number of links and component of every document; 4-word shingle sets with a Jaccard similarity of 0.85 or more link."""
     return ngram_join.jaccard_components(read_table(spark, sf, "documents"), k=4, pct=85)
 
 

@@ -21,10 +21,12 @@ pairs of a group:
    ``tile_rows`` members, by hash; a tile is a pair of blocks whose sizes can link.
    In a tile a hashed bitmap of every set (a bit flips with each shingle that hashes to
    it) bounds the overlap from above, since the set bits of x ^ y are at most
-   the shingles in which x and y differ; what passes is intersected exactly on
-   sorted arrays. Sets that are already connected in the tile are not compared
-   again, and a tile returns a spanning forest of its links.
-5. Connected components of those links give the answer.
+   the shingles in which x and y differ; every pair that passes is intersected
+   exactly. Every pair of a cluster's classes meets in one tile, so each link is found
+   once: :func:`class_links` returns them. For :func:`jaccard_components` a tile counts
+   them, one row per class (weighted by class sizes, so copies are counted without being
+   expanded), beside a spanning forest, so a group of near copies costs no row per pair.
+5. Connected components of those links and the sums of those counts give the answer.
 
 Defined results: null and blank texts have an empty set and are linked with nothing;
 a text with fewer words than a shingle is one shingle; equal non-empty sets link; a null
@@ -126,13 +128,13 @@ def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _name_rows(pct: int):
-    """doc_id, n, cls of each document; and, once per class and task, the class's names."""
+    """doc_id, tid, n, cls of each document; and, once per class and task, the class's names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             cls, given = [], []
-            for values in _arrays(batch.column(1)):
+            for values in _arrays(batch.column(2)):
                 if not len(values):
                     cls.append(None)
                     given.append(None)
@@ -143,9 +145,9 @@ def _name_rows(pct: int):
                 seen.add(c)
                 if len(seen) > 1_000_000:
                     seen.clear()
-            size = pc.list_value_length(batch.column(1)).cast(pa.int64())
-            arrays = [batch.column(0), size, pa.array(cls, pa.int64()), pa.array(given, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cls", "names"])
+            size = pc.list_value_length(batch.column(2)).cast(pa.int64())
+            arrays = [batch.column(0), batch.column(1), size, pa.array(cls, pa.int64()), pa.array(given, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tid", "n", "cls", "names"])
 
     return run
 
@@ -190,8 +192,8 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def links_of(sets: list[np.ndarray], side: np.ndarray, pct: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets of a tile.
+def links_of(sets: list[np.ndarray], side: np.ndarray, pct: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, overlaps): every link between the sets of a tile once, by the smaller set i.
 
     ``side``: -1 for every set compares all sets; otherwise only sets of unlike sides
     are compared (each block's own pairs have a tile of their own).
@@ -202,47 +204,87 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, pct: int) -> list[tuple[i
     n = np.array([len(s) for s in sets], np.int64)
     bits = 64 << max(0, min(6, int(n.max() - 1).bit_length() - 6))
     maps = bitmaps(sets, bits)
-    label = np.arange(len(sets))
-    out = []
+    # shingles by their numbers in the tile, so an intersection is a look-up
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    number = np.split(number, np.cumsum(n)[:-1])
+    own = np.zeros(len(distinct), bool)
     for i in range(len(sets) - 1):
         end = np.searchsorted(n, 100 * n[i] // pct, side="right")
         js = np.arange(i + 1, end)
         if side[i] >= 0:
             js = js[side[i + 1 : end] != side[i]]
-        js = js[label[js] != label[i]]
         if not len(js):
             continue
         differ = np.bitwise_count(maps[js] ^ maps[i]).sum(1, dtype=np.int64)
         need = overlap_needed(n[i], n[js], pct)
         keep = (n[i] + n[js] - differ) // 2 >= need
-        for j, least in zip(js[keep], need[keep]):
-            if label[j] != label[i] and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least:
-                out.append((int(order[i]), int(order[j])))
-                label[label == label[j]] = label[i]
-    return out
+        js, need = js[keep], need[keep]
+        if not len(js):
+            continue
+        own[number[i]] = True
+        starts = np.concatenate([[0], np.cumsum(n[js])[:-1]])
+        overlap = np.add.reduceat(own[np.concatenate([number[j] for j in js])], starts, dtype=np.int64)
+        own[number[i]] = False
+        linked = overlap >= need
+        if linked.any():
+            yield int(order[i]), order[js[linked]], overlap[linked]
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch], pct: int):
+    """Per tile: classes, class sizes, sizes of sets, and :func:`links_of` of its distinct classes."""
+    for tile in common.grouped(batches, "tile"):
+        cls = tile.column("cls").to_numpy()
+        _, first = np.unique(cls, return_index=True)
+        if len(first) < 2:
+            continue
+        first.sort()
+        sets = list(_arrays(tile.column("set")))
+        sets = [sets[i] for i in first]
+        yield cls[first], tile.column("copies").to_numpy()[first], links_of(sets, tile.column("side").to_numpy()[first], pct)
 
 
 def _tile_rows(pct: int):
+    """Per tile: (a, b, null) for the links of a spanning forest, (a, null, linked documents) for each linked class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in common.grouped(batches, "tile"):
-            if tile.num_rows < 2:
-                continue
-            cls = tile.column("cls").to_numpy()
-            _, first = np.unique(cls, return_index=True)
-            if len(first) < 2:
-                continue
-            first.sort()
-            sets = list(_arrays(tile.column("set")))
-            found = links_of([sets[i] for i in first], tile.column("side").to_numpy()[first], pct)
-            if found:
-                a, b = (cls[first][list(x)] for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for cls, copies, links in _tile_links(batches, pct):
+            label, count, ends = np.arange(len(cls)), np.zeros(len(cls), np.int64), []
+            for i, js, _ in links:
+                count[i] += copies[js].sum()
+                count[js] += copies[i]
+                found, at = np.unique(label[js], return_index=True)
+                new = found != label[i]
+                if new.any():
+                    ends += [(i, j) for j in js[at[new]].tolist()]
+                    label[np.isin(label, found[new])] = label[i]
+            linked = np.flatnonzero(count)
+            if len(linked):
+                a, b = (cls[list(x)] for x in zip(*ends))
+                none = pa.nulls(len(linked), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([a, cls[linked]]), pa.int64()),
+                        pa.concat_arrays([pa.array(b, pa.int64()), none]),
+                        pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(count[linked], pa.int64())]),
+                    ],
+                    names=["a", "b", "links"],
+                )
+
+    return run
+
+
+def _link_rows(pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cls, _, links in _tile_links(batches, pct):
+            for i, js, overlap in links:
+                a, b = np.minimum(cls[i], cls[js]), np.maximum(cls[i], cls[js])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, overlap)], names=["class_a", "class_b", "overlap"])
 
     return run
 
 
 def _deal(members: DataFrame, pct: int, tile_rows: int) -> DataFrame:
-    """``cls, tile, side``: every class of a cluster in each tile of its blocks.
+    """``cls, copies, tile, side``: every class of a cluster in each tile of its blocks.
 
     A block is (cluster, size band, salt); the number of salts follows from the
     members counted in that band.
@@ -256,7 +298,7 @@ def _deal(members: DataFrame, pct: int, tile_rows: int) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / tile_rows).cast("int").alias("s")))).alias("salts"),
     )
     small = members.join(salts, "cluster")
-    one = small.where(F.col("all") <= tile_rows).select("cls", F.xxhash64("cluster").alias("tile"), F.lit(-1).cast("long").alias("side"))
+    one = small.where(F.col("all") <= tile_rows).select("cls", "copies", F.xxhash64("cluster").alias("tile"), F.lit(-1).cast("long").alias("side"))
     salt = F.pmod(F.xxhash64("cls", F.lit("salt")), F.col("salts")[F.col("band")]).cast("int")
     large = small.where(F.col("all") > tile_rows).withColumn("salt", salt)
     # sizes that link lie in the same band or one of the two next ones (the bands' edges are rounded)
@@ -272,26 +314,28 @@ def _deal(members: DataFrame, pct: int, tile_rows: int) -> DataFrame:
         )
     )
     own = F.struct("band", "salt")
-    large = large.select("cls", "cluster", own.alias("own"), F.explode(near).alias("other"))
+    large = large.select("cls", "copies", "cluster", own.alias("own"), F.explode(near).alias("other"))
     same = F.col("own") == F.col("other")
     tile = F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))
     return one.union(
-        large.select("cls", tile.alias("tile"), F.when(same, -1).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"))
+        large.select("cls", "copies", tile.alias("tile"), F.when(same, -1).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"))
     )
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+def _tiles(docs: DataFrame, k: int, pct: int, tile_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, tiles): ``doc_id, tid, n, cls`` per document; the classes; the dealt sets, sorted by tile.
 
-    ``k`` words make a shingle and ``pct`` is the least Jaccard similarity in percent.
+    ``tid`` is a hash of the text, which tells rows of one doc_id apart; ``first`` of a class
+    is its smallest row (null ids last).
     """
     spark = docs.sparkSession
     common.prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = with_shingles(docs, k, ["doc_id"]).mapInArrow(_name_rows(pct), "doc_id long, n long, cls long, names array<long>")
+    docs = docs.withColumn("tid", F.xxhash64("text"))
+    named = with_shingles(docs, k, ["doc_id", "tid"]).mapInArrow(_name_rows(pct), "doc_id long, tid long, n long, cls long, names array<long>")
     named = common.written(named, "join-names")
-    rows = named.select("doc_id", "n", "cls")
+    rows = named.select("doc_id", "tid", "n", "cls")
 
     # 3. clusters
     given = named.where("names is not null").select(F.explode("names").alias("name"), "cls")
@@ -300,28 +344,62 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, tile_rows: in
     clusters = clusters.select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
 
     # 4. tiles: one document of every class of a cluster gives the set
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "tid")
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
     members = common.written(classes.join(clusters, "cls"), "join-members")
-    wanted = members.select("doc_id", "cls")
+    wanted = members.select(F.col("first.doc_id").alias("doc_id"), F.col("first.tid").alias("tid"), "cls")
     # the ids wanted are the smaller side; Spark broadcasts them only below its own size limit
     # the same plan at every size: texts move once, the ids are the hashed side
-    found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "cls")
-    # an id may stand on several rows: only the text that gives the class's set counts
+    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tid"] == wanted["tid"])
+    found = docs.join(wanted.hint("shuffle_hash"), same).select("text", "cls")
+    # two texts could share id and hash: only the one that gives the class's set counts
     sets = with_shingles(found, k, ["cls"]).mapInArrow(_own_sets, "cls long, set array<long>")
     dealt = _deal(members, pct, tile_rows)
     tiles = sets.join(dealt, "cls").repartition(parts, "tile").sortWithinPartitions("tile")
-    links = tiles.select("tile", "cls", "side", "set").mapInArrow(_tile_rows(pct), "a long, b long")
-
-    # 5. answer
-    comps = common.connected_components(links).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
-    least = classes.join(comps, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.col("doc_id").alias("m"))
-    smallest = least.groupBy("comp").agg(F.min("m").alias("component_id"))
-    answer = least.join(smallest, "comp").select("cls", "component_id")
-    return rows.join(answer, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    return rows, classes, tiles.select("tile", "cls", "copies", "side", "set")
+
+
+def _answer(docs: DataFrame, k: int, pct: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, answer): the documents' rows, and ``cls, first, copies, n_links, keep`` (the component's smallest row) per class."""
+    rows, classes, tiles = _tiles(docs, k, pct, tile_rows)
+    found = common.written(tiles.mapInArrow(_tile_rows(pct), "a long, b long, links long"), "join-links")
+    comps = common.connected_components(found.where("b is not null").select("a", "b"))
+    comps = comps.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    least = classes.join(comps, "cls", "left").join(counts, "cls", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    least = least.select("cls", "first", n_links.alias("n_links"), F.coalesce("comp", "cls").alias("comp"))
+    smallest = least.groupBy("comp").agg(F.min("first").alias("keep"))
+    return rows, least.join(smallest, "comp").select("cls", "first", "n_links", "keep")
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links),
+    class_id (names its set; null for an empty one) and n_links (documents linked with it, equal sets included).
+
+    ``k`` words make a shingle and ``pct`` is the least Jaccard similarity in percent.
+    """
+    rows, answer = _answer(docs, k, pct, tile_rows)
+    return rows.join(answer.select("cls", "n_links", F.col("keep.doc_id").alias("component_id")), "cls", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.col("cls").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def class_links(docs: DataFrame, k: int = 4, pct: int = 85, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Every link between different classes: class_a < class_b (``class_id``), doc_a and doc_b (their smallest ids), overlap.
+
+    As many rows as there are linked pairs of different sets: the square of a group of near copies.
+    """
+    _, classes, tiles = _tiles(docs, k, pct, tile_rows)
+    links = tiles.mapInArrow(_link_rows(pct), "class_a long, class_b long, overlap long")
+    a, b = (classes.select(F.col("cls").alias(f"class_{x}"), F.col("first.doc_id").alias(f"doc_{x}")) for x in "ab")
+    return links.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "doc_a", "doc_b", "overlap")
+
+
 def near_dedup(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id, with all its columns.
 

@@ -142,6 +142,29 @@ def test_join_on_documents(docs, sample):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == components_brute(pairs, 4, 85)
 
 
+@pytest.mark.parametrize("tile_rows", [1000, 3])
+def test_every_link_is_returned_and_counted(docs, near_pairs, tile_rows):
+    pairs = near_pairs + [(10_000 + i, near_pairs[i][1]) for i in (1, 2, 100)]
+    sets = [(i, shingle_set(t, 4)) for i, t in pairs]
+    least, links, count = {}, set(), Counter()
+    for i, x in sets:
+        least.setdefault(x, i)
+    for (i, x), (j, y) in itertools.combinations(sets, 2):
+        o = len(x & y)
+        if o and 100 * o >= 85 * (len(x) + len(y) - o):
+            count.update((i, j))
+            if x != y:
+                links.add((*sorted((least[x], least[y])), o))
+    got = rows(ngram_join.class_links(docs(pairs), tile_rows=tile_rows))
+    assert sorted((*sorted((r["doc_a"], r["doc_b"])), r["overlap"]) for r in got) == sorted(links)
+    per = rows(ngram_join.jaccard_components(docs(pairs), tile_rows=tile_rows))
+    assert {r["doc_id"]: r["n_links"] for r in per} == {i: count[i] for i, _ in pairs}
+    ids = {r["doc_id"]: r["class_id"] for r in per}
+    assert all((ids[i] == ids[j]) == (x == y) for (i, x), (j, y) in itertools.combinations(sets, 2))
+    # the groups are not trees: a spanning forest has fewer links
+    assert len(links) > len({least[x] for _, x in sets}) - len({r["component_id"] for r in per})
+
+
 @pytest.mark.parametrize("pct", [80, 85])
 def test_linked_sets_share_a_name(pct):
     rng = np.random.default_rng(1)
