@@ -400,11 +400,25 @@ def class_links(docs: DataFrame, k: int = 4, pct: int = 85, tile_rows: int = TIL
     return links.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "doc_a", "doc_b", "overlap")
 
 
-def near_dedup(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id, with all its columns.
+def near_dedup(docs: DataFrame, unnamed: bool = False, **params) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest doc_id, then text hash, with all its columns.
 
-    Documents with an empty set stay. Of rows repeated with one doc_id, all stay or none.
+    Rows are told apart by doc_id and text; of rows equal in both, one stays. Documents with an
+    empty set stay. Rows with a null doc_id come last; they are dropped as copies only with ``unnamed``.
     """
-    comps = jaccard_components(docs, **params)
-    drop = comps.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
+    rows, answer = _answer(docs, **({"k": 4, "pct": 85, "tile_rows": TILE_ROWS} | params))
+    # only rows of a component with more rows can go
+    found = rows.join(answer.where("n_links > 0 or first <> keep").select("cls", "keep"), "cls")
+    if not unnamed:
+        found = found.where("doc_id is not null")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("tid") == F.col("keep.tid")))
+    found = common.written(found.select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"), other.alias("__other")), "join-found")
+    tagged = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tid"))
+    kept = tagged.join(found.where("__other").drop("__other").distinct(), same, "left_anti")
+    # the kept row itself may be repeated
+    again = found.where("not __other").groupBy("__id", "__tid").count().where("count > 1").drop("count")
+    if not again.isEmpty():
+        once = kept.join(again, same, "left_semi").dropDuplicates(["__doc", "__text"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop("__doc", "__text")

@@ -189,6 +189,17 @@ def test_near_dedup_keeps_columns_empty_sets_and_null_ids(spark):
     assert ngram_join.near_dedup(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(docs):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    # 7 names a copy of 1 and a text that stands alone; 2 names both texts of its group; c has no ids; d is repeated
+    pairs = [(1, a), (7, a + " x"), (7, "alone " + a[::-1]), (2, b), (2, b + " y"), (None, c), (None, c + " z"), (None, c), (9, d), (9, d), (None, d), (3, ""), (3, "")]
+    out = [(r["doc_id"], r["text"]) for r in rows(ngram_join.near_dedup(docs(pairs), unnamed=True, k=5, pct=80))]
+    assert sorted(t for i, t in out if i in (1, 7)) == sorted([a, "alone " + a[::-1]])
+    assert len([t for i, t in out if i == 2]) == 1 and len([t for i, t in out if i is None]) == 1
+    assert out.count((9, d)) == 1 and out.count((3, "")) == 2 and len(out) == 7
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 300)] + [(400, 401), (401, 400), (500, 500)]
