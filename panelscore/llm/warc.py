@@ -147,7 +147,9 @@ def header_fields(block: bytes) -> dict[str, str]:
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
+    """A signed 64-bit number."""
+    n = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 def candidates_of(data: bytes) -> Iterator[tuple]:
@@ -161,7 +163,7 @@ def candidates_of(data: bytes) -> Iterator[tuple]:
         fields = header_fields(m.group(1))
         length = _number(fields.get("content-length"))
         kind = fields.get("warc-type")
-        if length is None or length < 0 or kind is None:
+        if length is None or not 0 <= length < 1 << 62 or kind is None:
             at = m.start() + 1
             continue
         end = m.end() + length

@@ -90,6 +90,15 @@ def test_repeated_rows_null_ids_extra_columns_and_empty_table(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_page_ids_of_the_whole_64_bit_range_come_back():
+    for i in (-(1 << 63), (1 << 63) - 1, 10**18, -(10**18), 7):
+        head = f"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 0\r\nX-Page-Id: {i}\r\nX-Refers-To-Page: {i}\r\n\r\n"
+        [found] = warc.candidates_of(head.encode())
+        assert (found[2], found[6]) == (i, i)
+    assert warc._number(str(1 << 63)) is None
+    assert not list(warc.candidates_of(f"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: {(1 << 63) - 1}\r\n\r\n".encode()))
+
+
 def test_pointer_jumping(spark):
     chain = [("f", i, i + 10) for i in range(0, 1000, 10)] + [("f", 5, 15), ("f", 15, 30), ("g", 0, 7), ("g", 3, 7), ("h", 4, 9)]
     got = rows(warc.reachable(spark.createDataFrame(chain, "path string, start long, next long")))
