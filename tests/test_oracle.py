@@ -11,7 +11,7 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from oracle_check import _rows  # noqa: E402
 from panelscore.plans.catalog import QUERIES  # noqa: E402
 
-from conftest import SF_SMALL  # noqa: E402
+from data_dirs import SF_SMALL  # noqa: E402
 
 # the training-data operators have their own tests (tests/llm)
 NAMES = sorted(QUERIES)
