@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, substring_dedup, suffix_dedup, warc
+from . import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    langid,
+    mixing,
+    ngram_join,
+    periodic_runs,
+    quality,
+    sentencepiece_bpe,
+    substring_dedup,
+    suffix_dedup,
+    warc,
+    whitening,
+)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +94,24 @@ def op10_quality_rules(spark, sf):
     return quality.quality(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"), threshold=None)
 
 
+@register("op11_sentencepiece")
+def op11_sentencepiece(spark, sf):
+    """Ids of every whole text by the prefix table, end id last, and the text decoded from them."""
+    return sentencepiece_bpe.encode_digests(read_table(spark, sf, "documents"))
+
+
+@register("op12_embedding_whitening")
+def op12_embedding_whitening(spark, sf):
+    """Whitened components of every vector, from block matrices over the distinct grid vectors."""
+    return whitening.whitened_components(read_table(spark, sf, "embeddings"), components=16)
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark, sf):
+    """Maximal periodic word runs of every text and the digest of the text without their repeats."""
+    return periodic_runs.run_digests(read_table(spark, sf, "documents"))
+
+
 @register("pipeline")
 def pipeline(spark, sf):
     """The stages of corpus_pipeline.py, one after the other."""
