@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Stretches whose ids a task holds at a time, and the longest that is held.
-TASK_STRETCHES = 200_000
+TASK_STRETCHES = 400_000
 STRETCH_CHARS = 48
 #: Pairs of pieces whose compatibility a task holds at a time.
 TASK_PAIRS = 1_000_000
@@ -108,7 +108,7 @@ class Pieces:
         self.text = tokens
         self.chars = [len(t) for t in tokens]
         self.history = [histories.get(t) or [(None, t, t)] for t in tokens]
-        self.out = [(ids[t],) if t in ids else self._bytes(t) for t in tokens]
+        self.out = [(str(ids[t]), 1) if t in ids else (" ".join(map(str, self._bytes(t))), len(self._bytes(t))) for t in tokens]
         self.automaton = ahocorasick.Automaton()
         for k, t in enumerate(tokens):
             self.automaton.add_word(t, k)
@@ -116,6 +116,8 @@ class Pieces:
         self.fits: dict[int, bool] = {}
         # stretches: characters of longer pieces (with the space marks before them), spaces, single others
         joined = "".join(re.escape(c) for c in sorted({c for p in ids if len(p) > 1 for c in p} - {MARK}))
+        # id as text -> piece with its space, for ids that are no bytes
+        self.plain = {str(i): p.replace(MARK, " ") for p, i in ids.items()}
         self.stretches = re.compile(f"{MARK}*[{joined}]+|{MARK}+|[^{MARK}]").findall
         if any(MARK in p.lstrip(MARK) for p in ids):
             raise ValueError("needs pieces with space marks in front only")
@@ -140,41 +142,47 @@ class Pieces:
             else:
                 return True
 
-    def prefix_table(self, text: str) -> array:
+    def prefix_table(self, text: str) -> list[int]:
         """Last token of every non-empty prefix; -1 where it is a character that is in no piece."""
-        last = array("i", [-1]) * len(text)
-        chars, fits, size = self.chars, self.fits, len(self.text)
+        last = [-1] * (len(text) + 1)  # last[-1] stands for the empty prefix
+        chars, known, size = self.chars, self.fits.get, len(self.text)
         done = -1
         for end, k in self.automaton.iter(text):
             # pieces that end at the same character come longest first; the first compatible one is the only one
             if end == done:
                 continue
-            start = end - chars[k]
-            before = last[start] if start >= 0 else -1
+            before = last[end - chars[k]]
             if before >= 0:
-                ok = fits.get(before * size + k)
+                ok = known(before * size + k)
                 if ok is None:
-                    if len(fits) >= TASK_PAIRS:
-                        fits.clear()
-                    ok = fits[before * size + k] = self.compatible(before, k)
+                    if len(self.fits) >= TASK_PAIRS:
+                        self.fits.clear()
+                    ok = self.fits[before * size + k] = self.compatible(before, k)
                 if not ok:
                     continue
             last[end] = k
             done = end
         return last
 
-    def encode_stretch(self, text: str) -> list[int]:
-        """Ids of a stretch (space marks already in place), recovered from its end backwards."""
+    def tokens(self, text: str) -> list[tuple[str, int]]:
+        """(ids as text, number of ids) of a stretch's tokens, recovered from its end backwards."""
         last, out, at = self.prefix_table(text), [], len(text) - 1
+        chars, shown = self.chars, self.out
         while at >= 0:
             k = last[at]
             if k < 0:
-                out.append(self._bytes(text[at]))
+                ids = self._bytes(text[at])
+                out.append((" ".join(map(str, ids)), len(ids)))
                 at -= 1
             else:
-                out.append(self.out[k])
-                at -= self.chars[k]
-        return [i for ids in reversed(out) for i in ids]
+                out.append(shown[k])
+                at -= chars[k]
+        out.reverse()
+        return out
+
+    def encode_stretch(self, text: str) -> list[int]:
+        """Ids of a stretch (space marks already in place)."""
+        return [int(i) for ids, _ in self.tokens(text) for i in ids.split()]
 
     def split(self, text: str) -> list[str]:
         """Stretches of a text that no merge leaves."""
@@ -182,9 +190,12 @@ class Pieces:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: pieces joined, bytes read as UTF-8, the first piece without its leading space."""
+        return self.decode_all(ids, first=True)
+
+    def decode_all(self, ids: Iterable[int], first: bool = False) -> str:
+        """As ``decode``; the leading space is only cut if these are the first ids of a text."""
         out: list[str] = []
         held = bytearray()
-        first = True
         for i in ids:
             piece = self.shown[i]
             if isinstance(piece, int):
@@ -236,22 +247,28 @@ class _Texts:
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def _entry(self, stretch: str) -> tuple[int, str, str]:
-        ids = self.pieces.encode_stretch(stretch)
-        # the first stretch's leading space is cut by the caller
-        return len(ids), " ".join(map(str, ids)), self.pieces.decode([self.pieces.end, *ids]) if stretch[:1] != MARK else " " + self.pieces.decode(ids)
+        tokens, plain = self.pieces.tokens(stretch), self.pieces.plain
+        ids = " ".join([t[0] for t in tokens])
+        try:
+            decoded = "".join([plain[t[0]] for t in tokens])
+        except KeyError:
+            # bytes of a character are read together
+            decoded = self.pieces.decode_all(map(int, ids.split()))
+        return sum([t[1] for t in tokens]), ids, decoded
 
     def __call__(self, text: str) -> tuple[int, str, str]:
         """Number of ids (end id included), ids as text, decoded text."""
-        known, found = self.known, []
-        for s in self.pieces.split(text):
-            e = known.get(s)
-            if e is None:
-                e = self._entry(s)
-                if len(s) <= STRETCH_CHARS:
-                    if len(known) >= TASK_STRETCHES:
-                        known.clear()
-                    known[s] = e
-            found.append(e)
+        stretches, known = self.pieces.split(text), self.known
+        found = list(map(known.get, stretches))
+        if None in found:
+            for k, e in enumerate(found):
+                if e is None:
+                    s = stretches[k]
+                    e = found[k] = known.get(s) or self._entry(s)
+                    if len(s) <= STRETCH_CHARS and s not in known:
+                        if len(known) >= TASK_STRETCHES:
+                            known.clear()
+                        known[s] = e
         ids = [e[1] for e in found]
         ids.append(str(self.pieces.end))
         return sum([e[0] for e in found]) + 1, " ".join(ids), "".join([e[2] for e in found])[1:]
