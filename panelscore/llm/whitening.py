@@ -22,6 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -112,15 +113,19 @@ def multiply(a: BlockMatrix, b: BlockMatrix, splits: int = 1) -> BlockMatrix:
 def scatter(m: BlockMatrix) -> np.ndarray:
     """Transpose times matrix, as a local matrix of its width."""
     blocks = -(-m.numRows() // m.rowsPerBlock)
-    return multiply(m.transpose(), m, splits=-(-blocks // SPLIT_BLOCKS)).toLocalMatrix().toArray()
+    # both sides of the product read the blocks; lost ones are computed again
+    m.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return multiply(m.transpose(), m, splits=-(-blocks // SPLIT_BLOCKS)).toLocalMatrix().toArray()
+    finally:
+        m._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def projected(m: BlockMatrix, weights: np.ndarray) -> DataFrame:
     """``index, y``: rows of the matrix times ``weights``."""
-    spark = m.blocks.context
     d, k = weights.shape
     local = DenseMatrix(d, k, weights.flatten(order="F").tolist())
-    right = BlockMatrix(spark.parallelize([((0, 0), local)], 1), d, k)
+    right = BlockMatrix(SparkContext.getOrCreate().parallelize([((0, 0), local)], 1), d, k)
     rows = callMLlibFunc("getIndexedRows", multiply(m, right).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
     return rows.select("index", vector_to_array("vector").alias("y"))
 
