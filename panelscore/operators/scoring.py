@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SCORE, METRICS
+from ..functions import exact
+from ..functions.exact import py_round
 from ..functions.judgment import parse_judgments
 
 PAIR_KEYS = ["prompt_id", "target_model", "evaluator"]
@@ -30,33 +30,33 @@ def with_run(df: DataFrame, keys) -> list[str]:
     return ["run_id", *keys] if "run_id" in df.columns and "run_id" not in keys else keys
 
 
-def mean_of(col, over=None):
-    """Mean as a double: the exact decimal sum of the values (whatever their order) over their count."""
-    total, n = F.sum(col.cast("decimal(38,18)")), F.count(col)
-    if over is not None:
-        total, n = total.over(over), n.over(over)
-    return F.try_divide(total.cast("double"), n.cast("double"))
+SUMMARY_METRICS = ["helpfulness", "correctness", "coherence"]
 
 
-def py_round(x, digits: int = 3):
-    """``round(x, digits)`` of Python: by the double's exact binary value, ties to even (MTH-1).
+def _split_scores(df: DataFrame, metrics=METRICS) -> DataFrame:
+    return exact.with_parts(df, {m: f"num_{m}" for m in metrics})
+
+
+def _mean_aggregates(metrics=METRICS, over=None):
+    """Exact sums and counts of the scores of a group."""
+    counts = [F.count(F.col(f"num_{m}")) for m in metrics]
+    if over is not None:
+        counts = [c.over(over) for c in counts]
+    return [*exact.sum_aggregates(metrics, over), *[c.alias(f"_c_{m}") for c, m in zip(counts, metrics)]]
 
-    A double below 2 times 2**62 is an exact integer, so the value is compared with the middle
-    between two results without rounding. Larger values (no score is) are rounded as decimals.
-    """
-    ten = 10**digits
-    size = F.abs(x)
-    low = F.floor(size * ten)
-    exact = (size * float(1 << 62)).cast("bigint").cast("decimal(19,0)") * F.lit(Decimal(2 * ten))
-    beyond = exact - (2 * low + 1).cast("decimal(10,0)") * F.lit(Decimal(1 << 62))
-    up = F.when((beyond > 0) | ((beyond == 0) & (low % 2 == 1)), 1).otherwise(0)
-    return F.when(size < 1.9, F.signum(x) * (low + up) / float(ten)).otherwise(F.bround(x, digits))
+
+def _with_means(df: DataFrame, keep, metrics=METRICS) -> DataFrame:
+    """``keep`` and ``sum(scores) / len(scores)`` in doubles per metric; null without a score."""
+    counts = [f"_c_{m}" for m in metrics]
+    sums = df.select(*keep, *counts, exact.exact_sums(metrics).alias("_sums"))
+    means = [F.try_divide(F.get("_sums", F.lit(k)), F.col(c).cast("double")).alias(f"_mean_{m}") for k, (m, c) in enumerate(zip(metrics, counts))]
+    return sums.select(*keep, *means)
 
 
 def _avg_exprs(metrics=METRICS):
     # Numeric scores only; none -> 0.5; three decimals.
     return [
-        F.coalesce(py_round(F.col(f"_mean_{m}")), F.lit(DEFAULT_SCORE)).alias(f"avg_{m}") for m in metrics
+        F.coalesce(py_round(f"_mean_{m}"), F.lit(DEFAULT_SCORE)).alias(f"avg_{m}") for m in metrics
     ]
 
 
@@ -72,10 +72,9 @@ def target_averages(parsed: DataFrame, keys=TARGET_KEYS) -> DataFrame:
     JSON parse, which is therefore evaluated once per row).
     """
     keys = with_run(parsed, keys)
-    agg = parsed.groupBy(*keys).agg(
-        *[mean_of(F.col(f"num_{m}")).alias(f"_mean_{m}") for m in METRICS], F.count(_ok(F.lit(1))).alias("n_evaluators")
-    )
-    return agg.where(F.col("n_evaluators") > 0).select(*keys, *_avg_exprs(), "n_evaluators")
+    agg = _split_scores(parsed).groupBy(*keys).agg(*_mean_aggregates(), F.count(_ok(F.lit(1))).alias("n_evaluators"))
+    means = _with_means(agg.where(F.col("n_evaluators") > 0), [*keys, "n_evaluators"])
+    return means.select(*keys, *_avg_exprs(), "n_evaluators")
 
 
 def evaluation_rows(parsed: DataFrame, responses: DataFrame) -> DataFrame:
@@ -98,8 +97,8 @@ def evaluation_rows(parsed: DataFrame, responses: DataFrame) -> DataFrame:
     # a run in the judgments alone still keeps its averages apart
     run = [k for k in with_run(parsed, []) if k not in targets]
     w = Window.partitionBy(*run, *targets)
-    j = j.select("*", *[mean_of(F.col(f"num_{m}"), w).alias(f"_mean_{m}") for m in METRICS])
-    rows = j.where(F.col("status") == "ok")
+    scored = _split_scores(j).select(*j.columns, *_mean_aggregates(over=w))
+    rows = _with_means(scored.where(F.col("status") == "ok"), j.columns)
     return rows.select(
         *with_run(parsed, []), "prompt_id", "prompt", "target_model", "evaluator", "response", "explainability",
         *METRICS, "reasoning", "notes", *_avg_exprs(),
@@ -127,16 +126,17 @@ def model_summary(responses: DataFrame, parsed: DataFrame) -> DataFrame:
 
     Every target is listed, also one without any usable judgment (left join).
     """
-    per_target = parsed.groupBy(*TARGET_KEYS).agg(
-        *[py_round(mean_of(F.col(f"num_{m}"))).alias(m) for m in ("helpfulness", "correctness", "coherence")],
+    per_target = _split_scores(parsed, SUMMARY_METRICS).groupBy(*TARGET_KEYS).agg(
+        *_mean_aggregates(SUMMARY_METRICS),
         F.array_join(F.array_sort(F.collect_set(_ok(F.col("evaluator")))), ", ").alias("evaluators"),
         F.count(_ok(F.lit(1))).alias("n_evaluators"),
     )
-    scored = per_target.select(
+    means = _with_means(per_target, [*TARGET_KEYS, "evaluators", "n_evaluators"], SUMMARY_METRICS)
+    scored = means.select(
         *TARGET_KEYS,
         *[
-            F.when(F.col("n_evaluators") > 0, F.coalesce(F.col(m), F.lit(DEFAULT_SCORE))).alias(m)
-            for m in ("helpfulness", "correctness", "coherence")
+            F.when(F.col("n_evaluators") > 0, F.coalesce(py_round(f"_mean_{m}"), F.lit(DEFAULT_SCORE))).alias(m)
+            for m in SUMMARY_METRICS
         ],
         F.when(F.col("n_evaluators") > 0, F.col("evaluators")).alias("evaluators"),
     )

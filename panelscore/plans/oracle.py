@@ -77,15 +77,13 @@ select prompt_id, target_model, evaluator from judgments_raw where f in (0, 1, 6
 
 
 def _py_round(x: str) -> str:
-    """Python's round(x, 3) for 0 <= x < 2: the double's exact value (an integer over 2**62), half to even."""
-    m = f"(cast({x} * 4611686018427387904.0 as hugeint) * 1000)"
-    q, r = f"({m} // 4611686018427387904)", f"({m} % 4611686018427387904)"
-    up = f"case when {r} > 2305843009213693952 or ({r} = 2305843009213693952 and {q} % 2 = 1) then 1 else 0 end"
-    return f"(cast({q} + {up} as double) / cast(1000 as double))"
+    """Three decimals by formatting: the printed digits come from the double's exact value, as Python's round does."""
+    return f"cast(format('{{:.3f}}', {x}) as double)"
 
 
 def _mean(col: str) -> str:
-    return f"(cast(sum(cast({col} as decimal(18,6))) as double) / count({col}))"
+    """Exact mean of two-decimal scores: whole multiples of 2**-60, added as integers."""
+    return f"(cast(cast(sum(cast({col} * 1152921504606846976.0 as bigint)) as bigint) as double) / 1152921504606846976.0 / count({col}))"
 
 
 def _target_avgs(parsed: str = "parsed") -> str:

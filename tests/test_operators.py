@@ -278,19 +278,6 @@ def test_unpivot_pivot_round_trip(spark):
     assert long.count() == len(wide) * len(METRICS)
 
 
-def test_py_round_equals_python(spark):
-    """Means of four two-decimal scores: the exact value decides, as in Python."""
-    from itertools import combinations_with_replacement
-
-    from panelscore.operators.scoring import mean_of, py_round
-
-    groups = list(combinations_with_replacement([0.5 + i / 100 for i in range(0, 20)], 4))[::7]
-    data = [(g, v) for g, values in enumerate(groups) for v in values] + [(-1, 2.5), (-1, 2.5), (-2, 0.0005), (-3, 1.0)]
-    df = spark.createDataFrame(data, "g int, v double").groupBy("g").agg(mean_of(F.col("v")).alias("m")).select("g", "m", py_round(F.col("m")).alias("r"))
-    for r in df.collect():
-        assert r["r"] == round(r["m"], 3), (r["g"], r["m"])
-
-
 def test_averages_keep_runs_apart(spark):
     from panelscore.config import METRICS
     from panelscore.operators import scoring
