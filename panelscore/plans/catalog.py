@@ -445,6 +445,7 @@ def evaluate_panel(prompts: DataFrame, models, client_factory, selected=None, pa
 
 RUN_A = "20240101_000000"
 RUN_B = "20240102_000000"
+RUN_C = "20240103_000000"
 _RUN_COLS = ["run_id", "layout", "eval_ts", "prompt", "target_model", "evaluator", "response", "explainability",
              *METRICS, "reasoning", "notes", *[f"avg_{m}" for m in METRICS]]
 
@@ -456,18 +457,20 @@ def _evaluations_once(spark, sf):
     return materialize(scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf)), "evaluations")
 
 
-def _write_two_runs(spark, sf):
+def _write_runs(spark, sf):
     evals = _evaluations_once(spark, sf)
     out = scratch_path(spark, "results")
     sinks.write_comprehensive(evals, out, RUN_A)
     sinks.write_batch_evaluation(evals, out, RUN_B)
+    # a run of another tool: the same columns the other way round
+    sinks.write_comprehensive(evals, out, RUN_C, columns=file_src.COMPREHENSIVE_COLUMNS[::-1])
     return out
 
 
 @register("runs_union")
 def q_runs_union(spark, sf):
-    """SNK-1, SNK-2, SRC-1, SET-2, DTE-1: both CSV layouts written, read back as one run table."""
-    out = _write_two_runs(spark, sf)
+    """SNK-1, SNK-2, SRC-1, SET-2, DTE-1: both CSV layouts and one of another column order written, read back as one run table."""
+    out = _write_runs(spark, sf)
     runs = file_src.read_runs(spark, out)
     # DTE-1 report format, so the timestamp compares as text in any engine
     runs = runs.withColumn("eval_ts", F.date_format("eval_ts", "yyyy-MM-dd HH:mm:ss"))

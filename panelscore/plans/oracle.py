@@ -542,6 +542,11 @@ select '20240102_000000' as run_id, 'batch' as layout, '2024-01-02 00:00:00' as
   prompt, target_model, evaluator, response, explainability,
   {", ".join(_M)}, cast(null as varchar) as reasoning, cast(null as varchar) as notes, {", ".join(f"avg_{m}" for m in _M)}
 from e
+union all
+select '20240103_000000' as run_id, 'comprehensive' as layout, '2024-01-03 00:00:00' as eval_ts,
+  prompt, target_model, evaluator, response, cast(null as varchar) as explainability,
+  {", ".join(_M)}, reasoning, notes, {", ".join(f"avg_{m}" for m in _M)}
+from e
 """, [("parsed", _PARSED), ("avgs", _target_avgs()), ("e", _EVALS)])
 
 ORACLE["latest_run"] = with_fixtures(["judgments_raw", "responses"], f"""

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType, T
 from ..config import METRICS, RUN_TS_FORMAT
 from ..functions.text import strip
 from ..operators.joins import bounded_broadcast
+from ..session import conf_override, materialize
 
 # 23-column layout written per prompt by the command-line flow.
 COMPREHENSIVE_COLUMNS = (
@@ -60,24 +61,82 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_eval_csv(spark: SparkSession, path: str, schema: StructType = COMPREHENSIVE_SCHEMA) -> DataFrame:
-    """SRC-1: one evaluation CSV (or glob) with the given layout; missing -> empty.
+def _first_records(batches):
+    """The header record of the file that a partition starts with: (file_path, names)."""
+    import csv
+
+    import pyarrow as pa
+
+    lines, path = [], None
+    for batch in batches:
+        for value, file_path in zip(batch.column(0), batch.column(1)):
+            if path is None:
+                path = file_path.as_py()
+            lines.append(value.as_py())
+            # a line break inside quotes goes on
+            if sum(line.count('"') for line in lines) % 2 == 0:
+                names = next(csv.reader(["\n".join(lines).removeprefix("\ufeff")]), [])
+                yield pa.RecordBatch.from_pylist([{"file_path": path, "names": names}], pa.schema([("file_path", pa.string()), ("names", pa.list_(pa.string()))]))
+                return
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file_path, names`` of every file with a header record; tasks stop reading after it.
+
+    Each file split is a partition of its own, so one task reads the start of one file.
+    """
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    start = (F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"))
+    with conf_override(spark, {"spark.sql.files.openCostInBytes": most}):
+        lines = spark.read.text(path).select("value", *start).where("start = 0").select("value", "file_path")
+        return materialize(lines.mapInArrow(_first_records, "file_path string, names array<string>"), "headers")
+
 
-    Columns are taken by the header's names, whatever their order; a column that the
-    header lacks is null. Metric text that is not a number ('nan', 'NA', junk) becomes null.
+def read_csv_by_name(spark: SparkSession, path: str, columns=None) -> DataFrame:
+    """CSV files as text columns taken by each file's own header, with ``file_path`` and ``file_mtime``.
+
+    Files may order their columns differently: cells are read by position and named through the
+    header of their file (one small row per file; no join where all headers agree). A column that a
+    header lacks is null; of a repeated name the first column counts. Without ``columns``, all names that occur.
     """
+    headers = file_headers(spark, path)
+    if columns is None:
+        seen = headers.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+        columns = [r["name"] for r in seen.orderBy("at", "name").collect()]
+    width = headers.agg(F.max(F.size("names"))).first()[0] or 0
+    cells = [f"_c{i}" for i in range(width)]
     file_columns = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("file_mtime")]
+    # the header record of each file is skipped; names come from it by file
+    raw = spark.read.options(**CSV_OPTIONS).schema(", ".join(f"{c} string" for c in cells) or "_c0 string").csv(path).select("*", *file_columns)
+    layouts = headers.select("names").distinct().limit(2).collect()
+    if len(layouts) == 1:
+        names = layouts[0]["names"]
+        take = {c: F.col(cells[names.index(c)]) if c in names else F.lit(None).cast("string") for c in columns}
+    else:
+        # 1-based place of each wanted column in the file's header, nought where it lacks
+        places = headers.select("file_path", *[F.array_position("names", c).cast("int").alias(f"_p{i}") for i, c in enumerate(columns)])
+        raw = raw.join(bounded_broadcast(places, 100_000), "file_path", "left").select("*", F.array(*cells).alias("_cells"))
+        missing = F.raise_error(F.concat(F.lit("no header was read from "), F.col("file_path")))
+        take = {c: F.when(F.col(f"_p{i}").isNull(), missing.cast("string")).when(F.col(f"_p{i}") > 0, F.get("_cells", F.col(f"_p{i}") - 1)) for i, c in enumerate(columns)}
+    return raw.select(*[v.alias(c) for c, v in take.items()], "file_path", "file_mtime")
+
+
+def read_eval_csv(spark: SparkSession, path: str, schema: StructType = COMPREHENSIVE_SCHEMA) -> DataFrame:
+    """SRC-1: evaluation CSVs (a file, folder or glob) with the given layout; missing -> empty.
+
+    Columns are taken by the names of each file's own header, whatever their order; a column that
+    a header lacks is null. Metric text that is not a number ('nan', 'NA', junk) becomes null.
+    """
     if not path_exists(spark, path):
         return _empty(spark, StructType(schema.fields + [StructField("file_path", StringType()), StructField("file_mtime", TimestampType())]))
-    # all columns as text, named by the header of the files
-    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(path)
+    raw = read_csv_by_name(spark, path, [f.name for f in schema.fields])
     cols = []
     for f in schema.fields:
-        c = F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None).cast("string")
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, DoubleType):
             c = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
         cols.append(c.alias(f.name))
-    return raw.select(*cols, *file_columns)
+    return raw.select(*cols, "file_path", "file_mtime")
 
 
 def newest_csv(spark: SparkSession, results_dir: str) -> str | None:
@@ -126,7 +185,7 @@ def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-3 + FLT-1: batch prompts from the ``prompt`` column (all columns kept as text)."""
     if not path_exists(spark, path):
         return _empty(spark, StructType([StructField("prompt", StringType())]))
-    df = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(path)
+    df = read_csv_by_name(spark, path).drop("file_path", "file_mtime")
     if "prompt" not in df.columns:
         raise ValueError("batch file needs a 'prompt' column")
     return df.where(F.col("prompt").isNotNull())
@@ -183,16 +242,11 @@ SIMPLE_COLUMNS = ["model", "helpfulness", "correctness", "coherence", "clarity"]
 
 
 def read_eval_any(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1 + PRJ-6 for any layout: the header line decides the schema (no data inference).
+    """SRC-1 + PRJ-6 for any layout: the files' headers decide the schema (no data inference).
 
     Known metric / average columns are typed DOUBLE, everything else STRING.
     """
     if not path_exists(spark, path):
         return _empty(spark, COMPREHENSIVE_SCHEMA)
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return _empty(spark, COMPREHENSIVE_SCHEMA)
-    import csv
-
-    header = next(csv.reader([first[0][0]]))
-    return read_eval_csv(spark, path, layout_schema(header))
+    names = read_csv_by_name(spark, path).drop("file_path", "file_mtime").columns
+    return read_eval_csv(spark, path, layout_schema(names)) if names else _empty(spark, COMPREHENSIVE_SCHEMA)

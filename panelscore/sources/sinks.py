@@ -32,15 +32,17 @@ def _csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str | None:
     return path
 
 
-def comprehensive_rows(evals: DataFrame, run_ts: str) -> DataFrame:
+def comprehensive_rows(evals: DataFrame, run_ts: str, columns=COMPREHENSIVE_COLUMNS) -> DataFrame:
     """SNK-1 projection: the 23-column layout (``timestamp`` = the run id)."""
     src = evals.withColumn("timestamp", F.lit(run_ts))
-    return src.select(*COMPREHENSIVE_COLUMNS)
+    return src.select(*columns)
 
 
-def write_comprehensive(evals: DataFrame, results_dir: str, run_ts: str, mode: str = "errorifexists") -> str | None:
+def write_comprehensive(
+    evals: DataFrame, results_dir: str, run_ts: str, mode: str = "errorifexists", columns=COMPREHENSIVE_COLUMNS
+) -> str | None:
     """SNK-1: ``results/comprehensive_eval_<ts>.csv``; empty input -> no file, None."""
-    return _csv(comprehensive_rows(evals, run_ts), f"{results_dir.rstrip('/')}/comprehensive_eval_{run_ts}.csv", mode)
+    return _csv(comprehensive_rows(evals, run_ts, columns), f"{results_dir.rstrip('/')}/comprehensive_eval_{run_ts}.csv", mode)
 
 
 def write_batch_evaluation(evals: DataFrame, results_dir: str, run_ts: str, mode: str = "errorifexists") -> str | None:

@@ -149,3 +149,49 @@ def test_empty_folder_and_swapped_header(spark, tmp_path):
     f.write_text("clarity,helpfulness,prompt\n0.1,0.9,p\n")
     row = files.read_eval_csv(spark, str(f)).first()
     assert (row["helpfulness"], row["clarity"], row["prompt"], row["evaluator"]) == (0.9, 0.1, "p", None)
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    """Unlike column orders, missing and extra columns, quoted names with breaks, a byte-order mark."""
+    base = tmp_path / "results"
+    base.mkdir()
+    texts = {
+        "comprehensive_eval_20240101_000000.csv": "prompt,target_model,helpfulness,clarity\np,m,0.9,0.2\n",
+        "comprehensive_eval_20240102_000000.csv": "target_model,clarity,helpfulness,prompt\nm,0.2,0.9,p\n",
+        "comprehensive_eval_20240103_000000.csv": "\ufeff\"prompt\",\"two\nlines, quoted\",helpfulness\n\"a\nb\",x,0.5\n",
+        "comprehensive_eval_20240104_000000.csv": "",
+        "comprehensive_eval_20240105_000000.csv": "prompt,helpfulness,helpfulness\n",
+        "comprehensive_eval_20240106_000000.csv": "prompt,helpfulness,helpfulness\nq,0.1,0.7\n",
+    }
+    for name, text in texts.items():
+        (base / name).write_text(text, encoding="utf-8")
+    got = {r["run_id"]: r for r in files.read_runs(spark, str(base)).collect()}
+    assert sorted(got) == ["20240101_000000", "20240102_000000", "20240103_000000", "20240106_000000"]
+    for run in ("20240101_000000", "20240102_000000"):
+        assert (got[run]["prompt"], got[run]["target_model"], got[run]["helpfulness"], got[run]["clarity"]) == ("p", "m", 0.9, 0.2)
+    assert (got["20240103_000000"]["prompt"], got["20240103_000000"]["helpfulness"], got["20240103_000000"]["clarity"]) == ("a\nb", 0.5, None)
+    assert got["20240106_000000"]["helpfulness"] == 0.1
+    heads = {r["file_path"].rsplit("/", 1)[1]: r["names"] for r in files.file_headers(spark, str(base)).collect()}
+    assert heads["comprehensive_eval_20240103_000000.csv"] == ["prompt", "two\nlines, quoted", "helpfulness"]
+    assert "comprehensive_eval_20240104_000000.csv" not in heads
+
+
+def test_headers_of_split_files_are_read_once(spark, tmp_path):
+    from panelscore.session import conf_override
+
+    base = tmp_path / "results"
+    base.mkdir()
+    for k, head in enumerate(("prompt,helpfulness,target_model", "target_model,prompt,helpfulness")):
+        lines = [("p,0.5,m" if k == 0 else "m,p,0.5")] * 20_000
+        (base / f"comprehensive_eval_2024010{k + 1}_000000.csv").write_text("\n".join([head, *lines]) + "\n")
+    with conf_override(spark, {"spark.sql.files.maxPartitionBytes": "16384"}):
+        assert files.file_headers(spark, str(base)).count() == 2
+        df = files.read_eval_csv(spark, str(base))
+        assert df.where("prompt = 'p' and target_model = 'm' and helpfulness = 0.5").count() == 40_000 == df.count()
+
+
+def test_prompt_files_of_unlike_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("prompt,topic\nhello,x\n")
+    (tmp_path / "b.csv").write_text("topic,prompt\ny,world\n")
+    got = {tuple(r) for r in files.read_prompts_csv(spark, str(tmp_path)).select("prompt", "topic").collect()}
+    assert got == {("hello", "x"), ("world", "y")}
