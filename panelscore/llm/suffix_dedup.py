@@ -9,7 +9,7 @@
    segment that occurs more than once repeats whole. Segments that share an anchor with a
    different segment, or hold their anchor's bytes twice, go on; all others hold no repeat.
 3. Shards. One copy of each such segment goes to a shard by its anchor; an anchor with more than
-   ``anchor_segments`` segments is cut over several shards. A shard sorts its suffixes by
+   ``anchor_segments`` segments or ``anchor_bytes`` bytes is cut over several shards. A shard sorts its suffixes by
    Larsson-Sadakane refinement (ranks are doubled; only groups that are not yet singletons
    are sorted again) and takes common prefixes with Kasai's recurrence, run over all
    segments in step. Neighbours with a common prefix of ``length`` bytes are repeats.
@@ -20,6 +20,8 @@
 Scale: anchors are about ``2 / (length - GRAM)`` of the bytes; texts move twice, once for the
 segments wanted and once for the cuts. A task holds one shard at a time.
 
+A very long periodic text keeps one anchor: its segment is cut into pieces of ``SEGMENT_STARTS`` windows.
+
 Defined results: null text is empty; texts shorter than ``length`` are kept; matches never
 cross documents; strings are judged on the input; repeated rows repeat each other; a null
 doc_id is an id like others; other columns are ignored.
@@ -43,8 +45,11 @@ LENGTH = 400
 GRAM = 48
 #: Bytes of segments that are sorted together.
 SHARD_BYTES = 2 << 20
-#: Segments of one anchor in a shard; further ones go to further shards.
+#: Segments of one anchor in a shard, and their bytes; further ones go to further shards.
 ANCHOR_SEGMENTS = 4000
+ANCHOR_BYTES = 2 * SHARD_BYTES
+#: Windows in a segment; a longer one is cut into pieces that overlap by the length less one.
+SEGMENT_STARTS = 4096
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -92,7 +97,10 @@ def segments(data: np.ndarray, length: int, gram: int, rolling: Rolling) -> tupl
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    new = np.r_[True, least[1:] != least[:-1]]
+    # a periodic text repeats its anchor: pieces of SEGMENT_STARTS windows, counted from the segment's start
+    since = np.arange(starts) - np.maximum.accumulate(np.where(new, np.arange(starts), 0))
+    first = np.flatnonzero(since % SEGMENT_STARTS == 0)
     last = np.r_[first[1:], starts] - 1
     anchor = least[first]
     twice = np.array([np.count_nonzero(h[a : b + width] == x) > 1 for a, b, x in zip(first.tolist(), last.tolist(), anchor)], bool)
@@ -166,7 +174,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     key = eight_bytes(data)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)  # members of a group may stand in any order
     key = key[sa]
     new = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, np.int64)
@@ -324,9 +332,11 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A range of window hashes, sorted by shard: the windows of one shard found in another."""
     shards = [t for t in common.grouped(batches, "shard")]
     keys = [np.stack([t.column(c).to_numpy() for c in ("k1", "k2")], 1) for t in shards]
+    # equal windows of a shard stand together: one of them is enough to be found
+    once = [k[np.r_[True, (k[1:] != k[:-1]).any(1)]] for k in keys]
     for i, table in enumerate(shards):
         hit = np.zeros(table.num_rows, bool)
-        for j, other in enumerate(keys):
+        for j, other in enumerate(once):
             if i != j:
                 hit |= found_by_search(keys[i], other)
         found = table.filter(pa.array(hit)).combine_chunks()
@@ -373,7 +383,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, anchor_segments: int = ANCHOR_SEGMENTS
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    shard_bytes: int = SHARD_BYTES,
+    anchor_segments: int = ANCHOR_SEGMENTS,
+    anchor_bytes: int = ANCHOR_BYTES,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
@@ -387,16 +402,19 @@ def remove_repeated_bytes(
     kinds = found.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"), F.min(place).alias("at"))
     kinds = common.written(kinds.select("anchor", "s1", "s2", "copies", "at.*"), "suffix-kinds")
     # anchors with unlike segments, or with a segment that may repeat inside
-    shards = F.ceil(F.col("kinds") / anchor_segments).alias("shards")
-    live = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice")).where("kinds > 1 or twice").select("anchor", shards)
+    shards = F.ceil(F.greatest(F.col("kinds") / anchor_segments, F.col("bytes") / anchor_bytes)).alias("shards")
+    size = F.sum(F.col("last").cast("long") - F.col("first") + length).alias("bytes")
+    live = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), size, F.max("twice").alias("twice")).where("kinds > 1 or twice").select("anchor", shards)
     live = kinds.join(live, "anchor").select(F.col("tid").alias("t"), F.col("doc_id").alias("d"), F.struct("anchor", "shards", "s1", "s2", "first", "last").alias("w"))
     live = live.groupBy("t", "d").agg(F.collect_list("w").alias("wanted"))
     own = (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))
     cut = docs.join(live, own).select("text", "wanted")
     cut = cut.mapInArrow(_cut_out(length), "anchor long, shards long, s1 long, s2 long, n int, bytes binary")
     cut = cut.withColumn("shard", F.xxhash64("anchor", F.pmod("s1", "shards")))
-    cut = common.written(cut.repartition(parts, "shard").sortWithinPartitions("shard"), "suffix-shards")
-    runs = cut.select("shard", "s1", "s2", "n", "bytes").mapInArrow(_shard_rows(length, shard_bytes), _RUN_SCHEMA)
+    cut = common.written(cut, "suffix-cuts")
+    # the shuffle is the direct input of the sort: written files may be split anywhere when they are read
+    dealt = cut.select("shard", "s1", "s2", "n", "bytes").repartition(parts, "shard").sortWithinPartitions("shard")
+    runs = dealt.mapInArrow(_shard_rows(length, shard_bytes), _RUN_SCHEMA)
     split = cut.where("shards > 1")
     if not split.isEmpty():
         windows = split.mapInArrow(_window_rows(length), "shard long, k1 long, k2 long, s1 long, s2 long, start int")

@@ -326,6 +326,42 @@ def test_suffix_dedup_on_documents(docs, sample):
     assert suffix_rows(suffix_dedup.remove_repeated_bytes(docs(pairs))) == bytes_brute(pairs, 400)
 
 
+def test_suffix_dedup_when_scratch_files_are_split(docs, spark):
+    """Tiny row groups and splits: a shard's segments are still sorted together."""
+    from panelscore.session import conf_override
+
+    pairs = text_pairs(5)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", "2048")
+    try:
+        with conf_override(spark, {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}):
+            for shard_bytes, segments in ((1 << 19, 4000), (300, 2)):
+                df = suffix_dedup.remove_repeated_bytes(docs(pairs), length=40, gram=8, shard_bytes=shard_bytes, anchor_segments=segments)
+                assert suffix_rows(df) == bytes_brute(pairs, 40)
+    finally:
+        conf.unset("parquet.block.size")
+
+
+def test_suffix_dedup_cuts_long_segments(docs, monkeypatch):
+    """Periodic texts keep one anchor; pieces and shards by bytes change nothing."""
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_STARTS", 50)
+    rng = random.Random(6)
+    block = "".join(rng.choice("abcdefgh") for _ in range(97))
+    pairs = text_pairs(6) + [(200, block * 9), (201, "x" + block * 3 + "y"), (202, "ab" * 400), (203, "z" * 333), (204, block[:60] + "q" * 50 + block[60:])]
+    for anchor_bytes in (1 << 22, 500):
+        df = suffix_dedup.remove_repeated_bytes(docs(pairs), length=40, gram=8, anchor_bytes=anchor_bytes)
+        assert suffix_rows(df) == bytes_brute(pairs, 40)
+
+
+def test_suffix_dedup_very_long_periodic_text(docs):
+    rng = random.Random(7)
+    block = "".join(rng.choice("abcdefghijklmnop ") for _ in range(10_007))
+    texts = [(1, block * 480), (2, "go " + block[:5000]), (3, "n" * 399)]
+    got = {r["doc_id"]: r for r in rows(suffix_dedup.remove_repeated_bytes(docs(texts).withColumnRenamed("n_chars", "n_removed")))}
+    assert (got[1]["n_bytes"], got[1]["n_removed"], got[1]["n_spans"]) == (4_803_360, 4_803_360, 1)
+    assert got[2]["n_removed"] == 5000 and got[3]["n_removed"] == 0
+
+
 def test_suffix_dedup_repeated_rows_and_null_ids(docs):
     t = "".join(chr(97 + i * i % 26) for i in range(90))
     got = rows(suffix_dedup.remove_repeated_bytes(docs([(1, t), (1, t), (None, t), (None, "short")]), length=40, gram=8))
