@@ -137,21 +137,33 @@ def _segment_rows(length: int, gram: int):
     return run
 
 
+#: Bytes of segments that are handed on together.
+CUT_BYTES = 8 << 20
+
+
 def _cut_out(length: int):
     """Bytes of the wanted segments of each text."""
+    types = {"bytes": pa.binary(), "n": pa.int32()}
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in rows.items()], names=list(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = lambda: {"anchor": [], "shards": [], "s1": [], "s2": [], "n": [], "bytes": []}
+        rows, size = empty(), 0
         for batch in batches:
-            rows = {"anchor": [], "shards": [], "s1": [], "s2": [], "n": [], "bytes": []}
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for w in wanted:
+            for text, wanted in zip(batch.column(0), batch.column(1)):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for w in wanted.as_py():
                     for k in ("anchor", "shards", "s1", "s2"):
                         rows[k].append(w[k])
                     rows["n"].append(w["last"] - w["first"] + 1)
                     rows["bytes"].append(raw[w["first"] : w["last"] + length])
-            types = {"bytes": pa.binary(), "n": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in rows.items()], names=list(rows))
+                    size += len(rows["bytes"][-1])
+                    if size >= CUT_BYTES:
+                        yield batch_of(rows)
+                        rows, size = empty(), 0
+        yield batch_of(rows)
 
     return run
 
@@ -406,18 +418,20 @@ def remove_repeated_bytes(
     size = F.sum(F.col("last").cast("long") - F.col("first") + length).alias("bytes")
     live = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), size, F.max("twice").alias("twice")).where("kinds > 1 or twice").select("anchor", shards)
     live = kinds.join(live, "anchor").select(F.col("tid").alias("t"), F.col("doc_id").alias("d"), F.struct("anchor", "shards", "s1", "s2", "first", "last").alias("w"))
-    live = live.groupBy("t", "d").agg(F.collect_list("w").alias("wanted"))
+    live = common.written(live, "suffix-live")
     own = (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    cut = docs.join(live, own).select("text", "wanted")
-    cut = cut.mapInArrow(_cut_out(length), "anchor long, shards long, s1 long, s2 long, n int, bytes binary")
-    cut = cut.withColumn("shard", F.xxhash64("anchor", F.pmod("s1", "shards")))
-    cut = common.written(cut, "suffix-cuts")
+
+    def cut(wanted: DataFrame) -> DataFrame:
+        met = docs.join(wanted.groupBy("t", "d").agg(F.collect_list("w").alias("wanted")), own).select("text", "wanted")
+        met = met.mapInArrow(_cut_out(length), "anchor long, shards long, s1 long, s2 long, n int, bytes binary")
+        return met.select(F.xxhash64("anchor", F.pmod("s1", "shards")).alias("shard"), "s1", "s2", "n", "bytes")
+
     # the shuffle is the direct input of the sort: written files may be split anywhere when they are read
-    dealt = cut.select("shard", "s1", "s2", "n", "bytes").repartition(parts, "shard").sortWithinPartitions("shard")
+    dealt = cut(live).repartition(parts, "shard").sortWithinPartitions("shard")
     runs = dealt.mapInArrow(_shard_rows(length, shard_bytes), _RUN_SCHEMA)
-    split = cut.where("shards > 1")
-    if not split.isEmpty():
-        windows = split.mapInArrow(_window_rows(length), "shard long, k1 long, k2 long, s1 long, s2 long, start int")
+    several = live.where("w.shards > 1")
+    if not several.isEmpty():
+        windows = cut(several).mapInArrow(_window_rows(length), "shard long, k1 long, k2 long, s1 long, s2 long, start int")
         windows = windows.repartitionByRange(parts, "k1").sortWithinPartitions("shard", "k1", "k2")
         runs = runs.union(windows.mapInArrow(_merge_rows, _RUN_SCHEMA))
     runs = runs.where(F.size("runs") > 0).groupBy("s1", "s2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
