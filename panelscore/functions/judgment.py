@@ -100,7 +100,17 @@ def parse_judgments(df, raw: str = "raw_text", metrics=METRICS, keep=()):
     non-trivial expression that is referenced more than once).
     """
     keep = [F.col(c) for c in keep]
-    fields = list(metrics) + ["reasoning", "notes"]
+    s3 = parsed_fields(df, raw, list(metrics) + ["reasoning", "notes"], keep)
+    ok = F.col("status") == "ok"
+    cols = keep + [F.col("status")]
+    cols += [F.when(ok, row_value(F.col(f"_v_{m}"))).alias(m) for m in metrics]
+    cols += [F.when(ok, numeric_value(F.col(f"_v_{m}"))).alias(f"num_{m}") for m in metrics]
+    cols += [F.when(ok, text_value(F.col(f"_v_{k}"))).alias(k) for k in ("reasoning", "notes")]
+    return s3.select(*cols)
+
+
+def parsed_fields(df, raw: str, fields, keep):
+    """``keep``, ``status`` and the named fields as VARIANT (``_v_<field>``), from one staged parse."""
     s1 = df.select(*keep, json_block(F.col(raw)).alias("_block"))
     s1 = s1.select(
         *keep, "_block",
@@ -113,17 +123,11 @@ def parse_judgments(df, raw: str = "raw_text", metrics=METRICS, keep=()):
             F.try_variant_get("_arr", "$[1]", "variant").isNull(), F.try_variant_get("_arr", "$[0]", "variant")
         ).alias("_obj"),
     )
-    s3 = s2.select(
+    return s2.select(
         *keep,
         parse_status(F.col("_block"), F.col("_obj")).alias("status"),
         *[field(F.col("_obj"), k).alias(f"_v_{k}") for k in fields],
     )
-    ok = F.col("status") == "ok"
-    cols = keep + [F.col("status")]
-    cols += [F.when(ok, row_value(F.col(f"_v_{m}"))).alias(m) for m in metrics]
-    cols += [F.when(ok, numeric_value(F.col(f"_v_{m}"))).alias(f"num_{m}") for m in metrics]
-    cols += [F.when(ok, text_value(F.col(f"_v_{k}"))).alias(k) for k in ("reasoning", "notes")]
-    return s3.select(*cols)
 
 
 def value_kind(v: Column) -> Column:
@@ -141,12 +145,10 @@ def value_kind(v: Column) -> Column:
 
 
 def judgment_issues(df, raw: str = "raw_text", metrics=METRICS, keep=()):
-    """JSN-4 issue flags: one row per usable judgment and metric whose value is not a plain number."""
+    """JSN-4 issue flags: one row per usable judgment and metric whose value is not a plain number (one parse)."""
     keep = [F.col(c) for c in keep]
-    block = json_block(F.col(raw))
-    s1 = df.where(is_usable(F.col(raw))).select(
-        *keep, F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), block, F.lit("]"))), "$[0]", "variant").alias("_obj")
-    )
-    s2 = s1.select(*keep, *[field(F.col("_obj"), m).alias(f"_v_{m}") for m in metrics])
+    s3 = parsed_fields(df, raw, metrics, keep)
     kinds = F.array(*[F.struct(F.lit(m).alias("metric"), value_kind(F.col(f"_v_{m}")).alias("kind")) for m in metrics])
-    return s2.select(*keep, F.inline(kinds)).where(F.col("kind") != "number")
+    # judgments that are not usable have no entry; the filter stays above the parse
+    rows = s3.select(*keep, F.inline(F.when(F.col("status") == "ok", F.filter(kinds, lambda k: k["kind"] != "number"))))
+    return rows

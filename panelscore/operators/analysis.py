@@ -131,11 +131,14 @@ def overall_by(df: DataFrame, key: str, metrics: Sequence[str] = CORE4) -> DataF
     return means.select(key, _overall([f"_m_{m}" for m in metrics]).alias("overall"))
 
 
-def overall_scores(df: DataFrame) -> DataFrame:
-    """AGG-8 for targets and evaluators as one long table (rounded to 6 for display)."""
-    t = overall_by(df, "target_model").select(F.lit("target_model").alias("kind"), F.col("target_model").alias("name"), "overall")
-    e = overall_by(df, "evaluator").select(F.lit("evaluator").alias("kind"), F.col("evaluator").alias("name"), "overall")
-    return t.unionByName(e).select("kind", "name", F.bround("overall", 6).alias("overall"))
+def overall_scores(df: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:
+    """AGG-8 for targets and evaluators as one long table (rounded to 6 for display), in one scan."""
+    means = [F.avg(m).alias(f"_m_{m}") for m in metrics]
+    g = df.groupingSets([["target_model"], ["evaluator"]], "target_model", "evaluator").agg(*means, F.grouping("evaluator").alias("_by_target"))
+    kind = F.when(F.col("_by_target") == 1, F.lit("target_model")).otherwise(F.lit("evaluator"))
+    name = F.when(F.col("_by_target") == 1, F.col("target_model")).otherwise(F.col("evaluator"))
+    named = g.select(kind.alias("kind"), name.alias("name"), _overall([f"_m_{m}" for m in metrics]).alias("overall"))
+    return named.where(F.col("name").isNotNull()).select("kind", "name", F.bround("overall", 6).alias("overall"))
 
 
 def _arg(key: str, score: str, best: bool):

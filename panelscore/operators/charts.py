@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CORE4, METRICS
+from ..session import materialize
 from .analysis import numeric_columns
+from .joins import bounded_broadcast
+
+#: Largest table of groups and wanted ranks that is broadcast (a handful of short rows per group).
+RANKS_BROADCAST_ROWS = 100_000
+#: Most judges that the pivot turns into columns.
+MAX_JUDGES = 1000
 
 
 def cross_pivot(df: DataFrame, evaluators: Sequence[str] | None = None, metric: str = "helpfulness") -> DataFrame:
@@ -25,7 +32,10 @@ def cross_pivot(df: DataFrame, evaluators: Sequence[str] | None = None, metric:
     """
     if evaluators is None:
         found = df.where(F.col("evaluator").isNotNull() & F.col("target_model").isNotNull() & F.col(metric).isNotNull())
-        evaluators = sorted(r[0] for r in found.select("evaluator").distinct().collect())
+        rows = found.select("evaluator").distinct().limit(MAX_JUDGES + 1).collect()
+        if len(rows) > MAX_JUDGES:
+            raise ValueError(f"more than {MAX_JUDGES} evaluators: name those wanted as columns")
+        evaluators = sorted(r[0] for r in rows)
     if not evaluators:
         return df.select("target_model").limit(0)
     # conditional averages: one aggregation (``pivot`` would aggregate twice)
@@ -41,111 +51,89 @@ def cross_pivot(df: DataFrame, evaluators: Sequence[str] | None = None, metric:
     return p.where(any_value)
 
 
-#: Column pairs that one aggregation holds (more would outgrow generated code).
-CORR_PAIRS = 15
-
-
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """AGG-14: Pearson correlation of every pair of numeric columns, pairwise complete.
 
-    Built-in aggregates only, over inputs nulled where the other side is null. Pairs are
-    aggregated in chunks, each one scan with map-side partial sums and one row out.
-    A pair whose complete rows are constant in either column, or a single
-    row, gives null. Output: (a, b, r) for all ordered pairs, diagonal included.
+    One scan: each row becomes one entry per column pair whose two values it holds, and built-in
+    moments are aggregated per pair with map-side partial sums, so the shuffle carries
+    one row per pair and task. A pair whose complete rows are constant in either column, or a
+    single row, gives null. Output: (a, b, r) for all ordered pairs, diagonal included.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    out = None
-    for at in range(0, len(pairs), CORR_PAIRS):
-        chunk = pairs[at : at + CORR_PAIRS]
-        aggs = []
-        for k, (a, b) in enumerate(chunk):
-            va, vb = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-            varying = (F.min(va) < F.max(va)) & (F.min(vb) < F.max(vb))
-            spread = F.stddev_pop(va) * F.stddev_pop(vb)
-            r = F.lit(1.0) if a == b else F.bround(F.try_divide(F.covar_pop(va, vb), spread), digits)
-            aggs += [F.when(varying, r).alias(f"r{k}"), F.count(va).alias(f"n{k}")]
-        row = x.agg(*aggs)
-        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(chunk)]
-        cells += [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(chunk) if a != b]
-        part = row.select(F.inline(F.array(*cells))).where("n > 0").drop("n")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def box_stats_approx(df: DataFrame, key: str, metrics: Sequence[str] = CORE4, whisker: float = 1.5,
-                     accuracy: int = 10000) -> DataFrame:
-    """AGG-15/16 for continuous scores at scale: quartiles from ``percentile_approx``.
-
-    Quartile sketches are mergeable (partial aggregation); the whiskers and
-    outlier counts then take a second pass joined to the small per-group
-    quartile table (one row per key and metric).
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    x = [f"cast(`{c}` as double)" for c in cols]
+    cells = ", ".join(f"struct({k} as k, {x[i]} as x, {x[j]} as y)" for k, (i, j) in enumerate(pairs))
+    each = df.selectExpr(f"inline(array({cells}))").where("x is not null and y is not null")
+    varying = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    r = F.bround(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), digits)
+    moments = each.groupBy("k").agg(F.when(varying, r).alias("r"))
+    # names of the pairs, as literals of a map of the pair's number
+    name = lambda side: F.element_at(F.array(*[F.lit(cols[p[side]]) for p in pairs]), F.col("k") + 1)
+    named = moments.select(name(0).alias("a"), name(1).alias("b"), "r")
+    named = named.select("a", "b", F.when((F.col("a") == F.col("b")) & F.col("r").isNotNull(), 1.0).otherwise(F.col("r")).alias("r"))
+    ways = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    return named.select(F.inline(F.when(F.col("a") == F.col("b"), F.slice(ways, 1, 1)).otherwise(ways)))
+
+
+def _by_metric(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    return df.where(F.col(key).isNotNull()).select(key, F.inline(cells)).where(F.col("value").isNotNull())
+
+
+def order_statistics(hist: DataFrame, group: Sequence[str], ranks: DataFrame) -> DataFrame:
+    """Values at given 0-based ranks of every group of a written histogram, exact.
+
+    ``hist``: ``group``, ``value``, ``cnt`` and ``part``, the number of the row's range when the
+    histogram was dealt by (group, value); ``ranks``: ``group`` and ``rank``. Rows per range are
+    counted and summed up over the ranges (one small row per group and range). Only ranges that hold
+    a wanted rank are read again, each on its own: no task sees a whole group.
     """
-    long = df.where(F.col(key).isNotNull()).select(
-        key, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
-    ).where(F.col("value").isNotNull())
-    q = long.groupBy(key, "metric").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("_q"),
-    ).select(key, "metric", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    inside = (F.col("value") >= F.col("q1") - whisker * F.col("iqr")) & (F.col("value") <= F.col("q3") + whisker * F.col("iqr"))
-    out = long.join(q, [key, "metric"]).groupBy(key, "metric", "n", "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"),
-    )
-    return out
+    group = list(group)
+    each = hist.groupBy(*group, "part").agg(F.sum("cnt").alias("c"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*group, "part", "c", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    # a few ranks per group: joined to the ranges that hold them
+    held = each.join(bounded_broadcast(ranks, RANKS_BROADCAST_ROWS), group).where("before <= rank and rank < before + c")
+    wanted = held.groupBy(*group, "part", "before").agg(F.collect_set("rank").alias("ranks"))
+    near = hist.join(bounded_broadcast(wanted, RANKS_BROADCAST_ROWS), [*group, "part"])
+    up_to = Window.partitionBy(*group, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.select(*group, "value", "cnt", "ranks", (F.col("before") + F.sum("cnt").over(up_to)).alias("upto"))
+    inside = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("cnt")))
+    return near.select(*group, "value", F.explode(inside).alias("rank"))
 
 
 def box_stats(df: DataFrame, key: str, metrics: Sequence[str] = CORE4, whisker: float = 1.5) -> DataFrame:
-    """AGG-15/16: box-plot numbers per (key, metric), exact.
-
-    One scan builds a value histogram per (key, metric, value) with map-side
-    partial counts, so a hot key never gathers its raw rows in one task. The
-    quartiles (linear interpolation between order statistics), whiskers (most
-    extreme values within ``whisker`` x IQR of the quartiles) and outlier counts
-    are then read off the histogram, whose size is bounded by the number of
-    distinct values rather than the number of rows.
-    """
-    long = df.where(F.col(key).isNotNull()).select(
-        key, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
-    ).where(F.col("value").isNotNull())
-    hist = long.groupBy(key, "metric", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy(key, "metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = Window.partitionBy(key, "metric")
-    cum = hist.select(
-        key, "metric", "value", "cnt",
-        (F.sum("cnt").over(w) - F.col("cnt")).alias("lo"),  # rows strictly below this value
-        F.sum("cnt").over(g).alias("n"),
-    )
+    """AGG-15/16: box-plot numbers per (key, metric), exact, also for continuous scores.
 
-    def order_stat(pos):
-        # value at 0-based rank ``pos`` = the value whose [lo, lo + cnt) covers it
-        return F.min(F.when((F.col("lo") <= pos) & (pos < F.col("lo") + F.col("cnt")), F.col("value")))
-
-    qs = {}
-    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        h = (F.col("n") - 1) * q
-        qs[name] = (F.floor(h), F.ceil(h), h - F.floor(h))
-    aggs = [F.first("n").alias("n")]
-    for name, (lo_i, hi_i, frac) in qs.items():
-        aggs += [order_stat(lo_i).alias(f"_{name}_lo"), order_stat(hi_i).alias(f"_{name}_hi"), F.first(frac).alias(f"_{name}_f")]
-    quart = cum.groupBy(key, "metric").agg(*aggs)
-    for name in qs:
-        quart = quart.withColumn(
-            name, F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")
-        )
-    quart = quart.select(key, "metric", "n", "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
-    # the histogram and quartile tables are both small (distinct values per group)
-    j = cum.drop("n").join(quart, [key, "metric"])
+    One scan builds a value histogram per (key, metric, value) with map-side partial counts,
+    dealt by ranges of (key, metric, value) and written once. The quartiles (linear
+    interpolation between order statistics) are read from the ranges that hold their ranks;
+    whiskers (most extreme values within ``whisker`` x IQR of the quartiles) and outlier counts
+    are a second aggregation over the histogram.
+    """
+    spark = df.sparkSession
+    group = [key, "metric"]
+    hist = _by_metric(df, key, metrics).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hist = materialize(hist.repartitionByRange(ranges, *group, "value").withColumn("part", F.spark_partition_id()), "histogram")
+    sizes = hist.groupBy(*group).agg(F.sum("cnt").alias("n"))
+    quantiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    at = {name: (F.col("n") - 1) * q for name, q in quantiles.items()}
+    needed = F.array(*[f(h).cast("long") for h in at.values() for f in (F.floor, F.ceil)])
+    stats = order_statistics(hist, group, sizes.select(*group, F.explode(F.array_distinct(needed)).alias("rank")))
+    by_rank = stats.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("v"))
+    quart = sizes.join(by_rank, group)
+    for name, h in at.items():
+        low, high = (F.element_at("v", f(h).cast("long")) for f in (F.floor, F.ceil))
+        quart = quart.withColumn(name, low + (high - low) * (h - F.floor(h)))
+    quart = quart.select(*group, "n", *quantiles, (F.col("q3") - F.col("q1")).alias("iqr"))
+    j = hist.join(bounded_broadcast(quart, RANKS_BROADCAST_ROWS), group)
     lo_fence = F.col("q1") - whisker * F.col("iqr")
     hi_fence = F.col("q3") + whisker * F.col("iqr")
     inside = (F.col("value") >= lo_fence) & (F.col("value") <= hi_fence)
-    out = j.groupBy(key, "metric", "n", "q1", "median", "q3", "iqr").agg(
+    out = j.groupBy(*group, "n", *quantiles, "iqr").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
         F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).alias("n_outliers"),

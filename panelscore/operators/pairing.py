@@ -49,9 +49,3 @@ def judge_pairs(
         .withColumnRenamed("i", "evaluator_idx")
         .withColumnRenamed("model", "evaluator")
     )
-
-
-def missing_judgments(expected: DataFrame, usable: DataFrame, keys=("prompt_id", "target_model", "evaluator")) -> DataFrame:
-    """Expected (prompt, target, evaluator) pairs without a usable judgment (left anti join)."""
-    keys = list(keys)
-    return expected.select(*keys).join(usable.select(*keys), keys, "left_anti")

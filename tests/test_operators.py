@@ -170,13 +170,31 @@ def test_evaluation_view_and_helpers(spark):
     assert [x[0] for x in sorted_rows] == ["a", "b", None]
 
 
-def test_box_stats_approx_close_to_exact(spark):
-    rows = [("a", (i * 37 % 101) / 100.0) for i in range(500)] + [("a", -3.0)]
-    df = spark.createDataFrame(rows, "target_model string, helpfulness double")
-    exact = charts.box_stats(df, "target_model", ["helpfulness"]).collect()[0]
-    approx = charts.box_stats_approx(df, "target_model", ["helpfulness"]).collect()[0]
-    assert approx["n"] == exact["n"] and approx["n_outliers"] == exact["n_outliers"] == 1
-    assert abs(approx["median"] - exact["median"]) <= 0.02
+def test_box_stats_of_continuous_scores(spark):
+    """All values differ; many ranges hold one group; quartiles and whiskers as numpy finds them."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=5000), "b": rng.normal(size=7) * 10, "c": np.array([1.5]), "d": np.repeat([0.1, 0.2], 50)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "target_model string, helpfulness double").repartition(5)
+    got = {r["target_model"]: r for r in charts.box_stats(df, "target_model", ["helpfulness"]).collect()}
+    assert sorted(got) == sorted(groups)
+    for g, vs in groups.items():
+        q1, med, q3 = np.percentile(vs, [25, 50, 75])
+        inside = vs[(vs >= q1 - 1.5 * (q3 - q1)) & (vs <= q3 + 1.5 * (q3 - q1))]
+        expected = [len(vs), q1, med, q3, inside.min(), inside.max(), len(vs) - len(inside)]
+        values = [got[g][c] for c in ("n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")]
+        assert np.allclose(values, expected, atol=2e-6), g
+
+
+def test_correlation_scans_once(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.0, 1.0), (3.0, 6.5, 1.0)], "a double, b double, c double")
+    corr = charts.correlation_long(df)
+    plan = corr._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+    got = {(r["a"], r["b"]): r["r"] for r in corr.collect()}
+    assert len(got) == 9 and got["a", "a"] == 1.0 and got["c", "c"] is None and got["a", "b"] == got["b", "a"] > 0.99
 
 
 def test_empty_input_gives_empty_results(spark):
