@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import CORE4, METRICS
 from ..session import materialize
 from .analysis import numeric_columns
-from .joins import bounded_broadcast
+from .joins import bounded_broadcast, spread
 
 #: Largest table of groups and wanted ranks that is broadcast (a handful of short rows per group).
 RANKS_BROADCAST_ROWS = 100_000
@@ -65,7 +65,7 @@ def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, digits
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     x = [f"cast(`{c}` as double)" for c in cols]
     cells = ", ".join(f"struct({k} as k, {x[i]} as x, {x[j]} as y)" for k, (i, j) in enumerate(pairs))
-    each = df.selectExpr(f"inline(array({cells}))").where("x is not null and y is not null")
+    each = spread(df.select(*[f"`{c}`" for c in cols])).selectExpr(f"inline(array({cells}))").where("x is not null and y is not null")
     varying = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
     r = F.bround(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), digits)
     moments = each.groupBy("k").agg(F.when(varying, r).alias("r"))
