@@ -120,7 +120,9 @@ def run_analyze(spark, results_dir: str | None, out_dir: str, csv_file: str | No
         path = f"{out_dir.rstrip('/')}/{name}"
         t.write.mode("overwrite").options(header="true").csv(path)
         written[name] = path
-    written["report"] = sinks.write_report_text(analysis.report_lines(analysis.report_long(df)), f"{out_dir.rstrip('/')}/report")
+    source = csv_file or files.newest_csv(spark, results_dir) or results_dir
+    report = analysis.report_text(analysis.report_long(df), df.columns, source, dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S"))
+    written["report"] = sinks.write_report_text(report, f"{out_dir.rstrip('/')}/report")
     return written
 
 

@@ -48,6 +48,13 @@ def is_error(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\[[^\]]* Error\] "), F.lit(False))
 
 
+def error_text(role: Column, model: Column, message: Column) -> Column:
+    """STR-16: what a failed call of a role leaves as its text (null for roles without one)."""
+    return F.when(role == "answer", F.concat(F.lit("["), model, F.lit(" Error] "), message)).when(
+        role == "reasoning", F.concat(F.lit("[Reasoning Error] "), message)
+    )
+
+
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated words."""
     return F.size(F.regexp_extract_all(c, F.lit(r"\S+"), 0))

@@ -262,15 +262,56 @@ def report_long(df: DataFrame, metrics: Sequence[str] = CORE4) -> DataFrame:
     return out
 
 
-def report_lines(report: DataFrame) -> DataFrame:
-    """Text rendering of ``report_long`` (one line per entry, scores as %.3f)."""
-    val = F.when(F.col("metric").endswith("_count") | F.col("metric").isin("total_records", "n_columns"),
-                 F.format_string("%d", F.col("value").cast("long"))).otherwise(F.format_string("%.3f", "value"))
-    line = F.concat_ws(
-        " ", F.upper(F.regexp_replace("section", "_", " ")), F.concat(F.col("item"), F.lit(":")), F.col("metric"), val,
-        F.coalesce(F.concat(F.lit("("), F.col("label"), F.lit(")")), F.lit("")),
-    )
-    return report.select(F.rtrim(line).alias("value"))
+def report_text(report: DataFrame, columns: Sequence[str], source: str, generated: str, metrics: Sequence[str] = CORE4) -> DataFrame:
+    """SNK-5: ``report_long`` as the numbered lines of the report (``line_no, value``); no data, no lines.
+
+    Title, time and source, overview, a line per model and per judge in name order, best model, most
+    lenient and strict judge, strengths and weaknesses in metric order. ``columns``: of the analysed
+    table; ``generated``: the report's time as text (never taken inside a plan).
+    """
+    from .joins import numbered
+
+    cell = lambda c: F.when(F.col(c).isNull(), "NaN").otherwise(F.format_string("%.3f", c))
+    n = F.format_string("%d", F.col("value").cast("long"))
+    total = report.where("metric = 'total_records'")
+    judged = {"target_model", "evaluator"} <= set(columns)
+    fixed = [
+        (0, F.lit("LLM EVALUATION ANALYSIS REPORT")), (1, F.lit("=" * 50)), (2, F.lit(f"Generated: {generated}")), (3, F.lit(f"Data source: {source}")),
+        (4, F.concat(F.lit("Total records: "), n)), (5, F.lit("")),
+        (10, F.lit("DATASET OVERVIEW")), (11, F.lit("-" * 20)), (12, F.concat(F.lit("Shape: ("), n, F.lit(f", {len(columns)})"))),
+        (13, F.lit(f"Columns: {list(columns)}")), (14, F.lit("")),
+        (70, F.lit("KEY INSIGHTS")), (71, F.lit("-" * 15)), (92, F.lit("")), (93, F.lit("=" * 50)), (94, F.lit("Report generation completed.")),
+    ]
+    sections = []
+    if judged:
+        sections = [
+            ("model_performance", 20, "MODEL PERFORMANCE SUMMARY", 30, "target_model", True),
+            ("evaluator_analysis", 50, "EVALUATOR ANALYSIS", 20, "evaluator", False),
+        ]
+        fixed += [(72, F.lit("Model Strengths:")), (80, F.lit("")), (81, F.lit("Model Weaknesses:"))]
+    parts = []
+    for section, at, title, dashes, key, counted in sections:
+        names = [f"{m}_{s}" for m in metrics for s in (("mean", "std", "count") if counted and m == "helpfulness" else ("mean", "std"))]
+        fixed += [(at, F.lit(title)), (at + 1, F.lit("-" * dashes)), (at + 2, F.lit(" ".join([key, *names]))), (at + 4, F.lit("")), (at + 9, F.lit(""))]
+        rows = report.where((F.col("section") == section) & F.col("label").isNull())
+        by_item = rows.groupBy("item").agg(*[F.max(F.when(F.col("metric") == x, F.col("value"))).alias(x) for x in names])
+        cells = [F.format_string("%d", F.col(x).cast("long")) if x.endswith("_count") else cell(x) for x in names]
+        parts.append(by_item.select(F.lit(at + 3).alias("at"), F.col("item").alias("item"), F.concat_ws(" ", "item", *cells).alias("value")))
+    picks = [
+        ("best_model", 25, F.concat(F.lit("Best performing model (overall): "), "label")), ("best_model", 26, F.concat(F.lit("Average score: "), cell("value"))),
+        ("most_lenient", 55, F.concat(F.lit("Most lenient evaluator: "), "label")), ("most_strict", 56, F.concat(F.lit("Most strict evaluator: "), "label")),
+    ]
+    for item, at, text in picks:
+        parts.append(report.where((F.col("item") == item) & F.col("label").isNotNull()).select(F.lit(at).alias("at"), F.lit("").alias("item"), text.alias("value")))
+    place = {m.capitalize(): f"{i:03d}" for i, m in enumerate(metrics)}
+    order = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
+    for item, at in (("strength", 73), ("weakness", 82)):
+        text = F.concat(F.lit("  "), "metric", F.lit(": "), "label", F.lit(" ("), cell("value"), F.lit(")"))
+        parts.append(report.where(F.col("item") == item).select(F.lit(at).alias("at"), order[F.col("metric")].alias("item"), text.alias("value")))
+    lines = total.select(F.inline(F.array(*[F.struct(F.lit(at).alias("at"), F.lit("").alias("item"), text.alias("value")) for at, text in fixed])))
+    for part in parts:
+        lines = lines.unionByName(part)
+    return numbered(lines, ["at", "item"], "line_no").select("line_no", "value")
 
 
 def evaluation_view(evals: DataFrame, enabled: bool = True) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Join helpers: size-checked broadcast."""
+"""Join helpers: size-checked broadcast, numbering."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +28,25 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def running_offsets(sizes: DataFrame, keys: Sequence[str], size: str = "n", name: str = "first") -> DataFrame:
+    """``keys, first``: how many rows come before each part, parts in the order of ``keys`` (one short row per part)."""
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*keys, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(name))
+
+
+def numbered(df: DataFrame, by: Sequence, name: str) -> DataFrame:
+    """Rows in the order of ``by`` with a number from 1 in ``name``.
+
+    A range sort is written once with each row's partition and place; only the counts per partition
+    are added up, so no task sees all rows.
+    """
+    from ..session import materialize
+
+    at = F.monotonically_increasing_id()
+    place = [F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")]
+    kept = materialize(df.orderBy(*by).select("*", *place), "numbered")
+    offsets = running_offsets(kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")), ["_part"], name="_first")
+    out = kept.join(bounded_broadcast(offsets, 1_000_000), "_part")
+    return out.select(*df.columns, (F.col("_first") + F.col("_pos") + 1).alias(name))

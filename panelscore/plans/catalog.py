@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import DEFAULT_PANEL, METRICS
 from ..functions import text as txt
@@ -536,30 +536,48 @@ def q_stream_running(spark, sf):
     return res.select("target_model", "n", *[F.bround(f"{m}_mean", 3).alias(f"{m}_mean") for m in ("helpfulness", "correctness", "coherence", "clarity")])
 
 
-@register("stream_hourly")
-def q_stream_hourly(spark, sf):
-    """STM-2: hourly mean helpfulness per (target, evaluator) with a watermark (update mode)."""
+def late_rows(facts: DataFrame):
+    """Condition of the rows that arrive after all others: one order in ten of the first quarter of the time span."""
+    span = facts.agg(F.min("eval_ts").cast("timestamp").alias("a"), F.max("eval_ts").cast("timestamp").alias("b"))
+    span = span.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).first()
+    if span["a"] is None:
+        return F.lit(False)
+    cut = span["a"] + (span["b"] - span["a"]) // 4
+    return (F.col("prompt_id") % 10 == 3) & (F.col("eval_ts").cast("timestamp").cast("long") < cut)
+
+
+def hourly_stream(spark, sf):
+    """STM-2 run arrival by arrival: (result, entries dropped as late)."""
     cols = ["eval_ts", "target_model", "evaluator", "helpfulness"]
-    facts = _facts(spark, sf).select(*cols)
+    facts = _facts(spark, sf)
     src, out, ck = scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ck")
-    agg = None
+    agg, dropped = None, 0
     # data arrives in event-time order, one time range at a time, from one write of the whole
     # table cut by range; each arrival is processed by an availableNow run that resumes from the
-    # checkpoint, so the watermark advances between arrivals and expired window state is dropped
+    # checkpoint, so the watermark advances between arrivals and closed windows are put out. The
+    # last arrival holds rows of windows that were closed long before
     number, n = _arrival(facts, "eval_ts", ARRIVALS)
     staged = scratch_path(spark, "stream_staged")
-    facts.withColumn("arrival", number).write.partitionBy("arrival").parquet(staged)
-    ranges = spark.read.parquet(staged)
-    for i in range(n):
+    facts.withColumn("arrival", F.when(late_rows(facts), n).otherwise(number)).select(*cols, "arrival").write.partitionBy("arrival").parquet(staged)
+    schema = StructType([facts.schema[c] for c in cols])
+    ranges = spark.read.schema(StructType([*schema.fields, StructField("arrival", IntegerType())])).parquet(staged)
+    for i in range(n + 1):
         ranges.where(F.col("arrival") == i).select(*cols).write.parquet(f"{src}/arrival={i:03d}")
         if agg is None:  # the source folder exists once the first arrival is written
-            stream = (spark.readStream.schema(StructType(facts.schema.fields)).option("recursiveFileLookup", "true")
-                      .parquet(src)).select(*cols)
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src).select(*cols)
             agg = monitor.windowed_cross_means(stream, delay="1 day")
-        _await(monitor.to_parquet_batches(agg, out, ck, "update"))
-    res = monitor.read_latest(spark, out, ["window_start", "target_model", "evaluator"])
+        query = monitor.to_parquet_batches(agg, out, ck, "append")
+        _await(query)
+        dropped += monitor.dropped_late(query)
+    return monitor.read_appended(spark, out), dropped
+
+
+@register("stream_hourly")
+def q_stream_hourly(spark, sf):
+    """STM-2: hourly mean helpfulness per (target, evaluator) with a watermark: closed windows once (append mode), late rows dropped."""
+    res, _ = hourly_stream(spark, sf)
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "target_model",
-                      "evaluator", "n", F.bround("helpfulness_mean", 3).alias("helpfulness_mean"))
+                      "evaluator", "n", F.bround("helpfulness_mean", 6).alias("helpfulness_mean"))
 
 
 @register("stream_dedup")
@@ -683,8 +701,101 @@ def q_batch_output_roundtrip(spark, sf):
 
 @register("bundle_roundtrip")
 def q_bundle_roundtrip(spark, sf):
-    """SNK-4 + AGG-6: the chart tables of one run written as a bundle; the heat-map table read back."""
+    """SNK-4 + AGG-6: evaluation and the three chart tables of one run published at once, rows of all four read back."""
     facts = _facts(spark, sf)
     base = scratch_path(spark, "bundle")
-    written = sinks.write_bundle({"heatmap": charts.heatmap(facts), "bar": charts.bar_long(facts)}, base, RUN_A)
-    return spark.read.parquet(written["heatmap"]).where(F.col("run_id") == RUN_A)
+    tables = {
+        "evaluation": facts.select("target_model", "evaluator", *METRICS),
+        "heatmap": charts.heatmap(facts), "radar": charts.radar(facts), "bar": charts.bar_long(facts),
+    }
+    sinks.write_bundle(tables, base, RUN_A)
+    # a run that broke off before it was published is not read
+    sinks.stage_bundle({"evaluation": tables["evaluation"].limit(0)}, base, RUN_B)
+    back = {name: sinks.read_bundle(spark, base, name) for name in tables}
+    names = ["metric", "value"]
+    long = {
+        "evaluation": back["evaluation"].unpivot(["run_id", "target_model", "evaluator"], list(METRICS), *names),
+        "heatmap": back["heatmap"].unpivot(["run_id", "target_model"], list(METRICS), *names),
+        "radar": back["radar"].withColumnsRenamed({"theta": "metric", "r": "value"}),
+        "bar": back["bar"].withColumnsRenamed({"variable": "metric"}),
+    }
+    out = None
+    for name, t in long.items():
+        evaluator = F.col("evaluator") if "evaluator" in t.columns else F.lit(None).cast("string")
+        t = t.select(F.lit(name).alias("table_name"), "run_id", "target_model", evaluator.alias("evaluator"), "metric", "value")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("report_text")
+def q_report_text(spark, sf):
+    """SNK-5: the report's numbered lines: title, time, source, overview, models, judges, insights."""
+    facts = _facts(spark, sf).select("target_model", "evaluator", *METRICS)
+    return analysis.report_text(analysis.report_long(facts), facts.columns, "eval_facts", "2024-01-03 00:00:00")
+
+
+@register("sorted_stats")
+def q_sorted_stats(spark, sf):
+    """SRT-1: the statistics per (target, evaluator) in key order, with each row's place."""
+    from ..operators.joins import numbered
+
+    return numbered(analysis.cross_eval(_facts(spark, sf)), [F.asc_nulls_last(k) for k in ("target_model", "evaluator")], "place")
+
+
+@register("resume_files")
+def q_resume_files(spark, sf):
+    """SRC-5 + STR-14: résumés written as text files (and jobs as other files), listed by kind, texts read back."""
+    base = scratch_path(spark, "resumes")
+    key = F.format_string("%012d", F.col("resume_id"))
+    fx.resumes(spark, sf).select(key.alias("id"), F.col("resume").alias("value")).write.partitionBy("id").text(f"{base}/resumes")
+    # files of another kind next to them: listed, never read
+    fx.jobs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n")).write.partitionBy("source").csv(f"{base}/jobs")
+    files = file_src.read_resumes(spark, base)
+    return files.select(
+        F.regexp_extract("path", r"/id=0*(\d+)/", 1).alias("resume_id"),
+        F.regexp_extract("path", r"/source=([^/]*)/", 1).alias("source"),
+        file_src.input_kind(F.col("path")).alias("kind"), "suffix", "unsupported", "resume",
+    )
+
+
+@register("ats_score_prompts")
+def q_ats_score_prompts(spark, sf):
+    """STR-3: the scoring request for each job's application; the answer scored is the job text itself."""
+    x = fx.applications(spark, sf).join(fx.jobs(spark, sf).select("job_id", "jd"), "job_id").join(fx.resumes(spark, sf).select("resume_id", "resume"), "resume_id")
+    return x.select("job_id", "resume_id", txt.ats_score_prompt(F.col("jd"), F.col("resume"), F.col("jd")).alias("request"))
+
+
+@register("error_texts")
+def q_error_texts(spark, sf):
+    """STR-16: the text that a failed call leaves, per response and role."""
+    r = fx.responses(spark, sf).select("prompt_id", "model", F.explode(F.array(F.lit("answer"), F.lit("reasoning"), F.lit("judge"))).alias("role"), "prompt")
+    return r.select("prompt_id", "model", "role", txt.error_text(F.col("role"), F.col("model"), F.concat(F.lit("timeout: "), F.substring("prompt", 1, 20))).alias("text"))
+
+
+@register("display_tabs")
+def q_display_tabs(spark, sf):
+    """SRT-3: what a batch shows: the first model's search text, the last prompt's responses (batches by prompt)."""
+    found = search_ops.search_context(fx.realtime_raw(spark, sf), fx.search_hits(spark, sf)).select("prompt_id", "search_results")
+    r = fx.responses(spark, sf).join(found, "prompt_id", "left").select(
+        (F.col("prompt_id") % 7).cast("string").alias("run_id"), "prompt_id", "model", "model_idx", "response",
+        txt.response_card(F.col("response"), F.col("reasoning")).alias("card"), "search_results", F.lit(False).alias("is_ats"),
+    )
+    return resp_ops.display_view(r, DEFAULT_PANEL)
+
+
+@register("empty_input")
+def q_empty_input(spark, sf):
+    """FLT-9: every analysis of a table without rows gives no rows (and no error)."""
+    none = _facts(spark, sf).where(F.col("prompt_id") < 0)
+    found = {
+        "best_model": analysis.best_model(none), "lenient_strict": analysis.lenient_strict(none), "report_long": analysis.report_long(none),
+        "model_stats": analysis.model_stats(none), "box_by_model": charts.box_stats(none, "target_model"), "metric_corr": charts.correlation_long(none),
+        "strengths": analysis.metric_extremes(none, best=True), "heatmap": charts.heatmap(none), "cross_pivot": charts.cross_pivot(none),
+        "report_text": analysis.report_text(analysis.report_long(none), none.columns, "none", "never"),
+        "missing_file": file_src.read_eval_csv(spark, scratch_path(spark, "nothing") + "/*.csv"),
+    }
+    out = None
+    for name, t in found.items():
+        part = t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("operator"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out

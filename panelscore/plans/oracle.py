@@ -491,7 +491,7 @@ from qt join dt on dt.token = qt.token join st on st.token = qt.token group by q
 
 # --------------------------------------------------------------------------- prompt construction
 
-from ..config import ATS_TASK_TEMPLATE, JUDGE_TEMPLATE, REASONING_TEMPLATE, SEARCH_MARKER  # noqa: E402
+from ..config import ATS_SCORE_TEMPLATE, ATS_TASK_TEMPLATE, JUDGE_TEMPLATE, REASONING_TEMPLATE, SEARCH_MARKER  # noqa: E402
 
 ORACLE["prompt_build"] = with_fixtures(["search_hits", "realtime_raw"], f"""
 select p.prompt_id, false as is_ats,
@@ -563,11 +563,16 @@ select target_model, count(*) as n,
 from eval_facts where target_model is not null group by target_model
 """)
 
+# rows of one order in ten of the first quarter of the time span arrive last and are dropped; a window is
+# put out once the latest time less a day has passed its end
 ORACLE["stream_hourly"] = with_fixtures(["eval_facts"], """
 select strftime(date_trunc('hour', eval_ts), '%Y-%m-%d %H:%M:%S') as window_start, target_model, evaluator, count(*) as n,
-  round_even(avg(helpfulness), 3) as helpfulness_mean
-from eval_facts where target_model is not null group by all
-""")
+  round_even(avg(helpfulness), 6) as helpfulness_mean
+from eval_facts, span
+where target_model is not null and not (prompt_id % 10 = 3 and epoch(eval_ts) < first_s + floor((last_s - first_s) / 4))
+  and epoch(date_trunc('hour', eval_ts)) + 3600 <= last_s - 86400
+group by all
+""", [("span", "select epoch(min(eval_ts)) as first_s, epoch(max(eval_ts)) as last_s from eval_facts")])
 
 ORACLE["stream_dedup"] = with_fixtures(["judgments_raw"], f"""
 select '20240101_000000' as run_id, prompt_id, target_model, evaluator, {", ".join(_M)}
@@ -650,6 +655,89 @@ select (select count(*) from prompts) as n_prompts,
 
 ORACLE["batch_output_roundtrip"] = ORACLE["ats_batch"]
 
-ORACLE["bundle_roundtrip"] = with_fixtures(["eval_facts"], f"""
-select m.*, '20240101_000000' as run_id from ({_MEANS}) m
+ORACLE["bundle_roundtrip"] = with_fixtures(["eval_facts"], "\nunion all\n".join(
+    f"select 'evaluation' as table_name, '20240101_000000' as run_id, target_model, evaluator, '{m}' as metric, {m} as value from eval_facts" for m in _M
+) + "\nunion all\n" + "\nunion all\n".join(
+    f"select '{t}', '20240101_000000', target_model, cast(null as varchar), '{m}', {m} from means" for t in ("heatmap", "radar", "bar") for m in _M
+), [("means", _MEANS)])
+
+
+def _report_text_sql() -> str:
+    num = lambda x: f"coalesce(format('{{:.3f}}', cast({x} as double)), 'NaN')"
+    columns = ", ".join(f"''{c}''" for c in ["target_model", "evaluator", *_M])
+    total = "(select cast(count(*) as varchar) from eval_facts)"
+    lines = [
+        (0, "'LLM EVALUATION ANALYSIS REPORT'"), (1, f"'{'=' * 50}'"), (2, "'Generated: 2024-01-03 00:00:00'"), (3, "'Data source: eval_facts'"),
+        (4, f"concat('Total records: ', {total})"), (5, "''"), (10, "'DATASET OVERVIEW'"), (11, f"'{'-' * 20}'"),
+        (12, f"concat('Shape: (', {total}, ', {len(_M) + 2})')"), (13, f"'Columns: [{columns}]'"), (14, "''"),
+        (20, "'MODEL PERFORMANCE SUMMARY'"), (21, f"'{'-' * 30}'"),
+        (22, "'target_model helpfulness_mean helpfulness_std helpfulness_count correctness_mean correctness_std coherence_mean coherence_std clarity_mean clarity_std'"),
+        (24, "''"), (25, "concat('Best performing model (overall): ', (select best_model from best))"),
+        (26, f"concat('Average score: ', (select {num('score')} from best))"), (29, "''"),
+        (50, "'EVALUATOR ANALYSIS'"), (51, f"'{'-' * 20}'"),
+        (52, "'evaluator helpfulness_mean helpfulness_std correctness_mean correctness_std coherence_mean coherence_std clarity_mean clarity_std'"),
+        (54, "''"), (55, "concat('Most lenient evaluator: ', (select most_lenient from ls))"),
+        (56, "concat('Most strict evaluator: ', (select most_strict from ls))"), (59, "''"),
+        (70, "'KEY INSIGHTS'"), (71, f"'{'-' * 15}'"), (72, "'Model Strengths:'"), (80, "''"), (81, "'Model Weaknesses:'"), (92, "''"),
+        (93, f"'{'=' * 50}'"), (94, "'Report generation completed.'"),
+    ]
+    parts = [f"select {at} as pos, '' as item, {text} as value" for at, text in lines]
+    for at, key, counted in ((23, "target_model", True), (53, "evaluator", False)):
+        cells = []
+        for m in _C4:
+            cells += [num(f"round_even(avg({m}), 3)"), num(f"round_even(stddev_samp({m}), 3)")]
+            if counted and m == "helpfulness":
+                cells.append(f"cast(count({m}) as varchar)")
+        parts.append(f"select {at}, {key}, concat_ws(' ', {key}, {', '.join(cells)}) from eval_facts where {key} is not null group by {key}")
+    for at, table in ((73, "strong"), (82, "weak")):
+        order = " ".join(f"when '{m.capitalize()}' then '{i}'" for i, m in enumerate(_C4))
+        parts.append(f"select {at}, case metric {order} end, concat('  ', metric, ': ', target_model, ' (', {num('score')}, ')') from {table}")
+    union = "\nunion all\n".join(parts)
+    return f"select row_number() over (order by pos, item) as line_no, value from (\n{union}\n) x"
+
+
+ORACLE["report_text"] = with_fixtures(["eval_facts"], _report_text_sql(), [
+    ("best", _body(ORACLE["best_model"])),
+    ("o", f"select * from ({_overall('evaluator')}) x where overall is not null"),
+    ("ls", _body(ORACLE["lenient_strict"])),
+    ("strong", _body(ORACLE["strengths"])),
+    ("weak", _body(ORACLE["weaknesses"])),
+])
+
+ORACLE["sorted_stats"] = with_fixtures(["eval_facts"], f"""
+select *, row_number() over (order by target_model, evaluator) as place from ({_body(ORACLE["cross_eval"])}) x
 """)
+
+ORACLE["resume_files"] = with_fixtures(["resumes", "jobs"], """
+select cast(resume_id as varchar) as resume_id, '' as source, 'resume' as kind, '.txt' as suffix, false as unsupported, concat(coalesce(resume, ''), chr(10)) as resume from resumes
+union all
+select '', source, 'batch', '.csv', false, '' from (select distinct source from jobs) s
+""")
+
+ORACLE["ats_score_prompts"] = with_fixtures(["applications"], f"""
+select a.job_id, a.resume_id,
+  {_sql_fill(ATS_SCORE_TEMPLATE, resume="coalesce(r.resume, 'None')", jd="coalesce(j.jd, 'None')", response="coalesce(j.jd, 'None')")} as request
+from applications a join jobs j on j.job_id = a.job_id join resumes r on r.resume_id = a.resume_id
+""")
+
+ORACLE["error_texts"] = with_fixtures(["responses"], """
+select prompt_id, model, role, case role when 'answer' then concat('[', model, ' Error] timeout: ', substr(prompt, 1, 20))
+  when 'reasoning' then concat('[Reasoning Error] timeout: ', substr(prompt, 1, 20)) end as text
+from responses, (values ('answer'), ('reasoning'), ('judge')) roles(role)
+""")
+
+ORACLE["display_tabs"] = with_fixtures(["responses", "search_hits", "realtime_raw"], f"""
+select cast(prompt_id % 7 as varchar) as run_id,
+  max(case when model = 'model_a' then {_CARD} end) as model_a,
+  max(case when model = 'model_b' then {_CARD} end) as model_b,
+  max(case when model = 'model_c' then {_CARD} end) as model_c,
+  coalesce(nullif(max(search_results), ''), 'N/A') as search_tab, false as is_ats
+from responses left join ctx using (prompt_id)
+where prompt_id in (select max(prompt_id) from responses group by prompt_id % 7)
+group by prompt_id
+""", [("ctx", f"select prompt_id, search_results from ({_SEARCH_CTX}) c")])
+
+_EMPTY = ["best_model", "lenient_strict", "report_long", "model_stats", "box_by_model", "metric_corr", "strengths", "heatmap", "cross_pivot", "report_text", "missing_file"]
+ORACLE["empty_input"] = with_fixtures(["eval_facts"], "\nunion all\n".join(
+    f"select '{x}' as operator, count(*) as n from eval_facts where prompt_id < 0" for x in _EMPTY
+))

@@ -192,20 +192,20 @@ def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """SRT-2: 1-based numbering in file order without a single-partition window.
+    """SRT-2: 1-based numbering in file order; the rows are neither shuffled nor sorted.
 
-    Rows are numbered inside each file split, split sizes are turned into
-    offsets on the (small) split table, and the offsets are joined back.
+    A first pass counts the rows of each file split (and notes where the split starts in its scan
+    partition); the counts are added up over the splits in file order, and a second pass over the
+    same scan adds each split's offset to the places inside it.
     """
     split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
     t = df.select("*", *split, F.monotonically_increasing_id().alias("_mid"))
-    w = Window.partitionBy("_file", "_block").orderBy("_mid")
-    t = t.withColumn("_pos", F.row_number().over(w))
-    sizes = t.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    ow = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(ow), F.lit(0)).alias("_off"))
-    j = t.join(bounded_broadcast(offsets, 1_000_000), ["_file", "_block"])
-    return j.withColumn(name, F.col("_off") + F.col("_pos")).drop("_file", "_block", "_mid", "_pos", "_off")
+    sizes = t.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_mid").alias("_start"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # one short row per split
+    offsets = sizes.select("_file", "_block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("_start") + 1).alias("_add"))
+    j = t.join(bounded_broadcast(materialize(offsets, "splits"), 1_000_000), ["_file", "_block"])
+    return j.withColumn(name, F.col("_mid") + F.col("_add")).drop("_file", "_block", "_mid", "_add")
 
 
 def read_prompts_text(spark: SparkSession, path: str) -> DataFrame:
@@ -216,16 +216,15 @@ def read_prompts_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5 + STR-14: résumé files; .txt decoded as UTF-8, .pdf/.docx unsupported, others empty."""
-    files = spark.read.format("binaryFile").load(path)
+    """SRC-5 + STR-14: résumé files; .txt decoded as UTF-8, .pdf/.docx unsupported, others empty.
+
+    Bytes are read of .txt files only; of all others the listing is enough.
+    """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    text = F.when(suffix == ".txt", F.decode("content", "UTF-8")).otherwise(F.lit(""))
-    return files.select(
-        "path",
-        suffix.alias("suffix"),
-        text.alias("resume"),
-        suffix.isin(".pdf", ".docx").alias("unsupported"),
-    )
+    listed = {"format": "binaryFile", "recursiveFileLookup": "true"}
+    texts = spark.read.load(path, pathGlobFilter="*.[tT][xX][tT]", **listed).select("path", F.decode("content", "UTF-8").alias("resume"))
+    others = spark.read.load(path, **listed).select("path").where(suffix != ".txt").select("path", F.lit("").alias("resume"))
+    return texts.unionByName(others).select("path", suffix.alias("suffix"), "resume", suffix.isin(".pdf", ".docx").alias("unsupported"))
 
 
 def input_kind(name_col) -> F.Column:

@@ -7,10 +7,14 @@ results (no file, ``None``), as the protocol does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import BATCH_COLUMNS, COMPREHENSIVE_COLUMNS, CSV_OPTIONS
+from .files import BATCH_COLUMNS, COMPREHENSIVE_COLUMNS, CSV_OPTIONS, path_exists
 
 WRITE_CSV_OPTIONS = {
     "header": "true",
@@ -56,18 +60,56 @@ def write_batch_prompts(prompts_with_summary: DataFrame, out_dir: str, mode: str
     return _csv(df, f"{out_dir.rstrip('/')}/batch_prompts_output.csv", mode)
 
 
-def write_bundle(tables: dict[str, DataFrame], out_dir: str, run_id: str) -> dict[str, str]:
-    """SNK-4: every table of one run as parquet under ``<out>/<name>/run_id=<id>``.
+def stage_bundle(tables: dict[str, DataFrame], out_dir: str, run_id: str) -> dict[str, str]:
+    """SNK-4, first step: every table of a run written to a folder of its own; no reader sees it yet."""
+    base = f"{out_dir.rstrip('/')}/data/{run_id}-{uuid.uuid4().hex[:12]}"
+    staged = {}
+    for name, df in tables.items():
+        staged[name] = f"{base}/{name}"
+        df.withColumn("run_id", F.lit(run_id)).write.parquet(staged[name])
+    return staged
 
-    Dynamic partition overwrite replaces exactly this run's partition, so writing
-    the same run again (a retried or repeated job) never duplicates rows.
+
+def publish_bundle(spark: SparkSession, staged: dict[str, str], out_dir: str, run_id: str) -> str:
+    """SNK-4, last step: the run's manifest appears under its name at once, naming all tables.
+
+    The manifest is written aside and renamed; a later manifest of the same run replaces it.
     """
-    written = {}
-    for name, df in tables.items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        write_run_partition(df.withColumn("run_id", F.lit(run_id)), path)
-        written[name] = path
-    return written
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = f"{out_dir.rstrip('/')}/manifest"
+    number = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    aside, path = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}{number}.json") for prefix in ("_", ""))
+    fs = path.getFileSystem(conf)
+    out = fs.create(aside, False)
+    try:
+        for name, place in staged.items():
+            out.write(bytearray((json.dumps({"run_id": run_id, "number": number, "name": name, "path": place}) + "\n").encode()))
+    finally:
+        out.close()
+    if not fs.rename(aside, path):
+        raise OSError(f"could not publish {path.toString()}")
+    return path.toString()
+
+
+def write_bundle(tables: dict[str, DataFrame], out_dir: str, run_id: str) -> dict[str, str]:
+    """SNK-4: all tables of a run, visible together or not at all; the same run again replaces it."""
+    spark = next(iter(tables.values())).sparkSession
+    staged = stage_bundle(tables, out_dir, run_id)
+    publish_bundle(spark, staged, out_dir, run_id)
+    return staged
+
+
+def read_bundle(spark: SparkSession, out_dir: str, name: str, run_id: str | None = None) -> DataFrame | None:
+    """A table of all published runs (or of one), each from its newest manifest; None if no run has it."""
+    pattern = f"{out_dir.rstrip('/')}/manifest/*.json"
+    if not path_exists(spark, pattern):
+        return None
+    runs = spark.read.schema("run_id string, number string, name string, path string").json(pattern)
+    runs = runs if run_id is None else runs.where(F.col("run_id") == run_id)
+    newest = runs.groupBy("run_id").agg(F.max("number").alias("number"))
+    # one path per run
+    paths = [r["path"] for r in runs.join(newest, ["run_id", "number"]).where(F.col("name") == name).select("path").collect()]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def write_run_partition(df: DataFrame, path: str) -> str:
@@ -77,8 +119,8 @@ def write_run_partition(df: DataFrame, path: str) -> str:
 
 
 def write_report_text(lines: DataFrame, path: str) -> str:
-    """SNK-5: the formatted report as one text file."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """SNK-5: the numbered lines of a report as one text file, in order."""
+    lines.repartition(1).sortWithinPartitions("line_no").select("value").write.mode("overwrite").text(path)
     return path
 
 
@@ -89,7 +131,10 @@ __all__ = [
     "write_comprehensive",
     "write_batch_evaluation",
     "write_batch_prompts",
+    "stage_bundle",
+    "publish_bundle",
     "write_bundle",
+    "read_bundle",
     "write_run_partition",
     "write_report_text",
 ]

@@ -81,6 +81,16 @@ def to_parquet_batches(result: DataFrame, out_path: str, checkpoint: str, mode:
         return w.start()
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Entries that the state operators of a finished query dropped as later than the watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def read_appended(spark: SparkSession, out_path: str) -> DataFrame:
+    """Append-mode result: every batch holds rows that never change again."""
+    return spark.read.parquet(out_path).drop("batch_id")
+
+
 def read_latest(spark: SparkSession, out_path: str, keys: Sequence[str]) -> DataFrame:
     """Current value per key: the row from the newest batch that emitted the key."""
     df = spark.read.parquet(out_path)

@@ -3,7 +3,7 @@
 import os
 
 from panelscore import cli
-from panelscore.sources import files
+from panelscore.sources import files, sinks
 
 
 def test_evaluate_then_analyze(spark, tmp_path):
@@ -21,7 +21,8 @@ def test_evaluate_then_analyze(spark, tmp_path):
     stats = spark.read.options(header="true").csv(written["model_stats"]).collect()
     assert [r["target_model"] for r in stats] == ["m1", "m2", "m3"]
     report = [r[0] for r in spark.read.text(written["report"]).collect()]
-    assert any(line.startswith("OVERVIEW dataset: total_records 18") for line in report)
+    assert report[0] == "LLM EVALUATION ANALYSIS REPORT" and report[4] == "Total records: 18"
+    assert report[3].startswith("Data source: ") and "comprehensive_eval_" in report[3]
 
 
 def test_full_run_searches_and_explains(spark, tmp_path):
@@ -34,13 +35,13 @@ def test_full_run_searches_and_explains(spark, tmp_path):
     out = cli.run_full(spark, str(prompts), results, ["m1", "m2", "m3"], run_ts="20240103_000000",
                        client="echo_client:echo_client_factory", hits_path=str(hits), concurrency=2)
     assert out == f"{results}/batch_20240103_000000/evaluation.csv"
-    rows = spark.read.parquet(f"{results}/bundle/evaluation").collect()
+    rows = sinks.read_bundle(spark, f"{results}/bundle", "evaluation").collect()
     assert len(rows) == 2 * 3 * 2
     for r in rows:
         assert r["explainability"] == f"because {r['target_model']}"
         assert ("**T**\nS\n L" in r["response"]) == (r["prompt"] == "even") and "X" not in r["response"]
     for name in ("heatmap", "radar", "bar"):
-        assert spark.read.parquet(f"{results}/bundle/{name}").count() > 0
+        assert sinks.read_bundle(spark, f"{results}/bundle", name).count() > 0
 
 
 def test_analyze_simple_layout(spark, tmp_path):

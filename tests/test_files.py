@@ -3,6 +3,7 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelscore.config import METRICS
@@ -103,9 +104,9 @@ def test_batch_output_bundle_and_report(spark, tmp_path):
     written = sinks.write_bundle({"evaluation": t, "heatmap": t}, str(tmp_path / "bundle"), "20240101_000000")
     got = spark.read.parquet(written["heatmap"]).collect()
     assert got[0]["run_id"] == "20240101_000000"
-    lines = spark.createDataFrame([("line a",), ("line b",)], "value string")
+    lines = spark.createDataFrame([(2, "line a"), (1, "line b")], "line_no long, value string")
     rp = sinks.write_report_text(lines, str(tmp_path / "report"))
-    assert sorted(r[0] for r in spark.read.text(rp).collect()) == ["line a", "line b"]
+    assert [r[0] for r in spark.read.text(rp).collect()] == ["line b", "line a"]
 
 
 def test_bundle_rewrite_is_idempotent(spark, tmp_path):
@@ -114,9 +115,28 @@ def test_bundle_rewrite_is_idempotent(spark, tmp_path):
     sinks.write_bundle({"heatmap": t}, out, "r1")
     sinks.write_bundle({"heatmap": t}, out, "r2")
     sinks.write_bundle({"heatmap": t}, out, "r1")  # same run again: replaced, not appended
-    back = spark.read.parquet(out + "/heatmap")
+    back = sinks.read_bundle(spark, out, "heatmap")
     assert back.count() == 4
     assert {r["run_id"] for r in back.collect()} == {"r1", "r2"}
+    assert sinks.read_bundle(spark, out, "heatmap", "r2").count() == 2
+
+
+def test_bundle_appears_as_a_whole(spark, tmp_path):
+    """A run that was written but not published, or whose writing broke off, is not read."""
+    t = spark.createDataFrame([("m1", 0.5)], "target_model string, helpfulness double")
+    out = str(tmp_path / "bundle")
+    assert sinks.read_bundle(spark, out, "heatmap") is None
+    staged = sinks.stage_bundle({"heatmap": t, "bar": t}, out, "r1")
+    assert sinks.read_bundle(spark, out, "heatmap") is None
+    broken = t.select(F.raise_error(F.lit("lost")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_bundle({"heatmap": t, "bar": broken}, out, "r2")
+    assert sinks.read_bundle(spark, out, "heatmap") is None
+    sinks.publish_bundle(spark, staged, out, "r1")
+    assert sinks.read_bundle(spark, out, "heatmap").count() == sinks.read_bundle(spark, out, "bar").count() == 1
+    # the same run again replaces all its tables at once
+    sinks.write_bundle({"heatmap": t.union(t)}, out, "r1")
+    assert sinks.read_bundle(spark, out, "heatmap").count() == 2 and sinks.read_bundle(spark, out, "bar") is None
 
 
 def test_line_numbers_continue_across_files(spark, tmp_path):
@@ -195,3 +215,31 @@ def test_prompt_files_of_unlike_headers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("topic,prompt\ny,world\n")
     got = {tuple(r) for r in files.read_prompts_csv(spark, str(tmp_path)).select("prompt", "topic").collect()}
     assert got == {("hello", "x"), ("world", "y")}
+
+
+def test_numbering_neither_shuffles_nor_sorts_lines(spark, tmp_path):
+    from panelscore.session import conf_override
+
+    d = tmp_path / "lines"
+    d.mkdir()
+    expected = []
+    for k in range(4):
+        lines = [f"f{k} line {i} " + "x" * (i % 50) for i in range(3000 + k)]
+        (d / f"{k}.txt").write_text("\n".join(lines) + "\n")
+        expected += lines
+    with conf_override(spark, {"spark.sql.files.maxPartitionBytes": "40000", "spark.sql.files.openCostInBytes": "10"}):
+        df = files.number_rows(spark.read.text(str(d)), "line_no")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {r["line_no"]: r["value"] for r in df.collect()}
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Window" not in plan
+    assert [got[i + 1] for i in range(len(expected))] == expected
+
+
+def test_resume_kinds_and_bytes(spark, tmp_path):
+    for name, data in {"a.txt": "é one".encode(), "b.TXT": b"two", "c.pdf": b"%PDF", "d.Docx": b"PK", "e.md": b"# x", "f": b"y"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {os.path.basename(r["path"]): (r["resume"], r["suffix"], r["unsupported"]) for r in files.read_resumes(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a.txt": ("é one", ".txt", False), "b.TXT": ("two", ".txt", False), "c.pdf": ("", ".pdf", True),
+        "d.Docx": ("", ".docx", True), "e.md": ("", ".md", False), "f": ("", "", False),
+    }

@@ -235,11 +235,20 @@ def test_report_lines_and_usable_filter(spark, tmp_path):
     from panelscore.sources import sinks
 
     df = _evals(spark, [("a", "x", 0.5, 0.25, 0.5, 0.5), ("b", "y", 0.1, 0.2, 0.3, 0.4)])
-    lines = [r[0] for r in analysis.report_lines(analysis.report_long(df)).collect()]
-    assert "OVERVIEW dataset: total_records 2" in lines
-    assert any(line.startswith("MODEL PERFORMANCE best_model: overall 0.438 (a)") for line in lines)
-    path = sinks.write_report_text(analysis.report_lines(analysis.report_long(df)), str(tmp_path / "report"))
-    assert spark.read.text(path).count() == len(lines)
+    text = analysis.report_text(analysis.report_long(df), df.columns, "evals.csv", "2024-01-01 00:00:00")
+    lines = [r["value"] for r in text.orderBy("line_no").collect()]
+    assert lines[:6] == ["LLM EVALUATION ANALYSIS REPORT", "=" * 50, "Generated: 2024-01-01 00:00:00", "Data source: evals.csv", "Total records: 2", ""]
+    assert lines[6:9] == ["DATASET OVERVIEW", "-" * 20, f"Shape: (2, {len(df.columns)})"] and lines[9] == f"Columns: {df.columns}"
+    assert "a 0.500 NaN 1 0.250 NaN 0.500 NaN 0.500 NaN" in lines and "Best performing model (overall): a" in lines and "Average score: 0.438" in lines
+    at = lines.index("Model Strengths:")
+    assert lines[at + 1 : at + 8] == ["  Helpfulness: a (0.500)", "  Correctness: a (0.250)", "  Coherence: a (0.500)", "  Clarity: a (0.500)", "", "Model Weaknesses:", "  Helpfulness: b (0.100)"]
+    assert lines[-2:] == ["=" * 50, "Report generation completed."]
+    path = sinks.write_report_text(text, str(tmp_path / "report"))
+    files = [f for f in (tmp_path / "report").iterdir() if f.name.startswith("part-")]
+    assert path and len(files) == 1 and files[0].read_text(encoding="utf-8").splitlines() == lines
+    simple = spark.createDataFrame([("m", 0.5)], "model string, helpfulness double")
+    lines = [r["value"] for r in analysis.report_text(analysis.report_long(simple), simple.columns, "s.csv", "now").orderBy("line_no").collect()]
+    assert "Total records: 1" in lines and "KEY INSIGHTS" in lines and "Model Strengths:" not in lines and "MODEL PERFORMANCE SUMMARY" not in lines
     raw = spark.createDataFrame([(1, "m1", "m2", '{"helpfulness": 1}'), (1, "m2", "m1", "nope")],
                                 "prompt_id long, target_model string, evaluator string, raw_text string")
     usable = scoring.usable_judgments(scoring.parsed_judgments(raw))

@@ -73,3 +73,14 @@ def test_running_stats_equal_batch(spark, tmp_path):
     r = monitor.read_last_batch(spark, out).collect()[0]
     assert r["n"] == 4 and abs(r["helpfulness_mean"] - 0.5) < 1e-12
     assert spark.read.parquet(out).select(F.max("batch_id")).collect()[0][0] == 3
+
+
+def test_hourly_query_drops_late_rows(spark):
+    from panelscore.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    late = catalog._facts(spark, sf).where(catalog.late_rows(catalog._facts(spark, sf)))
+    rows, dropped = catalog.hourly_stream(spark, sf)
+    # entries are counted after the partial aggregation of a batch
+    assert 0 < dropped <= late.count()
+    assert rows.count() > 0
