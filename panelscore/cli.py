@@ -57,14 +57,14 @@ def _search_hits(spark, prompts, path: str | None):
 
 def run_full(spark, prompts_path: str | None, out_dir: str, models, selected=None, client=None,
              run_ts: str | None = None, prompt: str | None = None, hits_path: str | None = None,
-             concurrency: int | None = None, threads_per_task: int = 1) -> str | None:
+             concurrency: int | None = None, threads_per_task: int = 1, ledger: str | None = None) -> str | None:
     """Real-time check, search context, answers, explanations and judgments; batch CSV and bundle."""
     from .plans.catalog import run_evaluation
 
     apply_query_conf(spark)
     p = inference.materialize(_prompts(spark, prompts_path, prompt), "prompts")
     rows = run_evaluation(p, models, _factory(client), _search_hits(spark, p, hits_path), selected,
-                          concurrency=concurrency, threads_per_task=threads_per_task)
+                          concurrency=concurrency, threads_per_task=threads_per_task, ledger=ledger)
     rows = inference.materialize(rows, "evaluations")
     run_ts = run_ts or dt.datetime.now().strftime("%Y%m%d_%H%M%S")
     out = sinks.write_batch_evaluation(rows, out_dir, run_ts)
@@ -76,14 +76,14 @@ def run_full(spark, prompts_path: str | None, out_dir: str, models, selected=Non
 
 def run_evaluate(spark, prompts_path: str | None, out_dir: str, models, selected=None, client=None,
                  run_ts: str | None = None, prompt: str | None = None, concurrency: int | None = None,
-                 threads_per_task: int = 1) -> str | None:
+                 threads_per_task: int = 1, ledger: str | None = None) -> str | None:
     from .operators.scoring import summary_from_rows
     from .plans.catalog import evaluate_panel
 
     apply_query_conf(spark)
     p = _prompts(spark, prompts_path, prompt)
     rows = evaluate_panel(p, models, _factory(client), selected, answer_role="answer_logger", drop_failed=True,
-                          concurrency=concurrency, threads_per_task=threads_per_task)
+                          concurrency=concurrency, threads_per_task=threads_per_task, ledger=ledger)
     rows = inference.materialize(rows, "evaluations")  # read by the CSV, the parquet table and the summary
     run_ts = run_ts or dt.datetime.now().strftime("%Y%m%d_%H%M%S")
     out = sinks.write_comprehensive(rows, out_dir, run_ts)
@@ -140,6 +140,7 @@ def main(argv=None) -> int:
         cmd.add_argument("--select", default="")
         cmd.add_argument("--client", required=True, help="module:callable returning a client factory")
         cmd.add_argument("--concurrency", type=int, default=None, help="tasks that call models at a time (default: the cluster's cores)")
+        cmd.add_argument("--ledger", default=None, help="shared folder of finished calls: a rerun pays for none of them again")
         cmd.add_argument("--threads-per-task", type=int, default=1, help="calls that a task overlaps")
     an = sub.add_parser("analyze", help="statistics, chart tables and report of evaluation results")
     an.add_argument("--results", default="results")
@@ -153,7 +154,7 @@ def main(argv=None) -> int:
             ap.error("give a prompt file or --prompt")
         flow, more = (run_full, {"hits_path": args.hits}) if args.cmd == "run" else (run_evaluate, {})
         out = flow(spark, args.prompts, args.out, args.models.split(","), sel or None, args.client,
-                   prompt=args.prompt, concurrency=args.concurrency, threads_per_task=args.threads_per_task, **more)
+                   prompt=args.prompt, concurrency=args.concurrency, threads_per_task=args.threads_per_task, ledger=args.ledger, **more)
         print(out or "no results")
     else:
         for name, path in run_analyze(spark, args.results, args.out, args.file).items():

@@ -8,7 +8,8 @@ place that uses Python per row, through ``mapInPandas`` (Arrow batches):
   decides the output (sentinel text, null, False, fallback JSON);
 * ``concurrency`` sets the number of simultaneous calls by repartitioning to that many tasks;
 * the result must be materialised before it is used twice (``materialize``),
-  so a retried or re-planned stage never pays for a call again.
+  so a re-planned stage never pays for a call again; with a ledger folder
+  (``operators/ledger.py``) neither does a retried task or a rerun after a lost job.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import REALTIME_SYSTEM, REASONING_SYSTEM
+from .ledger import TaskLedger, call_key, committed, key_of
 
 # Per-role generation settings and error behaviour of the protocol.
 ROLE_SETTINGS = {
@@ -67,6 +70,8 @@ def complete(
     backoff_sec: float = 0.0,
     concurrency: int | None = None,
     threads_per_task: int = 1,
+    ledger: str | None = None,
+    commit_rows: int = 16,
 ) -> DataFrame:
     """Call ``client.complete(model, prompt, spec) -> str`` for every row.
 
@@ -76,6 +81,9 @@ def complete(
     Adds ``out_col`` (text or null) and ``error`` (last error message or null).
     ``threads_per_task`` > 1 overlaps the (I/O-bound) calls of one Arrow batch
     on a thread pool; results keep the row order.
+
+    With a ``ledger`` folder, finished calls are committed ``commit_rows`` at a time, and calls that it
+    holds (of a retried task, or of an earlier run) are not made again.
     """
     if role not in ROLE_SETTINGS:
         raise ValueError(f"unknown role {role!r}")
@@ -85,7 +93,19 @@ def complete(
     s = ROLE_SETTINGS[role]
     spec = CallSpec(role, s["temperature"], s["max_tokens"], s.get("system"))
     schema = StructType(df.schema.fields + [StructField(out_col, StringType()), StructField("error", StringType())])
-    src = df.repartition(concurrency or df.sparkSession.sparkContext.defaultParallelism)
+    shares = concurrency or df.sparkSession.sparkContext.defaultParallelism
+    known = None
+    if ledger is None:
+        src = df.repartition(shares)
+    else:
+        keyed = df.withColumn("_call", call_key(role, F.col(model_col), F.col(prompt_col)))
+        held = committed(df.sparkSession, ledger)
+        if held is not None:
+            known = keyed.join(held.withColumnRenamed("call_key", "_call"), "_call")
+            known = known.select(*df.columns, F.col("text").alias(out_col), F.lit(None).cast("string").alias("error"))
+            keyed = keyed.join(held.select(F.col("call_key").alias("_call")), "_call", "left_anti")
+        # one name, one task: a request given twice is called for once
+        src = keyed.repartition(shares, "_call").select(*df.columns)
 
     def call(client, model, prompt):
         err = None
@@ -98,9 +118,34 @@ def complete(
                     time.sleep(backoff_sec * (2 ** attempt))
         return error_output(role, model, err), str(err)
 
+    def answers(client, pool, pairs):
+        if pool is None:
+            return [call(client, m, p) for m, p in pairs]
+        return list(pool.map(lambda mp: call(client, *mp), pairs))
+
+    def from_ledger(client, pool, pairs, done, share):
+        """Answers of ``pairs``, those not yet in ``done`` called for and committed a few at a time."""
+        keys = [key_of(role, m, p) for m, p in pairs]
+        todo = list({k: mp for k, mp in zip(keys, pairs) if k not in done}.items())
+        failed = {}
+        for at in range(0, len(todo), commit_rows):
+            some = todo[at : at + commit_rows]
+            results = answers(client, pool, [mp for _, mp in some])
+            finished = [(k, text) for (k, _), (text, err) in zip(some, results) if err is None]
+            share.commit(finished)
+            done.update(finished)
+            failed.update({k: r for (k, _), r in zip(some, results) if r[1] is not None})
+        return [(done[k], None) if k in done else failed[k] for k in keys]
+
     def run(batches):
         client = client_factory()
-        pool = None
+        pool = share = None
+        done: dict = {}
+        if ledger is not None:
+            from pyspark import TaskContext
+
+            share = TaskLedger(ledger, f"{role}-{TaskContext.get().partitionId()}-of-{shares}")
+            done = share.read()
         if threads_per_task > 1:
             from concurrent.futures import ThreadPoolExecutor
 
@@ -108,16 +153,14 @@ def complete(
         try:
             for pdf in batches:
                 pairs = list(zip(pdf[model_col].tolist(), pdf[prompt_col].tolist()))
-                if pool is None:
-                    results = [call(client, m, p) for m, p in pairs]
-                else:
-                    results = list(pool.map(lambda mp: call(client, *mp), pairs))
+                results = answers(client, pool, pairs) if share is None else from_ledger(client, pool, pairs, done, share)
                 yield pdf.assign(**{out_col: [r[0] for r in results], "error": [r[1] for r in results]})
         finally:
             if pool is not None:
                 pool.shutdown()
 
-    return src.mapInPandas(run, schema)
+    out = src.mapInPandas(run, schema)
+    return out if known is None else out.unionByName(known)
 
 
 def materialize(df: DataFrame, name: str = "model_calls") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from echo_client import echo_client_factory
@@ -123,3 +124,81 @@ def test_error_sentinels_keep_or_drop(spark):
     assert any(r["target_model"] == "m1" and r["response"].startswith("[m1 Error]") for r in kept)
     dropped = evaluate_panel(prompts, PANEL, f, errors="drop").collect()
     assert {r["target_model"] for r in dropped} == {"m2", "m3"}
+
+
+def _dying_factory(log, die_after):
+    """A client whose worker process is killed at its call number ``die_after``, before the call is made."""
+
+    def make():
+        client = echo_client_factory(log_path=log)()
+        made = []
+
+        class Dying:
+            def complete(self, model, prompt, spec):
+                import os
+                import signal
+
+                if len(made) >= die_after:
+                    os.kill(os.getpid(), signal.SIGKILL)
+                made.append(1)
+                return client.complete(model, prompt, spec)
+
+        return Dying()
+
+    return make
+
+
+def test_ledger_pays_once_after_a_killed_task(spark, tmp_path):
+    log, ledger = str(tmp_path / "calls.log"), str(tmp_path / "ledger")
+    df = spark.range(40).select(F.lit("m1").alias("model"), F.concat(F.lit("q"), (F.col("id") % 36).cast("string")).alias("request"), "id")
+    calls = {"ledger": ledger, "commit_rows": 1, "concurrency": 4}
+    with pytest.raises(Exception):
+        inference.complete(df, _dying_factory(log, 5), "answer", **calls).collect()
+    before = len(open(log).readlines())
+    assert 0 < before < 36
+    rows = inference.complete(df, echo_client_factory(log_path=log), "answer", **calls)
+    for _ in range(2):  # a second action makes no call either
+        assert sorted((r["id"], r["raw_text"], r["error"]) for r in rows.collect()) == sorted((i, f"M1: q{i % 36}", None) for i in range(40))
+    # another number of tasks, another job
+    assert inference.complete(df, echo_client_factory(log_path=log), "answer", ledger=ledger, concurrency=3).count() == 40
+    counts = Counter(open(log).readlines())
+    assert len(counts) == 36 and max(counts.values()) == 1
+
+
+def test_retried_task_reads_its_share(tmp_path):
+    from panelscore.operators import ledger
+
+    share = ledger.TaskLedger(str(tmp_path), "answer-0-of-2")
+    assert share.read() == {}
+    share.commit([("k1", "a"), ("k2", None)])
+    share.commit([])
+    (tmp_path / "share=answer-0-of-2" / "_half").write_bytes(b"broken off")
+    assert ledger.TaskLedger(f"file:{tmp_path}", "answer-0-of-2").read() == {"k1": "a", "k2": None}
+    assert ledger.TaskLedger(str(tmp_path), "answer-1-of-2").read() == {}
+
+
+def test_ledger_names_and_failures(spark, tmp_path):
+    from panelscore.operators import ledger
+
+    rows = [("m1", "p"), ("m1", None), (None, "é"), ("bad", "p")]
+    df = spark.createDataFrame(rows, "model string, request string")
+    keys = [r[0] for r in df.select(ledger.call_key("judge", F.col("model"), F.col("request"))).collect()]
+    assert keys == [ledger.key_of("judge", m, p) for m, p in rows]
+    log, folder = str(tmp_path / "calls.log"), str(tmp_path / "ledger")
+    bad = spark.createDataFrame([("m1", "p"), ("bad", "p")], "model string, request string")
+    for _ in range(2):
+        got = inference.complete(bad, echo_client_factory(fail_models=["bad"], log_path=log), "answer", max_retries=0, ledger=folder, threads_per_task=2)
+        assert {r["model"]: r["raw_text"] for r in got.collect()} == {"m1": "M1: p", "bad": "[bad Error] service unavailable"}
+    # the failure was tried again, the finished call was not
+    assert Counter(line.split("\t")[1] for line in open(log)) == {"m1": 1, "bad": 2}
+
+
+def test_full_flow_with_a_ledger_is_free_the_second_time(spark, tmp_path):
+    from panelscore.plans.catalog import run_evaluation
+
+    log, folder = str(tmp_path / "calls.log"), str(tmp_path / "ledger")
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(3)], "prompt_id long, prompt string")
+    first = run_evaluation(prompts, PANEL, echo_client_factory(log_path=log), _hits(spark), ledger=folder).collect()
+    made = len(open(log).readlines())
+    second = run_evaluation(prompts, PANEL, echo_client_factory(log_path=log), _hits(spark), ledger=folder).collect()
+    assert sorted(map(str, first)) == sorted(map(str, second)) and made == len(open(log).readlines()) == 13 * 3
