@@ -1,23 +1,25 @@
 """HTML main text by equivalence-class template deduction.
 
 Pages of one host are taken to be made from one template. A *token* is a piece of a page in its
-role: an element's opening in its path (``html>body>div.ad``), or a short text block in its path. Its
+role: an element's opening in its path (``html>body>div.ad``), or a text block in its path. Its
 occurrence vector says how often it occurs on each distinct page of the host. Tokens with equal
 vectors form an equivalence class, valid if it has at least two tokens and is supported by
-``min_share`` of the host's pages. Classes nest by their paths: a page that holds a token
+``min_share`` of the host's pages (on hosts with fewer than ``SURE_PAGES`` pages, by all of them). Classes nest by their paths: a page that holds a token
 holds the elements of its path, so an enclosing class has at least the support of an enclosed one.
 Texts of valid classes are fixed texts of the template; what stands between them are slots.
 
 The slots that hold the article are extracted: inside the region that the markup calls the article
 (``article``, ``main``, a role, class or id that says content) if there is one, else from the whole
-page. Elements that belong to the page and not to the article (navigation, headers, footers,
+page. A class or id that names furniture counts for block containers alone, and inside the article's
+region only if all its words do (``comments`` and ``ad-banner``, not ``feedback-loop``). Elements that belong to the page and not to the article (navigation, headers, footers,
 asides, notices, adverts, forms, scripts, styles, reader comments) are left out. Fixed texts are left
 out of pages without such a region; inside a region only those that nearly all of the
 host's pages share (``region_share``), as a paragraph that copies share is no template.
 
 Scale: vectors are never built. A token's vector is represented by order-free sums of hashes of its
-(page, count) pairs, aggregated before the shuffle, so a host with a third of all pages costs one
-row per token and task; copies of a page count once. The result, the fixed texts of a host, is at most
+(page, count) pairs. Copies of a page count once: one row per token and distinct page is shuffled,
+by token and page, so a host with a third of all pages is spread; the digests are aggregated
+before the next shuffle. The result, the fixed texts of a host, is at most
 a page's tokens divided by ``min_share``; it is broadcast up to ``broadcast_tokens`` in all and
 joined by host beyond.
 
@@ -40,12 +42,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_PAGES = 5
+MIN_PAGES = 3
 MIN_SHARE = 0.3
+#: On hosts with fewer pages than this, only what all pages share is template.
+SURE_PAGES = 5
 #: Share of a host's pages from which a text inside the article's region counts as template.
 REGION_SHARE = 0.9
-#: Longest text block that can be fixed text of a template.
-TOKEN_CHARS = 200
 BROADCAST_TOKENS = 200_000
 
 # Fixed names of HTML: elements without content, whose content is no text, and that stand inside a line.
@@ -73,6 +75,8 @@ _WORDS = (
     "discussion feedback copyright legal disclaimer search searchbox skip toc tags hidden"
 )
 _BOILER_WORDS = frozenset(_WORDS.split())
+#: Elements that can be furniture by their class or id: containers, never a line's parts, paragraphs or headings.
+CONTAINERS = frozenset("div section ul ol dl table tbody tr td figure fieldset details center header address".split())
 _MAIN_WORDS = frozenset("article main content post entry story body maincontent articlebody postcontent entrycontent".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note status".split())
 
@@ -99,6 +103,15 @@ def _name_words(value: str) -> set[str]:
     return words
 
 
+def _furniture(attrs: dict[str, str], within: bool) -> bool:
+    """Whether a container's class or id names furniture; within an article's region only names made of such words alone."""
+    names = [v for k in ("class", "id") for v in attrs.get(k, "").split()]
+    if not within:
+        return any(_name_words(v) & _BOILER_WORDS for v in names)
+    parts = [[w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", v).lower()) if w] for v in names]
+    return any(p and all(w in _BOILER_WORDS for w in p) for p in parts)
+
+
 class Element:
     """An open element: its path token, and whether it is page furniture or an article region."""
 
@@ -126,7 +139,7 @@ def _open(name: str, attrs: dict[str, str], parent: Element | None, region: list
     if name == "header" and not within:
         boiler = True
     marked = name in ("article", "main") or role in ("article", "main") or attrs.get("itemprop") == "articleBody" or bool(words & _MAIN_WORDS)
-    if name not in ("article", "main", "body", "html") and words & _BOILER_WORDS and not (marked and name in ("article", "main")):
+    if name in CONTAINERS and _furniture(attrs, bool(within)):
         boiler = True
     # an article inside reader comments or a list of teasers is furniture through its parent
     main = within
@@ -215,9 +228,9 @@ def _hash(text: str) -> int:
 
 
 def tokens(blocks: list[Block], opened: list[str]) -> Counter:
-    """Occurrences on a page of each token: element openings, and short text blocks in their paths."""
+    """Occurrences on a page of each token: element openings, and text blocks in their paths."""
     out = Counter(_hash("e" + p) for p in opened)
-    out.update(text_token(b) for b in blocks if len(b.text) <= TOKEN_CHARS)
+    out.update(text_token(b) for b in blocks)
     return out
 
 
@@ -264,6 +277,7 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     vectors = ["host", "v1", "v2", "support"]
     classes = each.groupBy(*vectors).agg(F.count("*").alias("members")).where("members > 1")
     valid = classes.join(sizes, "host").withColumn("share", F.col("support") / F.col("pages")).where(F.col("share") >= min_share)
+    valid = valid.where((F.col("pages") >= SURE_PAGES) | (F.col("share") == 1))
     return each.where("is_text").join(valid, vectors).select("host", "token", "share")
 
 

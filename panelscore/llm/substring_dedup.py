@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (behind ``.``, ``!`` or ``?`` before white space, and at line
-breaks). From every sentence on, the shortest run of at least ``min_sentences`` sentences
+A text is cut into sentences: behind ``.``, ``!``, ``?`` and closing quotes or brackets before white
+space, behind the full stops of other scripts, and at line breaks. A sentence of more than
+``LONG_WORDS`` words is cut into pieces where a hash of two neighbouring words says so, so equal
+sentences have equal pieces wherever they stand. In scripts without spaces every character counts as a word. From every sentence on, the shortest run of at least ``min_sentences`` sentences
 that has at least ``min_words`` words is a span, named by a 128-bit hash of its words. Spans
 are joined over the whole corpus: every occurrence of a span but the first (smallest doc_id,
 then place in the text) is a repeat, and every sentence covered by a repeat is
@@ -27,6 +29,7 @@ them; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,20 +43,53 @@ from . import common
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 
-_END = re.compile(r"[.!?]+\s+|\n\s*")
+#: Words from which a sentence is cut into pieces; a piece ends behind one pair of words in PIECE_WORDS, at the latest after LONG_WORDS.
+LONG_WORDS = 40
+PIECE_WORDS = 8
+
+_CLOSING = "\"'\u201d\u2019\u00bb\u203a)\\]}\u300d\u300f\u3011\uff09"
+_END = re.compile(rf"[.!?\u2026]+[{_CLOSING}]*\s+|[\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965]+[{_CLOSING}]*\s*|\n\s*")
+# scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Han
+_NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_DENSE = re.compile(f"[{_NO_SPACES}]")
+_WORD = re.compile(f"(?:[{_NO_SPACES}]|[^\\s{_NO_SPACES}]+)\\s*")
 _SPAN_SCHEMA = "h1 long, h2 long, doc_id long, tid long, at int, upto int, again boolean"
 
 
+def _pieces(sentence: str) -> Iterator[str]:
+    """A long sentence cut where its words say so."""
+    ends = [m.end() for m in _WORD.finditer(sentence)]
+    if len(ends) <= LONG_WORDS:
+        yield sentence
+        return
+    hashes = [zlib.crc32(sentence[a:b].strip().encode("utf-8", "surrogatepass")) for a, b in zip([0, *ends], ends)]
+    at, since = 0, 0
+    for k, end in enumerate(ends[:-1]):
+        since += 1
+        mixed = (hashes[k - 1] * 31 + hashes[k]) * 0x9E3779B1 >> 16 if k else 1
+        if since >= LONG_WORDS or (since > 1 and mixed % PIECE_WORDS == 0):
+            yield sentence[at:end]
+            at, since = end, 0
+    yield sentence[at:]
+
+
 def sentences(text: str) -> list[str]:
-    """The sentences of a text in order, each with the white space behind it: joined they give the text."""
+    """The sentences (and pieces of long ones) of a text in order, each with the white space behind it: joined they give the text."""
     cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+    parts = [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+    # fewer characters than two a word cannot be a long sentence, unless the script has no spaces
+    least = LONG_WORDS if _DENSE.search(text) else 2 * LONG_WORDS
+    if not any(len(p) > least for p in parts):
+        return parts
+    return [piece for p in parts for piece in (_pieces(p) if len(p) > least else (p,))]
 
 
 def spans(text: str, min_sentences: int, min_words: int, whole: bool) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, last sentence, hash) of the spans that start (``whole``: or end) at each sentence, by their starts."""
-    words = [s.encode("utf-8", "surrogatepass").split() for s in sentences(text)]
-    sums = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    parts = sentences(text)
+    words = [s.encode("utf-8", "surrogatepass").split() for s in parts]
+    sizes = [len(_WORD.findall(s)) for s in parts] if _DENSE.search(text) else [len(w) for w in words]
+    sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     n = len(words)
     if not sums[-1]:
         return

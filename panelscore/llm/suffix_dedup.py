@@ -46,8 +46,8 @@ GRAM = 48
 #: Bytes of segments that are sorted together.
 SHARD_BYTES = 2 << 20
 #: Segments of one anchor in a shard, and their bytes; further ones go to further shards.
-ANCHOR_SEGMENTS = 4000
-ANCHOR_BYTES = 2 * SHARD_BYTES
+ANCHOR_SEGMENTS = 1000
+ANCHOR_BYTES = SHARD_BYTES // 2
 #: Windows in a segment; a longer one is cut into pieces that overlap by the length less one.
 SEGMENT_STARTS = 4096
 

@@ -13,7 +13,8 @@ round) retains the reachable candidates; what lies inside a payload is never rea
 
 Scale: pages are moved only where a revisit may be known for them; chains are (file, offset,
 successor) rows, joined on both, without payloads. An archive is read in one task, so
-the writer bounds its size (``archive_bytes``).
+the writer bounds its bytes (``archive_bytes``): records are written in classes of size, each with as
+many records to a file as fit at the class's upper bound, the largest one by one.
 
 Defined results: null html is an empty payload; repeated page_ids give as many
 records and rows; of equal payloads with equal page_id one row is the response; a null
@@ -37,7 +38,10 @@ from . import common
 
 VERSION = "WARC/1.1"
 MIN_REVISIT = 1000
-ARCHIVE_BYTES = 16 << 20
+#: Bytes of an archive, but for a single larger record; an archive is read in one task.
+ARCHIVE_BYTES = 64 << 20
+#: Records are written by size, those of a class with as many to a file as fit by its upper bound.
+RECORD_CLASSES = (16 << 10, 256 << 10)
 #: 64-bit words of the bitmap of repeated payloads (2 MB as a broadcast table).
 BITMAP_WORDS = 1 << 17
 #: Date of the synthetic captures (the pages carry none).
@@ -127,8 +131,17 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
         kind = F.when(F.col("has_response") & (F.col("turn") == 1), F.lit("response")).otherwise(kind)
     alone = flagged.where("not maybe").select(record_text(F.lit("response"), F.lit(None)).alias("value"))
     out = alone.union(met.select(record_text(kind, F.col("refers_to")).alias("value")))
-    per_file = max(1, archive_bytes // (4 << 10))
-    out.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
+    out = out.withColumn("size", F.octet_length("value"))
+    # records of the larger classes are rare: their writes are left out where there can be none
+    largest = rows.agg(F.max(F.col("payload_bytes") + F.octet_length("url"))).first()[0] or 0
+    edges = [0, *RECORD_CLASSES]
+    for low, high in zip(edges, [*RECORD_CLASSES, None]):
+        # a header is short but for the url, which counts twice at most
+        if low and 2 * largest + 4096 <= low:
+            break
+        some = out.where(F.col("size") >= low) if high is None else out.where((F.col("size") >= low) & (F.col("size") < high))
+        per_file = max(1, archive_bytes // high) if high else 1
+        some.select("value").write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")

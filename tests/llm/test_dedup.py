@@ -279,6 +279,42 @@ def test_tails_of_repeated_runs_and_copies_of_short_texts_go(docs):
     assert [got[i]["text"] for i in (20, 31, 33, 34)] == ["", "", "", "Two."]
 
 
+def test_sentences_of_other_scripts_and_lengths():
+    for text in ("He said \"go.\" Then (he left.) Now!", "一二三。四五六！「七八。」九", "no end", "", "a\n\nb", "x y " * 500, "漢" * 500, "स्वागत है। फिर मिलेंगे।"):
+        assert "".join(substring_dedup.sentences(text)) == text
+    assert substring_dedup.sentences('He said "go." Then (he left.) Now!') == ['He said "go." ', "Then (he left.) ", "Now!"]
+    assert substring_dedup.sentences("一二三。四五六！「七八。」九") == ["一二三。", "四五六！", "「七八。」", "九"]
+    # equal long sentences have equal pieces but for the first and last ones
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(999)}" for _ in range(300))
+    inner = {p.strip() for p in substring_dedup.sentences(long)}
+    moved = {p.strip() for p in substring_dedup.sentences("some other words first " * 3 + long)}
+    assert len(inner) > 20 and len(inner - moved) <= 4
+    assert max(len(p.split()) for p in inner) <= substring_dedup.LONG_WORDS
+
+
+def test_spans_of_long_chinese_and_quoted_sentences(docs):
+    """One sentence of 80 words, 60 Chinese sentences, sentences ended by quotes: shared passages go from the later text."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    eighty = " ".join(word() for _ in range(80))
+    chinese = "".join("".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(9)) + "。" for _ in range(60))
+    quoted = " ".join(f'"{" ".join(word() for _ in range(9))}."' for _ in range(8))
+    for passage in (eighty, chinese, quoted):
+        own = [" ".join(word() for _ in range(15)) + "." for _ in range(4)]
+        texts = {1: f"{own[0]} {own[1]}\n{passage}\n", 2: f"{own[2]}\n{passage}\n{own[3]}"}
+        got = {r["doc_id"]: r for r in rows(substring_dedup.remove_repeats(docs(list(texts.items())), whole=True))}
+        assert got[1]["text"] == texts[1] and got[1]["n_removed"] == 0
+        assert got[2]["text"].split() == f"{own[2]} {own[3]}".split()
+
+
+def test_spans_of_very_long_texts(docs):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    got = {r["doc_id"]: r for r in rows(substring_dedup.remove_repeats(docs([(1, long), (2, long), (3, "a b. " * 100_000)]).withColumnRenamed("n_chars", "n_removed"), whole=True))}
+    assert got[1]["text"] == long and got[2]["text"] == "" and got[3]["text"] != ""
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 
