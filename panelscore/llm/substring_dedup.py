@@ -2,7 +2,7 @@
 
 A text is cut into sentences: behind ``.``, ``!``, ``?`` and closing quotes or brackets before white
 space, behind the full stops of other scripts, and at line breaks. A sentence of more than
-``LONG_WORDS`` words is cut into pieces where a hash of two neighbouring words says so, so equal
+``LONG_WORDS`` words (and ``LONG_CHARS`` characters) is cut into pieces where a hash of two neighbouring words says so, so equal
 sentences have equal pieces wherever they stand. In scripts without spaces every character counts as a word. From every sentence on, the shortest run of at least ``min_sentences`` sentences
 that has at least ``min_words`` words is a span, named by a 128-bit hash of its words. Spans
 are joined over the whole corpus: every occurrence of a span but the first (smallest doc_id,
@@ -46,9 +46,13 @@ MIN_WORDS = 20
 #: Words from which a sentence is cut into pieces; a piece ends behind one pair of words in PIECE_WORDS, at the latest after LONG_WORDS.
 LONG_WORDS = 40
 PIECE_WORDS = 8
+#: Shorter sentences are left whole, however short their words (scripts without spaces: no such bound).
+LONG_CHARS = 4 * LONG_WORDS
 
 _CLOSING = "\"'\u201d\u2019\u00bb\u203a)\\]}\u300d\u300f\u3011\uff09"
 _END = re.compile(rf"[.!?\u2026]+[{_CLOSING}]*\s+|[\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965]+[{_CLOSING}]*\s*|\n\s*")
+# the same rule for texts of Latin characters
+_LATIN_END = re.compile(r"[.!?]+[\"'\u00bb)\]}]*\s+|\n\s*")
 # scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Han
 _NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _DENSE = re.compile(f"[{_NO_SPACES}]")
@@ -73,22 +77,44 @@ def _pieces(sentence: str) -> Iterator[str]:
     yield sentence[at:]
 
 
+def _plain(text: str) -> bool:
+    """Whether a text has Latin characters only (cheap to tell, and then cheaper rules find the same)."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def sentences(text: str) -> list[str]:
     """The sentences (and pieces of long ones) of a text in order, each with the white space behind it: joined they give the text."""
-    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
+    return _sentences(text, *_kind(text))
+
+
+def _kind(text: str) -> tuple[bool, bool]:
+    """(Latin characters only?, characters of scripts without spaces?)"""
+    plain = _plain(text)
+    return plain, not plain and _DENSE.search(text) is not None
+
+
+def _sentences(text: str, plain: bool, dense: bool) -> list[str]:
+    find = _LATIN_END if plain else _END
+    cuts = [0, *[m.end() for m in find.finditer(text)], len(text)]
     parts = [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
-    # fewer characters than two a word cannot be a long sentence, unless the script has no spaces
-    least = LONG_WORDS if _DENSE.search(text) else 2 * LONG_WORDS
-    if not any(len(p) > least for p in parts):
+    least = LONG_WORDS if dense else LONG_CHARS
+    if not any([len(p) > least for p in parts]):
         return parts
     return [piece for p in parts for piece in (_pieces(p) if len(p) > least else (p,))]
 
 
 def spans(text: str, min_sentences: int, min_words: int, whole: bool) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, last sentence, hash) of the spans that start (``whole``: or end) at each sentence, by their starts."""
-    parts = sentences(text)
+    plain, dense = _kind(text)
+    parts = _sentences(text, plain, dense)
     words = [s.encode("utf-8", "surrogatepass").split() for s in parts]
-    sizes = [len(_WORD.findall(s)) for s in parts] if _DENSE.search(text) else [len(w) for w in words]
+    sizes = [len(_WORD.findall(s)) for s in parts] if dense else [len(w) for w in words]
     sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     n = len(words)
     if not sums[-1]:
