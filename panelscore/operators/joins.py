@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``small`` only if it provably holds at most ``max_rows`` rows.
+#: Most bytes of text that a checked broadcast may hold.
+BROADCAST_BYTES = 256 << 20
 
-    The check runs ``limit(max_rows + 1).count()``, which stops reading once the
-    bound is exceeded. Beyond the bound the frame is returned unhinted, so Spark
-    plans a shuffle join (and AQE may still convert it from runtime sizes).
+
+def bounded_broadcast(small: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``small`` only if it provably holds at most ``max_rows`` rows and ``max_bytes`` bytes of text.
+
+    The check reads ``limit(max_rows + 1)``, which stops once the row bound is exceeded, and adds up
+    the lengths of its string columns (other columns are short). Beyond a bound the frame is
+    returned unhinted, so Spark plans a shuffle join (and AQE may still convert it from runtime sizes).
     """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+    text = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in small.schema.fields if isinstance(f.dataType, StringType)]
+    size = F.coalesce(F.sum(reduce(lambda x, y: x + y, text)), F.lit(0)) if text else F.lit(0).cast("long")
+    n, size = small.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(small) if n <= max_rows and size <= max_bytes else small
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def q_target_averages_five(spark, sf):
 
 @register("evaluations_full")
 def q_evaluations_full(spark, sf):
-    """JN-3, JN-4, WIN-1, PRJ-1/2: evaluation rows with response text and target averages."""
+    """JN-3, JN-4, WIN-1, PRJ-1/2, SET-1: evaluation rows of all prompts in one plan, with response text and target averages."""
     return scoring.evaluation_rows(_parsed(spark, sf), fx.responses(spark, sf))
 
 
@@ -131,7 +131,7 @@ def _facts(spark, sf):
 
 @register("model_stats")
 def q_model_stats(spark, sf):
-    """AGG-1 + AGG-7: per target model mean/std of the core metrics and helpfulness count."""
+    """AGG-1 + AGG-7, FLT-10, MTH-2: per target model mean/std of the core metrics and helpfulness count (null keys dropped, half-even rounding)."""
     return analysis.model_stats(_facts(spark, sf))
 
 

@@ -313,3 +313,12 @@ def test_averages_keep_runs_apart(spark):
     rows = [(run, 1, "m", e, "ok", *[v] * len(METRICS)) for run, v in (("r1", 0.2), ("r2", 0.8)) for e in ("a", "b")]
     df = spark.createDataFrame(rows, f"run_id string, prompt_id long, target_model string, evaluator string, status string, {nums}")
     assert {(r["run_id"], r["avg_clarity"]) for r in scoring.target_averages(df).collect()} == {("r1", 0.2), ("r2", 0.8)}
+
+
+def test_broadcast_is_checked_by_rows_and_bytes(spark):
+    from panelscore.operators.joins import bounded_broadcast
+
+    df = spark.createDataFrame([("x" * 1000, 1), (None, 2)], "token string, n int")
+    hint = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hint(bounded_broadcast(df, 2)) and not hint(bounded_broadcast(df, 1)) and not hint(bounded_broadcast(df, 2, max_bytes=999))
+    assert hint(bounded_broadcast(df.select("n"), 2, max_bytes=0)) and hint(bounded_broadcast(df.limit(0), 2))
