@@ -126,7 +126,10 @@ def projected(m: BlockMatrix, weights: np.ndarray) -> DataFrame:
     d, k = weights.shape
     local = DenseMatrix(d, k, weights.flatten(order="F").tolist())
     right = BlockMatrix(SparkContext.getOrCreate().parallelize([((0, 0), local)], 1), d, k)
-    rows = callMLlibFunc("getIndexedRows", multiply(m, right).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    product = multiply(m, right).toIndexedRowMatrix()
+    # the wrapper frees its Java object when it goes: it is held until the call is done
+    rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
+    del product
     return rows.select("index", vector_to_array("vector").alias("y"))
 
 

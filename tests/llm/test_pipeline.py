@@ -80,7 +80,7 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {int(n.split("_")[0][2:]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n.split("_")[0][2:]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
 
 
