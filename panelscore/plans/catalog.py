@@ -18,6 +18,7 @@ from ..operators import analysis, charts, inference, pairing, scoring, textmatch
 from ..operators import ats as ats_ops
 from ..operators import responses as resp_ops
 from ..operators import search as search_ops
+from ..operators.joins import spread
 from ..session import apply_query_conf, scratch_path
 from ..sources import files as file_src
 from ..sources import sinks
@@ -747,7 +748,8 @@ def q_resume_files(spark, sf):
     """SRC-5 + STR-14: résumés written as text files (and jobs as other files), listed by kind, texts read back."""
     base = scratch_path(spark, "resumes")
     key = F.format_string("%012d", F.col("resume_id"))
-    fx.resumes(spark, sf).select(key.alias("id"), F.col("resume").alias("value")).write.partitionBy("id").text(f"{base}/resumes")
+    # one file per résumé: written by as many tasks as there are cores
+    spread(fx.resumes(spark, sf).select(key.alias("id"), F.col("resume").alias("value"))).write.partitionBy("id").text(f"{base}/resumes")
     # files of another kind next to them: listed, never read
     fx.jobs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n")).write.partitionBy("source").csv(f"{base}/jobs")
     files = file_src.read_resumes(spark, base)
