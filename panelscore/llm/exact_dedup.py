@@ -7,7 +7,7 @@
    directory is doubled (global depth + 1) while a bucket holds more keys than
    ``bucket_keys``; a bucket that fits keeps its shorter local depth. Keys whose
    leading bits agree up to ``max_depth`` stay in one bucket and chain there.
-3. Owner tasks each process key ranges (whole buckets), sorted by key. Rows with
+3. Owner tasks, as many as the texts' bytes ask for, each process key ranges (whole buckets), sorted by key. Rows with
    one key form a chain; a chain entry is a distinct text, found by comparing
    bytes, so two texts that collide on a key stay apart. Owners write the index:
    files of (bucket, key, local representative, chain entry, digest).
@@ -39,7 +39,10 @@ MAX_DEPTH = 20
 #: Bytes of texts that a task holds while it looks for its own repeats; then it starts anew.
 LOCAL_BYTES = 48 << 20
 
-_MAP_SCHEMA = "rid long, doc_id long, rep long, key long, text binary"
+#: Bytes of texts that an owner task is to read.
+OWNER_BYTES = 64 << 20
+
+_MAP_SCHEMA = "rid long, doc_id long, rep long, key long, size long, text binary"
 _CHAIN_SCHEMA = "bucket long, key long, rep long, chain int, sha binary"
 
 
@@ -65,7 +68,7 @@ def _map_rows(local_bytes: int, key_fn=_key):
         base = TaskContext.get().partitionId() << 36
         n, held, size = 0, {}, 0
         for batch in batches:
-            out = {k: [] for k in ("rid", "doc_id", "rep", "key", "text")}
+            out = {k: [] for k in ("rid", "doc_id", "rep", "key", "size", "text")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = normalise(text)
                 rid = base + n
@@ -83,6 +86,7 @@ def _map_rows(local_bytes: int, key_fn=_key):
                     out["text"].append(None)
                 out["rep"].append(rep)
                 out["key"].append(key_fn(data))
+                out["size"].append(len(data))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[k], pa.binary() if k == "text" else pa.int64()) for k in out], names=list(out)
             )
@@ -157,10 +161,11 @@ def _owner_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(
-    docs: DataFrame, bucket_keys: int | None = None, max_depth: int = MAX_DEPTH, local_bytes: int = LOCAL_BYTES, key_fn=_key
+    docs: DataFrame, bucket_keys: int | None = None, max_depth: int = MAX_DEPTH, local_bytes: int = LOCAL_BYTES, key_fn=_key, owner_bytes: int = OWNER_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """(row map, index): ``rid, doc_id, rep`` per row, and one index row per local representative.
 
+    There are as many owner tasks as hold ``owner_bytes`` of texts each, and no fewer than shuffle partitions;
     ``bucket_keys`` defaults to a quarter of an owner task's even share of the keys.
     """
     spark = docs.sparkSession
@@ -168,7 +173,8 @@ def build_index(
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = common.written(src.mapInArrow(_map_rows(local_bytes, key_fn), _MAP_SCHEMA), "dedup-rows")
     reps = rows.where(F.col("text").isNotNull()).select("key", "rep", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    volume = rows.where(F.col("rid") == F.col("rep")).agg(F.sum("size").alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // owner_bytes))
     depth, directory = _directory(reps.select("key").distinct(), bucket_keys, max_depth, 4 * parts)
     # at most 2 ** max_depth entries of two numbers: a bounded broadcast, so texts move once
     table = F.broadcast(spark.createDataFrame(directory, "prefix long, bucket long"))

@@ -6,22 +6,23 @@ at which the weights' entropy reaches ``target_entropy``, or to the smallest one
 (closest to equal weights) at which no source is repeated more than ``max_epochs`` times.
 
 The budget is realised as block permutations: a document belongs to one block of its
-source by the hash of its id; in every epoch the blocks of a source are put in a
+source by the hash of its id and text (rows without an id: of text and row number); in every epoch the blocks of a source are put in a
 new hash order, and documents inside a block too. A source gives whole epochs, then
 whole blocks of the next one, then the documents at the head of one last block, until its
 tokens (weight x budget) are used; a document whose first token lies inside the quota is
 taken. With ``budget=None`` the budget is the least one at which every source is
 used at least once, so no document is lost.
 
-Scale: documents are aggregated to (source, block) token sums before any ordering. Windows
-run over blocks of a source (a block holds about ``block_tokens`` tokens) and, inside the
-one boundary block of a source and epoch, over its documents; a source with a third of
-all rows is never in one task as documents. Sources are not collected: each pass
+Scale: documents are aggregated to (source, block) token sums before any ordering. The blocks of a
+source (about ``block_tokens`` tokens each) are ranked inside 1,024 ranges of their order hash, to which
+the counts of the ranges before are added; inside the one boundary block of a source and epoch a window
+runs over its documents. A source with a third of all rows is never in one task, neither as documents
+nor as blocks, and rows without an id are dealt over its blocks too. Sources are not collected: each pass
 evaluates the 63 exponents that six bisection steps can visit, in one aggregation.
 
 Defined results: a null source is a source of its own; null and blank texts count no tokens and
-are taken with their block in each epoch; an empty table gives an empty result; ids may repeat and
-then share block and place.
+are taken with their block in each epoch; an empty table gives an empty result; ids may repeat, and rows
+equal in id and text share block and place.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def mix(
     spark = docs.sparkSession
     common.prepare(spark)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("n_tokens")
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("salt")
     )
     return _realise(common.written(rows, "mix-rows"), budget, target_entropy, max_epochs, block_tokens, seed)
 
@@ -147,15 +148,25 @@ def _realise(rows: DataFrame, budget, target_entropy, max_epochs, block_tokens,
     plan = plan.select(F.col("source").alias("__s"), "tokens", "weight", "exponent", "quota", "blocks", "full")
     plan = common.written(plan, "mix-plan")
 
-    number = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id"), F.col("blocks"))
+    named = F.col("doc_id").isNotNull()
+    number = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id", "salt", F.when(~named, F.col("rid"))), F.col("blocks"))
     # the plan has one row per source; Spark broadcasts it below its own size limit, else a source's rows are split as skew
     placed = rows.join(plan, same("source", "__s")).withColumn("block", number)
     blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block")).join(plan, same("source", "__s"))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
     order = F.xxhash64(F.lit(seed), F.lit("order"), "epoch", "source", "block")
-    turn = Window.partitionBy("source", "epoch").orderBy(order, "block")
-    blocks = blocks.withColumn("block_rank", F.row_number().over(turn)).withColumn(
-        "before", F.coalesce(F.sum("in_block").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = common.written(blocks.withColumn("turn", order).withColumn("range", F.shiftright("turn", 54)), "mix-blocks")
+    # ranks inside ranges of the order hash, and what the ranges before hold
+    turn = Window.partitionBy("source", "epoch", "range").orderBy("turn", "block")
+    earlier = Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy("source", "epoch", "range").agg(F.count("*").alias("n"), F.sum("in_block").alias("t"))
+    ranges = ranges.select(
+        F.col("source").alias("__rs"), F.col("epoch").alias("__re"), F.col("range").alias("__rr"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ranked"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("spent"),
+    )
+    blocks = blocks.join(ranges, same("source", "__rs") & (F.col("epoch") == F.col("__re")) & (F.col("range") == F.col("__rr")))
+    blocks = blocks.withColumn("block_rank", F.col("ranked") + F.row_number().over(turn)).withColumn(
+        "before", F.col("spent") + F.coalesce(F.sum("in_block").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     left = F.col("quota") - F.col("full") * F.col("tokens") - F.col("before")
     blocks = blocks.withColumn("left", F.when(F.col("epoch") < F.col("full"), F.lit(None).cast("long")).otherwise(left))
@@ -164,7 +175,7 @@ def _realise(rows: DataFrame, budget, target_entropy, max_epochs, block_tokens,
     uses = common.written(uses, "mix-uses")
 
     used = placed.join(uses, same("source", "__bs") & (F.col("block") == F.col("__bb")))
-    place = F.xxhash64(F.lit(seed), F.lit("place"), "epoch", "doc_id")
+    place = F.xxhash64(F.lit(seed), F.lit("place"), "epoch", "doc_id", "salt", F.when(~named, F.col("rid")))
     columns = ["rid", "doc_id", "source", "n_tokens", "epoch", "block_rank", place.alias("place"), "weight", "exponent"]
     whole = used.where("whole").select(*columns)
     # the one block of a source that is used in part: its documents in order, up to the tokens that are left
@@ -179,7 +190,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     columns = docs.columns
     kept = common.written(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
     rows = kept.select(
-        F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("n_tokens")
+        F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("salt")
     )
     p = {"budget": None, "target_entropy": None, "max_epochs": MAX_EPOCHS, "block_tokens": BLOCK_TOKENS, "seed": 0} | params
     uses = _realise(common.written(rows, "mix-rows"), p["budget"], p["target_entropy"], p["max_epochs"], p["block_tokens"], p["seed"])

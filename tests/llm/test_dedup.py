@@ -423,3 +423,13 @@ def test_found_by_search_handles_equal_first_keys():
     ordered = np.array([[1, 1], [1, 2], [1, 3], [2, 1], [5, 9]])
     keys = np.array([[1, 2], [1, 4], [2, 1], [3, 3], [5, 9], [9, 9]])
     assert suffix_dedup.found_by_search(keys, ordered).tolist() == [True, False, True, False, True, False]
+
+
+def test_owner_tasks_follow_the_bytes(docs):
+    """Small owner ranges give the same groups, in more tasks."""
+    df = docs([(i, f"text number {i % 150} " * 20) for i in range(300)])
+    key = lambda r: (r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])
+    few, many = exact_dedup.dedup_rows(df), exact_dedup.dedup_rows(df, owner_bytes=2_000)
+    assert sorted(map(key, rows(few))) == sorted(map(key, rows(many)))
+    _, index = exact_dedup.build_index(df, owner_bytes=2_000)
+    assert index.select("rep").distinct().count() >= 150

@@ -301,3 +301,53 @@ def test_mixed_documents_columns_and_edges(spark, docs):
     assert ids["1"] == 2 and ids["None"] >= 1 and ids["3"] == 1
     assert mixing.mix(docs([])).count() == 0 and mixing.mixed_documents(docs([])).count() == 0
     assert mixing.mix(docs([(1, None), (2, "")])).count() == 2
+
+
+def test_mixture_equals_a_brute_force_realisation(spark, docs, sources):
+    """Exponent in closed form, then every source spent block by block, document by document, in plain Python."""
+    df, data = sources
+    data = [r for r in data] + [(9000, None, "en", "big")]
+    df, size, limit, seed = docs(data), 50, 2.0, 3
+    got = Counter((r["doc_id"], r["epoch"], r["block_rank"]) for r in rows(mixing.mix(df, max_epochs=limit, block_tokens=size, seed=seed)))
+    words = {r[0]: len((r[1] or "").split()) for r in data}
+    tokens = Counter()
+    for r in data:
+        tokens[r[3]] += words[r[0]]
+    total, most, least = sum(tokens.values()), max(tokens.values()), min(tokens.values())
+    a = max(0.0, 1 - math.log(limit) / math.log(most / least))
+    spend = {s: max(n, round(most * (n / most) ** a)) for s, n in tokens.items()}
+    count = {s: max(1, -(-n // size)) for s, n in tokens.items()}
+    salt = "xxhash64(text)"
+    facts = df.selectExpr("doc_id", "source", f"xxhash64({seed}, 'block', doc_id, {salt}, cast(null as long)) b", *[f"xxhash64({seed}, 'place', {e}L, doc_id, {salt}, cast(null as long)) p{e}" for e in range(3)])
+    members = {}
+    for r in rows(facts):
+        members.setdefault((r["source"], r["b"] % count[r["source"]]), []).append(r)
+    pairs = spark.createDataFrame([(s, b, e) for s, b in members for e in range(3)], "source string, block long, epoch long")
+    order = {(r["source"], r["block"], r["epoch"]): r["o"] for r in rows(pairs.selectExpr("*", f"xxhash64({seed}, 'order', epoch, source, block) o"))}
+    want = Counter()
+    for s in tokens:
+        full, rest = divmod(spend[s], tokens[s])
+        for epoch in range(full + 1):
+            left = tokens[s] if epoch < full else rest
+            for rank, b in enumerate(sorted((b for t, b in members if t == s), key=lambda b: order[s, b, epoch]), 1):
+                inside = sorted(members[s, b], key=lambda r: (r[f"p{epoch}"], r["doc_id"]))
+                held = sum(words[r["doc_id"]] for r in inside)
+                for r in inside:
+                    if epoch < full or left > 0:
+                        want[r["doc_id"], epoch, rank] += 1
+                    if held > left and epoch == full:
+                        left -= words[r["doc_id"]]
+                if not (held > left and epoch == full) and left > 0:
+                    left -= held
+                if epoch == full and left <= 0:
+                    break
+    # a quota may be one token off by rounding, so only the last document of a source may differ
+    assert sum(((got - want) + (want - got)).values()) <= len(tokens)
+    assert sum(want.values()) > len(data)
+
+
+def test_rows_without_ids_are_dealt_over_blocks(docs):
+    got = rows(mixing.mix(docs([(None, f"w{i} x", "en", "hot") for i in range(600)] + [(7, f"y{i} z", "en", "hot") for i in range(600)]), block_tokens=60))
+    assert len(got) == 1200
+    ranks = Counter(r["block_rank"] for r in got)
+    assert len(ranks) > 30 and max(ranks.values()) < 100
