@@ -1,27 +1,36 @@
 """HTML main text by equivalence-class template deduction.
 
 Pages of one host are taken to be made from one template. A *token* is a piece of a page in its
-role: an element's opening in its path (``html>body>div.ad``), or a text block in its path. Its
-occurrence vector says how often it occurs on each distinct page of the host. Tokens with equal
-vectors form an equivalence class, valid if it has at least two tokens and is supported by
-``min_share`` of the host's pages (on hosts with fewer than ``SURE_PAGES`` pages, by all of them). Classes nest by their paths: a page that holds a token
-holds the elements of its path, so an enclosing class has at least the support of an enclosed one.
-Texts of valid classes are fixed texts of the template; what stands between them are slots.
-
-The slots that hold the article are extracted: inside the region that the markup calls the article
-(``article``, ``main``, a role, class or id that says content) if there is one, else from the whole
-page. A class or id that names furniture counts for block containers alone, and inside the article's
-region only if all its words do (``comments`` and ``ad-banner``, not ``feedback-loop``). Elements that belong to the page and not to the article (navigation, headers, footers,
-asides, notices, adverts, forms, scripts, styles, reader comments) are left out. Fixed texts are left
-out of pages without such a region; inside a region only those that nearly all of the
-host's pages share (``region_share``), as a paragraph that copies share is no template.
+role: the opening or closing of a block element in its path (``html>body>div.ad``), or a text block
+in its path. Its occurrence vector says how often it occurs on each distinct page of the host.
+
+1. Tokens with equal vectors form an equivalence class, valid if it has at least two tokens and is
+   supported by ``min_share`` of the host's pages (on hosts with fewer than ``SURE_PAGES`` pages, by
+   all of them). Texts of valid classes are fixed texts of the template.
+2. Borders: of a class that occurs once a page, the tokens that have the same place in its order on all
+   its pages. A class whose span crosses that of another (neither lies between two neighbouring
+   tokens of the other) gives no borders if it is the less supported of the two.
+3. Nesting: between two neighbouring borders of a class is a slot. Reading a page's borders with a
+   stack tells what lies in which slot; a class is nested in the deepest slot that holds it on all its
+   pages (repeated classes are lists in their slot). The classes with their slots are the template tree.
+4. Slots: what is no fixed text is a slot's content. Over all pages of the host a slot holds article
+   (``ARTICLE_SHARE`` of its characters stand in a marked region), a menu (as large a share is links),
+   or is open. A slot without text of its own kind takes its answer from the slot that its class is nested in.
+
+Extracted is, on a page that marks its article (``article``, ``main``, a role, class or id that says
+content), what stands in that region; on other pages the content of the template's article slots, or,
+where the host has none, of all slots but menus. A class or id that names furniture counts for block
+containers alone, and inside the article's region only if all its words do (``comments`` and
+``ad-banner``, not ``feedback-loop``). Elements that belong to the page and not to the article
+(navigation, headers, footers, asides, notices, adverts, forms, scripts, styles, reader comments) are
+left out. Fixed texts are left out of pages without a region; inside a region only those
+that nearly all of the host's pages share (``region_share``), as a paragraph that copies share is no template.
 
 Scale: vectors are never built. A token's vector is represented by order-free sums of hashes of its
-(page, count) pairs. Copies of a page count once: one row per token and distinct page is shuffled,
-by token and page, so a host with a third of all pages is spread; the digests are aggregated
-before the next shuffle. The result, the fixed texts of a host, is at most
-a page's tokens divided by ``min_share``; it is broadcast up to ``broadcast_tokens`` in all and
-joined by host beyond.
+(page, count) pairs, aggregated before the only shuffle of tokens. A page is one row of token hashes;
+copies of a page count once, by (host, page), so a host with a third of all pages is spread. Places
+and slots are added up per task first. The template of a host has at most a page's tokens divided by
+``min_share``; templates are broadcast up to ``broadcast_tokens`` tokens in all and joined by host beyond.
 
 Defined results: null or empty html gives an empty text; pages whose url has no host share the
 empty host; broken markup is read as browsers do (unclosed elements end with their parents);
@@ -49,6 +58,13 @@ SURE_PAGES = 5
 #: Share of a host's pages from which a text inside the article's region counts as template.
 REGION_SHARE = 0.9
 BROADCAST_TOKENS = 200_000
+#: Share of a slot's characters that decides what it holds.
+ARTICLE_SHARE = 0.9
+#: Hosts whose template a task keeps unpacked.
+HELD_HOSTS = 256
+
+# Kinds of a page's events.
+OPEN, CLOSE, TEXT, ALONE = range(4)
 
 # Fixed names of HTML: elements without content, whose content is no text, and that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -115,19 +131,19 @@ def _furniture(attrs: dict[str, str], within: bool) -> bool:
 class Element:
     """An open element: its path token, and whether it is page furniture or an article region."""
 
-    __slots__ = ("name", "path", "boiler", "main", "depth")
+    __slots__ = ("name", "path", "boiler", "main", "link")
 
-    def __init__(self, name: str, path: str, boiler: bool, main: int, depth: int):
-        self.name, self.path, self.boiler, self.main, self.depth = name, path, boiler, main, depth
+    def __init__(self, name: str, path: str, boiler: bool, main: int, link: bool):
+        self.name, self.path, self.boiler, self.main, self.link = name, path, boiler, main, link
 
 
 class Block:
     """A piece of text between block borders, with the state of the element that holds it."""
 
-    __slots__ = ("text", "path", "boiler", "main")
+    __slots__ = ("text", "path", "boiler", "main", "link")
 
-    def __init__(self, text: str, path: str, boiler: bool, main: int):
-        self.text, self.path, self.boiler, self.main = text, path, boiler, main
+    def __init__(self, text: str, path: str, boiler: bool, main: int, link: bool):
+        self.text, self.path, self.boiler, self.main, self.link = text, path, boiler, main, link
 
 
 def _open(name: str, attrs: dict[str, str], parent: Element | None, region: list[int]) -> Element:
@@ -147,33 +163,53 @@ def _open(name: str, attrs: dict[str, str], parent: Element | None, region: list
         region.append(0)
         main = len(region)
     path = (parent.path if parent else "") + ">" + name + ("." + ".".join(sorted(attrs.get("class", "").split())[:3]) if attrs.get("class") else "")
-    return Element(name, path, boiler, main, (parent.depth if parent else 0) + 1)
+    return Element(name, path, boiler, main, name == "a" or bool(parent and parent.link))
+
 
+def parse(html: str) -> tuple[list[Block], list[tuple[int, str | Block]], int]:
+    """(text blocks, events, number of article regions) of a page.
 
-def parse(html: str) -> tuple[list[Block], list[str], int]:
-    """(text blocks, path tokens of opened elements, number of article regions) of a page."""
+    Events are the openings and closings of block elements with their paths, and the text blocks, in
+    page order. Every element that opens closes; those without blocks inside are one event (``ALONE``).
+    """
     stack: list[Element] = []
     blocks: list[Block] = []
-    opened: list[str] = []
+    events: list[tuple[int, str | Block]] = []
     region: list[int] = []
     parts: list[str] = []
+    prose = False  # the text gathered so far has a part outside links
     at, n = 0, len(html)
 
+    def add(piece):
+        nonlocal prose
+        parts.append(piece)
+        if not prose and not (stack and stack[-1].link) and not piece.isspace():
+            prose = True
+
+    def close(i):
+        if any(e.name not in INLINE for e in stack[i:]):
+            flush()
+        events.extend((CLOSE, e.path) for e in reversed(stack[i:]) if e.name not in INLINE)
+        del stack[i:]
+
     def flush():
+        nonlocal prose
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts)).replace("\xa0", " ")).strip()
             parts.clear()
             if text:
                 top = stack[-1] if stack else None
-                blocks.append(Block(text, top.path if top else "", bool(top and top.boiler), top.main if top else 0))
+                blocks.append(Block(text, top.path if top else "", bool(top and top.boiler), top.main if top else 0, not prose))
+                events.append((TEXT, blocks[-1]))
+            prose = False
 
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            parts.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            parts.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
@@ -190,28 +226,29 @@ def parse(html: str) -> tuple[list[Block], list[str], int]:
                         break  # a misnested inline end does not close blocks
                     if not inline or stack[i].boiler:
                         flush()
-                    del stack[i:]
+                    close(i)
                     break
             continue
         attrs = attributes(m.group(3)) if m.group(3) else {}
         if name in ENDS_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name not in INLINE:
                     break
         elif name in SAME_END:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in SAME_END[name]:
                     break
         element = _open(name, attrs, stack[-1] if stack else None, region)
         if inline and element.boiler != bool(stack and stack[-1].boiler):
             flush()
-        opened.append(element.path)
+        if not inline:
+            events.append((ALONE if name in VOID or name in RAW else OPEN, element.path))
         if name in VOID:
             continue
         if name in RAW:
@@ -220,84 +257,270 @@ def parse(html: str) -> tuple[list[Block], list[str], int]:
             continue
         stack.append(element)
     flush()
-    return blocks, opened, len(region)
+    close(0)
+    return blocks, events, len(region)
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def tokens(blocks: list[Block], opened: list[str]) -> Counter:
-    """Occurrences on a page of each token: element openings, and text blocks in their paths."""
-    out = Counter(_hash("e" + p) for p in opened)
-    out.update(text_token(b) for b in blocks)
-    return out
-
-
 def text_token(block: Block) -> int:
     return _hash("t" + block.path + "\x00" + block.text)
 
 
-_TOKEN_SCHEMA = "host string, page long, token long, is_text boolean, n int"
+def sequence(events: list[tuple[int, str | Block]]) -> list[tuple[int, int]]:
+    """(token, kind) of every event; an element's closing has the token of its opening."""
+    return [(text_token(x) if kind == TEXT else _hash("e" + x), kind) for kind, x in events]
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# A page as token hashes: its events in order, and each token once with its count.
+_PAGE_SCHEMA = "host string, page long, events array<long>, kinds array<tinyint>, chars array<int>, tokens array<struct<token: long, kind: tinyint, n: int>>"
+_PAGE_TYPES = [
+    pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()),
+    pa.list_(pa.struct([("token", pa.int64()), ("kind", pa.int8()), ("n", pa.int32())])),
+]
+#: Added to a text event's kind, by what its block is.
+IN_BOILER, IN_MAIN, IN_LINK = 8, 16, 32
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {"host": [], "page": [], "token": [], "is_text": [], "n": []}
+        out: list[list] = [[] for _ in _PAGE_TYPES]
         for host, page, html in zip(*(c.to_pylist() for c in batch.columns)):
-            blocks, opened, _ = parse(html or "")
-            text = {text_token(b) for b in blocks}
-            for token, n in tokens(blocks, opened).items():
-                out["host"].append(host)
-                out["page"].append(page)
-                out["token"].append(token)
-                out["is_text"].append(token in text)
-                out["n"].append(n)
-        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
-
-
-def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, token, share`` of the fixed texts of each host's template.
-
-    ``pages`` has host, page (a digest of the html) and html.
-    """
-    found = pages.select("host", "page", "html").mapInArrow(_token_rows, _TOKEN_SCHEMA)
-    once = found.groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.max("is_text").alias("is_text"))
+            _, events, _ = parse(html or "")
+            seq = sequence(events)
+            kinds, chars = [], []
+            for kind, x in events:
+                chars.append(len(x.text) if kind == TEXT else 0)
+                if kind == TEXT:
+                    kind += IN_BOILER if x.boiler else IN_MAIN if x.main else IN_LINK if x.link else 0
+                kinds.append(kind)
+            counts = Counter(e for e in seq if e[1] != CLOSE)
+            row = [host, page, [t for t, _ in seq], kinds, chars, [{"token": t, "kind": k, "n": n} for (t, k), n in counts.items()]]
+            for column, value in zip(out, row):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _PAGE_TYPES)], names=["host", "page", "events", "kinds", "chars", "tokens"])
+
+
+def equivalence_classes(seen: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """``host, token, kind, cls, support, share, once`` of the tokens of each host's valid classes."""
+    one = seen.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
     # order-free digest of the occurrence vector; sums of 31-bit pieces cannot overflow below 2**32 pages
     pair = F.xxhash64("page", "n")
     vector = [F.sum(F.shiftrightunsigned(pair, 33)).alias("v1"), F.sum(pair.bitwiseAND(F.lit((1 << 31) - 1))).alias("v2")]
-    each = once.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("is_text").alias("is_text"), *vector)
+    each = one.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("kind").alias("kind"), (F.max("n") == 1).alias("once"), *vector)
     each = common.written(each.where(F.col("support") >= min_pages), "html-tokens")
-    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
     vectors = ["host", "v1", "v2", "support"]
-    classes = each.groupBy(*vectors).agg(F.count("*").alias("members")).where("members > 1")
+    # an element's opening and closing are two tokens with one vector
+    classes = each.groupBy(*vectors).agg(F.sum(F.when(F.col("kind") == OPEN, 2).otherwise(1)).alias("members")).where("members > 1")
     valid = classes.join(sizes, "host").withColumn("share", F.col("support") / F.col("pages")).where(F.col("share") >= min_share)
     valid = valid.where((F.col("pages") >= SURE_PAGES) | (F.col("share") == 1))
-    return each.where("is_text").join(valid, vectors).select("host", "token", "share")
+    return each.join(valid, vectors).select("host", "token", "kind", F.xxhash64("v1", "v2", "support").alias("cls"), "support", "share", "once")
+
+
+def read_borders(seq: list[tuple[int, int]], cls_of: dict[int, int], rank: dict[int, tuple]) -> tuple[dict[tuple[int, int], int], set[int]]:
+    """Places of a page's tokens in the order of their classes, and the classes that cross a better one."""
+    size = Counter(cls_of[t] for t, k in seq if t in cls_of)
+    left = dict(size)
+    stack: list[int] = []
+    places, crossed = {}, set()
+    for token, kind in seq:
+        c = cls_of.get(token)
+        if c is None:
+            continue
+        places[token, kind == CLOSE] = size[c] - left[c]
+        if left[c] == size[c]:
+            stack.append(c)
+        for above in reversed(stack):
+            if above == c:
+                break
+            if left[above]:
+                crossed.add(min(c, above, key=rank.__getitem__))
+        left[c] -= 1
+        while stack and not left[stack[-1]]:
+            stack.pop()
+    return places, crossed
+
+
+class Template:
+    """A host's template, unpacked: fixed texts, borders, tree of classes and what slots hold."""
+
+    def __init__(self, tokens, borders, tree=None, roles=None):
+        self.fixed = {t["token"]: t["share"] for t in tokens or () if t["kind"] == TEXT}
+        self.once = {t["token"]: t["cls"] for t in tokens or () if t["once"]}
+        self.lists = {t["token"]: t["cls"] for t in tokens or () if not t["once"]}
+        self.support = {t["cls"]: t["support"] for t in tokens or ()}
+        members = Counter(c for c in self.once.values())
+        self.rank = {c: (self.support[c], n, c) for c, n in members.items()}
+        self.border = {(b["token"], b["close"]): c["cls"] for c in borders or () for b in c["tokens"]}
+        self.size = {c["cls"]: len(c["tokens"]) for c in borders or ()}
+        self.tree = {n["cls"]: (n["parent"], n["slot"]) for n in tree or ()}
+        self.roles = {(r["parent"], r["slot"]): r["role"] for r in roles or ()}
+
+    def chains(self, seq: list[tuple[int, int]]) -> Iterator[tuple[int, int, int | None, list[tuple[int, int]]]]:
+        """(token, kind, class that begins here, slots that hold the event from the outermost on) of a page's events."""
+        passed: dict[int, int] = {}
+        stack: list[int] = []
+        for token, kind in seq:
+            c = self.border.get((token, kind == CLOSE))
+            chain = [(p, passed[p]) for p in stack if p != c]
+            if c is None:
+                yield token, kind, None, chain
+                continue
+            yield token, kind, c if c not in passed else None, chain
+            if c not in passed:
+                stack.append(c)
+            passed[c] = passed.get(c, 0) + 1
+            while stack and passed[stack[-1]] >= self.size[stack[-1]]:
+                stack.pop()
+
+    def role(self, slot: tuple[int, int] | None) -> str | None:
+        """What a slot holds, or the slot that its class is nested in."""
+        while slot is not None:
+            if slot in self.roles:
+                return self.roles[slot]
+            slot = self.tree.get(slot[0])
+        return None
+
+
+def _templates(batch: pa.RecordBatch, held: dict[str, Template], columns: list[str]) -> Iterator[Template]:
+    """The template of each row's host, unpacked once per host and task."""
+    where = [batch.schema.get_field_index(c) for c in columns]
+    for i, host in enumerate(batch.column(batch.schema.get_field_index("host")).to_pylist()):
+        if host not in held:
+            if len(held) >= HELD_HOSTS:
+                held.clear()
+            held[host] = Template(*(batch.column(w)[i].as_py() for w in where))
+        yield held[host]
+
 
+def _events(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, int]], list[int], list[int]]]:
+    at = batch.schema.get_field_index
+    for tokens, kinds, chars in zip(*(batch.column(at(c)).to_pylist() for c in ("events", "kinds", "chars"))):
+        yield [(t, k & 7) for t, k in zip(tokens, kinds)], kinds, chars
 
-def main_text(blocks: list[Block], regions: int, fixed: dict[int, float], region_share: float = REGION_SHARE) -> str:
-    """The article's blocks joined by line feeds; ``fixed`` has the shares of the template's texts."""
-    free = [b for b in blocks if not b.boiler]
+
+_BORDER_SCHEMA = "host string, cls long, token long, close boolean, lo int, hi int, crossed boolean"
+
+
+def _border_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, Template] = {}
+    for batch in batches:
+        found: dict[tuple, list] = {}
+        hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
+        for host, template, (seq, _, _) in zip(hosts, _templates(batch, held, ["template", "none"]), _events(batch)):
+            places, crossed = read_borders(seq, template.once, template.rank)
+            for (token, close), place in places.items():
+                c = template.once[token]
+                row = found.setdefault((host, c, token, close), [place, place, False])
+                row[0], row[1], row[2] = min(row[0], place), max(row[1], place), row[2] or c in crossed
+        rows = [(*k, *v) for k, v in found.items()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "cls", "token", "close", "lo", "hi", "crossed"]
+        )
+
+
+# Places of classes (cls set) and contents of slots (cls null).
+_SLOT_SCHEMA = "host string, cls long, parent long, slot int, support long, level int, n long, main long, link long, plain long"
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, Template] = {}
+    for batch in batches:
+        found: dict[tuple, list[int]] = {}
+        hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
+        for host, template, (seq, kinds, chars) in zip(hosts, _templates(batch, held, ["template", "borders"]), _events(batch)):
+            lists: dict[int, list] = {}
+            for (token, kind, begins, chain), flags, size in zip(template.chains(seq), kinds, chars):
+                if begins is not None:
+                    _place(found, host, template, begins, chain)
+                if token in template.lists:
+                    c = template.lists[token]
+                    # the slots that hold all of a list's places
+                    lists[c] = [a for a, b in zip(lists[c], chain) if a == b] if c in lists else chain
+                if kind == TEXT and not flags & IN_BOILER and token not in template.fixed and chain:
+                    row = found.setdefault((host, None, *chain[-1]), [0, 0, 0, 0, 0, 0])
+                    row[2] += 1
+                    row[3 if flags & IN_MAIN else 4 if flags & IN_LINK else 5] += size
+            for c, chain in lists.items():
+                _place(found, host, template, c, chain)
+        rows = [(*k, *v) for k, v in found.items()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
+        names = ["host", "cls", "parent", "slot", "support", "level", "n", "main", "link", "plain"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _place(found: dict, host: str, template: Template, cls: int, chain: list[tuple[int, int]]) -> None:
+    for level, slot in enumerate(chain):
+        row = found.setdefault((host, cls, *slot), [template.support[cls], level, 0, 0, 0, 0])
+        row[1] = min(row[1], level)
+        row[2] += 1
+
+
+def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """One row per host with a template: ``host, template, borders, tree, roles``.
+
+    ``template`` lists the tokens of valid classes, ``borders`` the tokens between which slots lie, ``tree``
+    the slot that a class is nested in (none for outermost classes), ``roles`` the slots that are article
+    or menu. ``pages`` has host, page (a digest of the html) and html.
+    """
+    seen = pages.select("host", "page", "html").mapInArrow(_page_rows, _PAGE_SCHEMA).dropDuplicates(["host", "page"])
+    seen = common.written(seen, "html-pages")
+    tokens = common.written(equivalence_classes(seen, min_pages, min_share), "html-classes")
+    few = tokens.count() <= broadcast_tokens
+    small = F.broadcast if few else (lambda df: df)
+    lists = tokens.groupBy("host").agg(F.collect_list(F.struct("token", "kind", "cls", "support", "share", "once")).alias("template"))
+    lists = common.written(lists, "html-lists")
+    events = seen.select("host", "events", "kinds", "chars")
+    bordered = events.join(small(lists.withColumn("none", F.lit(None).cast("string"))), "host").mapInArrow(_border_rows, _BORDER_SCHEMA)
+    each = bordered.groupBy("host", "cls", "token", "close").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("crossed").alias("crossed"))
+    steady = F.when(F.col("lo") == F.col("hi"), F.struct("token", "close"))
+    borders = each.groupBy("host", "cls").agg(F.max("crossed").alias("crossed"), F.collect_list(steady).alias("tokens"))
+    borders = borders.where(~F.col("crossed") & (F.size("tokens") > 1)).groupBy("host").agg(F.collect_list(F.struct("cls", "tokens")).alias("borders"))
+    both = common.written(lists.join(borders, "host", "left"), "html-borders")
+    found = common.written(events.join(small(both), "host").mapInArrow(_slot_rows, _SLOT_SCHEMA), "html-slots")
+    at = found.where("cls is not null").groupBy("host", "cls", "parent", "slot").agg(F.sum("n").alias("n"), F.max("support").alias("support"), F.min("level").alias("level"))
+    at = at.where("n = support").groupBy("host", "cls").agg(F.max_by(F.struct("parent", "slot"), "level").alias("in"))
+    tree = at.groupBy("host").agg(F.collect_list(F.struct("cls", "in.parent", "in.slot")).alias("tree"))
+    held = found.where("cls is null").groupBy("host", "parent", "slot").agg(*[F.sum(c).alias(c) for c in ("main", "link", "plain")])
+    most = F.lit(ARTICLE_SHARE) * (F.col("main") + F.col("link") + F.col("plain"))
+    held = held.withColumn("role", F.when(F.col("main") >= most, "article").when(F.col("link") >= most, "menu").otherwise("open"))
+    roles = held.groupBy("host").agg(F.collect_list(F.struct("parent", "slot", "role")).alias("roles"))
+    return both.join(tree, "host", "left").join(roles, "host", "left")
+
+
+def main_text(blocks: list[Block], regions: int, fixed: dict[int, float], region_share: float = REGION_SHARE, roles: list[str | None] | None = None) -> str:
+    """The article's blocks joined by line feeds; ``fixed`` has the shares of the template's texts,
+    ``roles`` what the slot of each block holds."""
+    free = [(b, r) for b, r in zip(blocks, roles or [None] * len(blocks)) if not b.boiler]
     # regions follow each other in page order; each that holds text is part of the article
-    inside = [b for b in free if b.main] if regions else []
+    inside = [b for b, _ in free if b.main] if regions else []
     if inside:
         return "\n".join(b.text for b in inside if not fixed or fixed.get(text_token(b), 0.0) < region_share)
-    return "\n".join(b.text for b in free if text_token(b) not in fixed)
+    free = [(b, r) for b, r in free if text_token(b) not in fixed]
+    slots = [b for b, r in free if r == "article"] or [b for b, r in free if r != "menu"] or [b for b, _ in free]
+    return "\n".join(b.text for b in slots)
 
 
 def _extract_rows(region_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Template] = {}
         for batch in batches:
             texts = []
-            for html, fixed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                blocks, _, regions = parse(html or "")
-                texts.append(main_text(blocks, regions, {f["token"]: f["share"] for f in fixed or ()}, region_share))
+            unpacked = _templates(batch, held, ["template", "borders", "tree", "roles"])
+            for html, known in zip(batch.column(batch.schema.get_field_index("html")).to_pylist(), unpacked):
+                blocks, events, regions = parse(html or "")
+                roles = None
+                if known.roles and not any(b.main and not b.boiler for b in blocks):
+                    roles = [known.role(chain[-1] if chain else None) for _, kind, _, chain in known.chains(sequence(events)) if kind == TEXT]
+                texts.append(main_text(blocks, regions, known.fixed, region_share, roles))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
@@ -317,8 +540,8 @@ def extract(
     common.prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    fixed = template(rows.select("host", F.xxhash64("html").alias("page"), "html"), min_pages, min_share)
-    lists = common.written(fixed.groupBy("host").agg(F.collect_list(F.struct("token", "share")).alias("fixed")), "html-template")
-    n = lists.agg(F.sum(F.size("fixed")).alias("n")).first()["n"] or 0
-    met = rows.join(F.broadcast(lists) if n <= broadcast_tokens else lists, "host", "left")
-    return met.select("page_id", "url", "html", "fixed").mapInArrow(_extract_rows(region_share), "page_id long, url string, text string, n_chars long")
+    known = common.written(template(rows.select("host", F.xxhash64("html").alias("page"), "html"), min_pages, min_share, broadcast_tokens), "html-template")
+    n = known.agg(F.sum(F.size("template")).alias("n")).first()["n"] or 0
+    met = rows.join(F.broadcast(known) if n <= broadcast_tokens else known, "host", "left")
+    met = met.select("page_id", "url", "html", "host", "template", "borders", "tree", "roles")
+    return met.mapInArrow(_extract_rows(region_share), "page_id long, url string, text string, n_chars long")

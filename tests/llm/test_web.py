@@ -167,11 +167,91 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in got} == {"Home\nProducts\nContact us\nStory 0 begins here.\nAnd story 0 ends 0.\nAll rights kept"}
 
 
+def templates(spark, pages, **params):
+    df = spark.createDataFrame(pages, PAGE).withColumn("host", html_extract.host_of("url"))
+    known = html_extract.template(df.selectExpr("host", "xxhash64(html) page", "html"), **params)
+    return {r["host"]: r.asDict(recursive=True) for r in known.collect()}
+
+
 def test_classes_hold_tokens_with_equal_vectors(spark):
-    df = spark.createDataFrame(site(12) + site(4, "few.example") + site(2, "two.example"), PAGE).withColumn("host", html_extract.host_of("url"))
-    fixed = rows(html_extract.template(df.selectExpr("host", "xxhash64(html) page", "html")))
+    known = templates(spark, site(12) + site(4, "few.example") + site(2, "two.example"))
     # two pages are too few to tell a template from a copy
-    assert sorted(r["host"] for r in fixed) == ["few.example"] * 4 + ["s.example"] * 4 and {r["share"] for r in fixed} == {1.0}
+    assert sorted(known) == ["few.example", "s.example"]
+    for t in known.values():
+        texts = [x for x in t["template"] if x["kind"] == html_extract.TEXT]
+        assert len(texts) == 4 and {x["share"] for x in texts} == {1.0}
+
+
+def test_template_tree_equals_brute_force(spark):
+    """Classes, borders and nesting of a generated site against occurrence vectors and spans in plain Python."""
+    pages = []
+    for i in range(24):
+        notice = "<section><h2>Notice</h2><div><i>Small print</i></div></section>" if i % 2 else ""
+        extra = "<ol><li>Listed</li></ol><dl><dt>Term</dt></dl>" if i % 3 == 0 else ""
+        items = "".join(f"<li>Item {i} {k}</li>" for k in range(i % 4 + 1))
+        pages.append((i, f"https://t.example/{i}", f"<html><body><h1>Fixed</h1><div><p>Own {i}</p>{notice}<p>More {i}</p></div><ul>{items}</ul>{extra}<h6>End</h6></body></html>"))
+    seqs = [html_extract.sequence(html_extract.parse(h)[1]) for _, _, h in pages]
+    vectors = {}
+    for n, seq in enumerate(seqs):
+        for token, kind in seq:
+            vectors.setdefault((token, kind), [0] * len(pages))[n] += 1
+    by = {}
+    for token, vector in vectors.items():
+        if sum(map(bool, vector)) >= 0.3 * len(pages):
+            by.setdefault(tuple(vector), set()).add(token)
+    classes = {v: ts for v, ts in by.items() if len(ts) > 1}
+    [known] = templates(spark, pages).values()
+    name = {t["token"]: t["cls"] for t in known["template"]}
+    assert {frozenset(t for t, _ in ts) for ts in classes.values()} == {frozenset(t for t in name if name[t] == c) for c in set(name.values())}
+    once = {name[min(ts)[0]]: ts for v, ts in classes.items() if max(v) == 1}
+    assert {b["cls"]: {(x["token"], x["close"]) for x in b["tokens"]} for b in known["borders"]} == {
+        c: {(t, k == html_extract.CLOSE) for t, k in ts} for c, ts in once.items()
+    }
+    inside = {}  # class -> slots of other classes that hold all of it, on every page
+    for v, ts in classes.items():
+        c, slots = name[min(ts)[0]], None
+        for seq in seqs:
+            own = [i for i, x in enumerate(seq) if x in ts]
+            if not own:
+                continue
+            here = set()
+            for p, ps in once.items():
+                at = [i for i, x in enumerate(seq) if x in ps]
+                before = sum(i < own[0] for i in at)
+                if p != c and at and 0 < before < len(at) and at[before] > own[-1]:
+                    here.add((p, before, at[before] - at[before - 1]))
+            found = {(p, s) for p, s, _ in here}
+            slots = found if slots is None else slots & found
+            width = {(p, s): w for p, s, w in here}
+        if slots:
+            inside[c] = min(slots, key=width.__getitem__)
+    assert {n["cls"]: (n["parent"], n["slot"]) for n in known["tree"]} == inside and len(inside) >= 3
+
+
+def test_slots_tell_menus_and_articles_without_names(spark):
+    """Links that differ from page to page are a menu slot; a page that lost its mark is read by its host's slots."""
+    page = "<html><body><div><div><a>Topic {0}</a><a>Next {0}</a></div></div><section><p>Story {0} has <a>a link</a> in it.</p></section><h6>End</h6></body></html>"
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(spark.createDataFrame([(i, f"https://m.example/{i}", page.format(i)) for i in range(9)], PAGE)))}
+    assert got == {i: f"Story {i} has a link in it." for i in range(9)}
+    marked = "<html><body><h1>Site</h1><section{1}><p>Text {0}.</p></section><table><tr><td>Teaser {0}</td></tr></table><h6>End</h6></body></html>"
+    pages = [(i, f"https://a.example/{i}", marked.format(i, ' id="story"' if i == 7 else ' itemprop="articleBody"')) for i in range(20)]
+    pages[7] = (7, pages[7][1], marked.format(7, ""))
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(spark.createDataFrame(pages, PAGE)))}
+    assert got == {i: f"Text {i}." for i in range(20)}
+
+
+def test_borders_that_change_places_or_cross(spark):
+    """Tokens in varying order give no borders; their texts stay fixed."""
+    pages = []
+    for i in range(10):
+        parts = ["<div><b>Left</b></div>", "<p>Right</p>"]
+        pages.append((i, f"https://x.example/{i}", f"<html><body><h1>Head</h1>{''.join(parts[:: 1 if i % 2 else -1])}<section>Own {i}</section></body></html>"))
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(spark.createDataFrame(pages, PAGE)))}
+    assert got == {i: f"Own {i}" for i in range(10)}
+    a, b = [(1, 0), (2, 0)], [(3, 0), (4, 0)]
+    cls, rank = {1: 10, 2: 10, 3: 20, 4: 20}, {10: (5, 2, 10), 20: (4, 2, 20)}
+    assert html_extract.read_borders([a[0], b[0], b[1], a[1]], cls, rank)[1] == set()
+    assert html_extract.read_borders([a[0], b[0], a[1], b[1]], cls, rank)[1] == {20}
 
 
 def test_html_edges(spark):
