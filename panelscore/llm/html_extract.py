@@ -27,9 +27,10 @@ left out. Fixed texts are left out of pages without a region; inside a region on
 that nearly all of the host's pages share (``region_share``), as a paragraph that copies share is no template.
 
 Scale: vectors are never built. A token's vector is represented by order-free sums of hashes of its
-(page, count) pairs, aggregated before the only shuffle of tokens. A page is one row of token hashes;
-copies of a page count once, by (host, page), so a host with a third of all pages is spread. Places
-and slots are added up per task first. The template of a host has at most a page's tokens divided by
+(page, count) pairs. Copies of a page count once: one row per token and distinct page is shuffled, by
+host, token and page, so a host with a third of all pages is spread, and digests are aggregated before the
+next shuffle. A page is written once as a row of token hashes, from which places and
+slots are read (copies too, which changes no place) and added up per task first. The template of a host has at most a page's tokens divided by
 ``min_share``; templates are broadcast up to ``broadcast_tokens`` tokens in all and joined by host beyond.
 
 Defined results: null or empty html gives an empty text; pages whose url has no host share the
@@ -48,6 +49,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -278,44 +280,55 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-# A page as token hashes: its events in order, and each token once with its count.
-_PAGE_SCHEMA = "host string, page long, events array<long>, kinds array<tinyint>, chars array<int>, tokens array<struct<token: long, kind: tinyint, n: int>>"
-_PAGE_TYPES = [
-    pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()),
-    pa.list_(pa.struct([("token", pa.int64()), ("kind", pa.int8()), ("n", pa.int32())])),
-]
+# A page as token hashes: its events in order.
+_PAGE_SCHEMA = "host string, page long, events array<long>, kinds array<tinyint>, chars array<int>"
+_PAGE_TYPES = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32())]
+#: Rows of a batch that are unpacked at a time.
+STEP = 500
 #: Added to a text event's kind, by what its block is.
 IN_BOILER, IN_MAIN, IN_LINK = 8, 16, 32
+#: Added to the kind of an event whose token occurs again on the page.
+AGAIN = 64
 
 
-def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            yield batch.slice(at, STEP)
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _steps(batches):
         out: list[list] = [[] for _ in _PAGE_TYPES]
         for host, page, html in zip(*(c.to_pylist() for c in batch.columns)):
             _, events, _ = parse(html or "")
-            seq = sequence(events)
             kinds, chars = [], []
             for kind, x in events:
                 chars.append(len(x.text) if kind == TEXT else 0)
                 if kind == TEXT:
                     kind += IN_BOILER if x.boiler else IN_MAIN if x.main else IN_LINK if x.link else 0
                 kinds.append(kind)
-            counts = Counter(e for e in seq if e[1] != CLOSE)
-            row = [host, page, [t for t, _ in seq], kinds, chars, [{"token": t, "kind": k, "n": n} for (t, k), n in counts.items()]]
-            for column, value in zip(out, row):
+            seq = sequence(events)
+            times = Counter(seq)
+            kinds = [k + AGAIN if times[e] > 1 else k for e, k in zip(seq, kinds)]
+            for column, value in zip(out, [host, page, [t for t, _ in seq], kinds, chars]):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _PAGE_TYPES)], names=["host", "page", "events", "kinds", "chars", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _PAGE_TYPES)], names=["host", "page", "events", "kinds", "chars"])
 
 
 def equivalence_classes(seen: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     """``host, token, kind, cls, support, share, once`` of the tokens of each host's valid classes."""
-    one = seen.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
+    one = seen.select("host", "page", F.explode(F.arrays_zip("events", "kinds")).alias("t"))
+    one = one.select("host", "page", F.col("t.events").alias("token"), F.col("t.kinds").bitwiseAND(F.lit(7).cast("byte")).alias("kind"), (F.col("t.kinds") >= AGAIN).alias("again"))
+    one = one.where(F.col("kind") != CLOSE)
+    # copies of a page multiply all its counts by one number, which leaves equal vectors equal
+    one = one.groupBy("host", "token", "page").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.max("again").alias("again"))
     # order-free digest of the occurrence vector; sums of 31-bit pieces cannot overflow below 2**32 pages
     pair = F.xxhash64("page", "n")
     vector = [F.sum(F.shiftrightunsigned(pair, 33)).alias("v1"), F.sum(pair.bitwiseAND(F.lit((1 << 31) - 1))).alias("v2")]
-    each = one.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("kind").alias("kind"), (F.max("n") == 1).alias("once"), *vector)
+    each = one.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("kind").alias("kind"), (~F.max("again")).alias("once"), *vector)
     each = common.written(each.where(F.col("support") >= min_pages), "html-tokens")
-    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     vectors = ["host", "v1", "v2", "support"]
     # an element's opening and closing are two tokens with one vector
     classes = each.groupBy(*vectors).agg(F.sum(F.when(F.col("kind") == OPEN, 2).otherwise(1)).alias("members")).where("members > 1")
@@ -411,7 +424,7 @@ _BORDER_SCHEMA = "host string, cls long, token long, close boolean, lo int, hi i
 
 def _border_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Template] = {}
-    for batch in batches:
+    for batch in _steps(batches):
         found: dict[tuple, list] = {}
         hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
         for host, template, (seq, _, _) in zip(hosts, _templates(batch, held, ["template", "none"]), _events(batch)):
@@ -428,40 +441,41 @@ def _border_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # Places of classes (cls set) and contents of slots (cls null).
-_SLOT_SCHEMA = "host string, cls long, parent long, slot int, support long, level int, n long, main long, link long, plain long"
+_SLOT_SCHEMA = "host string, cls long, parent long, slot int, level int, n long, main long, link long, plain long"
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Template] = {}
-    for batch in batches:
+    for batch in _steps(batches):
         found: dict[tuple, list[int]] = {}
         hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
         for host, template, (seq, kinds, chars) in zip(hosts, _templates(batch, held, ["template", "borders"]), _events(batch)):
             lists: dict[int, list] = {}
             for (token, kind, begins, chain), flags, size in zip(template.chains(seq), kinds, chars):
                 if begins is not None:
-                    _place(found, host, template, begins, chain)
+                    _place(found, host, begins, chain)
                 if token in template.lists:
                     c = template.lists[token]
                     # the slots that hold all of a list's places
                     lists[c] = [a for a, b in zip(lists[c], chain) if a == b] if c in lists else chain
                 if kind == TEXT and not flags & IN_BOILER and token not in template.fixed and chain:
-                    row = found.setdefault((host, None, *chain[-1]), [0, 0, 0, 0, 0, 0])
-                    row[2] += 1
-                    row[3 if flags & IN_MAIN else 4 if flags & IN_LINK else 5] += size
+                    row = found.setdefault((host, None, *chain[-1]), [0, 0, 0, 0, 0])
+                    row[1] += 1
+                    row[2 if flags & IN_MAIN else 3 if flags & IN_LINK else 4] += size
             for c, chain in lists.items():
-                _place(found, host, template, c, chain)
+                _place(found, host, c, chain)
         rows = [(*k, *v) for k, v in found.items()]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
-        names = ["host", "cls", "parent", "slot", "support", "level", "n", "main", "link", "plain"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+        names = ["host", "cls", "parent", "slot", "level", "n", "main", "link", "plain"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _place(found: dict, host: str, template: Template, cls: int, chain: list[tuple[int, int]]) -> None:
-    for level, slot in enumerate(chain):
-        row = found.setdefault((host, cls, *slot), [template.support[cls], level, 0, 0, 0, 0])
-        row[1] = min(row[1], level)
-        row[2] += 1
+def _place(found: dict, host: str, cls: int, chain: list[tuple[int, int]]) -> None:
+    """Counts a class on a page (a row without a slot), and in each slot that holds it there."""
+    for level, slot in enumerate([(None, None), *chain]):
+        row = found.setdefault((host, cls, *slot), [level, 0, 0, 0, 0])
+        row[0] = min(row[0], level)
+        row[1] += 1
 
 
 def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
@@ -471,7 +485,7 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     the slot that a class is nested in (none for outermost classes), ``roles`` the slots that are article
     or menu. ``pages`` has host, page (a digest of the html) and html.
     """
-    seen = pages.select("host", "page", "html").mapInArrow(_page_rows, _PAGE_SCHEMA).dropDuplicates(["host", "page"])
+    seen = pages.select("host", "page", "html").mapInArrow(_page_rows, _PAGE_SCHEMA)
     seen = common.written(seen, "html-pages")
     tokens = common.written(equivalence_classes(seen, min_pages, min_share), "html-classes")
     few = tokens.count() <= broadcast_tokens
@@ -486,8 +500,10 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     borders = borders.where(~F.col("crossed") & (F.size("tokens") > 1)).groupBy("host").agg(F.collect_list(F.struct("cls", "tokens")).alias("borders"))
     both = common.written(lists.join(borders, "host", "left"), "html-borders")
     found = common.written(events.join(small(both), "host").mapInArrow(_slot_rows, _SLOT_SCHEMA), "html-slots")
-    at = found.where("cls is not null").groupBy("host", "cls", "parent", "slot").agg(F.sum("n").alias("n"), F.max("support").alias("support"), F.min("level").alias("level"))
-    at = at.where("n = support").groupBy("host", "cls").agg(F.max_by(F.struct("parent", "slot"), "level").alias("in"))
+    at = found.where("cls is not null").groupBy("host", "cls", "parent", "slot").agg(F.sum("n").alias("n"), F.min("level").alias("level"))
+    # the row without a slot counts all pages of a class
+    at = at.withColumn("all", F.max("n").over(Window.partitionBy("host", "cls"))).where("n = all and parent is not null")
+    at = at.groupBy("host", "cls").agg(F.max_by(F.struct("parent", "slot"), "level").alias("in"))
     tree = at.groupBy("host").agg(F.collect_list(F.struct("cls", "in.parent", "in.slot")).alias("tree"))
     held = found.where("cls is null").groupBy("host", "parent", "slot").agg(*[F.sum(c).alias(c) for c in ("main", "link", "plain")])
     most = F.lit(ARTICLE_SHARE) * (F.col("main") + F.col("link") + F.col("plain"))
@@ -512,7 +528,7 @@ def main_text(blocks: list[Block], regions: int, fixed: dict[int, float], region
 def _extract_rows(region_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Template] = {}
-        for batch in batches:
+        for batch in _steps(batches):
             texts = []
             unpacked = _templates(batch, held, ["template", "borders", "tree", "roles"])
             for html, known in zip(batch.column(batch.schema.get_field_index("html")).to_pylist(), unpacked):
