@@ -38,6 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Rows dealt evenly over ``per_core`` partitions a core, whatever their bytes.
+
+    For short rows that cost much further on: AQE joins partitions by their bytes, so without a
+    fixed number all of them can stand in one task.
+    """
+    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def running_offsets(sizes: DataFrame, keys: Sequence[str], size: str = "n", name: str = "first") -> DataFrame:
     """``keys, first``: how many rows come before each part, parts in the order of ``keys`` (one short row per part)."""
     earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)

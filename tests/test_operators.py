@@ -322,3 +322,12 @@ def test_broadcast_is_checked_by_rows_and_bytes(spark):
     hint = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
     assert hint(bounded_broadcast(df, 2)) and not hint(bounded_broadcast(df, 1)) and not hint(bounded_broadcast(df, 2, max_bytes=999))
     assert hint(bounded_broadcast(df.select("n"), 2, max_bytes=0)) and hint(bounded_broadcast(df.limit(0), 2))
+
+
+def test_judgments_are_dealt_before_they_fan_out(spark):
+    """Prompts weigh a few bytes: without a fixed number of partitions their judgments stand in a few tasks."""
+    from data_dirs import SF_SMALL
+    from panelscore.plans import fixtures as fx
+
+    cores = spark.sparkContext.defaultParallelism
+    assert fx.judgments_raw(spark, SF_SMALL).rdd.getNumPartitions() >= 4 * cores
