@@ -21,6 +21,7 @@ TOP_TERMS = 5
 
 QUERY_BROADCAST_ROWS = 2_000_000  # query-token rows broadcast to the document side (checked)
 HOT_TOKENS_BROADCAST_ROWS = 1_000_000
+FREQUENCY_BROADCAST_ROWS = 4_000_000  # tokens with their document frequencies (checked)
 
 
 def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -94,29 +95,44 @@ def keyword_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame,
 
 
 def semantic_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame, digits: int = 6) -> DataFrame:
-    """ATS-2: tf-idf cosine of résumé and job, idf over résumés + jobs (N documents)."""
+    """ATS-2: tf-idf cosine of résumé and job, idf over résumés + jobs (N documents).
+
+    Texts are shuffled, tokens are not: once by document for the document frequencies, once by
+    application for the counts of its two texts, which also give the norms. Tokens of a single
+    document need no row among the frequencies, so these are small enough to broadcast as a rule.
+    """
     docs = resumes.select(F.concat(F.lit("r"), F.col("resume_id").cast("string")).alias("doc"), F.col("resume").alias("text")) \
         .unionByName(jobs.select(F.concat(F.lit("j"), F.col("job_id").cast("string")).alias("doc"), F.col("jd").alias("text")))
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    tf = token_counts(spread(docs), "doc", "text")
-    df_ = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df_, "token").select("doc", "token", (F.col("tf") * F.log(n_docs / F.col("df"))).alias("w"))
-    norms = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # rows of one id are one document: its tokens are told apart where its texts stand together
+    tokens = token_sets(docs.repartition("doc"), "doc", "text").groupBy("doc", "token").agg(F.lit(1).alias("one"))
+    df_ = checkpointed(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+
     app = applications.select(
         "job_id", "resume_id",
         F.concat(F.lit("j"), F.col("job_id").cast("string")).alias("jdoc"),
         F.concat(F.lit("r"), F.col("resume_id").cast("string")).alias("rdoc"),
     )
-    wj = w.select(F.col("doc").alias("jdoc"), "token", F.col("w").alias("wj"))
-    wr = w.select(F.col("doc").alias("rdoc"), "token", F.col("w").alias("wr"))
-    dots = app.join(wj, "jdoc").join(wr, ["rdoc", "token"]).groupBy("jdoc", "rdoc").agg(
-        F.sum(F.col("wj") * F.col("wr")).alias("dot")
+    keys = ["jdoc", "rdoc"]
+    pairs = app.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    sides = [
+        pairs.join(docs.select(F.col("doc").alias(key), "text"), key).select(*keys, "times", F.lit(key == "jdoc").alias("job"), "text")
+        for key in keys
+    ]
+    texts = sides[0].unionByName(sides[1]).repartition(*keys)
+    piece = texts.select(*keys, "times", "job", F.explode(token_array(F.col("text"))).alias("token")).where(is_token(F.col("token")))
+    tf = piece.groupBy(*keys, "times", "token").agg(F.count(F.when(F.col("job"), 1)).alias("tj"), F.count(F.when(~F.col("job"), 1)).alias("tr"))
+    met = tf.join(bounded_broadcast(df_, FREQUENCY_BROADCAST_ROWS), "token", "left")
+    idf = F.log(n_docs / F.coalesce("df", F.lit(1)))
+    w = met.select(*keys, "times", (F.col("tj") * idf).alias("wj"), (F.col("tr") * idf).alias("wr"))
+    # an application that stands twice counts its products twice
+    sums = w.groupBy(*keys, "times").agg(
+        F.sum(F.col("wj") * F.col("wr")).alias("dot"),
+        F.sqrt(F.sum(F.col("wj") * F.col("wj"))).alias("nj"),
+        F.sqrt(F.sum(F.col("wr") * F.col("wr"))).alias("nr"),
     )
-    nj = norms.select(F.col("doc").alias("jdoc"), F.col("norm").alias("nj"))
-    nr = norms.select(F.col("doc").alias("rdoc"), F.col("norm").alias("nr"))
-    out = app.join(dots, ["jdoc", "rdoc"], "left").join(nj, "jdoc", "left").join(nr, "rdoc", "left")
-    cos = F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("nj") * F.col("nr"))
-    return out.select("job_id", "resume_id", F.bround(cos, digits).alias("cosine"))
+    cos = F.try_divide(F.col("dot") * F.col("times"), F.col("nj") * F.col("nr"))
+    return app.join(sums, keys, "left").select("job_id", "resume_id", F.bround(cos, digits).alias("cosine"))
 
 
 # --------------------------------------------------------------------------- RET-1

@@ -324,6 +324,26 @@ def test_broadcast_is_checked_by_rows_and_bytes(spark):
     assert hint(bounded_broadcast(df.select("n"), 2, max_bytes=0)) and hint(bounded_broadcast(df.limit(0), 2))
 
 
+def test_semantic_match_shuffles_texts_not_tokens(spark):
+    """Ids that stand twice count as one document, applications that stand twice count twice; tokens stay where their texts are."""
+    r = spark.createDataFrame([(1, "spark sql joins"), (1, "window sql"), (2, "rust"), (None, "lost text")], "resume_id long, resume string")
+    j = spark.createDataFrame([(7, "sql joins spark"), (8, ""), (9, "rust sql")], "job_id long, jd string")
+    a = spark.createDataFrame([(7, 1), (7, 1), (8, 2), (9, 2), (9, None), (9, 5)], "job_id long, resume_id long")
+    out = textmatch.semantic_match(a, r, j)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "token" in line]
+
+    ln, n = np.log, 7
+    idf = {"spark": ln(n / 2), "sql": ln(n / 3), "joins": ln(n / 2), "window": ln(n), "rust": ln(n / 2)}
+    texts = {"r1": "spark sql joins window sql", "r2": "rust", "j7": "sql joins spark", "j9": "rust sql"}
+    w = {d: {t: s.split().count(t) * idf[t] for t in set(s.split())} for d, s in texts.items()}
+    norm = {d: np.sqrt(sum(x * x for x in v.values())) for d, v in w.items()}
+    cos = lambda x, y: sum(w[x][t] * w[y].get(t, 0) for t in w[x]) / (norm[x] * norm[y])
+    got = sorted(((x[0], x[1] or 0, x[2]) for x in out.collect()), key=str)
+    want = [(7, 1, round(2 * cos("j7", "r1"), 6))] * 2 + [(8, 2, None), (9, 0, None), (9, 2, round(cos("j9", "r2"), 6)), (9, 5, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_judgments_are_dealt_before_they_fan_out(spark):
     """Prompts weigh a few bytes: without a fixed number of partitions their judgments stand in a few tasks."""
     from data_dirs import SF_SMALL
