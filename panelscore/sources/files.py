@@ -218,12 +218,16 @@ def read_prompts_text(spark: SparkSession, path: str) -> DataFrame:
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5 + STR-14: résumé files; .txt decoded as UTF-8, .pdf/.docx unsupported, others empty.
 
-    Bytes are read of .txt files only; of all others the listing is enough.
+    Bytes are read of .txt files only; of all others the listing is enough. Folders are listed by a
+    few tasks a core: the default is a task for each folder, up to ten thousand.
     """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     listed = {"format": "binaryFile", "recursiveFileLookup": "true"}
-    texts = spark.read.load(path, pathGlobFilter="*.[tT][xX][tT]", **listed).select("path", F.decode("content", "UTF-8").alias("resume"))
-    others = spark.read.load(path, **listed).select("path").where(suffix != ".txt").select("path", F.lit("").alias("resume"))
+    with conf_override(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}):
+        texts = spark.read.load(path, pathGlobFilter="*.[tT][xX][tT]", **listed)
+        others = spark.read.load(path, **listed)
+    texts = texts.select("path", F.decode("content", "UTF-8").alias("resume"))
+    others = others.select("path").where(suffix != ".txt").select("path", F.lit("").alias("resume"))
     return texts.unionByName(others).select("path", suffix.alias("suffix"), "resume", suffix.isin(".pdf", ".docx").alias("unsupported"))
 
 

@@ -243,3 +243,20 @@ def test_resume_kinds_and_bytes(spark, tmp_path):
         "a.txt": ("é one", ".txt", False), "b.TXT": ("two", ".txt", False), "c.pdf": ("", ".pdf", True),
         "d.Docx": ("", ".docx", True), "e.md": ("", ".md", False), "f": ("", "", False),
     }
+
+
+def test_resume_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """A folder for each résumé does not make a listing task for each folder."""
+    for i in range(120):
+        (tmp_path / f"id={i}").mkdir()
+        (tmp_path / f"id={i}" / "cv.txt").write_text(f"text {i}", encoding="utf-8")
+    sc, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    sc.setJobGroup("listing-of-resumes", "listing")
+    got = files.read_resumes(spark, str(tmp_path))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing-of-resumes") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism
+    assert {r["resume"] for r in got.collect()} == {f"text {i}" for i in range(120)}
+    assert spark.conf.get(name) == before
