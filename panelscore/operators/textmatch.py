@@ -10,8 +10,16 @@ tokens, never all pairs of a group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.tokens import is_token, token_array
 from .joins import bounded_broadcast, spread
@@ -19,9 +27,9 @@ from .joins import bounded_broadcast, spread
 TOP_TERMS = 5
 
 
-QUERY_BROADCAST_ROWS = 2_000_000  # query-token rows broadcast to the document side (checked)
-HOT_TOKENS_BROADCAST_ROWS = 1_000_000
+QUERY_BROADCAST_ROWS = 2_000_000  # tokens of the queries broadcast to the document side (checked)
 FREQUENCY_BROADCAST_ROWS = 4_000_000  # tokens with their document frequencies (checked)
+BLOCK_POSTINGS = 4_000_000  # (document, token) rows of a block of documents
 
 
 def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -138,6 +146,109 @@ def semantic_match(applications: DataFrame, resumes: DataFrame, jobs: DataFrame,
 # --------------------------------------------------------------------------- RET-1
 
 
+def exact_round(x: np.ndarray, digits: int) -> np.ndarray:
+    """``bround`` of doubles: half-even by their shortest decimal text, looked at only near a half."""
+    scaled = x * 10.0**digits
+    out = np.round(x, digits)
+    for i in np.flatnonzero(np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN))
+    return out
+
+
+class Block:
+    """The postings of one block of documents: per token its documents, numbered in id order."""
+
+    def __init__(self, ids: pa.Array, tids: np.ndarray):
+        coded = ids.dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(coded.dictionary, null_placement="at_start").to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids = coded.dictionary.take(pa.array(order))
+        # documents that stand twice count their tokens twice
+        n = len(order)
+        known, at = np.unique(tids, return_inverse=True)
+        both, times = np.unique(at * n + place[coded.indices.to_numpy()], return_counts=True)
+        self.tokens, self.docs, self.times = known, both % n, times.astype(np.float64)
+        self.edges = np.searchsorted(both, np.arange(len(known) + 1) * n)
+        self.most = self.times.max(initial=1.0)
+        self.once = bool(self.most == 1)
+
+    def _sums(self, tokens: np.ndarray, idfs: np.ndarray) -> np.ndarray:
+        """Per document the sum of the idf of the tokens it has."""
+        sizes = self.edges[tokens + 1] - self.edges[tokens]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.edges[tokens] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        weights = np.repeat(idfs, sizes)
+        return np.bincount(self.docs[at], weights if self.once else weights * self.times[at], len(self.ids)).astype(np.float64, copy=False)
+
+    def _sums_of(self, tokens: np.ndarray, idfs: np.ndarray, only: np.ndarray) -> np.ndarray:
+        """The same for a few documents, by lookups in the postings."""
+        out = np.zeros(len(only))
+        for a, b, idf in zip(self.edges[tokens].tolist(), self.edges[tokens + 1].tolist(), idfs.tolist()):
+            at = a + np.minimum(np.searchsorted(self.docs[a:b], only), b - a - 1)
+            hit = self.docs[at] == only
+            out[hit] += idf * self.times[at[hit]]
+        return out
+
+    def best(self, tids: np.ndarray, idfs: np.ndarray, hot: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the query's ``k`` best documents here (score down, then id)."""
+        margin = 10.0**-digits * 2
+        at = np.minimum(np.searchsorted(self.tokens, tids), len(self.tokens) - 1)
+        here = self.tokens[at] == tids
+        at, idfs, hot = at[here], idfs[here], hot[here]
+        scores = self._sums(at[~hot], idfs[~hot])
+        kth = lambda: np.partition(scores, len(scores) - k)[len(scores) - k] if k < len(scores) else 0.0
+        if hot.any():
+            # documents whose cold score and all that hot tokens can add stay below the k-th cold score are out
+            live = np.flatnonzero(scores + idfs[hot].sum() * self.most >= kth() - margin)
+            if len(live) * 16 < len(scores):
+                scores[live] += self._sums_of(at[hot], idfs[hot], live)
+            else:
+                scores += self._sums(at[hot], idfs[hot])
+        found = np.flatnonzero((scores >= kth() - margin) & (scores > 0))
+        if len(found) < k and (idfs == 0).any():
+            # tokens that all documents have add nothing, but what shares them is found
+            shared = np.unique(np.concatenate([self.docs[self.edges[t] : self.edges[t + 1]] for t in at[idfs == 0].tolist()]))
+            found = np.concatenate([found, np.setdiff1d(shared, np.flatnonzero(scores > 0))])
+        rounded = exact_round(scores[found], digits)
+        first = np.lexsort((found, -rounded))[:k]
+        return found[first], rounded[first]
+
+
+def _best_of_blocks(k: int, digits: int, schema: pa.Schema):
+    """Rows sorted by block, its postings before the queries: the best documents of each query in each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for batch in batches:
+            blocks, is_query = batch.column("block").to_numpy(), batch.column("tids").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_query[1:] != is_query[:-1])) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if blocks[a] != now:
+                    now, held, block = blocks[a], [], None
+                part = batch.slice(a, b - a)
+                if not is_query[a]:
+                    held.append(part.select(["did", "tid"]))
+                    continue
+                if block is None and held:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    block, held = Block(t.column("did").combine_chunks(), t.column("tid").to_numpy()), []
+                if block is None:
+                    continue
+                rows, places, scores = [], [], []
+                for i, (tids, idfs, hot) in enumerate(zip(part.column("tids"), part.column("idfs"), part.column("hot"))):
+                    x, y = block.best(tids.values.to_numpy(), idfs.values.to_numpy(), hot.values.to_numpy(zero_copy_only=False), k, digits)
+                    rows.append(np.full(len(x), i))
+                    places.append(x)
+                    scores.append(y)
+                qid = part.column("qid").take(pa.array(np.concatenate(rows)))
+                did = block.ids.take(pa.array(np.concatenate(places)))
+                yield pa.RecordBatch.from_arrays([qid.cast(schema.field(0).type), did.cast(schema.field(1).type), pa.array(np.concatenate(scores))], schema=schema)
+
+    return run
+
+
 def retrieve(
     queries: DataFrame,
     docs: DataFrame,
@@ -148,77 +259,56 @@ def retrieve(
     did: str = "doc_id",
     dtext: str = "text",
     digits: int = 6,
+    block_postings: int = BLOCK_POSTINGS,
 ) -> DataFrame:
     """RET-1: top-``k`` documents per query by the sum of ln(N/df) over distinct shared tokens.
 
     Ranking: score (rounded to ``digits``) desc, then doc id asc; only documents
-    sharing at least one token are returned. Exact, without an all-pairs join on
-    frequent tokens:
-
-    1. *cold* tokens (df <= hot_fraction * N) generate candidate pairs through
-       the token join (each cold token reaches at most hot_fraction * N docs);
-    2. ``t`` = the k-th best cold score of a query and ``u`` = its hot idf mass;
-       a candidate with ``s_cold + u < t`` cannot reach the top k (k candidates
-       already score at least ``t``), so only the rest get their exact hot part;
-    3. a document outside the candidates scores at most ``u`` (and only if it
-       shares a hot token), so a query whose k-th final score beats ``u``, or
-       that has no hot token, is final;
-    4. the remaining queries are scored exactly over all shared tokens.
-
-    ``hot_fraction`` trades candidate volume (cold join) against the number of
-    queries that need step 4; the result is exact for any value.
+    sharing at least one token are returned. Exact, and no pair of a query and a
+    document is ever written:
+
+    1. document tokens that occur in a query are numbered, counted, and written as
+       two numbers a row;
+    2. documents are dealt to blocks of about ``block_postings`` such rows. A block's
+       task holds its postings and reads the queries one by one. It adds up a query's
+       *cold* tokens (df <= hot_fraction * N) in one array over the block's documents;
+       its *hot* tokens are then looked up only for documents that can still be among
+       the block's best ``k``;
+    3. the best ``k`` of each block are ranked once more per query.
+
+    The products are (queries x documents) by nature; what is shuffled is the
+    postings once, and per block the queries and ``k`` rows of each.
+    ``hot_fraction`` trades sums against lookups; the result is exact for any value.
     """
-    margin = 10.0 ** (-digits)  # larger than any rounding shift of a score
-    # The token tables feed several passes; a reliable checkpoint (shared
-    # checkpoint folder) computes each once and survives executor loss.
-    dt = checkpointed(token_sets(spread(docs), did, dtext), "doc_tokens")
+    spark = docs.sparkSession
+    q = token_sets(queries, qid, qtext).where(F.col(qid).isNotNull()).groupBy(qid, "token").agg(F.count(F.lit(1)).alias("times"))
+    # a written number stays the same for all that read it
+    words = checkpointed(q.select("token").distinct().withColumn("tid", F.monotonically_increasing_id()), "words")
+    dt = token_sets(spread(docs), did, dtext).join(bounded_broadcast(words, QUERY_BROADCAST_ROWS), "token").select(F.col(did).alias("did"), "tid")
+    dt = checkpointed(dt, "doc_tokens")
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    stats = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = stats.select("token", F.log(n_docs / F.col("df")).alias("idf"), (F.col("df") > n_docs * hot_fraction).alias("hot"))
+    stats = dt.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    stats = stats.select("tid", F.log(n_docs / F.col("df")).alias("idf"), (F.col("df") > n_docs * hot_fraction).alias("hot"))
     # tokens absent from every document cannot match
-    qt = checkpointed(token_sets(queries, qid, qtext).join(stats, "token"), "query_tokens")
-    # the query side is usually far smaller than the corpus: broadcast it when its
-    # size is within bound, so document tokens are never shuffled for the joins
-    qt_b = bounded_broadcast(qt, QUERY_BROADCAST_ROWS)
-
-    # 1. cold candidates and their cold score
-    cand = checkpointed(
-        dt.join(qt_b.where(~F.col("hot")), "token").groupBy(qid, did).agg(F.sum("idf").alias("s_cold")), "candidates"
+    terms = q.join(words, "token").join(stats, "tid")
+    terms = terms.groupBy(F.col(qid).alias("qid")).agg(F.array_sort(F.collect_list(F.struct("tid", (F.col("idf") * F.col("times")).alias("idf"), "hot"))).alias("terms"))
+    n_rows = dt.count()
+    cores = spark.sparkContext.defaultParallelism
+    n_blocks = max(4 * cores, -(-n_rows // block_postings))
+
+    dtype, qtype = docs.schema[did].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    postings = dt.select(
+        F.pmod(F.xxhash64("did"), F.lit(n_blocks)).alias("block"), "did", "tid", none(qtype).alias("qid"),
+        none("array<bigint>").alias("tids"), none("array<double>").alias("idfs"), none("array<boolean>").alias("hot"),
     )
-    # 2. per-query bounds and pruning (top-k per query is planned as a WindowGroupLimit)
-    wc = Window.partitionBy(qid).orderBy(F.desc("s_cold"), F.asc(did))
-    kth = cand.withColumn("_rn", F.row_number().over(wc)).where(F.col("_rn") == k).select(qid, F.col("s_cold").alias("t"))
-    bound = qt.groupBy(qid).agg(
-        F.sum(F.when(F.col("hot"), F.col("idf")).otherwise(0.0)).alias("u"),
-        F.count(F.when(F.col("hot"), 1)).alias("n_hot"),
-    )
-    bounds = bound.join(kth, qid, "left")
-    live = cand.join(bounds, qid).where(F.col("t").isNull() | (F.col("s_cold") + F.col("u") >= F.col("t") - margin))
-    qh = qt.where(F.col("hot")).select(qid, "token", "idf")
-    # at most (avg distinct tokens per doc) / hot_fraction tokens are hot: a small,
-    # size-checked broadcast
-    hot_tokens = bounded_broadcast(stats.where("hot").select("token"), HOT_TOKENS_BROADCAST_ROWS)
-    dt_h = dt.join(hot_tokens, "token")
-    hot_part = live.select(qid, did).join(qh, qid).join(dt_h, [did, "token"]).groupBy(qid, did).agg(
-        F.sum("idf").alias("s_hot")
-    )
-    scored = live.join(hot_part, [qid, did], "left").select(
-        qid, did, "u", F.bround(F.col("s_cold") + F.coalesce("s_hot", F.lit(0.0)), digits).alias("score")
+    asked = terms.select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"), none(dtype).alias("did"), none("bigint").alias("tid"),
+        "qid", F.col("terms.tid").alias("tids"), F.col("terms.idf").alias("idfs"), F.col("terms.hot").alias("hot"),
     )
+    cells = postings.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", F.col("tids").isNotNull())
+    out = StructType([StructField(qid, queries.schema[qid].dataType), StructField(did, docs.schema[did].dataType), StructField("score", DoubleType())])
+    best = cells.mapInArrow(_best_of_blocks(k, digits, to_arrow_schema(out)), out)
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(did))
-    # at most k rows per query; written once so that certification, the size check
-    # of the fallback queries and the final union all read it
-    ranked = checkpointed(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "ranked")
-    # 3. certification: the k-th final score must beat anything a non-candidate can reach
-    kth_final = ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s_k"))
-    # a query without any candidate has null n / s_k: it must go to the exact path
-    ok = (F.col("n_hot") == 0) | ((F.col("n") >= k) & (F.col("s_k") > F.bround("u", digits)))
-    cert = bound.join(kth_final, qid, "left").select(qid, F.coalesce(ok, F.lit(False)).alias("final"))
-    done = ranked.join(cert.where("final").select(qid), qid, "left_semi")
-    # 4. exact scoring of the rest
-    rest_q = qt.join(cert.where(~F.col("final")).select(qid), qid, "left_semi")
-    full = dt.join(bounded_broadcast(rest_q, QUERY_BROADCAST_ROWS), "token").groupBy(qid, did).agg(
-        F.bround(F.sum("idf"), digits).alias("score")
-    )
-    rest = full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return done.select(qid, did, "rank", "score").unionByName(rest.select(qid, did, "rank", "score"))
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(qid, did, "rank", "score")

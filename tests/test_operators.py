@@ -324,6 +324,25 @@ def test_broadcast_is_checked_by_rows_and_bytes(spark):
     assert hint(bounded_broadcast(df.select("n"), 2, max_bytes=0)) and hint(bounded_broadcast(df.limit(0), 2))
 
 
+def test_retrieval_writes_no_candidates(spark, monkeypatch):
+    """No pairs of queries and documents are written, whatever tokens they share; blocks of any size agree."""
+    docs = [(i, " ".join(f"word{(i * 7 + j) % 23}" for j in range(1 + i % 9))) for i in range(120)] + [(5, "word3 word4")]
+    queries = [(1000 + i, " ".join(f"word{(i * 5 + j) % 29}" for j in range(4))) for i in range(40)]
+    qd, dd = spark.createDataFrame(queries, "prompt_id long, prompt string"), spark.createDataFrame(docs, "doc_id long, text string")
+    written, keep = [], textmatch.checkpointed
+    monkeypatch.setattr(textmatch, "checkpointed", lambda df, name="stage": written.append(df.columns) or keep(df, name))
+    got = [sorted(textmatch.retrieve(qd, dd, block_postings=n).collect()) for n in (10, 1_000_000)]
+    assert got[0] == got[1] and len(got[0]) >= 100
+    assert not [c for c in written if "prompt_id" in c and "doc_id" in c]
+
+
+def test_exact_round_is_bround(spark):
+
+    x = [0.0000005, 0.0000015, 1.0000025, 2.3456785, 7.1234565, 3.0000005000001, 12.5, 1e-9]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.bround("x", 6)).collect()]
+    assert textmatch.exact_round(np.array(x), 6).tolist() == want
+
+
 def test_semantic_match_shuffles_texts_not_tokens(spark):
     """Ids that stand twice count as one document, applications that stand twice count twice; tokens stay where their texts are."""
     r = spark.createDataFrame([(1, "spark sql joins"), (1, "window sql"), (2, "rust"), (None, "lost text")], "resume_id long, resume string")
