@@ -362,6 +362,19 @@ def test_suffix_dedup_on_documents(docs, sample):
     assert suffix_rows(suffix_dedup.remove_repeated_bytes(docs(pairs))) == bytes_brute(pairs, 400)
 
 
+def test_suffix_dedup_planted_passages(docs):
+    rng = random.Random(11)
+    words = lambda n, size: " ".join("".join(rng.choices("abcdefgh", k=size)) for _ in range(n))
+    long_, short = words(60, 7), words(51, 5)  # over 50 words each: 479 bytes, and 305
+    pairs = [(i, " ".join([words(30 + 9 * i, 6), *([long_] if i < 10 else [short] if i < 20 else []), words(20, 6)])) for i in range(40)]
+    got = suffix_rows(suffix_dedup.remove_repeated_bytes(docs(pairs)))
+    assert got == bytes_brute(pairs, 400)
+    # n_bytes is the input's length; what went stands in n_removed
+    assert [(i, n) for i, n, *_ in got] == [(i, len(t)) for i, t in pairs]
+    assert [i for i, _, removed, *_ in got if removed >= 479] == [*range(10)]
+    assert [i for i, _, removed, *_ in got if removed == 0] == [*range(10, 40)]
+
+
 def test_suffix_dedup_when_scratch_files_are_split(docs, spark):
     """Tiny row groups and splits: a shard's segments are still sorted together."""
     from panelscore.session import conf_override
