@@ -743,22 +743,18 @@ def q_sorted_stats(spark, sf):
     return numbered(analysis.cross_eval(_facts(spark, sf)), [F.asc_nulls_last(k) for k in ("target_model", "evaluator")], "place")
 
 
-# each task puts its own files in place when it ends; by default the driver moves them all, one by one, when the job ends
-FILES_BY_TASKS = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
-
-
 @register("resume_files")
 def q_resume_files(spark, sf):
     """SRC-5 + STR-14: résumés written as text files (and jobs as other files), listed by kind, texts read back."""
     base = scratch_path(spark, "resumes")
-    key = F.format_string("%012d", F.col("resume_id"))
-    # one file per résumé: written by as many tasks as there are cores
-    spread(fx.resumes(spark, sf).select(key.alias("id"), F.col("resume").alias("value"))).write.partitionBy("id").option(*FILES_BY_TASKS).text(f"{base}/resumes")
+    key = F.concat(F.lit("id="), F.format_string("%012d", F.col("resume_id")))
+    # one file per résumé
+    sinks.write_text_files(spread(fx.resumes(spark, sf).select(key.alias("name"), F.col("resume").alias("value"))), f"{base}/resumes")
     # files of another kind next to them: listed, never read
     fx.jobs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n")).write.partitionBy("source").csv(f"{base}/jobs")
     files = file_src.read_resumes(spark, base)
     return files.select(
-        F.regexp_extract("path", r"/id=0*(\d+)/", 1).alias("resume_id"),
+        F.regexp_extract("path", r"/(?:file=)?id=0*(\d+)-[^/]*(?:/[^/]*)?$", 1).alias("resume_id"),
         F.regexp_extract("path", r"/source=([^/]*)/", 1).alias("source"),
         file_src.input_kind(F.col("path")).alias("kind"), "suffix", "unsupported", "resume",
     )

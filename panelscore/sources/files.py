@@ -49,6 +49,9 @@ CSV_OPTIONS = {
 }
 
 
+SMALL_FILE_BYTES = 64 << 10  # what opening a small file counts as when files are dealt to tasks
+
+
 def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -218,17 +221,20 @@ def read_prompts_text(spark: SparkSession, path: str) -> DataFrame:
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5 + STR-14: résumé files; .txt decoded as UTF-8, .pdf/.docx unsupported, others empty.
 
-    Bytes are read of .txt files only; of all others the listing is enough. Folders are listed by a
-    few tasks a core: the default is a task for each folder, up to ten thousand.
+    Files are listed once and bytes are read of .txt files only; of all others the listing is enough.
+    Folders are listed by a few tasks a core: the default is a task for each folder, up to ten thousand.
+    A task reads hundreds of small files, by the default it would be a few; as that is settled where the
+    files are read, their texts are written once.
     """
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    listed = {"format": "binaryFile", "recursiveFileLookup": "true"}
-    with conf_override(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}):
-        texts = spark.read.load(path, pathGlobFilter="*.[tT][xX][tT]", **listed)
-        others = spark.read.load(path, **listed)
-    texts = texts.select("path", F.decode("content", "UTF-8").alias("resume"))
-    others = others.select("path").where(suffix != ".txt").select("path", F.lit("").alias("resume"))
-    return texts.unionByName(others).select("path", suffix.alias("suffix"), "resume", suffix.isin(".pdf", ".docx").alias("unsupported"))
+    settings = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism, "spark.sql.files.openCostInBytes": SMALL_FILE_BYTES}
+    with conf_override(spark, settings):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+        # by their names, files are left out before tasks are planned
+        is_text = F.lower(F.col("_metadata.file_name")).endswith(".txt")
+        texts = files.where(is_text).select("path", suffix.alias("suffix"), F.decode("content", "UTF-8").alias("resume"))
+        others = files.where(~is_text).select("path", suffix.alias("suffix"), F.lit("").alias("resume"))
+        return materialize(texts.unionByName(others).select("*", F.col("suffix").isin(".pdf", ".docx").alias("unsupported")).select("path", "suffix", "resume", "unsupported"), "texts")
 
 
 def input_kind(name_col) -> F.Column:

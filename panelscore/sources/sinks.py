@@ -138,3 +138,62 @@ __all__ = [
     "write_run_partition",
     "write_report_text",
 ]
+
+
+FILES_IN_FOLDER = 1000
+# each task puts its own files in place when it ends; by default the driver moves them all, one by one, when the job ends
+FILES_BY_TASKS = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
+def _store(path: str):
+    """The file system of a folder as Python tasks reach it, and the folder's path there; None where they don't."""
+    import re
+
+    from pyarrow import fs
+
+    local = re.sub(r"^file:/+", "/", path)
+    try:
+        return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+    except (ValueError, OSError, NotImplementedError):
+        return None
+
+
+def _file_for_each_row(base: str):
+    """Writes (name, value) rows in a hidden folder, which becomes the task's folder when all is written."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileType
+        from pyspark import TaskContext
+
+        store, root = _store(base)
+        n, task = 0, TaskContext.get()
+        hidden, done = f"{root}/_attempt-{task.taskAttemptId()}", f"{root}/task={task.partitionId():05d}"
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = f"{hidden}/{n // FILES_IN_FOLDER:05d}"
+                if n % FILES_IN_FOLDER == 0:
+                    store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/{name}-{n}.txt") as f:
+                    f.write((value or "").encode() + b"\n")
+                n += 1
+        if n and store.get_file_info(done).type == FileType.NotFound:
+            store.move(hidden, done)
+        elif n:
+            store.delete_dir(hidden)  # another attempt was first
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    return run
+
+
+def write_text_files(df: DataFrame, base: str, name: str = "name", value: str = "value") -> None:
+    """A text file for each row, ``<name>-<number>.txt``, a thousand to a folder.
+
+    Python tasks write them, as Hadoop's local file system starts a ``chmod`` process for every file,
+    checksum file and folder that it makes. In a store that only Spark reaches, Spark's writer makes a folder for each name.
+    """
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value"))
+    if _store(base) is None:
+        rows.withColumn("file", F.concat("name", F.lit("-0"))).drop("name").write.partitionBy("file").option(*FILES_BY_TASKS).text(base)
+        return
+    rows.mapInArrow(_file_for_each_row(base), "files long").agg(F.sum("files")).first()

@@ -260,3 +260,37 @@ def test_resume_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert stages and max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism
     assert {r["resume"] for r in got.collect()} == {f"text {i}" for i in range(120)}
     assert spark.conf.get(name) == before
+
+
+def test_a_file_for_each_row_in_few_folders(spark, tmp_path):
+    """Files of any names, equal ones too, without a folder or a checksum file (a process each) for every file; nothing half-written is left."""
+    from panelscore.sources import sinks
+
+    rows = [(f"id={i:03d}", f"text é {i}\nend") for i in range(300)] + [("id=007", "again"), ("id=007", "again"), ("null", None)]
+    df = spark.createDataFrame(rows, "name string, value string").repartition(3)
+    sinks.write_text_files(df, f"file:{tmp_path}/out")
+    found = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "out") for f in names]
+    got = sorted((os.path.basename(f).rsplit("-", 1)[0], open(f, encoding="utf-8").read()) for f in found)
+    assert got == sorted((n, (v or "") + "\n") for n, v in rows)
+    folders = [d for d, _, _ in os.walk(tmp_path / "out")]
+    assert len(folders) <= 7 and not any("_attempt" in d for d in folders)
+    # in a store that Python can't reach, Spark writes them
+    assert sinks._store("viewfs://store/out") is None
+
+
+def test_small_resume_files_are_read_by_few_tasks(spark, tmp_path):
+    """Opening a file counts as 4 MB by default: four small files a task."""
+    from panelscore.session import conf_override
+
+    for i in range(400):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}", encoding="utf-8")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    sc = spark.sparkContext
+    with conf_override(spark, {"spark.sql.files.maxPartitionBytes": "16m"}):
+        sc.setJobGroup("reading-of-resumes", "reading")
+        got = [(r["resume"], r["unsupported"]) for r in files.read_resumes(spark, str(tmp_path)).collect()]
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("reading-of-resumes") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism
+    assert sorted(got) == sorted([(f"text {i}", False) for i in range(400)] + [("", True)])
