@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -47,6 +47,13 @@ def dealt(df: DataFrame, per_core: int = 4) -> DataFrame:
     return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` hash partitions: ``repartition(n, key)`` gives each its own (hashes of 0, 1, .. meet in some)."""
+    ids = spark.range(32 * n + 64)
+    part = F.pmod(F.hash("id"), F.lit(n))
+    return sorted(r[0] for r in ids.groupBy(part.alias("part")).agg(F.min("id")).select("min(id)").collect())
+
+
 def running_offsets(sizes: DataFrame, keys: Sequence[str], size: str = "n", name: str = "first") -> DataFrame:
     """``keys, first``: how many rows come before each part, parts in the order of ``keys`` (one short row per part)."""
     earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)

@@ -19,17 +19,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.tokens import is_token, token_array
-from .joins import bounded_broadcast, spread
+from .joins import bounded_broadcast, numbered, partition_keys, spread
 
 TOP_TERMS = 5
 
 
 QUERY_BROADCAST_ROWS = 2_000_000  # tokens of the queries broadcast to the document side (checked)
 FREQUENCY_BROADCAST_ROWS = 4_000_000  # tokens with their document frequencies (checked)
-BLOCK_POSTINGS = 4_000_000  # (document, token) rows of a block of documents
+BLOCK_POSTINGS = 12_000_000  # (document, token) pairs of a block of documents
+COMMON = 1 / 64  # share of a block's documents from which a token is looked up in bits
+SEEDS = 48  # leading documents that get their whole scores first
+LOOKUPS = 4  # common tokens looked up before documents are left out again
 
 
 def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -155,73 +158,154 @@ def exact_round(x: np.ndarray, digits: int) -> np.ndarray:
     return out
 
 
+class Postings:
+    """Postings of documents numbered in id order: per token its documents, and a bit a document for common tokens.
+
+    ``times`` has how often a document that stands more than once has the token; such documents get no bits.
+    """
+
+    def __init__(self, tids: np.ndarray, docs: np.ndarray, times: np.ndarray | None, n: int, common: float):
+        starts = np.flatnonzero(np.append(True, tids[1:] != tids[:-1])) if len(tids) else np.empty(0, np.int64)
+        self.tokens, self.edges = tids[starts], np.append(starts, len(tids))
+        self.docs, self.times, self.sizes = docs, times, np.diff(self.edges)
+        self.most = 1.0 if times is None else times.max(initial=1.0)
+        self.sums = np.zeros(n)  # all zero between queries
+        frequent = np.flatnonzero(self.sizes > n * common) if times is None else []
+        self.row = np.full(len(starts), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.bits = np.zeros((len(frequent), -(-n // 8)), np.uint8)
+        for bits, t in zip(self.bits, frequent):
+            has = np.zeros(n, np.bool_)
+            has[docs[self.edges[t] : self.edges[t + 1]]] = True
+            bits[:] = np.packbits(has, bitorder="little")
+
+    def _looked_up(self, rows: np.ndarray, idfs: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What common tokens add to the scores of a few documents."""
+        return idfs @ ((self.bits[rows[:, None], docs >> 3] >> (docs & 7).astype(np.uint8)) & 1)
+
+    def best(self, tids: np.ndarray, idfs: np.ndarray, ends: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, places and scores of all documents that can be among a query's ``k`` best, by any that can differ by less than ``margin``."""
+        query = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        at = np.searchsorted(self.tokens, tids)
+        here = at < len(self.tokens)
+        here[here] = self.tokens[at[here]] == tids[here]
+        at, idfs, query = at[here], idfs[here], query[here]
+        # tokens without bits first, rare ones before others
+        order = np.lexsort((-idfs, self.row[at] >= 0, query))
+        at, idfs = at[order], idfs[order]
+        rows, sizes, starts, stops = self.row[at], self.sizes[at], self.edges[at].tolist(), self.edges[at + 1].tolist()
+        without = np.bincount(query[rows < 0], minlength=len(ends)).tolist()
+        out, first = [], 0
+        for i, last in enumerate(np.cumsum(np.bincount(query, minlength=len(ends))).tolist()):
+            if last > first:
+                span = slice(first, last)
+                found, scores = self._best(idfs[span], rows[span], sizes[span], starts[span], stops[span], max(1, without[i]), k, margin)
+                out.append((np.full(len(found), i), found, scores))
+            first = last
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def _best(self, idfs, rows, sizes, starts: list[int], stops: list[int], j: int, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one query, of which the first ``j`` tokens are summed at once."""
+        end, done, parts = len(idfs), 0, []
+        # the most that a document can get from the tokens not yet summed
+        rest = np.zeros(end + 1)
+        np.cumsum(idfs[::-1] * self.most, out=rest[:-1])
+        rest[:-1] = rest[-2::-1]
+        while True:
+            new = [self.docs[a:b] for a, b in zip(starts[done:j], stops[done:j])]
+            weights = np.repeat(idfs[done:j], sizes[done:j])
+            if self.times is not None:
+                weights *= np.concatenate([self.times[a:b] for a, b in zip(starts[done:j], stops[done:j])])
+            parts += new
+            seen = np.concatenate(parts)
+            np.add.at(self.sums, np.concatenate(new) if done else seen, weights)
+            done, got = j, self.sums[seen]
+            # whole scores of those that lead so far: the k-th of them is the least that counts
+            lead = np.unique(seen[got.argpartition(len(got) - SEEDS)[-SEEDS:]] if len(got) > SEEDS else seen)
+            least = 0.0
+            if len(lead) >= k:
+                whole = self.sums[lead]
+                if j < end:
+                    whole += self._looked_up(rows[j:], idfs[j:], lead)
+                whole.sort()
+                least = whole[-k] - margin
+            if j == end or rest[j] < least:
+                break
+            # documents without any token summed so far can still count: more tokens are summed
+            j = min(end, max(j + 1, int((-rest).searchsorted(-least, side="right")))) if least > 0 else end
+        found = np.unique(seen[got >= least - rest[j]])
+        scores = self.sums[found]
+        self.sums[seen] = 0.0
+        while j < end:
+            a, j = j, end if len(found) <= SEEDS else min(j + LOOKUPS, end)
+            scores += self._looked_up(rows[a:j], idfs[a:j], found)
+            live = scores >= least - rest[j]
+            found, scores = found[live], scores[live]
+        return found, scores
+
+
 class Block:
-    """The postings of one block of documents: per token its documents, numbered in id order."""
+    """One block of documents, numbered in id order; those that have a token more than once stand apart."""
 
-    def __init__(self, ids: pa.Array, tids: np.ndarray):
+    def __init__(self, ids: pa.Array, tids: pa.ListArray, common: float):
         coded = ids.dictionary_encode(null_encoding="encode")
         order = pc.sort_indices(coded.dictionary, null_placement="at_start").to_numpy()
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.ids = coded.dictionary.take(pa.array(order))
+        self.ids, n = coded.dictionary.take(pa.array(order)), len(order)
+        place = place[coded.indices.to_numpy()]
+        in_order = np.argsort(place, kind="stable")
+        sizes = pc.list_value_length(tids).to_numpy()
+        docs = np.repeat(place[in_order], sizes[in_order])
+        flat = tids.take(pa.array(in_order)).flatten().to_numpy()
+        by_token = np.argsort(flat, kind="stable")
+        flat, docs = flat[by_token], docs[by_token]
+        del by_token
+        again = np.flatnonzero((flat[1:] == flat[:-1]) & (docs[1:] == docs[:-1])) + 1
+        if not len(again):
+            self.parts = [Postings(flat, docs, None, n, common)]
+            return
         # documents that stand twice count their tokens twice
-        n = len(order)
-        known, at = np.unique(tids, return_inverse=True)
-        both, times = np.unique(at * n + place[coded.indices.to_numpy()], return_counts=True)
-        self.tokens, self.docs, self.times = known, both % n, times.astype(np.float64)
-        self.edges = np.searchsorted(both, np.arange(len(known) + 1) * n)
-        self.most = self.times.max(initial=1.0)
-        self.once = bool(self.most == 1)
-
-    def _sums(self, tokens: np.ndarray, idfs: np.ndarray) -> np.ndarray:
-        """Per document the sum of the idf of the tokens it has."""
-        sizes = self.edges[tokens + 1] - self.edges[tokens]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.edges[tokens] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        weights = np.repeat(idfs, sizes)
-        return np.bincount(self.docs[at], weights if self.once else weights * self.times[at], len(self.ids)).astype(np.float64, copy=False)
-
-    def _sums_of(self, tokens: np.ndarray, idfs: np.ndarray, only: np.ndarray) -> np.ndarray:
-        """The same for a few documents, by lookups in the postings."""
-        out = np.zeros(len(only))
-        for a, b, idf in zip(self.edges[tokens].tolist(), self.edges[tokens + 1].tolist(), idfs.tolist()):
-            at = a + np.minimum(np.searchsorted(self.docs[a:b], only), b - a - 1)
-            hit = self.docs[at] == only
-            out[hit] += idf * self.times[at[hit]]
-        return out
-
-    def best(self, tids: np.ndarray, idfs: np.ndarray, hot: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the query's ``k`` best documents here (score down, then id)."""
-        margin = 10.0**-digits * 2
-        at = np.minimum(np.searchsorted(self.tokens, tids), len(self.tokens) - 1)
-        here = self.tokens[at] == tids
-        at, idfs, hot = at[here], idfs[here], hot[here]
-        scores = self._sums(at[~hot], idfs[~hot])
-        kth = lambda: np.partition(scores, len(scores) - k)[len(scores) - k] if k < len(scores) else 0.0
-        if hot.any():
-            # documents whose cold score and all that hot tokens can add stay below the k-th cold score are out
-            live = np.flatnonzero(scores + idfs[hot].sum() * self.most >= kth() - margin)
-            if len(live) * 16 < len(scores):
-                scores[live] += self._sums_of(at[hot], idfs[hot], live)
-            else:
-                scores += self._sums(at[hot], idfs[hot])
-        found = np.flatnonzero((scores >= kth() - margin) & (scores > 0))
-        if len(found) < k and (idfs == 0).any():
-            # tokens that all documents have add nothing, but what shares them is found
-            shared = np.unique(np.concatenate([self.docs[self.edges[t] : self.edges[t + 1]] for t in at[idfs == 0].tolist()]))
-            found = np.concatenate([found, np.setdiff1d(shared, np.flatnonzero(scores > 0))])
-        rounded = exact_round(scores[found], digits)
-        first = np.lexsort((found, -rounded))[:k]
-        return found[first], rounded[first]
-
-
-def _best_of_blocks(k: int, digits: int, schema: pa.Schema):
-    """Rows sorted by block, its postings before the queries: the best documents of each query in each block."""
+        twice = np.zeros(n, np.bool_)
+        twice[docs[again]] = True
+        apart = twice[docs]
+        first = np.append(True, (flat[1:] != flat[:-1]) | (docs[1:] != docs[:-1]))[apart]
+        heads = np.flatnonzero(first)
+        times = np.diff(np.append(heads, len(first))).astype(np.float64)
+        self.parts = [Postings(flat[~apart], docs[~apart], None, n, common), Postings(flat[apart][heads], docs[apart][heads], times, n, common)]
+
+    def best(self, tids: np.ndarray, idfs: np.ndarray, ends: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, places and scores of each query's ``k`` best documents here (score down, then id)."""
+        query, found, scores = (np.concatenate(x) for x in zip(*[part.best(tids, idfs, ends, k, 10.0**-digits * 2) for part in self.parts]))
+        rounded = exact_round(scores, digits)
+        order = np.lexsort((found, -rounded, query))
+        query, found, rounded = query[order], found[order], rounded[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        return query[rank < k], found[rank < k], rounded[rank < k]
+
+
+def _packed(schema: pa.Schema):
+    """(did, tid) rows to one row a run of a document's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.append(0, np.flatnonzero(codes[1:] != codes[:-1]) + 1)
+            tids = pa.ListArray.from_arrays(pa.array(np.append(starts, batch.num_rows), pa.int32()), batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), tids.cast(schema.field(1).type)], schema=schema)
+
+    return run
+
+
+def _best_of_blocks(k: int, digits: int, common: float, schema: pa.Schema):
+    """Rows sorted by block, its documents before the queries: the best documents of each query in each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, block = None, [], None
         for batch in batches:
-            blocks, is_query = batch.column("block").to_numpy(), batch.column("tids").is_valid().to_numpy(zero_copy_only=False)
+            blocks, is_query = batch.column("block").to_numpy(), batch.column("idfs").is_valid().to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_query[1:] != is_query[:-1])) + 1
             edges = [0, *cuts.tolist(), batch.num_rows] if batch.num_rows else [0]
             for a, b in zip(edges[:-1], edges[1:]):
@@ -229,22 +313,20 @@ def _best_of_blocks(k: int, digits: int, schema: pa.Schema):
                     now, held, block = blocks[a], [], None
                 part = batch.slice(a, b - a)
                 if not is_query[a]:
-                    held.append(part.select(["did", "tid"]))
+                    held.append(part.select(["did", "tids"]))
                     continue
                 if block is None and held:
                     t = pa.Table.from_batches(held).combine_chunks()
-                    block, held = Block(t.column("did").combine_chunks(), t.column("tid").to_numpy()), []
+                    held = []
+                    block = Block(t.column("did").combine_chunks(), t.column("tids").combine_chunks(), common)
+                    del t
                 if block is None:
                     continue
-                rows, places, scores = [], [], []
-                for i, (tids, idfs, hot) in enumerate(zip(part.column("tids"), part.column("idfs"), part.column("hot"))):
-                    x, y = block.best(tids.values.to_numpy(), idfs.values.to_numpy(), hot.values.to_numpy(zero_copy_only=False), k, digits)
-                    rows.append(np.full(len(x), i))
-                    places.append(x)
-                    scores.append(y)
-                qid = part.column("qid").take(pa.array(np.concatenate(rows)))
-                did = block.ids.take(pa.array(np.concatenate(places)))
-                yield pa.RecordBatch.from_arrays([qid.cast(schema.field(0).type), did.cast(schema.field(1).type), pa.array(np.concatenate(scores))], schema=schema)
+                ends = np.cumsum(pc.list_value_length(part.column("tids")).to_numpy())
+                rows, places, scores = block.best(part.column("tids").flatten().to_numpy(), part.column("idfs").flatten().to_numpy(), ends, k, digits)
+                qid = part.column("qid").take(pa.array(rows))
+                did = block.ids.take(pa.array(places))
+                yield pa.RecordBatch.from_arrays([qid.cast(schema.field(0).type), did.cast(schema.field(1).type), pa.array(scores)], schema=schema)
 
     return run
 
@@ -268,12 +350,14 @@ def retrieve(
     document is ever written:
 
     1. document tokens that occur in a query are numbered, counted, and written as
-       two numbers a row;
-    2. documents are dealt to blocks of about ``block_postings`` such rows. A block's
+       one list of numbers a document;
+    2. documents are dealt to blocks of about ``block_postings`` such numbers. A block's
        task holds its postings and reads the queries one by one. It adds up a query's
-       *cold* tokens (df <= hot_fraction * N) in one array over the block's documents;
-       its *hot* tokens are then looked up only for documents that can still be among
-       the block's best ``k``;
+       rare tokens by their postings alone. The documents that lead then get their whole
+       scores: the ``k``-th of these is the least that counts, so tokens that cannot add up
+       to it bring no document of their own. These (common ones, in more than
+       ``hot_fraction`` or ``COMMON`` of the block) are looked up in bits, a few at a time,
+       for documents that can still be among the ``k`` best;
     3. the best ``k`` of each block are ranked once more per query.
 
     The products are (queries x documents) by nature; what is shuffled is the
@@ -283,32 +367,27 @@ def retrieve(
     spark = docs.sparkSession
     q = token_sets(queries, qid, qtext).where(F.col(qid).isNotNull()).groupBy(qid, "token").agg(F.count(F.lit(1)).alias("times"))
     # a written number stays the same for all that read it
-    words = checkpointed(q.select("token").distinct().withColumn("tid", F.monotonically_increasing_id()), "words")
+    words = checkpointed(numbered(q.select("token").distinct(), ["token"], "tid").select("token", F.col("tid").cast("int")), "words")
     dt = token_sets(spread(docs), did, dtext).join(bounded_broadcast(words, QUERY_BROADCAST_ROWS), "token").select(F.col(did).alias("did"), "tid")
-    dt = checkpointed(dt, "doc_tokens")
+    packed = StructType([StructField("did", docs.schema[did].dataType), StructField("tids", ArrayType(IntegerType()))])
+    dt = checkpointed(dt.mapInArrow(_packed(to_arrow_schema(packed)), packed), "doc_tokens")
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    stats = dt.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    stats = stats.select("tid", F.log(n_docs / F.col("df")).alias("idf"), (F.col("df") > n_docs * hot_fraction).alias("hot"))
+    stats = checkpointed(dt.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    n_rows = stats.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     # tokens absent from every document cannot match
-    terms = q.join(words, "token").join(stats, "tid")
-    terms = terms.groupBy(F.col(qid).alias("qid")).agg(F.array_sort(F.collect_list(F.struct("tid", (F.col("idf") * F.col("times")).alias("idf"), "hot"))).alias("terms"))
-    n_rows = dt.count()
+    terms = q.join(words, "token").join(stats, "tid").select(F.col(qid).alias("qid"), "tid", (F.log(n_docs / F.col("df")) * F.col("times")).alias("idf"))
+    terms = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("tid", "idf"))).alias("terms"))
     cores = spark.sparkContext.defaultParallelism
-    n_blocks = max(4 * cores, -(-n_rows // block_postings))
+    keys = partition_keys(spark, max(2 * cores, -(-n_rows // block_postings)))
 
     dtype, qtype = docs.schema[did].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
     none = lambda t: F.lit(None).cast(t)
-    postings = dt.select(
-        F.pmod(F.xxhash64("did"), F.lit(n_blocks)).alias("block"), "did", "tid", none(qtype).alias("qid"),
-        none("array<bigint>").alias("tids"), none("array<double>").alias("idfs"), none("array<boolean>").alias("hot"),
-    )
-    asked = terms.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"), none(dtype).alias("did"), none("bigint").alias("tid"),
-        "qid", F.col("terms.tid").alias("tids"), F.col("terms.idf").alias("idfs"), F.col("terms.hot").alias("hot"),
-    )
-    cells = postings.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", F.col("tids").isNotNull())
+    block = F.element_at(F.lit(keys), (F.pmod(F.xxhash64("did"), F.lit(len(keys))) + 1).cast("int"))
+    postings = dt.select(block.alias("block"), "did", "tids", none(qtype).alias("qid"), none("array<double>").alias("idfs"))
+    asked = terms.select(F.explode(F.lit(keys)).alias("block"), none(dtype).alias("did"), F.col("terms.tid").alias("tids"), "qid", F.col("terms.idf").alias("idfs"))
+    cells = postings.unionByName(asked).repartition(len(keys), "block").sortWithinPartitions("block", F.col("idfs").isNotNull())
     out = StructType([StructField(qid, queries.schema[qid].dataType), StructField(did, docs.schema[did].dataType), StructField("score", DoubleType())])
-    best = cells.mapInArrow(_best_of_blocks(k, digits, to_arrow_schema(out)), out)
+    best = cells.mapInArrow(_best_of_blocks(k, digits, min(hot_fraction, COMMON), to_arrow_schema(out)), out)
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(did))
     ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(qid, did, "rank", "score")

@@ -370,3 +370,43 @@ def test_judgments_are_dealt_before_they_fan_out(spark):
 
     cores = spark.sparkContext.defaultParallelism
     assert fx.judgments_raw(spark, SF_SMALL).rdd.getNumPartitions() >= 4 * cores
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_a_block_scores_few_documents_whole(monkeypatch, twice):
+    """The best documents are those of brute force, ties and documents that stand twice included; common tokens are looked up for few documents."""
+    import pyarrow as pa
+
+    rng, n, words = np.random.default_rng(5), 4000, 3000
+    share = np.minimum(0.9, 8 / np.arange(1, words + 1))
+    has = rng.random((n, words)) < share
+    ids = rng.permutation(n) + 100
+    lists, rows = [np.flatnonzero(x).astype(np.int32) for x in has], np.arange(n)
+    if twice:
+        rows = np.append(rows, rng.choice(n, 300))
+    queries = [np.unique(rng.choice(words, 14, p=share / share.sum())).astype(np.int32) for _ in range(80)]
+    queries += [np.array([0, 1], np.int32), np.array([words + 5], np.int32), np.array([0, words - 1], np.int32)]
+    idf = np.append(np.log(n / np.maximum(1, has.sum(0))), np.zeros(10))
+    idf[0] = 0.0  # such a token adds nothing, but what has it is found
+    looked_up, keep = [], textmatch.Postings._looked_up
+    monkeypatch.setattr(textmatch.Postings, "_looked_up", lambda self, rows, idfs, docs: looked_up.append(len(rows) * len(docs)) or keep(self, rows, idfs, docs))
+    block = textmatch.Block(pa.array(ids[rows]), pa.array([lists[i] for i in rows], pa.list_(pa.int32())), textmatch.COMMON)
+    query, places, scores = block.best(np.concatenate(queries), idf[np.concatenate(queries)], np.cumsum([len(q) for q in queries]), 3, 6)
+    times = np.bincount(rows, minlength=n)
+    want = []
+    for i, q in enumerate(queries):
+        q = q[q < words]
+        whole = has[:, q] @ idf[q] * times
+        shared = np.flatnonzero(has[:, q].any(1))
+        want += [(i, int(ids[d]), round(float(whole[d]), 6)) for d in sorted(shared, key=lambda d: (-round(float(whole[d]), 6), ids[d]))[:3]]
+    got = list(zip(query.tolist(), block.ids.take(pa.array(places)).to_pylist(), scores.tolist()))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+    assert sum(looked_up) < 0.1 * n * sum(len(q) for q in queries)
+
+
+def test_blocks_have_a_partition_each(spark):
+    from panelscore.operators.joins import partition_keys
+
+    keys = partition_keys(spark, 24)
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(24, "k").select(F.spark_partition_id().alias("p"))
+    assert len(keys) == 24 == df.distinct().count()
