@@ -754,7 +754,7 @@ def q_resume_files(spark, sf):
     fx.jobs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n")).write.partitionBy("source").csv(f"{base}/jobs")
     files = file_src.read_resumes(spark, base)
     return files.select(
-        F.regexp_extract("path", r"/(?:file=)?id=0*(\d+)-[^/]*(?:/[^/]*)?$", 1).alias("resume_id"),
+        F.regexp_extract("path", r"/(?:file=)?id(?:=|%3D)0*(\d+)-[^/]*(?:/[^/]*)?$", 1).alias("resume_id"),
         F.regexp_extract("path", r"/source=([^/]*)/", 1).alias("source"),
         file_src.input_kind(F.col("path")).alias("kind"), "suffix", "unsupported", "resume",
     )

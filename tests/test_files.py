@@ -294,3 +294,13 @@ def test_small_resume_files_are_read_by_few_tasks(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("reading-of-resumes") for s in tracker.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism
     assert sorted(got) == sorted([(f"text {i}", False) for i in range(400)] + [("", True)])
+
+
+def test_resume_files_where_only_spark_writes(spark, monkeypatch):
+    from data_dirs import SF_SMALL
+    from panelscore.plans.catalog import QUERIES
+    from panelscore.sources import sinks
+
+    want = sorted(map(str, QUERIES["resume_files"](spark, SF_SMALL).collect()))
+    monkeypatch.setattr(sinks, "_store", lambda path: None)
+    assert sorted(map(str, QUERIES["resume_files"](spark, SF_SMALL).collect())) == want
